@@ -7,6 +7,9 @@ import importlib
 #: Module and query function of each operator, and the name of its SQL, if any.
 _QUERIES = {
     "op2_toxicity_ftrl": ("toxicity", None),
+    "op5_benchmark_decontamination": ("decontaminate", "OP5_SQL"),
+    "op8_quality_rules": ("quality_rules", None),
+    "op9_url_rules": ("url_rules", "OP9_SQL"),
     "op10_ordinal_quality": ("ordinal", None),
 }
 
