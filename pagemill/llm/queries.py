@@ -6,7 +6,9 @@ import importlib
 
 #: Module and query function of each operator, and the name of its SQL, if any.
 _QUERIES = {
+    "op1_warc_derivatives": ("warc", "OP1_SQL"),
     "op2_toxicity_ftrl": ("toxicity", None),
+    "op3_poisson_mixing": ("mixing", "OP3_SQL"),
     "op5_benchmark_decontamination": ("decontaminate", "OP5_SQL"),
     "op8_quality_rules": ("quality_rules", None),
     "op9_url_rules": ("url_rules", "OP9_SQL"),
