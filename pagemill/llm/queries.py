@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_warc_derivatives": ("warc", "OP1_SQL"),
     "op2_toxicity_ftrl": ("toxicity", None),
     "op3_poisson_mixing": ("mixing", "OP3_SQL"),
+    "op4_training_order": ("training_order", None),
     "op5_benchmark_decontamination": ("decontaminate", "OP5_SQL"),
     "op8_quality_rules": ("quality_rules", None),
     "op9_url_rules": ("url_rules", "OP9_SQL"),
