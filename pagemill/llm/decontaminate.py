@@ -126,7 +126,7 @@ def scan(docs: DataFrame, block: dict[bytes, list[str | None]], text: str = "tex
                     if a == b:
                         continue
                     base = int(place[a]) - 1
-                    found = list(automaton.iter(joined, base, int(place[b])))
+                    found = [(base + e, owners) for e, owners in automaton.iter(joined[base : int(place[b])])]
                     if not found:
                         continue
                     # a pattern ends at the space after its last word
