@@ -320,7 +320,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, width: int
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, components): rows (doc_id, n, node), links (a, b) between nodes, components (node, component)."""
+    """(rows, links, components): rows (doc_id, n, node), links (a, b) between nodes, components (node, component).
+
+    ``links`` holds enough of the links to connect every component: within a combination's group, pairs
+    that others already connect are not compared.
+    """
     spark = docs.sparkSession
     marked = stored(_fingerprints(docs, width, counters), "fingerprints")
     rows = marked.where("part is null").select("doc_id", "n", "node")
@@ -353,11 +357,10 @@ def classes_with_components(rows: DataFrame, components: DataFrame) -> DataFrame
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, links, components = jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, _, components = jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
     classes = classes_with_components(rows, components)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    out = rows.join(classes.join(degree, "node", "left"), "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.join(classes, "node", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def with_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
