@@ -20,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import os
 from collections.abc import Iterator
@@ -54,7 +55,7 @@ class Encoder:
     #: Lead bytes of the UTF-8 forms of white space outside ASCII.
     _MAYBE_SPACE = np.array([b in b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \xc2\xe1\xe2\xe3" for b in range(256)])
 
-    def __init__(self, ranks: bytes, pattern: str, most_cached: int = 1_000_000):
+    def __init__(self, ranks: bytes, pattern: str, most_cached: int = 500_000):
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
@@ -111,6 +112,18 @@ class Encoder:
         return ids, wk.sums(taken, np.searchsorted(start, offsets))
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(ranks: bytes, pattern: str) -> Encoder:
+    """A worker builds an encoder once and keeps what it has learnt for its next tasks."""
+    key = (hashlib.sha256(ranks).hexdigest(), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, pattern)
+    return _encoders[key]
+
+
 @dataclass(frozen=True)
 class Layout:
     """Records are seq_len ids of ``dtype``, little-endian, and a line feed."""
@@ -160,7 +173,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n)), pa.array(filled_rows), lists, payload], names=["part", "pos", "n_tokens", "doc_ids", "tokens"])
 
         for batch in batches:
-            encoder = encoder or Encoder(ranks.value, pattern)
+            encoder = encoder or _encoder(ranks.value, pattern)
             for lo, hi, buf, offsets in wk.slices(batch.column(0)):
                 ids, counts = encoder.encode(buf, offsets)
                 stop = np.cumsum(counts)
@@ -189,8 +202,6 @@ class Permutation:
     """A keyed permutation of 0..n-1: six Feistel rounds on 2h bits, walked until below n."""
 
     def __init__(self, n: int, key: str, rounds: int = 6):
-        import hashlib
-
         self.n, self.half = n, max(1, (max(n - 1, 1).bit_length() + 1) // 2)
         self.keys = [np.uint64(int.from_bytes(hashlib.sha256(f"{key}|{i}".encode()).digest()[:8], "little")) for i in range(rounds)]
 
