@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_poisson_mixing": ("mixing", "OP3_SQL"),
     "op4_training_order": ("training_order", None),
     "op5_benchmark_decontamination": ("decontaminate", "OP5_SQL"),
+    "op6_fuzzy_lines": ("fuzzy_lines", None),
     "op7_ngram_jaccard_join": ("setjoin", None),
     "op8_quality_rules": ("quality_rules", None),
     "op9_url_rules": ("url_rules", "OP9_SQL"),
