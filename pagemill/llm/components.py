@@ -28,6 +28,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def merged_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after further links: only the components that these join take part in the search."""
+    label_a, label_b = (components.select(F.col("node").alias(x), F.col("component").alias(f"label_{x}")) for x in "ab")
+    ends = links.join(label_a, "a", "left").join(label_b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = connected_components(ends).select(F.col("node").alias("label"), F.col("component").alias("low"))
+    old = components.join(joined, components["component"] == joined["label"], "left").select("node", F.coalesce("low", "component").alias("component"))
+    new = joined.join(components.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("low").alias("component"))
+    return stored(old.unionByName(new), "components")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

@@ -11,7 +11,8 @@ Jaccard similarity is at least 4/5.  Documents with equal sets are one class and
    rare one or k frequent ones: rare tokens are indexed singly, frequent ones as k-combinations (k = 2).
 3. Rare groups are small; their pairs pass size and position bounds inside the task that holds the
    group.  Combination groups may be of any size: their members are first compared with one member
-   only (a star); pairs of the group follow only between what is not yet connected.
+   only (a star), in some rounds with others; pairs of the group follow only between what is then not
+   yet connected.
 4. Candidates are verified exactly, first by a bitmap bound that never errs, then by the sets, which a
    third pass makes for the candidates only.
 5. Verified links give connected components.
@@ -37,12 +38,15 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
 from pagemill.llm.common import stored, table
-from pagemill.llm.components import connected_components
+from pagemill.llm.components import connected_components, merged_components
 
 WIDTH = 5
 K = 2
 COUNTERS = 1 << 21
 FILTER_BITS = 24
+#: Signatures have 64 * FOLD bits at least, and are folded to so many to be compared in joins.
+FOLD = 8
+STAR_ROUNDS = 3
 _U = np.uint64
 
 
@@ -69,11 +73,19 @@ def required(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
 
 def signature(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' bits, about one bit a token: sets differ by at least as many tokens as bits."""
-    bits = max(256, 1 << (len(tokens) - 1).bit_length())
+    bits = max(64 * FOLD, 1 << (len(tokens) - 1).bit_length())
     flips = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sig: bytes) -> list[int]:
+    """A signature as FOLD signed numbers."""
+    x = np.frombuffer(sig, dtype=np.uint8)
+    while len(x) > 8 * FOLD:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return np.ascontiguousarray(x).view(np.int64).tolist()
+
+
 def signatures_differ(a: bytes, b: bytes) -> int:
     """A lower bound on the size of the symmetric difference."""
     x, y = (np.frombuffer(s, dtype=np.uint8) for s in sorted((a, b), key=len))
@@ -138,9 +150,9 @@ COMBINATION = "struct<c:bigint,p1:int,p2:int>"
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) -> DataFrame:
-    """Rows of two kinds: (range, postings) with rare tokens of prefixes, and (node, n, sig, combos) for each class a task meets."""
+    """Rows of two kinds: (range, postings) with rare tokens of prefixes, and (node, n, sig, fold, base, heavy, combos) for each class a task meets."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["range", "postings", "node", "n", "sig", "combos"]
+    names = ["range", "postings", "node", "n", "sig", "fold", "base", "heavy", "combos"]
     combo = pa.list_(pa.struct([("c", pa.int64()), ("p1", pa.int32()), ("p2", pa.int32())]))
 
     def blobs(found: list[tuple]) -> pa.RecordBatch:
@@ -156,12 +168,12 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
         data = [rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
         k = len(data)
-        return pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(data, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, combo)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(data, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, combo)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, found, held = shared.value, set(), [], 0
         for batch in batches:
-            nodes, sizes, sigs, combos = [], [], [], []
+            nodes, sizes, sigs, combos, bases, heavies = [], [], [], [], [], []
             for _, tokens in token_sets(batch.column(0), width):
                 n, node = len(tokens), fingerprint(tokens)
                 if n < 4 or node in seen:  # fewer tokens link with equal sets only
@@ -176,6 +188,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                 sizes.append(n)
                 sigs.append(signature(tokens))
                 combos.append(None)
+                bases.append(len(single))
+                heavies.append(None)
                 if len(single):
                     found.append((single, node, n, np.arange(len(single))))
                     held += len(single)
@@ -184,6 +198,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                     order = heavy[np.lexsort((tokens[heavy], weight[heavy]))][:left]
                     i, j = np.triu_indices(len(order), 1)
                     t = tokens[order]
+                    heavies[-1] = t.view(np.int64).tolist()
                     key = wk.mix(t[i] * wk._PLACE[50] + t[j] * wk._PLACE[51]).view(np.int64)
                     combos[-1] = [{"c": c, "p1": a, "p2": b} for c, a, b in zip(key.tolist(), (i + len(single)).tolist(), (j + len(single)).tolist(), strict=True)]
                 if held >= 2_000_000:
@@ -191,11 +206,11 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                     found, held = [], 0
             k = len(nodes)
             if k:
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(combos, combo)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array([folded(x) for x in sigs], pa.list_(pa.int64())), pa.array(bases, pa.int32()), pa.array(heavies, pa.list_(pa.int64())), pa.array(combos, combo)], names=names)
         if found:
             yield blobs(found)
 
-    return docs.select("text").mapInArrow(run, f"range int, postings binary, node long, n int, sig binary, combos array<{COMBINATION}>")
+    return docs.select("text").mapInArrow(run, f"range int, postings binary, node long, n int, sig binary, fold array<bigint>, base int, heavy array<bigint>, combos array<{COMBINATION}>")
 
 
 def _rare_pairs(prefixes: DataFrame) -> DataFrame:
@@ -234,10 +249,24 @@ def _rare_pairs(prefixes: DataFrame) -> DataFrame:
 
 
 def _combinations(prefixes: DataFrame) -> DataFrame:
-    """(c, node, n, p1, p2) of combinations that at least two classes have, and the least of these, ``hub``."""
+    """(c, node, n, p1, p2) of combinations that at least two classes have."""
     rows = prefixes.where("combos is not null").select("node", "n", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2").distinct()
-    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1")
-    return rows.join(groups, "c").select("c", "node", "n", "p1", "p2", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("c")
+    return rows.join(groups, "c")
+
+
+def _stars(combos: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class with one of its combination's group, another one each turn."""
+    hubs = combos.groupBy("c").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n")).alias("hub"))
+    both = combos.join(hubs, "c").select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n")).where("node <> other")
+    return both.where(F.least("n", "other_n") * 5 >= F.greatest("n", "other_n") * 4).select(*_ordered("node", "n", "other", "other_n")).distinct()
+
+
+def _open(combos: DataFrame, components: DataFrame) -> DataFrame:
+    """``combos`` with ``label``, the class's component, of groups with more than one component."""
+    labelled = combos.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("c")
+    return labelled.join(groups, "c").select("c", "node", "n", "p1", "p2", "label")
 
 
 def _ordered(a: str, na: str, b: str, nb: str) -> list:
@@ -245,15 +274,18 @@ def _ordered(a: str, na: str, b: str, nb: str) -> list:
     return [F.when(swap, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(swap, F.col(a)).otherwise(F.col(b)).alias("b"), F.when(swap, F.col(nb)).otherwise(F.col(na)).alias("na"), F.when(swap, F.col(na)).otherwise(F.col(nb)).alias("nb")]
 
 
-def _between_components(combos: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of a combination's group that no links connect yet, within size and position bounds."""
-    labelled = combos.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_groups = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("c")
-    rows = labelled.join(open_groups, "c").select("c", "node", "n", "p1", "p2", "label")
-    other = rows.select("c", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "p1", "p2", "label")])
+def _between_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of a combination's group that no links connect yet, within size, position and bitmap bounds."""
+    rows = rows.join(classes, "node")
+    other = rows.select("c", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "p1", "p2", "label", "fold", "base", "heavy")])
     most = F.least(F.least(F.col("n") - F.col("p2"), F.col("n_") - F.col("p2_")) + 1, F.least(F.col("n") - F.col("p1"), F.col("n_") - F.col("p1_")))
-    allowed = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (most * 180 >= (F.col("n") + F.col("n_")) * 80)
-    allowed = allowed & (F.least("n", "n_") * 5 >= F.greatest("n", "n_") * 4)
+    differ = sum((F.bit_count(F.get("fold", F.lit(i)).bitwiseXOR(F.get("fold_", F.lit(i)))) for i in range(FOLD)), F.lit(0))
+    allowed = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (F.least("n", "n_") * 5 >= F.greatest("n", "n_") * 4)
+    for bound in (most, F.floor((F.col("n") + F.col("n_") - differ) / 2)):
+        allowed = allowed & (bound * 180 >= (F.col("n") + F.col("n_")) * 80)
+    # of all combinations that two classes share, the one of their first two common tokens brings the pair
+    upto = [F.slice(f"heavy{x}", F.lit(1), F.col(f"p2{x}") - F.col(f"base{x}") + 1) for x in ("", "_")]
+    allowed = allowed & (F.size(F.array_intersect(*upto)) == 2)
     return rows.join(other, "c").where(allowed).select(*_ordered("node", "n", "node_", "n_")).distinct()
 
 
@@ -293,8 +325,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, bits: int = FILTER_B
     return docs.select("text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their signatures don't rule out."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,6 +334,13 @@ def _verify(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, width: int
             differ = np.array([signatures_differ(x.as_py(), y.as_py()) for x, y in zip(batch["sig_a"], batch["sig_b"], strict=True)], dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((na + nb - differ) // 2 >= required(na, nb)))
 
+    sig_a, sig_b = (signatures.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "na", "nb", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -311,12 +350,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, width: int
                 keep.append(100 * common >= 80 * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sig_a, sig_b = (signatures.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    close = stored(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "na", "nb", "sig_a", "sig_b").mapInArrow(near, "a long, b long"), "close")
-    nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = stored(_sets_of(docs, nodes, width).join(nodes, "node", "left_semi"), "sets")
     set_a, set_b = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    return close.join(set_a, "a").join(set_b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(linked, "a long, b long")
+    return pairs.join(set_a, "a").join(set_b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(linked, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,18 +368,21 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS)
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // 8_000_000) + 1)
     prefixes = stored(_prefixes(docs, frequent, width, ranges), "prefixes")
-    signatures = prefixes.where("sig is not null").select("node", "n", "sig").dropDuplicates(["node"])
+    classes = prefixes.where("sig is not null").select("node", "sig", "fold", "base", "heavy").dropDuplicates(["node"])
     combos = stored(_combinations(prefixes), "combinations")
-    stars = combos.where("node <> hub").select(*_ordered("node", "n", "hub", "hub_n"))
-    stars = stars.where((F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4))
-    first = _rare_pairs(prefixes).unionByName(stars).distinct()
-    links = stored(_verify(docs, first, signatures, width), "links")
+    close = stored(_near(_rare_pairs(prefixes).unionByName(_stars(combos, 0)).distinct(), classes), "close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).union(combos.select("node")).distinct()
+    sets = stored(_sets_of(docs, wanted, width).join(wanted, "node", "left_semi"), "sets")
+    links = stored(_linked(close, sets), "links")
     components = connected_components(links)
-    if combos.limit(1).count():
-        rest = stored(_between_components(combos, components), "between")
-        if rest.limit(1).count():
-            links = links.unionByName(stored(_verify(docs, rest, signatures, width), "links")).distinct()
-            components = connected_components(links)
+    for turn in range(1, STAR_ROUNDS + 2):
+        rest = stored(_open(combos, components), "open")
+        if not rest.limit(1).count():
+            break
+        # stars first, as they cost a pair a class; what is still apart after them is compared pair by pair
+        pairs = _stars(rest, turn) if turn <= STAR_ROUNDS else _between_components(rest, classes.select("node", "fold", "base", "heavy"))
+        found = stored(_linked(_near(pairs, classes), sets), "links")
+        links, components = links.unionByName(found).distinct(), merged_components(components, found)
     return rows, links, components
 
 
