@@ -22,6 +22,7 @@ Columns named like an output are replaced.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import simhash as sh
 from pagemill.llm import wordkit as wk
 from pagemill.llm.common import stored, table
-from pagemill.llm.components import connected_components
+from pagemill.llm.components import connected_components, merged_components
 from pagemill.llm.setjoin import _bitmap
 
 MIN_WORDS = 3
@@ -185,12 +186,50 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, min_words: int, bits: int = FIL
     return docs.select("text").mapInArrow(run, "node long, norm string").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
 
+def edit_distance_within(a: str, b: str, most: int) -> int:
+    """The edit distance of two strings, or some number over ``most`` if it is over it.
+
+    Common ends don't count; for what is between, Myers' bit vectors, a column of the table in an integer.
+    """
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        equal = places.get(c, 0)
+        vertical = equal | down
+        horizontal = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | (~(horizontal | up) & full), up & horizontal
+        distance += 1 if rise & top else -1 if fall & top else 0
+        if distance - left > most:
+            return most + 1
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = fall | (~(vertical | rise) & full), rise & vertical
+    return distance
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) within edit distance."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["norm_a"].to_pylist(), batch["norm_b"].to_pylist(), strict=True):
+                most = max(len(x), len(y)) // 5
+                keep.append(edit_distance_within(x, y, most) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     a, b = (texts.select(F.col("node").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("most", F.floor(F.greatest(F.length("norm_a"), F.length("norm_b")) / 5).cast("int"))
-    both = both.where(F.abs(F.length("norm_a") - F.length("norm_b")) <= F.col("most"))
-    return both.where(F.expr("levenshtein(norm_a, norm_b, most)").between(0, F.col("most"))).select("a", "b")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(close, "a long, b long")
 
 
 def _near(x: str, y: str):
@@ -211,24 +250,24 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COU
     texts = stored(_texts_of(docs, wanted, min_words), "line-texts")
     links = stored(_verified(pairs, texts), "line-links")
     components = connected_components(links)
-    if crowd.limit(1).count():
-        crowd = stored(crowd, "line-crowd")
-        for turn in range(STAR_ROUNDS):
-            hub = crowd.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "hash")).alias("hub"))
-            star = crowd.join(hub, "key").select("node", "hash", F.col("hub.node").alias("other"), F.col("hub.hash").alias("other_hash")).where((F.col("node") != F.col("other")) & _near("hash", "other_hash"))
-            links, components = _more(links, star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), texts)
+    for turn in range(STAR_ROUNDS + 1):
         label = crowd.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        rows = label.join(mixed, "key")
-        other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "hash", "label")])
-        rest = rows.join(other, "key").where((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & _near("hash", "hash_"))
-        links, components = _more(links, rest.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), texts)
+        rows = stored(label.join(mixed, "key"), "line-crowd")
+        if not rows.limit(1).count():
+            break
+        if turn < STAR_ROUNDS:
+            hub = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "hash", "label")).alias("hub"))
+            other = rows.join(hub, "key").select("key", "node", "hash", "label", F.col("hub.node").alias("node_"), F.col("hub.hash").alias("hash_"), F.col("hub.label").alias("label_"))
+        else:
+            other = rows.join(rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "hash", "label")]), "key").where(F.col("node") < F.col("node_"))
+        apart = other.where((F.col("label") != F.col("label_")) & _near("hash", "hash_"))
+        components = _more(components, apart.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), texts)
     return lines, components
 
 
-def _more(links: DataFrame, candidates: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    links = stored(links.unionByName(_verified(candidates, texts)).distinct(), "line-links")
-    return links, connected_components(links)
+def _more(components: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    return merged_components(components, stored(_verified(candidates, texts), "line-links"))
 
 
 def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
