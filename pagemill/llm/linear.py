@@ -98,21 +98,22 @@ class Ftrl:
     epochs: int = 3
 
 
-def documents(features: Features, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, values) of each text of a column."""
+def documents(features: Features, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(indices, values) of each text of a column, in small types; values are None where all are 1."""
     for _, _, buf, offsets in wk.slices(column):
         words, kinds = features.of_slice(buf, offsets)
         index, text = np.concatenate([k[0] for k in kinds]), np.concatenate([k[1] for k in kinds])
         key = np.unique(text * np.int64(1 << features.bits) + index)
         index, text = key & ((1 << features.bits) - 1), key >> features.bits
-        value = np.ones(len(index))
+        value = None
         if features.shapes:
             i, t, v = features.shape_shares(words)
+            value = np.ones(len(index))
             order = np.argsort(np.concatenate([text, t]), kind="stable")
             index, value, text = np.concatenate([index, i])[order], np.concatenate([value, v])[order], np.concatenate([text, t])[order]
         first = np.searchsorted(text, np.arange(len(offsets)))
         for a, b in zip(first[:-1], first[1:], strict=True):
-            yield index[a:b], value[a:b]
+            yield index[a:b].astype(np.int32), None if value is None else value[a:b].astype(np.float16)
 
 
 def fit(features: Features, ftrl: Ftrl, column: pa.Array, labels: np.ndarray, slope: Callable[[float, int], float], start: float | None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -125,13 +126,13 @@ def fit(features: Features, ftrl: Ftrl, column: pa.Array, labels: np.ndarray, sl
     size = 1 << features.bits
     z, n = np.zeros(size), np.zeros(size)
     bias, bias_n = start or 0.0, 1.0
-    rows = [(i.astype(np.int32), v.astype(np.float32)) for i, v in documents(features, column)]
+    rows = list(documents(features, column))
     for _ in range(ftrl.epochs):
         for (index, value), label in zip(rows, labels, strict=True):
             zi, root = z[index], np.sqrt(n[index])
             w = np.where(np.abs(zi) <= ftrl.l1, 0.0, (np.sign(zi) * ftrl.l1 - zi) / ((ftrl.beta + root) / ftrl.alpha + ftrl.l2))
-            g = slope(bias + float(w @ value), int(label))
-            step = g * value
+            g = slope(bias + float(w.sum() if value is None else w @ value), int(label))
+            step = g if value is None else g * value
             ni = n[index] + step * step
             z[index] = zi + step - (np.sqrt(ni) - root) / ftrl.alpha * w
             n[index] = ni
@@ -161,20 +162,21 @@ def linear_scores(features: Features, weights: np.ndarray, bias: float, column:
     return out
 
 
-def fit_shards(sample: DataFrame, rows: int, per_shard: int, most: int, learn: Callable[[pa.Array, np.ndarray], dict[int, float]]) -> dict[int, float]:
+def fit_shards(sample: DataFrame, rows: int, per_shard: int, learn: Callable[[pa.Array, np.ndarray], dict[int, float]]) -> dict[int, float]:
     """Mean over the shards of what ``learn(texts, labels)`` gives for each index.
 
     ``sample`` has doc_id, text, label.  A shard is at most about ``per_shard`` rows,
     chosen by hash and learnt from in hash order, in one task; only non-zero
     weights, as many as the feature space has at most, come to the driver.
     """
-    shards = max(1, min(most, -(-rows // per_shard)))
+    shards = max(1, -(-rows // per_shard))
 
     def one(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         order = np.lexsort((group["doc_id"].to_numpy(), group["at"].to_numpy()))
         group = group.take(order)
-        found = learn(group["text"].combine_chunks(), group["label"].to_numpy())
+        texts, labels = group["text"].combine_chunks(), group["label"].to_numpy()
+        del group
+        found = learn(texts, labels)
         return pa.table({"index": pa.array(list(found), pa.int64()), "weight": pa.array(list(found.values()), pa.float64())})
 
     at = sample.select("doc_id", "text", "label", F.xxhash64(F.lit("order"), "doc_id").alias("at"))

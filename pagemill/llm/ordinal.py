@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import is_training, labelled_sample, table
 from pagemill.llm.linear import Features, Ftrl, dense, fit, fit_shards, sigmoid
-from pagemill.llm.toxicity import with_scores
+from pagemill.llm.toxicity import SHARD_ROWS, with_scores
 
 FEATURES = Features(bits=20, orders=(1, 2), skips=(1,), lower=False, alnum=False, shapes=True)
 FTRL = Ftrl(alpha=0.5, beta=1.0, l1=3.0, l2=0.1, epochs=2)
@@ -73,7 +73,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sampl
         index, weight, _ = fit(features, ftrl, texts, y, link.slope, None)
         return dict(zip(index.tolist(), weight.tolist(), strict=True)) | {-1 - k: float(t) for k, t in enumerate(link.theta)}
 
-    found = fit_shards(sample, n, sample_rows // 2, 2, learn)
+    found = fit_shards(sample, n, SHARD_ROWS, learn)
     return OrdinalModel(dense(found, features.bits), np.array([found[-1 - k] if -1 - k in found else start[k] for k in range(grades - 1)]), features)
 
 

@@ -1,7 +1,7 @@
 """Toxicity: logistic regression on hashed word n-grams and skip-grams, by FTRL-proximal steps.
 
 Learning: a sample of the labelled rows (at most about ``sample_rows``, by id hash) is
-learnt in one or two tasks; L1 keeps only the weights that matter, which are broadcast as
+learnt in a few tasks of at most SHARD_ROWS rows; L1 keeps only the weights that matter, which are broadcast as
 one vector of 2**bits floats.  Scoring: one map over all documents, without a shuffle.
 
 Defined results: a null or empty text has no features and gets the bias's score; a text is
@@ -27,6 +27,9 @@ THRESHOLD = 0.3
 FEATURES = Features(bits=20, orders=(1, 2), skips=(1,))
 FTRL = Ftrl(alpha=1.0, beta=1.0, l1=4.0, l2=0.1, epochs=2)
 
+#: Rows that one task learns from.
+SHARD_ROWS = 16_000
+
 
 @dataclass(frozen=True)
 class ToxicityModel:
@@ -50,7 +53,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, feature
         index, weight, bias = fit(features, ftrl, texts, y, lambda s, label: float(sigmoid(s)) - label, float(np.log(rate / (1 - rate))))
         return dict(zip(index.tolist(), weight.tolist(), strict=True)) | {-1: bias}
 
-    found = fit_shards(sample, n, sample_rows // 2, 2, learn)
+    found = fit_shards(sample, n, SHARD_ROWS, learn)
     return ToxicityModel(dense(found, features.bits), found.get(-1, 0.0), features)
 
 

@@ -174,7 +174,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
 
         for batch in batches:
             encoder = encoder or _encoder(ranks.value, pattern)
-            for lo, hi, buf, offsets in wk.slices(batch.column(0)):
+            for lo, hi, buf, offsets in wk.slices(batch.column(0), 4 << 20):
                 ids, counts = encoder.encode(buf, offsets)
                 stop = np.cumsum(counts)
                 ids = np.insert(ids, stop, eos)

@@ -2,7 +2,7 @@
 
 The operators that look at every word of every text run these functions inside
 ``mapInArrow`` tasks.  A column is handled as one byte buffer with offsets, in
-slices of a few megabytes, so no Python object is made for a text or a word.
+slices of about a megabyte, so no Python object is made for a text or a word.
 Nulls have no bytes and so no words.  One text is never cut: a slice holds at
 least one whole text, and memory is a fixed multiple of the longest text.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
