@@ -11,7 +11,7 @@ Jaccard similarity is at least 4/5.  Documents with equal sets are one class and
    rare one or k frequent ones: rare tokens are indexed singly, frequent ones as k-combinations (k = 2).
 3. Rare groups are small; their pairs pass size and position bounds inside the task that holds the
    group.  Combination groups may be of any size: their members are first compared with one member
-   only (a star), in some rounds with others; pairs of the group follow only between what is then not
+   only (a star), in STAR_ROUNDS rounds; pairs of the group follow only between what is then not
    yet connected.
 4. Candidates are verified exactly, first by a bitmap bound that never errs, then by the sets, which a
    third pass makes for the candidates only.
@@ -46,7 +46,8 @@ COUNTERS = 1 << 21
 FILTER_BITS = 24
 #: Signatures have 64 * FOLD bits at least, and are folded to so many to be compared in joins.
 FOLD = 8
-STAR_ROUNDS = 3
+#: Rounds of stars before the members of a group are compared pair by pair.
+STAR_ROUNDS = 1
 _U = np.uint64
 
 
@@ -375,12 +376,12 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS)
     sets = stored(_sets_of(docs, wanted, width).join(wanted, "node", "left_semi"), "sets")
     links = stored(_linked(close, sets), "links")
     components = connected_components(links)
-    for turn in range(1, STAR_ROUNDS + 2):
+    for turn in range(1, STAR_ROUNDS + 1):
         rest = stored(_open(combos, components), "open")
         if not rest.limit(1).count():
             break
         # stars first, as they cost a pair a class; what is still apart after them is compared pair by pair
-        pairs = _stars(rest, turn) if turn <= STAR_ROUNDS else _between_components(rest, classes.select("node", "fold", "base", "heavy"))
+        pairs = _stars(rest, turn) if turn < STAR_ROUNDS else _between_components(rest, classes.select("node", "fold", "base", "heavy"))
         found = stored(_linked(_near(pairs, classes), sets), "links")
         links, components = links.unionByName(found).distinct(), merged_components(components, found)
     return rows, links, components
