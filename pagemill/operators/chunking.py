@@ -122,12 +122,13 @@ def _fold_headings(rules: HeadingRules, events: pd.DataFrame) -> pd.DataFrame:
             intro, trail, sub_of = True, [None, None], None
             opened = chain(chapter + 1, intro_label), str(chapter + 1)
         else:
-            key = e.major * 10_000 + e.minor * 100 + (ord(e.letter) - 96 if e.letter else 0)
-            if key <= last_key or (chapter and e.major not in (chapter, chapter + 1)):
+            major, minor = int(e.major), int(e.minor)  # floats beside the nulls of markers
+            key = major * 10_000 + minor * 100 + (ord(e.letter) - 96 if e.letter else 0)
+            if key <= last_key or (chapter and major not in (chapter, chapter + 1)):
                 continue
-            closed = (chain(e.major, intro_label), str(e.major)) if intro else current()
-            chapter, last_key, heading_page, intro = e.major, key, e.page, False
-            sub = f"{e.major}.{e.minor}"
+            closed = (chain(major, intro_label), str(major)) if intro else current()
+            chapter, last_key, heading_page, intro = major, key, e.page, False
+            sub = f"{major}.{minor}"
             trail = [trail[0] if sub_of == sub else None, e.text] if e.letter else [e.text, None]
             sub_of, number = sub, sub + e.letter
             opened = current()

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from pagemill.operators.index import with_positions
 
 LINE = "model string, dimensions int, count bigint, id string, text string, metadata map<string,string>, vector array<float>"
 
@@ -34,8 +35,8 @@ def read_index_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         raise ValueError(f"no index in {path}")
     entries = placed.where("e.vector is not null")
     merged = entries.groupBy("e.id").agg(F.min("at").alias("at"), F.max_by("e", "at").alias("e"))
-    pos = F.row_number().over(Window.orderBy("at")) - 1
-    return merged.select(pos.cast("long").alias("pos"), "id", "e.text", "e.metadata", F.col("e.vector").alias("embedding"), F.lit(header[0]).alias("model")), header[0]
+    placed_entries = with_positions(merged, "at")
+    return placed_entries.select(F.col("pos").cast("long").alias("pos"), "id", "e.text", "e.metadata", F.col("e.vector").alias("embedding"), F.lit(header[0]).alias("model")), header[0]
 
 
 def write_index(index: DataFrame, path: str) -> None:
