@@ -8,11 +8,13 @@ one's length.  Of all occurrences of a connected group of lines, the one with th
 
 1. One pass over the texts emits a row of numbers for each line; equal normalised lines are one class.
 2. Hashes within 3 bits agree in two of five blocks, so every class has ten keys.  Counters of fixed size
-   tell the keys that may have many classes from the others.  Ordinary keys travel in numpy blobs by
-   key range, and their small groups are compared inside the task.  Crowded keys stay rows: their classes
-   are compared with one member a round (stars), and then only across what is still unconnected.
+   tell the keys that may have more than CROWD classes from the others.  Ordinary keys travel in numpy
+   blobs by key range, and the hashes of a group are compared inside the task.  Of the pairs found, a task
+   first gives a spanning forest; crowded keys stay rows, and give stars.
 3. A second pass makes the normalised lines of candidates, which the edit distance verifies.
-4. The removed line numbers are joined back to the documents.
+4. Verified pairs connect; after that, ordinary and crowded groups give all pairs that are still in different
+   components, and these are verified too, so no link is lost and few pairs are made.
+5. The removed line numbers are joined back to the documents.
 
 A class is known by the 64-bit hash of its normalised line.  Defined results: null and empty texts have
 no lines to remove and stay as they are; equal lines of one document count like those of two; rows with
@@ -37,14 +39,15 @@ from pagemill.llm.components import connected_components, merged_components
 from pagemill.llm.setjoin import _bitmap
 
 MIN_WORDS = 3
-CROWD = 64
+CROWD = 4096
 COUNTERS = 1 << 20
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 FILTER_BITS = 24
 _U = np.uint64
 _NOT_NEWLINE = wk._table(b"\n")
 _FOLD = np.array([48 if 48 <= b <= 57 else wk.LOWER[b] for b in range(256)], dtype=np.uint8)
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("hash", "<u8")])
+LABELLED = np.dtype([*POSTING.descr, ("label", "<i8")])
 
 
 def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +114,9 @@ def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
     return out > mean + 8 * mean**0.5 + CROWD
 
 
-def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int) -> DataFrame:
-    """(range, postings) of ordinary keys and (key, node, hash) of crowded ones."""
+def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int, labelled: bool = False) -> DataFrame:
+    """(range, postings) of ordinary keys and (key, node, hash) of crowded ones; ``labelled`` classes have a label too."""
+    kind = LABELLED if labelled else POSTING
     shared = classes.sparkSession.sparkContext.broadcast(np.packbits(crowded))
     names = ["range", "postings", "key", "node", "hash"]
 
@@ -121,8 +125,10 @@ def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int) -> DataFrame
         for batch in batches:
             hashes = batch.column(1).to_numpy().view(np.uint64)
             key = wk.mix(sh.keys(hashes))
-            rows = np.empty(key.size, dtype=POSTING)
+            rows = np.empty(key.size, dtype=kind)
             rows["key"], rows["node"], rows["hash"] = key.ravel(), np.repeat(batch.column(0).to_numpy(), key.shape[1]), np.repeat(hashes, key.shape[1])
+            if labelled:
+                rows["label"] = np.repeat(batch.column(2).to_numpy(), key.shape[1])
             many = hot[(rows["key"] & _U(len(hot) - 1)).astype(np.int64)]
             few, more = rows[~many], rows[many]
             at = ((few["key"] >> _U(32)) * _U(ranges)) >> _U(32)
@@ -137,29 +143,58 @@ def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int) -> DataFrame
                 k = len(more)
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *[pa.array(np.ascontiguousarray(more[f]).view(np.int64)) for f in ("key", "node", "hash")]], names=names)
 
-    return classes.select("node", "hash").mapInArrow(run, "range int, postings binary, key long, node long, hash long")
-
-
-def _pairs_of_ranges(postings: DataFrame) -> DataFrame:
-    """(a, b) of classes with a common ordinary key and hashes at most 3 bits apart."""
+    return classes.select("node", "hash", *["label"] * labelled).mapInArrow(run, "range int, postings binary, key long, node long, hash long")
+
+
+def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (x, y) of hashes within DISTANCE under one key; some megabytes at a time, whatever a group's size."""
+    order = np.argsort(rows["key"], kind="stable")
+    key, hashes = rows["key"][order], rows["hash"][order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edge)
+    for s in np.unique(size[(size > 1) & (size <= 64)]).tolist():
+        begin = edge[:-1][size == s]
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 1_000_000 // len(i))
+        for k in range(0, len(begin), step):
+            part = begin[k : k + step, None]
+            x, y = (part + i).ravel(), (part + j).ravel()
+            near = np.bitwise_count(hashes[x] ^ hashes[y]) <= sh.DISTANCE
+            yield order[x[near]], order[y[near]]
+    for a, z in zip(edge[:-1][size > 64].tolist(), edge[1:][size > 64].tolist(), strict=True):
+        for x in range(a, z - 1):
+            near = np.flatnonzero(np.bitwise_count(hashes[x + 1 : z] ^ hashes[x]) <= sh.DISTANCE) + x + 1
+            if len(near):
+                yield np.full(len(near), order[x]), order[near]
+
+
+def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
+    """(a, b) of classes with a common ordinary key and near hashes: of each range a spanning forest, or, with labels, all pairs across labels."""
+    kind = LABELLED if labelled else POSTING
 
     def pairs(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_py(), dtype=POSTING) for b in group["postings"]])
-        order = np.argsort(rows["key"], kind="stable")
-        key = rows["key"][order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size, a, b = np.diff(edge), [], []
-        for s in np.unique(size[size > 1]).tolist():
-            begin = edge[:-1][size == s]
-            i, j = np.triu_indices(s, 1)
-            step = max(1, 2_000_000 // len(i))
-            for k in range(0, len(begin), step):
-                part = begin[k : k + step, None]
-                x, y = rows[order[(part + i).ravel()]], rows[order[(part + j).ravel()]]
-                ok = np.bitwise_count(x["hash"] ^ y["hash"]) <= sh.DISTANCE
-                a.append(np.minimum(x["node"][ok], y["node"][ok]))
-                b.append(np.maximum(x["node"][ok], y["node"][ok]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        rows = np.concatenate([np.frombuffer(b.as_py(), dtype=kind) for b in group["postings"]])
+        nodes, at = np.unique(rows["node"], return_inverse=True)
+        found: list[np.ndarray] = []
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in _near_pairs(rows):
+            if labelled:
+                apart = rows["label"][x] != rows["label"][y]
+                found.append(np.unique(np.sort(np.stack([at[x[apart]], at[y[apart]]], axis=1), axis=1), axis=0))
+                continue
+            for p, q in zip(at[x].tolist(), at[y].tolist(), strict=True):
+                r, t = root(p), root(q)
+                if r != t:
+                    parent[r] = t
+                    found.append(np.array([[min(p, q), max(p, q)]]))
+        ends = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
 
     rows = postings.where("range is not null").select("range", "postings")
     return rows.groupBy("range").applyInArrow(pairs, "a long, b long").where("a <> b").distinct()
@@ -242,14 +277,17 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COU
     classes = stored(lines.groupBy("node").agg(F.min("hash").alias("hash")), "line-classes")
     n = classes.count()
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(sh.PAIRS) // 2_000_000 + 1)
-    postings = stored(_postings(classes, _crowded(classes, counters), ranges), "line-keys")
+    crowded = _crowded(classes, counters)
+    postings = stored(_postings(classes, crowded, ranges), "line-keys")
     pairs = stored(_pairs_of_ranges(postings), "line-pairs")
     crowd = postings.where("key is not null").select("key", "node", "hash")
     crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "node", "hash")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = paired.union(crowd.select("node")).distinct()
     texts = stored(_texts_of(docs, wanted, min_words), "line-texts")
-    links = stored(_verified(pairs, texts), "line-links")
-    components = connected_components(links)
+    components = connected_components(stored(_verified(pairs, texts), "line-links"))
+    label = classes.join(paired, "node", "left_semi").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), labelled=True), texts)
     for turn in range(STAR_ROUNDS + 1):
         label = crowd.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
