@@ -9,7 +9,7 @@ model (op2) and the ordinal model (op10) share this module.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,22 +98,27 @@ class Ftrl:
     epochs: int = 3
 
 
-def documents(features: Features, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(indices, values) of each text of a column, in small types; values are None where all are 1."""
+def documents(features: Features, column: pa.Array) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(indices, values, first): text i has indices[first[i]:first[i+1]], in small types; values are None where all are 1.
+
+    A few large arrays instead of many small ones: a worker gives them back when it is done.
+    """
+    indices, values, firsts, done = [np.zeros(0, np.int32)], [np.zeros(0, np.float16)], [np.zeros(1, np.int64)], 0
     for _, _, buf, offsets in wk.slices(column):
         words, kinds = features.of_slice(buf, offsets)
         index, text = np.concatenate([k[0] for k in kinds]), np.concatenate([k[1] for k in kinds])
         key = np.unique(text * np.int64(1 << features.bits) + index)
         index, text = key & ((1 << features.bits) - 1), key >> features.bits
-        value = None
         if features.shapes:
             i, t, v = features.shape_shares(words)
             value = np.ones(len(index))
             order = np.argsort(np.concatenate([text, t]), kind="stable")
             index, value, text = np.concatenate([index, i])[order], np.concatenate([value, v])[order], np.concatenate([text, t])[order]
-        first = np.searchsorted(text, np.arange(len(offsets)))
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            yield index[a:b].astype(np.int32), None if value is None else value[a:b].astype(np.float16)
+            values.append(value.astype(np.float16))
+        indices.append(index.astype(np.int32))
+        firsts.append(done + np.searchsorted(text, np.arange(1, len(offsets))))
+        done += len(index)
+    return np.concatenate(indices), np.concatenate(values) if features.shapes else None, np.concatenate(firsts)
 
 
 def fit(features: Features, ftrl: Ftrl, column: pa.Array, labels: np.ndarray, slope: Callable[[float, int], float], start: float | None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -126,12 +131,14 @@ def fit(features: Features, ftrl: Ftrl, column: pa.Array, labels: np.ndarray, sl
     size = 1 << features.bits
     z, n = np.zeros(size), np.zeros(size)
     bias, bias_n = start or 0.0, 1.0
-    rows = list(documents(features, column))
+    indices, values, first = documents(features, column)
+    spans = list(zip(first[:-1].tolist(), first[1:].tolist(), labels.tolist(), strict=True))
     for _ in range(ftrl.epochs):
-        for (index, value), label in zip(rows, labels, strict=True):
+        for low, high, label in spans:
+            index, value = indices[low:high], None if values is None else values[low:high]
             zi, root = z[index], np.sqrt(n[index])
             w = np.where(np.abs(zi) <= ftrl.l1, 0.0, (np.sign(zi) * ftrl.l1 - zi) / ((ftrl.beta + root) / ftrl.alpha + ftrl.l2))
-            g = slope(bias + float(w.sum() if value is None else w @ value), int(label))
+            g = slope(bias + float(w.sum() if value is None else w @ value), label)
             step = g if value is None else g * value
             ni = n[index] + step * step
             z[index] = zi + step - (np.sqrt(ni) - root) / ftrl.alpha * w
@@ -177,6 +184,8 @@ def fit_shards(sample: DataFrame, rows: int, per_shard: int, learn: Callable[[pa
         texts, labels = group["text"].combine_chunks(), group["label"].to_numpy()
         del group
         found = learn(texts, labels)
+        del texts
+        pa.default_memory_pool().release_unused()
         return pa.table({"index": pa.array(list(found), pa.int64()), "weight": pa.array(list(found.values()), pa.float64())})
 
     at = sample.select("doc_id", "text", "label", F.xxhash64(F.lit("order"), "doc_id").alias("at"))

@@ -202,7 +202,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                     heavies[-1] = t.view(np.int64).tolist()
                     key = wk.mix(t[i] * wk._PLACE[50] + t[j] * wk._PLACE[51]).view(np.int64)
                     combos[-1] = [{"c": c, "p1": a, "p2": b} for c, a, b in zip(key.tolist(), (i + len(single)).tolist(), (j + len(single)).tolist(), strict=True)]
-                if held >= 2_000_000:
+                if held >= 500_000:
                     yield blobs(found)
                     found, held = [], 0
             k = len(nodes)
@@ -425,7 +425,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     times = rows.where("n > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("__times")).select(F.col("doc_id").alias("__id2"), F.col("node").alias("__node2"), "__times")
     chosen = chosen.join(times, chosen["__id"].eqNullSafe(times["__id2"]) & (chosen["__node"] == times["__node2"])).select("__id", "__node", "__times")
     marked = with_sets(docs)
-    kept = marked.where("__n > 0").join(chosen, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__node"] == chosen["__node"]), "inner").select(*[marked[c] for c in names], marked["__node"], "__times")
-    once = kept.where("__times = 1").select(*names)
-    repeated = kept.where("__times > 1").dropDuplicates(["doc_id", "__node"]).select(*names)
-    return once.unionByName(repeated).unionByName(marked.where("__n = 0").select(*names))
+    found = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__node"] == chosen["__node"]), "left")
+    kept = stored(found.where((F.col("__n") == 0) | F.col("__times").isNotNull()).select(*[marked[c] for c in names], marked["__node"].alias("__key"), F.when(F.col("__n") > 0, F.col("__times")).alias("__times")), "kept")
+    once = kept.where("__times is null or __times = 1").select(*names)
+    return once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__key"]).select(*names))
