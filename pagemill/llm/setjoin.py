@@ -388,11 +388,11 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS)
 
 
 def classes_with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """(node, first_id, component_id): each class's smallest doc_id and that of its component."""
+    """(node, first_id, component, component_id): each class's smallest doc_id, its component's node and smallest doc_id."""
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     labelled = classes.join(components, "node", "left")
     least = labelled.where("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return labelled.join(least, "component", "left").select("node", "first_id", F.coalesce("component_id", "first_id").alias("component_id"))
+    return labelled.join(least, "component", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,11 +417,14 @@ def with_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id; rows without words all stay."""
+    """Pipeline stage: of each component the row with the smallest doc_id, null if there is no other; rows without words all stay.
+
+    A component is known by its node: texts that don't link stay, whether their ids are null or the same.
+    """
     names = docs.columns
     rows, _, components = jaccard_links(docs)
     classes = classes_with_components(rows, components)
-    chosen = classes.where("first_id <=> component_id").groupBy("component_id").agg(F.min("node").alias("__node")).select(F.col("component_id").alias("__id"), "__node")
+    chosen = classes.where("first_id <=> component_id").groupBy("component").agg(F.min("node").alias("__node"), F.min("first_id").alias("__id")).select("__id", "__node")
     times = rows.where("n > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("__times")).select(F.col("doc_id").alias("__id2"), F.col("node").alias("__node2"), "__times")
     chosen = chosen.join(times, chosen["__id"].eqNullSafe(times["__id2"]) & (chosen["__node"] == times["__node2"])).select("__id", "__node", "__times")
     marked = with_sets(docs)

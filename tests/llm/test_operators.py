@@ -360,6 +360,16 @@ def test_keep_one_of_each(spark):
     assert setjoin.keep_one_of_each(spark, docs.limit(0), "").columns == docs.columns
 
 
+def test_keep_one_of_each_component_node(spark):
+    """Texts that don't link stay, though their ids are null or the same."""
+    rnd = random.Random(18)
+    a, b, c, d, e = (prose(rnd, 100) for _ in range(5))
+    texts = [(None, a), (None, b), (None, b + " tail"), (4, c), (4, d), (4, d), (6, e), (6, e + " tail"), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    got = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in setjoin.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (4, c), (4, d), (6, e)], key=str)
+
+
 def test_signatures_bound():
     rng = np.random.default_rng(9)
     for n, m, common in ((30, 40, 20), (600, 700, 500), (5, 5, 0)):
