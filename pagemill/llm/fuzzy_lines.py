@@ -4,7 +4,7 @@ A line is normalised to its lower-case words (ASCII digits all become 0) with on
 fewer than ``min_words`` words are left alone.  Two different normalised lines link when their 64-bit
 SimHashes of words differ in at most 3 bits and their edit distance is at most a fifth of the longer
 one's length.  Of all occurrences of a connected group of lines, the one with the smallest
-(doc_id, line number) stays.
+(doc_id, line number, text hash) stays.
 
 1. One pass over the texts emits a row of numbers for each line; equal normalised lines are one class.
 2. Hashes within 3 bits agree in two of five blocks, so every class has ten keys.  Counters of fixed size
@@ -18,7 +18,8 @@ one's length.  Of all occurrences of a connected group of lines, the one with th
 
 A class is known by the 64-bit hash of its normalised line.  Defined results: null and empty texts have
 no lines to remove and stay as they are; equal lines of one document count like those of two; rows with
-equal id and equal text keep the same lines; texts and lines count whole; an empty table gives no rows.
+equal id and equal text keep the same lines, while a null or repeated id with several texts is several
+documents, told apart by a 64-bit hash of the whole text; texts and lines count whole; an empty table gives no rows.
 Columns named like an output are replaced.
 """
 
@@ -74,19 +75,20 @@ def _gather(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, node, hash): a row for each line of enough words; lines count from 0."""
+    """(doc_id, text_hash, line, node, hash): a row for each line of enough words; lines count from 0."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in wk.slices(batch.column(1)):
+            for lo, hi, buf, offsets in wk.slices(batch.column(2)):
                 words, low, high, text, number, node = lines_of(buf, offsets, min_words)
                 if len(node):
                     taken, first = _gather(low, high)
                     hashes = sh.simhashes(words.hashes()[taken], first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(node), pa.array(hashes.view(np.int64))], names=["doc_id", "line", "node", "hash"])
+                    owner = [batch.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in range(2)]
+                    yield pa.RecordBatch.from_arrays([*owner, pa.array(number.astype(np.int32)), pa.array(node), pa.array(hashes.view(np.int64))], names=["doc_id", "text_hash", "line", "node", "hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, node long, hash long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, line int, node long, hash long")
 
 
 def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
@@ -272,7 +274,7 @@ def _near(x: str, y: str):
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
-    """(lines, components): lines (doc_id, line, node, hash); components (node, component) of linked classes."""
+    """(lines, components): lines (doc_id, text_hash, line, node, hash); components (node, component) of linked classes."""
     lines = stored(line_table(docs, min_words), "lines")
     classes = stored(lines.groupBy("node").agg(F.min("hash").alias("hash")), "line-classes")
     n = classes.count()
@@ -309,21 +311,22 @@ def _more(components: DataFrame, candidates: DataFrame, texts: DataFrame) -> Dat
 
 
 def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
-    """(doc_id, removed): for documents that lose lines, the sorted numbers of those."""
-    place = F.struct("doc_id", "line")
+    """(doc_id, text_hash, removed): for documents that lose lines, the sorted numbers of those."""
+    place = F.struct("doc_id", "line", "text_hash")
     classes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     group = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = group.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     losing = group.select("node", "component").join(kept, "component").select("node", "kept")
     gone = lines.join(losing, "node").where(~place.eqNullSafe(F.col("kept")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``removed`` (line numbers from 0) and ``deduped``, the text without those lines."""
     docs = docs.drop("removed", "deduped")
-    gone = removed_lines(*line_groups(docs, min_words)).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    gone = removed_lines(*line_groups(docs, min_words)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
+    joined = docs.join(gone, same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     keys = F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True)))
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: F.try_element_at(keys, i).isNull()), "\n")
     return joined.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest))

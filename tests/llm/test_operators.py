@@ -462,6 +462,19 @@ def test_fuzzy_lines(spark, crowd, monkeypatch):
 
 # --- pipeline
 
+def test_fuzzy_lines_of_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, but not a text don't lose each other's lines."""
+    rnd = random.Random(12)
+    a, b, c, d, e, f = (" ".join("".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(8)) for _ in range(6))
+    texts = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (5, f"{e}\n{a}"), (5, f"{f}\nx{c}x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    got = {(r["doc_id"], r["text"]): (list(r["removed"]), r["deduped"]) for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert len(got) == len(texts)
+    assert got[(None, f"{c}\n{d}")] == ([], f"{c}\n{d}") and got[(5, f"{f}\nx{c}x")] == ([], f"{f}\nx{c}x")
+    assert got[(None, f"{b}\n{a}")] == ([], f"{b}\n{a}")  # null comes first: this occurrence stays
+    assert got[(1, a)] == ([0], "") and got[(5, f"{e}\n{a}")] == ([1], e)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
