@@ -1,13 +1,15 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence for each group.
 
 A line is normalised to its lower-case words (ASCII digits all become 0) with one space between.  Lines of
-fewer than ``min_words`` words are left alone.  Two different normalised lines link when their 64-bit
-SimHashes of words differ in at most 3 bits and their edit distance is at most a fifth of the longer
-one's length.  Of all occurrences of a connected group of lines, the one with the smallest
+fewer than ``min_words`` words are left alone.  Two different normalised lines link when their edit distance
+is at most a fifth of the longer one's length and they are candidates: their 64-bit SimHashes of words differ
+in at most 3 bits or, if ``wide``, in at most 14 and one of their ten MinHash keys of words is the same.  The
+query is wide and takes lines of any words.  Of all occurrences of a connected group of lines, the one with the smallest
 (doc_id, line number, text hash) stays.
 
 1. One pass over the texts emits a row of numbers for each line; equal normalised lines are one class.
-2. Hashes within 3 bits agree in two of five blocks, so every class has ten keys.  Counters of fixed size
+2. Hashes within 3 bits agree in two of five blocks, so every class has ten keys; wide ones are ten bands of four
+   minima, where a pair with a share s of common words meets with probability 1 - (1 - s^4)^10.  Counters of fixed size
    tell the keys that may have more than CROWD classes from the others.  Ordinary keys travel in numpy
    blobs by key range, and the hashes of a group are compared inside the task.  Of the pairs found, a task
    first gives a spanning forest; crowded keys stay rows, and give stars.
@@ -49,6 +51,7 @@ _NOT_NEWLINE = wk._table(b"\n")
 _FOLD = np.array([48 if 48 <= b <= 57 else wk.LOWER[b] for b in range(256)], dtype=np.uint8)
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("hash", "<u8")])
 LABELLED = np.dtype([*POSTING.descr, ("label", "<i8")])
+KEYS = [f"keys{i}" for i in range(sh.BANDS // 2)]
 
 
 def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,21 +77,45 @@ def _gather(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(low - first[:-1], n) + np.arange(int(first[-1])), first
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, line, node, hash): a row for each line of enough words; lines count from 0."""
+def line_table(docs: DataFrame, min_words: int, wide: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line, node, hash): a row for each line of enough words; lines count from 0.
+
+    ``wide`` adds KEYS, two 32-bit keys in each, null where the task has met the class before.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "line", "node", "hash", *KEYS * wide]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, offsets in wk.slices(batch.column(2)):
                 words, low, high, text, number, node = lines_of(buf, offsets, min_words)
                 if len(node):
                     taken, first = _gather(low, high)
                     hashes = sh.simhashes(words.hashes()[taken], first)
+                    keys = []
+                    if wide:
+                        met = np.array([x in seen or seen.add(x) is not None for x in node.tolist()])
+                        found = np.zeros((len(node), sh.BANDS), dtype=np.uint32)
+                        fresh, begin = _gather(low[~met], high[~met])
+                        found[~met] = sh.band_keys(words.hashes()[fresh], begin)
+                        keys = [pa.array(k, mask=met) for k in np.ascontiguousarray(found.view(np.int64).T)]
                     owner = [batch.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in range(2)]
-                    yield pa.RecordBatch.from_arrays([*owner, pa.array(number.astype(np.int32)), pa.array(node), pa.array(hashes.view(np.int64))], names=["doc_id", "text_hash", "line", "node", "hash"])
+                    yield pa.RecordBatch.from_arrays([*owner, pa.array(number.astype(np.int32)), pa.array(node), pa.array(hashes.view(np.int64)), *keys], names=names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, line int, node long, hash long" + "".join(f", {k} long" for k in KEYS * wide))
+
+
+def _wide(classes: DataFrame) -> list[str]:
+    return [k for k in KEYS if k in classes.columns]
+
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, line int, node long, hash long")
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of ten keys for each class: of its MinHash if the batch has KEYS, else of its SimHash."""
+    if KEYS[0] not in batch.schema.names:
+        return wk.mix(sh.keys(batch["hash"].to_numpy().view(np.uint64)))
+    packed = np.stack([batch[k].to_numpy() for k in KEYS], axis=1).view(np.uint32)
+    return wk.mix(packed.astype(np.uint64) | np.arange(sh.BANDS, dtype=np.uint64) << _U(32))
 
 
 def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
@@ -97,7 +124,7 @@ def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(counters, dtype=np.uint32)
         for batch in batches:
-            key = wk.mix(sh.keys(batch.column(0).to_numpy().view(np.uint64)).ravel())
+            key = _keys(batch).ravel()
             counts += np.bincount((key & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
         small = counts.astype(np.uint8) if counts.max() < 256 else counts
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.split(small, parts)], pa.binary())], names=["part", "counts"])
@@ -110,7 +137,7 @@ def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
         return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(counters, dtype=np.uint64)
-    for row in classes.select("hash").mapInArrow(tally, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # ``counters`` numbers in all
+    for row in classes.select("hash", *_wide(classes)).mapInArrow(tally, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # ``counters`` numbers in all
         out[row["part"] * (counters // parts) : (row["part"] + 1) * (counters // parts)] = np.frombuffer(row["counts"], dtype=np.uint64)
     mean = float(out.sum()) / counters
     return out > mean + 8 * mean**0.5 + CROWD
@@ -126,11 +153,11 @@ def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int, labelled: bo
         hot = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             hashes = batch.column(1).to_numpy().view(np.uint64)
-            key = wk.mix(sh.keys(hashes))
+            key = _keys(batch)
             rows = np.empty(key.size, dtype=kind)
             rows["key"], rows["node"], rows["hash"] = key.ravel(), np.repeat(batch.column(0).to_numpy(), key.shape[1]), np.repeat(hashes, key.shape[1])
             if labelled:
-                rows["label"] = np.repeat(batch.column(2).to_numpy(), key.shape[1])
+                rows["label"] = np.repeat(batch["label"].to_numpy(), key.shape[1])
             many = hot[(rows["key"] & _U(len(hot) - 1)).astype(np.int64)]
             few, more = rows[~many], rows[many]
             at = ((few["key"] >> _U(32)) * _U(ranges)) >> _U(32)
@@ -145,11 +172,11 @@ def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int, labelled: bo
                 k = len(more)
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *[pa.array(np.ascontiguousarray(more[f]).view(np.int64)) for f in ("key", "node", "hash")]], names=names)
 
-    return classes.select("node", "hash", *["label"] * labelled).mapInArrow(run, "range int, postings binary, key long, node long, hash long")
+    return classes.select("node", "hash", *_wide(classes), *["label"] * labelled).mapInArrow(run, "range int, postings binary, key long, node long, hash long")
 
 
-def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (x, y) of hashes within DISTANCE under one key; some megabytes at a time, whatever a group's size."""
+def _near_pairs(rows: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (x, y) of hashes within ``bits`` under one key; some megabytes at a time, whatever a group's size."""
     order = np.argsort(rows["key"], kind="stable")
     key, hashes = rows["key"][order], rows["hash"][order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -161,16 +188,16 @@ def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(begin), step):
             part = begin[k : k + step, None]
             x, y = (part + i).ravel(), (part + j).ravel()
-            near = np.bitwise_count(hashes[x] ^ hashes[y]) <= sh.DISTANCE
+            near = np.bitwise_count(hashes[x] ^ hashes[y]) <= bits
             yield order[x[near]], order[y[near]]
     for a, z in zip(edge[:-1][size > 64].tolist(), edge[1:][size > 64].tolist(), strict=True):
         for x in range(a, z - 1):
-            near = np.flatnonzero(np.bitwise_count(hashes[x + 1 : z] ^ hashes[x]) <= sh.DISTANCE) + x + 1
+            near = np.flatnonzero(np.bitwise_count(hashes[x + 1 : z] ^ hashes[x]) <= bits) + x + 1
             if len(near):
                 yield np.full(len(near), order[x]), order[near]
 
 
-def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
+def _pairs_of_ranges(postings: DataFrame, bits: int, labelled: bool = False) -> DataFrame:
     """(a, b) of classes with a common ordinary key and near hashes: of each range a spanning forest, or, with labels, all pairs across labels."""
     kind = LABELLED if labelled else POSTING
 
@@ -185,7 +212,7 @@ def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for x, y in _near_pairs(rows):
+        for x, y in _near_pairs(rows, bits):
             if labelled:
                 apart = rows["label"][x] != rows["label"][y]
                 found.append(np.unique(np.sort(np.stack([at[x[apart]], at[y[apart]]], axis=1), axis=1), axis=0))
@@ -269,19 +296,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(close, "a long, b long")
 
 
-def _near(x: str, y: str):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= sh.DISTANCE
+def _near(x: str, y: str, bits: int):
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COUNTERS, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines, components): lines (doc_id, text_hash, line, node, hash); components (node, component) of linked classes."""
-    lines = stored(line_table(docs, min_words), "lines")
-    classes = stored(lines.groupBy("node").agg(F.min("hash").alias("hash")), "line-classes")
+    bits = sh.WIDE if wide else sh.DISTANCE
+    lines = stored(line_table(docs, min_words, wide), "lines")
+    classes = stored(lines.groupBy("node").agg(*[F.min(c).alias(c) for c in ("hash", *KEYS * wide)]), "line-classes")
     n = classes.count()
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(sh.PAIRS) // 2_000_000 + 1)
     crowded = _crowded(classes, counters)
     postings = stored(_postings(classes, crowded, ranges), "line-keys")
-    pairs = stored(_pairs_of_ranges(postings), "line-pairs")
+    pairs = stored(_pairs_of_ranges(postings, bits), "line-pairs")
     crowd = postings.where("key is not null").select("key", "node", "hash")
     crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "node", "hash")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -289,7 +317,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COU
     texts = stored(_texts_of(docs, wanted, min_words), "line-texts")
     components = connected_components(stored(_verified(pairs, texts), "line-links"))
     label = classes.join(paired, "node", "left_semi").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), labelled=True), texts)
+    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), bits, labelled=True), texts)
     for turn in range(STAR_ROUNDS + 1):
         label = crowd.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -301,7 +329,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COU
             other = rows.join(hub, "key").select("key", "node", "hash", "label", F.col("hub.node").alias("node_"), F.col("hub.hash").alias("hash_"), F.col("hub.label").alias("label_"))
         else:
             other = rows.join(rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "hash", "label")]), "key").where(F.col("node") < F.col("node_"))
-        apart = other.where((F.col("label") != F.col("label_")) & _near("hash", "hash_"))
+        apart = other.where((F.col("label") != F.col("label_")) & _near("hash", "hash_", bits))
         components = _more(components, apart.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), texts)
     return lines, components
 
@@ -321,10 +349,10 @@ def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, wide: bool = False) -> DataFrame:
     """``docs`` with ``removed`` (line numbers from 0) and ``deduped``, the text without those lines."""
     docs = docs.drop("removed", "deduped")
-    gone = removed_lines(*line_groups(docs, min_words)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
+    gone = removed_lines(*line_groups(docs, min_words, wide=wide)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
     joined = docs.join(gone, same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     keys = F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True)))
@@ -333,5 +361,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, wide=True)
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("deduped", 256).alias("deduped_sha256"))

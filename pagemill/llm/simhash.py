@@ -1,4 +1,4 @@
-"""SimHash of hashed words, and the pigeonhole keys under which near hashes meet."""
+"""SimHash of hashed words, the pigeonhole keys under which near hashes meet, and MinHash keys for looser ones."""
 
 from __future__ import annotations
 
@@ -40,3 +40,22 @@ def keys(hashes: np.ndarray) -> np.ndarray:
     shift = np.cumsum((0, *BLOCKS[:-1]))
     block = [(hashes >> _U(s)) & _U((1 << w) - 1) for s, w in zip(shift.tolist(), BLOCKS, strict=True)]
     return np.stack([(_U(p) << _U(26)) | (block[i] << _U(13)) | block[j] for p, (i, j) in enumerate(PAIRS)], axis=1)
+
+
+#: MinHash bands and the minima of each; hashes of one key are compared up to WIDE bits.
+BANDS, ROWS = 10, 4
+WIDE = 14
+_ODD = np.random.default_rng(64).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * _U(2) + _U(1)
+
+
+def band_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of BANDS 32-bit keys for each text of words[first[i]:first[i+1]], none empty: texts with most words in common share one."""
+    out = np.zeros((len(first) - 1, BANDS), dtype=np.uint32)
+    if len(out):
+        for band in range(BANDS):
+            key = np.zeros(len(out), dtype=np.uint64)
+            for odd in _ODD[band]:
+                low = np.minimum.reduceat(words * odd, first[:-1])
+                key = (key ^ (low >> _U(29)) ^ low) * _U(0x9E3779B97F4A7C15)
+            out[:, band] = key >> _U(32)
+    return out

@@ -460,6 +460,29 @@ def test_fuzzy_lines(spark, crowd, monkeypatch):
     assert fuzzy_lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 4096])
+def test_fuzzy_lines_recall(spark, crowd, monkeypatch, tmp_path):
+    """The query's links against edit similarity alone, and copies of lines of one and two words."""
+    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
+    texts = []
+    for i in range(150):
+        words = [word() for _ in range(rnd.randint(8, 40))]
+        texts.append(" ".join(words))
+        words[rnd.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    close = [5 * plain_distance(a, b) <= max(len(a), len(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    short = ["Note", "note.", "two words", "Two Words", "one"]
+    documents(spark, texts + short).write.parquet(str(tmp_path / "documents.parquet"))
+    gone = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.op6_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert not any(gone[i] for i in range(0, len(texts), 2))
+    found = [gone[i] == 1 for i in range(1, len(texts), 2)]
+    assert not any(f and not c for f, c in zip(found, close, strict=True))
+    assert sum(found) >= 0.9 * sum(close)
+    assert [gone[len(texts) + i] for i in range(5)] == [0, 1, 0, 1, 0]
+
+
 # --- pipeline
 
 def test_fuzzy_lines_of_null_and_repeated_ids(spark):
