@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"\p{javaWhitespace}"
+#: The characters of ``Character.isWhitespace``.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(rf"[^{SPACE}]")
+    return F.ltrim(F.coalesce(text, F.lit("")), F.lit(SPACE)) == ""
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -27,9 +28,9 @@ def matches(text: Column, pattern: str) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines ended by \\n, \\r or \\r\\n; a line end at the very end starts no further line."""
-    lines = F.split(text, "\r\n|\r|\n")
-    trimmed = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(trimmed)
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
+    inner = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
 
 
 def slug(name: Column) -> Column:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from pagemill.operators import checks, context, fusion
 
 
-def prompts(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.45, candidates: int = 20, max_chunks: int = 10, max_chars: int = 12_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prompts(
+    queries: DataFrame, index: DataFrame, chunks: DataFrame,
+    k: int = 5, min_score: float = 0.45, candidates: int = 20, max_chunks: int = 10, max_chars: int = 12_000,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(status, sources, prompts).  queries: (query_id, question, reply, q_vec, t_vec)."""
     gated = checks.rewrite_gate(queries)
-    hits = fusion.fusion_search(gated.where("search_text is not null"), index, k, candidates)
+    hits = fusion.fusion_search(gated.where("search_text is not null"), index, k, candidates).select("query_id", "rank", "id", "score")
     status = checks.answer_status(gated, hits, min_score)
-    asked = hits.join(status.where("status = 'ask'").select("query_id"), "query_id", "left_semi")
-    sources = context.expand_siblings(asked, chunks, max_chunks, max_chars).join(chunks.select("id", "text", "page", "printed_page"), "id")
-    asked_queries = gated.join(status.where("status = 'ask'").select("query_id"), "query_id", "left_semi")
-    return status, sources, context.build_prompt(sources, asked_queries)
+    asked = status.where("status = 'ask'").select("query_id")
+    found = context.expand_siblings(hits.join(asked, "query_id", "left_semi"), chunks, max_chunks, max_chars)
+    sources = found.join(chunks.select("id", "text", "page", "printed_page"), "id")
+    return status, sources, context.build_prompt(sources, gated.join(asked, "query_id", "left_semi"))
 
 
 def problems_of(answers: DataFrame, sources: DataFrame, reference: str, forbidden: str, label: str) -> DataFrame:

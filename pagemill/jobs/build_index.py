@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from pagemill.operators import chunking, cleaning, index, lines
 
 
-def chunks_of(pages: DataFrame, sections: DataFrame, max_chars: int, rules: chunking.HeadingRules, page_offset: int = 0, line_patterns: list[str] | None = None, skipped: list[int] | None = None) -> DataFrame:
-    """Pages (source, page, id, text, printed_page) cleaned, cut into sections and chunked."""
-    cleaned = cleaning.clean(pages, [lambda p: cleaning.extract_printed_page(p, page_offset), lambda p: cleaning.clean_line_patterns(p, line_patterns or []), cleaning.clean_hyphenation, cleaning.clean_whitespace])
-    placed = lines.assign_sections(cleaned, sections, skipped)
-    rows = lines.to_lines(placed)
-    return chunking.process(rows.join(sections.select("section", "strategy"), "section"), max_chars, rules)
+def chunks_of(
+    pages: DataFrame, sections: DataFrame, max_chars: int, rules: chunking.HeadingRules,
+    page_offset: int = 0, line_patterns: list[str] | None = None, skipped: list[int] | None = None,
+) -> DataFrame:
+    """Pages (source, page, id, text, printed_page) cleaned, cut into sections and chunked.
+
+    sections: (section, first_page, last_page, strategy, section_no).
+    """
+    cleaned = cleaning.clean(pages, [
+        partial(cleaning.extract_printed_page, offset=page_offset),
+        partial(cleaning.clean_line_patterns, patterns=line_patterns or []),
+        cleaning.clean_hyphenation,
+        cleaning.clean_whitespace,
+    ])
+    rows = lines.to_lines(lines.assign_sections(cleaned, sections, skipped))
+    return chunking.process(rows, sections, max_chars, rules)
 
 
 def build(chunks: DataFrame, old_index: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions.text import strip
 from pagemill.operators.fusion import best_score
+from pagemill.operators.sizes import if_few
 
 #: A rewriter's reply for a question that is off the topic, and what is ignored around it.
 NOTHING, IGNORED = "keine", '.!"„“'
@@ -33,7 +34,7 @@ def select_terms(replies: DataFrame, vocabulary: DataFrame, max_terms: int, broa
     vocabulary: (pos, term); of terms that differ in case alone the last counts.
     """
     terms = vocabulary.groupBy(F.lower("term").alias("key")).agg(F.max_by("term", "pos").alias("term"))
-    terms = F.broadcast(terms) if vocabulary.limit(broadcast_terms + 1).count() <= broadcast_terms else terms
+    terms = if_few(terms, broadcast_terms)
     parts = replies.select("query_id", F.posexplode(F.split("reply", "[,;\n]")).alias("i", "part"))
     parts = parts.withColumn("key", F.lower(strip(F.regexp_replace(strip(F.col("part")), TERM_ENDS, ""))))
     first = parts.join(terms, "key").groupBy("query_id", "term").agg(F.min("i").alias("i"))
@@ -60,7 +61,7 @@ def answer_status(queries: DataFrame, hits: DataFrame, min_score: float) -> Data
 
 def extract_citations(answers: DataFrame, pattern: str) -> DataFrame:
     """(answer_id, cit_no, quote, reference, cited): matches of ``pattern`` (group 1: the number) with the ``[n]`` after them."""
-    whole = rf"{pattern}(?:\s*(?:\[\d+\])+)?"
+    whole = rf"(?:{pattern})(?:\s*(?:\[\d+\])+)?"
     found = answers.select("answer_id", F.posexplode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("cit_no", "quote"))
     numbers = F.regexp_extract_all(F.regexp_extract("quote", r"((?:\[\d+\])+)\z", 1), F.lit(r"\[(\d+)\]"), F.lit(1))
     cited = F.filter(F.transform(numbers, lambda n: n.try_cast("int")), lambda n: n.isNotNull())
@@ -116,9 +117,20 @@ def correction_prompts(problems: DataFrame, template: str) -> DataFrame:
 
 
 def final_answers(first: DataFrame, first_problems: DataFrame, second: DataFrame, second_problems: DataFrame) -> DataFrame:
-    """(answer_id, text, problems, first_attempt_problems, corrected): the second answer where the first had problems."""
-    joined = first.join(first_problems.withColumnRenamed("problems", "p1"), "answer_id", "left").join(second.select("answer_id", F.col("text").alias("text2")), "answer_id", "left").join(second_problems.withColumnRenamed("problems", "p2"), "answer_id", "left")
+    """(answer_id, text, problems, first_attempt_problems, corrected, clean).
+
+    The second answer counts wherever the first had problems and there is a second one.  ``corrected``
+    says that an answer was asked for again, whatever it still holds; ``clean`` that no problem is left.
+    """
+    joined = first.join(first_problems.withColumnRenamed("problems", "p1"), "answer_id", "left")
+    joined = joined.join(second.select("answer_id", F.col("text").alias("text2")), "answer_id", "left")
+    joined = joined.join(second_problems.withColumnRenamed("problems", "p2"), "answer_id", "left")
     none = F.array().cast("array<string>")
-    bad = F.size(F.coalesce("p1", none)) > 0
+    before, after = F.coalesce("p1", none), F.coalesce("p2", none)
+    bad = F.size(before) > 0
     retried = bad & F.col("text2").isNotNull()
-    return joined.select("answer_id", F.when(retried, F.col("text2")).otherwise(F.col("text")).alias("text"), F.when(retried, F.coalesce("p2", none)).otherwise(F.coalesce("p1", none)).alias("problems"), F.coalesce("p1", none).alias("first_attempt_problems"), (retried & (F.size(F.coalesce("p2", none)) == 0)).alias("corrected"))
+    problems = F.when(retried, after).otherwise(before)
+    return joined.select(
+        "answer_id", F.when(retried, F.col("text2")).otherwise(F.col("text")).alias("text"), problems.alias("problems"),
+        before.alias("first_attempt_problems"), bad.alias("corrected"), (F.size(problems) == 0).alias("clean"),
+    )

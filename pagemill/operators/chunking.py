@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.text import is_blank, matches, slug
+from pagemill.operators.sizes import if_few
 
 KEYS = ["source", "section"]
 #: A part may end early before a line that begins like this.
 BREAKS_BEFORE = r"(\(\d+\)|•|»|Ausnahme|Strafe für).*"
 #: How headings are joined.
 ARROW = " › "
+#: What ends a sentence, and how a term and a heading begin.
 SENTENCE_END = r"(?s).*[.)“”!?]"
 CAPITAL = r"(?s)[\p{Lu}„].*"
 
@@ -60,6 +62,7 @@ class HeadingRules:
     marker_max_line: int = 10
 
 
+#: Fixed value: a numbered heading.
 HEADING = r"(\d{1,2})\.(\d{1,2})([a-z])?\s+[\p{Lu}„].*"
 
 
@@ -73,26 +76,29 @@ def segments_by_headings(lines: DataFrame, rules: HeadingRules) -> DataFrame:
     letter = F.regexp_extract("text", HEADING, 3)
     is_heading = matches(F.col("text"), HEADING)
     is_marker = (F.col("text") == rules.marker) & (F.col("line_idx") < rules.marker_max_line)
-    events = lines.where(is_heading | is_marker).select(*KEYS, "page", "line_idx", "text", is_marker.alias("marker"), major.alias("major"), minor.alias("minor"), letter.alias("letter"))
-    schema = f"{', '.join(f'{k} string' for k in KEYS)}, page int, line_idx int, e_heading string, e_number string, e_before_heading string, e_before_number string, e_marker boolean"
+    events = lines.where(is_heading | is_marker).select(
+        *KEYS, "page", "line_idx", "text", is_marker.alias("marker"), major.alias("major"), minor.alias("minor"), letter.alias("letter")
+    )
+    names = "e_heading string, e_number string, e_before_heading string, e_before_number string, e_marker boolean"
+    schema = f"{', '.join(f'{k} string' for k in KEYS)}, page int, line_idx int, {names}"
     accepted = events.groupBy(*KEYS).applyInPandas(lambda found: _fold_headings(rules, found), schema)
     joined = lines.join(accepted, [*KEYS, "page", "line_idx"], "left")
-    order, running = _order(), _order().rowsBetween(Window.unboundedPreceding, 0)
+    running = _order().rowsBetween(Window.unboundedPreceding, 0)
+    # read backwards, the last event so far is the one that closes a line's segment; at the end it is the state after the last one
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("page"), F.desc("line_idx")).rowsBetween(Window.unboundedPreceding, 0)
     event = F.col("e_before_heading").isNotNull()
-    marked = joined.withColumns({"event": event, "seg": F.sum(event.cast("long")).over(running)})
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    # a segment is named when it closes: by the next event, or at the end by the state after the last one
-    closing = {
-        "next_heading": F.first("e_before_heading", ignorenulls=True).over(ahead),
-        "next_number": F.first(F.when(event, F.struct("e_before_number")), ignorenulls=True).over(ahead)["e_before_number"],
-        "next_marker_page": F.first(F.when(event, F.struct(F.when(F.col("e_marker"), F.col("page")).alias("p"))), ignorenulls=True).over(ahead)["p"],
-        "last_heading": F.last("e_heading", ignorenulls=True).over(running),
-        "last_number": F.last(F.when(event, F.struct("e_number")), ignorenulls=True).over(running)["e_number"],
-    }
-    marked = marked.withColumns(closing)
-    heading = F.coalesce("next_heading", "last_heading", "section")
-    number = F.when(F.col("next_heading").isNotNull(), F.col("next_number")).otherwise(F.col("last_number"))
-    body = ~F.col("event") & ~F.coalesce(F.col("next_marker_page") == F.col("page"), F.lit(False))
+    closing = F.struct("e_before_heading", "e_before_number", F.when(F.col("e_marker"), F.col("page")).alias("marker_page"))
+    opening = F.struct("e_heading", "e_number")
+    marked = joined.withColumns({
+        "event": event,
+        "seg": F.sum(event.cast("long")).over(running),
+        "next": F.last(F.when(event, closing), ignorenulls=True).over(ahead),
+        "last": F.last(F.when(event, opening), ignorenulls=True).over(running),
+    })
+    closed = F.col("next").isNotNull()
+    heading = F.coalesce(F.col("next.e_before_heading"), F.col("last.e_heading"), F.col("section"))
+    number = F.when(closed, F.col("next.e_before_number")).otherwise(F.col("last.e_number"))
+    body = ~F.col("event") & ~F.coalesce(F.col("next.marker_page") == F.col("page"), F.lit(False))
     return marked.withColumns({"heading": heading, "number": number}).where(body).select(*lines.columns, "seg", "heading", "number")
 
 
@@ -137,16 +143,17 @@ def _fold_headings(rules: HeadingRules, events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
-def _pack(lengths: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Series:
-    """Part numbers of a segment's lines, packed greedily in order."""
-    return pd.Series([pack_parts(n, b, int(m)) for n, b, m in zip(lengths, breaks, limit, strict=True)])
+def _part_ends(lengths: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Series:
+    """For each segment how many of its lines lie in its first part, its first two parts, and so on."""
+    parts = (np.array(pack_parts(n, b, int(m)), dtype=np.int64) for n, b, m in zip(lengths, breaks, limit, strict=True))
+    return pd.Series([np.append(np.flatnonzero(np.diff(p)) + 1, len(p)) if len(p) else [] for p in parts])
 
 
 def pack_parts(lengths: np.ndarray, breaks: np.ndarray, limit: int) -> list[int]:
-    """A line that would pass the limit begins a part, and so does one that may, past half of it."""
+    """A line that would pass the limit with its line end begins a part, and so does one that may, past half of it."""
     parts, part, held = [], 0, 0
     for i, (length, may_break) in enumerate(zip(lengths, breaks, strict=True)):
-        if i and held and (held + length > limit or (may_break and held > limit // 2)):
+        if i and (held + length + 1 > limit or (may_break and held > limit // 2)):
             part, held = part + 1, 0
         parts.append(part)
         held += length + 1
@@ -165,13 +172,20 @@ def assemble_chunks(segments: DataFrame, max_chars: int) -> DataFrame:
     lengths = F.transform("lines", lambda x: F.length(x["text"]))
     breaks = F.transform("lines", lambda x: matches(x["text"], BREAKS_BEFORE))
     total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n + 1)
-    whole = grouped.where(total <= max_chars).withColumn("part", F.lit(0)).withColumn("body", F.col("lines"))
-    large = grouped.where(total > max_chars).withColumn("parts", F.pandas_udf(_pack, "array<int>")(lengths, breaks, F.lit(max_chars)))
-    split = large.withColumn("part", F.explode(F.array_distinct("parts"))).withColumn("body", F.filter("lines", lambda x, i: F.get("parts", i) == F.col("part")))
-    columns = [*KEYS, "seg", "part", "heading", "number", "body"]
-    chunks = whole.select(*columns).unionByName(split.select(*columns))
+    large = total > max_chars
+    # segments that fit send empty arrays
+    asked = [F.when(large, x).otherwise(F.slice(x, 1, 0)) for x in (lengths, breaks)]
+    ends = F.pandas_udf(_part_ends, "array<int>")(*asked, F.lit(max_chars))
+    known = grouped.withColumn("ends", ends).withColumn("ends", F.when(F.size("ends") == 0, F.array(F.size("lines"))).otherwise(F.col("ends")))
+    parted = known.select("*", F.posexplode("ends").alias("part", "end"))
+    start = F.coalesce(F.get("ends", F.col("part") - 1), F.lit(0))
+    chunks = parted.withColumn("body", F.slice("lines", start + 1, F.col("end") - start))
     n = F.row_number().over(Window.partitionBy(*KEYS).orderBy("seg", "part"))
-    return chunks.select(*KEYS, n.alias("n"), chunk_id(F.col("source"), F.col("section"), n).alias("id"), _chunk_text().alias("text"), "heading", "number", F.get("body", F.lit(0))["page"].alias("page"), F.get("body", F.lit(0))["printed_page"].alias("printed_page"))
+    first = F.get("body", F.lit(0))
+    return chunks.select(
+        *KEYS, n.alias("n"), chunk_id(F.col("source"), F.col("section"), n).alias("id"), _chunk_text().alias("text"),
+        "heading", "number", first["page"].alias("page"), first["printed_page"].alias("printed_page"),
+    )
 
 
 def _chunk_text() -> Column:
@@ -195,12 +209,20 @@ def chunk_by_headings(lines: DataFrame, max_chars: int, rules: HeadingRules) ->
     return assemble_chunks(segments_by_headings(lines, rules), max_chars)
 
 
-def process(lines: DataFrame, max_chars: int, rules: HeadingRules) -> DataFrame:
-    """Chunks of all sections, each by the strategy in ``strategy``: size, terms or headings."""
+def process(lines: DataFrame, sections: DataFrame, max_chars: int, rules: HeadingRules) -> DataFrame:
+    """Chunks of all sections, each by its strategy: size, terms or headings; ``pos`` numbers a source's chunks from 0.
+
+    sections: (section, strategy, section_no); chunks are in order of section_no and of their
+    place in the section.
+    """
+    known = if_few(sections.select("section", "strategy", "section_no"))
     by = {"size": segments_by_size, "terms": segments_by_terms, "headings": lambda x: segments_by_headings(x, rules)}
     columns = [*KEYS, "page", "line_idx", "text", "printed_page", "seg", "heading", "number"]
-    made = [f(lines.where(F.col("strategy") == k)).select(*columns) for k, f in by.items()]
-    return assemble_chunks(functools.reduce(DataFrame.unionByName, made), max_chars)
+    placed = lines.join(known.select("section", "strategy"), "section")
+    made = [f(placed.where(F.col("strategy") == k).drop("strategy")).select(*columns) for k, f in by.items()]
+    chunks = assemble_chunks(functools.reduce(DataFrame.unionByName, made), max_chars).join(known.select("section", "section_no"), "section")
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("section_no", "n")) - 1
+    return chunks.withColumn("pos", pos.cast("long")).drop("section_no")
 
 
 def chunk_stats(chunks: DataFrame, max_chars: int) -> DataFrame:
@@ -219,3 +241,10 @@ def section_counts(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Number of chunks of every section, 0 where there is none."""
     counts = chunks.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
     return sections.select("section").distinct().join(counts, "section", "left").select("section", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
+def page_counts(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """(source, raw_pages, clean_pages): pages with text before and after cleaning."""
+    before = raw.groupBy("source").agg(F.count(F.lit(1)).alias("raw_pages"))
+    after = cleaned.groupBy("source").agg(F.count(F.lit(1)).alias("clean_pages"))
+    return before.join(after, "source", "left").select("source", "raw_pages", F.coalesce("clean_pages", F.lit(0)).alias("clean_pages"))

@@ -1,6 +1,7 @@
 """Page cleaning.  Each cleaner is a projection and drops the pages that it leaves blank.
 
-Pages: (source, page, id, text, printed_page); other columns pass through.
+Pages: (source, page, id, text, printed_page); other columns pass through.  With ``drop_blank=False`` a
+cleaner leaves blank pages in, so that a chain of them tests for blanks once, at its end.
 """
 
 from __future__ import annotations
@@ -10,60 +11,67 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import is_blank, matches, strip
+from pagemill.functions.text import is_blank, matches, split_lines, strip
 
-Cleaner = Callable[[DataFrame], DataFrame]
-NO_BREAK_SPACE = " "
+#: cleaner(pages, drop_blank=False)
+Cleaner = Callable[..., DataFrame]
+NO_BREAK_SPACE = "\u00a0"
 #: Printed page numbers stand in the first or last lines of a page.
 EDGE_LINES = 3
 
 
-def _replace(pages: DataFrame, text: Column) -> DataFrame:
-    return pages.withColumn("text", text).where(~is_blank(F.col("text")))
+def _replace(pages: DataFrame, text: Column, drop_blank: bool) -> DataFrame:
+    if drop_blank:
+        # a filter would be pushed below the projection and evaluate the whole chain of expressions again
+        text = F.explode(F.filter(F.array(text), lambda t: ~is_blank(t)))
+    return pages.withColumn("text", text)
 
 
-def clean_whitespace(pages: DataFrame) -> DataFrame:
+def drop_blank_pages(pages: DataFrame) -> DataFrame:
+    return _replace(pages, F.col("text"), True)
+
+
+def clean_whitespace(pages: DataFrame, drop_blank: bool = True) -> DataFrame:
     """Tabs and no-break spaces become spaces, runs one space, lines are stripped, two empty lines become one."""
     text = F.regexp_replace(F.translate("text", "\t" + NO_BREAK_SPACE, "  "), " {2,}", " ")
-    text = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
-    return _replace(pages, strip(F.regexp_replace(text, "\n{3,}", "\n\n")))
+    text = F.array_join(F.transform(split_lines(text), strip), "\n")
+    return _replace(pages, strip(F.regexp_replace(text, "\n{3,}", "\n\n")), drop_blank)
 
 
-def clean_line_patterns(pages: DataFrame, patterns: list[str]) -> DataFrame:
-    """Lines that match one of the patterns as a whole, without white space around them, go."""
-    whole = "|".join(f"(?:{p})" for p in patterns)
-    lines = F.split(F.regexp_replace("text", r"\r\n|\r", "\n"), "\n")
-    kept = F.filter(lines, lambda line: ~matches(strip(line), whole))
-    return _replace(pages, F.regexp_replace(F.array_join(kept, "\n"), r"\n\z", "")) if patterns else _replace(pages, F.col("text"))
+def clean_line_patterns(pages: DataFrame, patterns: list[str], drop_blank: bool = True) -> DataFrame:
+    """Lines that match one of the patterns as a whole, without white space around them, go; line ends become \\n."""
+    whole = "|".join(f"(?:{p})" for p in patterns) or r"(?!)"
+    kept = F.filter(split_lines(F.col("text")), lambda line: ~matches(strip(line), whole))
+    return _replace(pages, F.array_join(kept, "\n"), drop_blank)
 
 
-def clean_hyphenation(pages: DataFrame, conjunctions: tuple[str, ...] = ("und", "oder")) -> DataFrame:
+def clean_hyphenation(pages: DataFrame, conjunctions: tuple[str, ...] = ("und", "oder"), drop_blank: bool = True) -> DataFrame:
     """Words broken at a line's end are joined; a hyphen before a capital or a conjunction stays."""
     end = r"-[ \t]*\n[ \t]*"
     before_word = rf"(\p{{L}}){end}((?:{'|'.join(conjunctions)})(?![A-Za-z0-9_]))"
     text = F.regexp_replace("text", before_word, "$1- $2")
     text = F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{Ll}})", "$1$2")
-    return _replace(pages, F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{L}})", "$1-$2"))
+    return _replace(pages, F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{L}})", "$1-$2"), drop_blank)
 
 
-def extract_printed_page(pages: DataFrame, offset: int) -> DataFrame:
+def extract_printed_page(pages: DataFrame, offset: int, drop_blank: bool = True) -> DataFrame:
     """The line that is page + offset goes to ``printed_page``: one near the page's edges, else the first anywhere."""
     expected = (F.col("page") + offset).cast("string")
-    lines = F.split("text", "\n")
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: strip(F.get(lines, i)) == expected)
-    edge = F.filter(places, lambda i: (i < EDGE_LINES) | (i >= F.size(lines) - EDGE_LINES))
-    place = F.coalesce(F.get(edge, F.lit(0)), F.get(places, F.lit(0)))
-    # a step of its own: beside a new ``text``, lambdas would read that one
-    placed = pages.withColumn("__place", place)
-    rest = F.array_join(F.filter(lines, lambda _, i: i != F.col("__place")), "\n")
+    # steps of their own, so that a text is split once; texts without the number aren't split at all
+    staged = pages.withColumn("__lines", F.when(F.contains("text", expected), F.split("text", "\n")))
+    numbered = F.transform("__lines", lambda line, i: F.when(strip(line) == expected, i))
+    staged = staged.withColumn("__places", F.filter(numbered, lambda i: i.isNotNull()))
+    edge = F.filter("__places", lambda i: (i < EDGE_LINES) | (i >= F.size("__lines") - EDGE_LINES))
+    staged = staged.withColumn("__place", F.coalesce(F.get(edge, F.lit(0)), F.get("__places", F.lit(0))))
+    rest = F.array_join(F.filter("__lines", lambda _, i: i != F.col("__place")), "\n")
     known = F.col("printed_page") if "printed_page" in pages.columns else F.lit(None).cast("int")
     found = F.col("__place").isNotNull()
-    marked = placed.withColumn("printed_page", F.when(found, (F.col("page") + offset).cast("int")).otherwise(known))
-    return marked.withColumn("text", F.when(found, rest).otherwise(F.col("text"))).drop("__place").where(~is_blank(F.col("text")))
+    marked = staged.withColumn("printed_page", F.when(found, expected.cast("int")).otherwise(known))
+    return _replace(marked, F.when(found, rest).otherwise(F.col("text")), drop_blank).drop("__lines", "__places", "__place")
 
 
 def clean(pages: DataFrame, cleaners: list[Cleaner]) -> DataFrame:
-    """The cleaners in order; a page that becomes blank is gone for those that follow."""
+    """The cleaners in order.  A blank page stays blank in all of them, so blank pages go once, at the end."""
     for cleaner in cleaners:
-        pages = pages.transform(cleaner)
-    return pages
+        pages = cleaner(pages, drop_blank=False)
+    return drop_blank_pages(pages)

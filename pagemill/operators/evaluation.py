@@ -17,9 +17,11 @@ OFF_TOPIC = "off_topic"
 def first_correct_rank(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """(variant, query_id, rank): the first rank up to k whose number is expected, 0 if there is none."""
     wanted = gold.where(F.col("grp") != OFF_TOPIC)
-    right = hits.where(F.col("rank") <= k).join(wanted.select("query_id", "expected"), "query_id").where(F.exists("expected", lambda e: number_matches(F.col("number"), e)))
+    near = hits.where(F.col("rank") <= k).join(wanted.select("query_id", "expected"), "query_id")
+    right = near.where(F.exists("expected", lambda e: number_matches(F.col("number"), e)))
     first = right.groupBy("variant", "query_id").agg(F.min("rank").alias("found"))
-    every = hits.select("variant").distinct().join(F.broadcast(wanted.select("query_id")), how="cross")  # variants are a handful
+    variants = [r[0] for r in hits.select("variant").distinct().collect()]  # ways to search: a handful
+    every = wanted.select("query_id", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant")) if variants else first
     return every.join(first, ["variant", "query_id"], "left").select("variant", "query_id", F.coalesce("found", F.lit(0)).alias("rank"))
 
 
@@ -73,12 +75,22 @@ def searched_text(queries: DataFrame) -> DataFrame:
 
 
 def answer_summary(finals: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row: answers, corrected ones and their ids, those with problems left, sources and their characters.
+    """One row: answers, failures, corrected ones and their ids, problems left and the answers that have them.
 
-    finals: (answer_id, problems, corrected); sources: (answer_id, text).
+    finals: (answer_id, text, problems, corrected), text null where the model failed; sources:
+    (answer_id, text).  ``corrected`` counts answers that were asked for again, whatever they still hold.
     """
-    given = sources.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    given = source_sizes(sources)
+    ids = F.sort_array(F.collect_list(F.when(F.col("corrected"), F.col("answer_id"))))
+    left = F.size(F.coalesce("problems", F.array()))
     return finals.join(given, "answer_id", "left").agg(
-        F.count(F.lit(1)).alias("answers"), F.count_if("corrected").alias("corrected"), F.sort_array(F.collect_list(F.when(F.col("corrected"), F.col("answer_id")))).alias("corrected_ids"),
-        F.count_if(F.size("problems") > 0).alias("with_problems"), F.coalesce(F.sum("n"), F.lit(0)).alias("sources"), F.coalesce(F.sum("chars"), F.lit(0)).alias("source_chars"),
+        F.count(F.lit(1)).alias("answers"), F.count_if(F.col("text").isNull()).alias("failures"),
+        F.count_if("corrected").alias("corrected"), ids.alias("corrected_ids"),
+        F.count_if(left > 0).alias("with_problems"), F.coalesce(F.sum(left), F.lit(0)).alias("problems_left"),
+        F.coalesce(F.sum("n_sources"), F.lit(0)).alias("sources"), F.coalesce(F.sum("source_chars"), F.lit(0)).alias("source_chars"),
     )
+
+
+def source_sizes(sources: DataFrame) -> DataFrame:
+    """(answer_id, n_sources, source_chars)."""
+    return sources.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("text")).alias("source_chars"))

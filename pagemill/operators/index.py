@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.operators.sizes import if_few
+from pagemill.sources.shared import new_path
+
 
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:
     """Entries of ``new`` replace those of the same id in place; others follow, in their own order."""
@@ -47,7 +50,8 @@ def retain(index: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def refresh_plan(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(id, status): reused, new, changed or removed, by one join of ids and text hashes."""
-    new = docs.select("id", F.xxhash64("text").alias("n_hash"), F.lit(True).alias("n"))
+    # a null text is the same as no other, in ``missing`` and here
+    new = docs.select("id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("n_hash"), F.lit(True).alias("n"))
     old = index.select("id", F.xxhash64("text").alias("o_hash"), F.lit(True).alias("o"))
     status = F.when(F.col("n").isNull(), "removed").when(F.col("o").isNull(), "new").when(F.col("n_hash") == F.col("o_hash"), "reused").otherwise("changed")
     return new.join(old, "id", "full").select("id", status.alias("status"))
@@ -80,8 +84,9 @@ def definition_terms(chunks: DataFrame, section: str) -> DataFrame:
 
 def first_by_number(chunks: DataFrame, numbers: DataFrame) -> DataFrame:
     """For each wanted number its first chunk; a number without one has nulls."""
-    first = chunks.join(F.broadcast(numbers.select("number").distinct()), "number", "left_semi").groupBy("number").agg(F.min_by(F.struct("pos", "id"), "pos").alias("c"))
-    return numbers.select("number").distinct().join(first, "number", "left").select("number", "c.pos", "c.id")
+    wanted = numbers.select("number").distinct()
+    first = chunks.join(if_few(wanted), "number", "left_semi").groupBy("number").agg(F.min_by(F.struct("pos", "id"), "pos").alias("c"))
+    return wanted.join(first, "number", "left").select("number", "c.pos", "c.id")
 
 
 def require_all(found: DataFrame) -> DataFrame:
@@ -91,9 +96,16 @@ def require_all(found: DataFrame) -> DataFrame:
 
 
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
-    """pos 0, 1, ... by ``order``.  Ranges are sorted in parallel; only their sizes meet."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id()})
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    """pos 0, 1, ... by ``order``.  Ranges are sorted in parallel; only their sizes meet.
+
+    The ranges are written to the shared folder first: what part a row is in must not depend on
+    how often, and with what coalescing, its shuffle is read.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    path = new_path(df.sparkSession, "positions")
+    ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).write.parquet(path)
+    local = df.sparkSession.read.parquet(path)
     sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
-    base = sizes.select("__part", (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("base"))
-    return local.join(F.broadcast(base), "__part").withColumn("pos", F.col("base") + F.col("__n")).drop("__part", "__n", "base")
+    base = sizes.select("__part", (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("base"))  # a row for each range
+    placed = local.join(F.broadcast(base), "__part").withColumn("pos", F.col("base") + F.col("__n"))
+    return placed.drop("__part", "__n", "base")

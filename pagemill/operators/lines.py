@@ -7,30 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.text import is_blank, split_lines
+from pagemill.operators.sizes import if_few
+
+#: Pages of a block in the join with many sections.
+BLOCK = 64
 
 
 def assign_sections(pages: DataFrame, sections: DataFrame, skipped: list[int] | None = None, broadcast_sections: int = 100_000) -> DataFrame:
     """A row for each section that a page lies in; pages in ``skipped`` lie in none.
 
-    sections: (section, first_page, last_page, ...), broadcast if they are few; a
-    larger table is joined by whatever plan Spark finds for the range.
+    sections: (section, first_page, last_page, ...), broadcast if they are few.  A larger table
+    meets the pages by blocks of BLOCK pages, of which a section covers a few, in an equi-join.
     """
-    few = sections.limit(broadcast_sections + 1).count() <= broadcast_sections
     kept = pages.where(~F.col("page").isin(skipped)) if skipped else pages
-    return kept.join(F.broadcast(sections) if few else sections, F.col("page").between(F.col("first_page"), F.col("last_page")))
+    inside = F.col("page").between(F.col("first_page"), F.col("last_page"))
+    few = if_few(sections, broadcast_sections)
+    if few is not sections:
+        return kept.join(few, inside)
+    block = F.floor(F.col("page") / BLOCK)
+    blocks = F.sequence(F.floor(F.col("first_page") / BLOCK), F.floor(F.col("last_page") / BLOCK))
+    spread = sections.where("first_page <= last_page").withColumn("__block", F.explode(blocks))
+    return kept.withColumn("__block", block).join(spread, "__block").where(inside).drop("__block")
 
 
 def to_lines(pages: DataFrame) -> DataFrame:
     """(source, section, page, line_idx, text, printed_page): lines in reading order.
 
     A word broken over a page's end is one line, on the earlier page.  One
-    shuffle by (source, section), which the chunkers use again.
+    shuffle by (source, section), of whole pages, which the chunkers use again.
     """
     keys = ["source", "section"]
-    rows = pages.select(*keys, "page", "printed_page", F.posexplode(split_lines(F.col("text"))).alias("line_idx", "text"))
+    rows = pages.repartition(*keys).select(*keys, "page", "printed_page", F.posexplode(split_lines(F.col("text"))).alias("line_idx", "text"))
     order = Window.partitionBy(*keys).orderBy("page", "line_idx")
     # what ends a joined line is the end of its last raw line, so raw lines decide
-    joins = (F.col("line_idx") == 0) & F.col("text").rlike(r"\A\p{Ll}") & F.lag("text").over(order).rlike(r"\p{L}-\z")
+    before = F.lag("text").over(order)
+    joins = (F.col("line_idx") == 0) & F.col("text").rlike(r"\A\p{Ll}") & before.endswith("-") & before.rlike(r"\p{L}-\z")
     marked = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
     marked = marked.withColumn("line", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = marked.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.struct("page", "line_idx", "printed_page", "text"))).alias("parts"))

@@ -1,8 +1,8 @@
 """Top-k search by cosine similarity, for many queries at once.
 
-Queries travel to the index in blocks of fixed size.  Each task multiplies its part of the index with a
-block and keeps the best k of each query; a window then merges the tasks' bests, so the shuffle has
-k rows for each query and task and never all pairs.
+Query vectors travel to the index in groups of bounded size.  Each task multiplies its part of the
+index with them, a block at a time, and keeps the best k of each query; a window then merges the
+tasks' bests, so the shuffle has k rows for each query and task and never all pairs.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.sources.shared import shared_folder
+
 #: Similarities are rounded, so that equal vectors tie whatever the order of summation.
 DIGITS = 12
+#: Queries whose scores a task holds at once.
+BLOCK_QUERIES = 256
+#: Bytes of query vectors that are broadcast at once.
+GROUP_BYTES = 128 << 20
 
 
 def with_query_prefix(queries: DataFrame, prefix: str, text: str = "question") -> DataFrame:
@@ -25,31 +31,39 @@ def with_query_prefix(queries: DataFrame, prefix: str, text: str = "question") -
     return queries.withColumn("query_text", F.concat(F.lit(prefix or ""), F.col(text)))
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, where: Column | None = None, vector: str = "q_vec", block_queries: int = 4096) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int, where: Column | None = None, vector: str = "q_vec", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, pos, id, score): the k best entries of each query among those that ``where`` admits.
 
-    Equal scores are in order of pos.  queries: (query_id, vector column); each block
-    of ``block_queries`` is one pass over the index.  Vectors without length score 0.
+    Equal scores are in order of pos; vectors without length score 0; queries without a vector have
+    no rows.  queries: (query_id, vector column).  Up to ``group_bytes`` of query vectors are one pass
+    over the index; more of them are dealt into groups by hash, and the bests of each are
+    checkpointed before the next group's vectors are read.
     """
     entries = (index.where(where) if where is not None else index).select("pos", "id", "embedding")
-    parts = [_search_block(block, entries, k) for block in _blocks(queries, vector, block_queries)]
-    best = reduce(DataFrame.unionByName, parts)
+    given = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("vec"))
+    size = given.agg(F.sum(F.size("vec") * 8 + 64)).first()[0] or 0
+    groups = int(size // group_bytes) + 1
+    parts = []
+    for g in range(groups):
+        part = given if groups == 1 else given.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        rows = part.collect()  # group_bytes at most, but for an uneven deal
+        vectors = _unit(np.array([r["vec"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
+        shared = entries.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], dtype=np.int64), vectors))
+        best = _best_of_tasks(shared, entries, k)
+        if groups > 1:
+            shared_folder(entries.sparkSession)
+            best = best.checkpoint()
+            shared.destroy()
+        parts.append(best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "pos", "id", "score")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "pos", "id", "score")
 
 
-def _blocks(queries: DataFrame, vector: str, size: int) -> list[tuple[list, np.ndarray]]:
-    """Queries are a stated set: their vectors pass the driver, a block at a time."""
-    ids, rows, blocks = [], [], []
-    for row in queries.select("query_id", vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == size:
-            blocks.append((ids, _unit(np.array(rows, dtype=np.float64))))
-            ids, rows = [], []
-    if ids or not blocks:
-        blocks.append((ids, _unit(np.array(rows, dtype=np.float64)) if rows else np.zeros((0, 0))))
-    return blocks
+def search_filters(queries: DataFrame, index: DataFrame, k: int, filters: dict[str, Column], vector: str = "q_vec") -> DataFrame:
+    """(filter_id, query_id, rank, pos, id, score): the same query vectors searched under several filters."""
+    found = [search(queries, index, k, where, vector).withColumn("filter_id", F.lit(name)) for name, where in filters.items()]
+    return reduce(DataFrame.unionByName, found).select("filter_id", "query_id", "rank", "pos", "id", "score")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -57,31 +71,48 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1, norm)
 
 
-def _search_block(block: tuple[list, np.ndarray], entries: DataFrame, k: int) -> DataFrame:
-    shared = entries.sparkSession.sparkContext.broadcast(block)
+def _top(score: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """For each row of ``score`` the places of its k best, equal scores by pos; k at most its length."""
+    if k < score.shape[1]:
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(score, near, axis=1).min(axis=1, keepdims=True)
+        # where more than k reach the k-th score, those at that score are chosen by pos
+        for row in np.flatnonzero((score >= least).sum(axis=1) > k):
+            some = np.flatnonzero(score[row] >= least[row])
+            near[row] = some[np.lexsort((pos[row, some], -score[row, some]))[:k]]
+    else:
+        near = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    order = np.lexsort((np.take_along_axis(pos, near, axis=1), -np.take_along_axis(score, near, axis=1)), axis=1)
+    return np.take_along_axis(near, order, axis=1)
+
+
+def _best_of_tasks(shared, entries: DataFrame, k: int) -> DataFrame:
     kind = entries.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), None)] * len(ids)
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue
-            pos, names, vectors = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            flat = vectors.flatten().to_numpy().astype(np.float64)
+            pos, names = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=object)
+            flat = batch.column(2).flatten().to_numpy().astype(np.float64)
             if len(flat) != len(pos) * queries.shape[1]:
                 raise ValueError("vectors differ in length")
-            scores = np.round(queries @ _unit(flat.reshape(len(pos), -1)).T, DIGITS)
-            for q in range(len(ids)):
-                row = scores[q]
-                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-                found = [(row[i], pos[i], names[int(i)].as_py()) for i in near]
-                held = list(zip(*best[q], strict=True)) if best[q][2] is not None else []
-                top = sorted(held + found, key=lambda x: (-x[0], x[1]))[:k]
-                best[q] = tuple(zip(*top, strict=True)) if top else best[q]
-        rows = [(i, p, n, s) for i, b in zip(ids, best, strict=True) if b[2] is not None for s, p, n in zip(*b, strict=True)]
-        if rows:
-            q, p, n, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(n), pa.array(s, pa.float64())], names=["query_id", "pos", "id", "score"])
+            unit = _unit(flat.reshape(len(pos), -1))
+            for at in range(0, len(ids), BLOCK_QUERIES):
+                score = np.round(queries[at : at + BLOCK_QUERIES] @ unit.T, DIGITS)
+                places = np.broadcast_to(pos, score.shape)
+                top = _top(score, places, min(k, len(pos)))
+                new = np.take_along_axis(score, top, axis=1), np.take_along_axis(places, top, axis=1), names[top]
+                if at in held:
+                    both = [np.concatenate(x, axis=1) for x in zip(held[at], new, strict=True)]
+                    top = _top(both[0], both[1], min(k, both[0].shape[1]))
+                    new = tuple(np.take_along_axis(x, top, axis=1) for x in both)
+                held[at] = new
+        for at, (score, places, found) in held.items():
+            owners = np.repeat(ids[at : at + BLOCK_QUERIES], score.shape[1])
+            columns = [pa.array(owners), pa.array(places.ravel()), pa.array(found.ravel().tolist()), pa.array(score.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pos", "id", "score"])
 
     return entries.mapInArrow(run, f"query_id long, pos long, id {kind}, score double")

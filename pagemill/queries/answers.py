@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pagemill.jobs import answer as job
 from pagemill.operators import checks, evaluation, fusion
 from pagemill.queries.base import QUERY_SQL, table, vector_index, vector_queries
-from pagemill.queries.retrieval import CANDIDATES, _fused
+from pagemill.queries.retrieval import CANDIDATES, MIN_SCORE, _fused
 
 REFERENCE = r"Regel (\d{1,2}(?:\.\d{1,2})?[a-z]?)"
 FORBIDDEN, LABEL = r"\p{L}*ätz\p{L}*|the", "old term"
 VOCABULARY = ["The", "Der", "La", "Thing", "Ereth", "Les", "Que"]
-MIN_SCORE = 0.35
 
 
 def _replies(spark, sf_dir):
@@ -43,7 +42,7 @@ def expand_query(spark, sf_dir):
 
 
 def answer_status(spark, sf_dir):
-    q = vector_queries(spark, sf_dir).select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("question"), F.when(F.col("query_id") != 4, F.lit("searched")).alias("search_text"))
+    q = vector_queries(spark, sf_dir).select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("question"), F.when(F.col("query_id") / 100 % 5 != 4, F.lit("searched")).alias("search_text"))
     hits = fusion.fusion_search(vector_queries(spark, sf_dir), vector_index(spark, sf_dir), 5, CANDIDATES)
     out = checks.answer_status(q, hits, MIN_SCORE)
     return out.select("query_id", "status", F.round("best", 6).alias("best"), "model_asked", "search_text")
@@ -100,10 +99,16 @@ def final_answers(spark, sf_dir):
 
 
 def answer_summary(spark, sf_dir):
-    return evaluation.answer_summary(final_answers(spark, sf_dir), _sources(spark, sf_dir))
+    """Every thirteenth answer failed: it has no text."""
+    finals = final_answers(spark, sf_dir).withColumn("text", F.when(F.col("answer_id") % 13 != 0, F.col("text")))
+    return evaluation.answer_summary(finals, _sources(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (rewrite_gate, select_terms, expand_query, answer_status, citations, citations_checked, citation_report, forbidden_terms, all_problems, correction_prompts, final_answers, answer_summary)}
+def source_sizes(spark, sf_dir):
+    return evaluation.source_sizes(_sources(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (rewrite_gate, select_terms, expand_query, answer_status, citations, citations_checked, citation_report, forbidden_terms, all_problems, correction_prompts, final_answers, answer_summary, source_sizes)}
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _ANSWER = _STRIP.format(x="coalesce(reply, '')")
@@ -133,16 +138,17 @@ def _cited(answers: str, name: str) -> str:
 
 _FIRST = f"WITH {_cited(_ANSWERS, 'a')}"
 _FINAL = f"""{_FIRST}, {_cited(_SECOND, "b")}, fa AS (
-  SELECT f.answer_id, CASE WHEN r THEN s.text ELSE f.text END AS text, CASE WHEN r THEN bl.problems ELSE al.problems END AS problems, al.problems AS first_attempt_problems, r AND len(bl.problems) = 0 AS corrected
+  SELECT f.answer_id, CASE WHEN r THEN s.text ELSE f.text END AS text, CASE WHEN r THEN bl.problems ELSE al.problems END AS problems, al.problems AS first_attempt_problems,
+         len(al.problems) > 0 AS corrected, len(CASE WHEN r THEN bl.problems ELSE al.problems END) = 0 AS clean
   FROM (SELECT answer_id, len(problems) > 0 AND answer_id % 6 <> 0 AS r FROM al) JOIN al USING (answer_id) JOIN {_ANSWERS} f USING (answer_id) JOIN {_SECOND} s USING (answer_id) JOIN bl USING (answer_id))"""
 
 SQL = {
     "rewrite_gate": f"SELECT query_id, CASE WHEN {_ANSWER} <> '' AND lower({_STRIP.format(x='translate(' + _ANSWER + chr(44) + chr(32) + repr(checks.IGNORED) + ', ' + chr(39) * 2 + ')')}) <> 'keine' THEN {_ANSWER} END AS search_text FROM {_REPLIES}",
     "select_terms": f"WITH {_SELECT} SELECT * FROM st",
     "expand_query": f"WITH {_SELECT} SELECT query_id, CASE WHEN count(term) = 0 THEN question ELSE question || ' (' || string_agg(term, ', ' ORDER BY n) || ')' END AS search_text FROM {_REPLIES} LEFT JOIN st USING (query_id) GROUP BY query_id, question",
-    "answer_status": f"""WITH {_fused(5)}, b AS (SELECT query_id, max(score) AS best FROM fs GROUP BY 1)
-SELECT query_id, CASE WHEN query_id = 4 THEN 'off_topic' WHEN best IS NULL OR best < {MIN_SCORE} THEN 'below_threshold' ELSE 'ask' END AS status, CASE WHEN query_id <> 4 THEN round(best, 6) END AS best,
-       query_id <> 4 AND coalesce(best >= {MIN_SCORE}, false) AS model_asked, CASE WHEN query_id <> 4 THEN 'searched' ELSE 'question 4' END AS search_text FROM {QUERY_SQL} LEFT JOIN b USING (query_id)""",
+    "answer_status": f"""WITH {_fused(5)}, b AS (SELECT query_id, max(score) AS best FROM fs GROUP BY 1), q AS (SELECT query_id, query_id // 100 % 5 = 4 AS off FROM {QUERY_SQL})
+SELECT query_id, CASE WHEN off THEN 'off_topic' WHEN best IS NULL OR best < {MIN_SCORE} THEN 'below_threshold' ELSE 'ask' END AS status, CASE WHEN NOT off THEN round(best, 6) END AS best,
+       NOT off AND coalesce(best >= {MIN_SCORE}, false) AS model_asked, CASE WHEN NOT off THEN 'searched' ELSE 'question ' || query_id END AS search_text FROM q LEFT JOIN b USING (query_id)""",
     "citations": f"{_FIRST} SELECT * FROM a",
     "citations_checked": f"{_FIRST} SELECT answer_id, cit_no, supported FROM ac",
     "citation_report": f"{_FIRST} SELECT answer_id, count(*) FILTER (WHERE supported) AS supported, count(*) FILTER (WHERE NOT supported) AS unsupported, count(*) AS checked FROM ac GROUP BY 1",
@@ -150,6 +156,9 @@ SELECT query_id, CASE WHEN query_id = 4 THEN 'off_topic' WHEN best IS NULL OR be
     "all_problems": f"{_FIRST} SELECT * FROM al",
     "correction_prompts": f"{_FIRST} SELECT answer_id, 'Please correct:' || chr(10) || '- ' || array_to_string(problems, chr(10) || '- ') || chr(10) || 'Thank you.' AS message FROM al WHERE len(problems) > 0",
     "final_answers": f"{_FINAL} SELECT * FROM fa",
-    "answer_summary": f"""{_FINAL} SELECT count(*) AS answers, count(*) FILTER (WHERE corrected) AS corrected, coalesce(list(answer_id ORDER BY answer_id) FILTER (WHERE corrected), []) AS corrected_ids, count(*) FILTER (WHERE len(problems) > 0) AS with_problems,
-       (SELECT count(*) FROM {_SOURCES}) AS sources, (SELECT CAST(sum(length(text)) AS BIGINT) FROM {_SOURCES}) AS source_chars FROM fa""",
+    "answer_summary": f"""{_FINAL}, fb AS (SELECT * REPLACE (CASE WHEN answer_id % 13 <> 0 THEN text END AS text) FROM fa)
+SELECT count(*) AS answers, count(*) - count(text) AS failures, count(*) FILTER (WHERE corrected) AS corrected, coalesce(list(answer_id ORDER BY answer_id) FILTER (WHERE corrected), []) AS corrected_ids,
+       count(*) FILTER (WHERE len(problems) > 0) AS with_problems, CAST(coalesce(sum(len(problems)), 0) AS BIGINT) AS problems_left,
+       (SELECT count(*) FROM {_SOURCES}) AS sources, (SELECT CAST(sum(length(text)) AS BIGINT) FROM {_SOURCES}) AS source_chars FROM fb""",
+    "source_sizes": f"SELECT answer_id, count(*) AS n_sources, CAST(sum(length(text)) AS BIGINT) AS source_chars FROM {_SOURCES} GROUP BY 1",
 }

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import cosine
+from pagemill.jobs import answer
 from pagemill.jobs import evaluate as job
 from pagemill.operators import context, evaluation, fusion, index, vectors
 from pagemill.queries.base import GOLD_SQL, INDEX_SQL, NOW_SQL, OLD_SQL, QUERY_SQL, doc_index, gold, table, vector_index, vector_queries
 from pagemill.sources.embedding import embed
-from pagemill.sources.index_files import check_index_model
+from pagemill.sources.index_files import check_index_model, read_index_jsonl, write_index, write_index_jsonl
+from pagemill.sources.shared import new_path
 
 K, CANDIDATES = 10, 20
+MIN_SCORE = 0.35
+#: Second hits under this are rejections.
+REJECT = 0.4
 
 
 def fusion_search(spark, sf_dir):
@@ -85,10 +93,30 @@ def index_stats(spark, sf_dir):
 
 
 def index_model_guard(spark, sf_dir):
-    """An index of another model counts as empty: no rows, and all rows of the right one."""
-    i = vector_index(spark, sf_dir)
-    right, wrong = check_index_model(i.withColumn("model", F.lit("m1")), "m1", strict=True), check_index_model(i.withColumn("model", F.lit("m0")), "m1", strict=False)
-    return right.unionByName(wrong).select("pos", "model")
+    """The model of an entry depends on its label: strict on those of one model, lenient on the mixed index and on one model."""
+    i = vector_index(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")))
+    one = i.where("model = 'm1'")
+    found = {"strict": check_index_model(one, "m1", strict=True), "mixed": check_index_model(i, "m1", strict=False), "other": check_index_model(one, "m0", strict=False), "same": check_index_model(i.where("model = 'm0'"), "m0", strict=False)}
+    parts = [df.select(F.lit(name).alias("guard"), "pos", "model") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def index_files(spark, sf_dir):
+    """The index written as JSON lines and read back; every fifth id is written twice, and its later entry counts."""
+    i = vector_index(spark, sf_dir).withColumns({"text": F.col("number"), "metadata": F.create_map(F.lit("number"), "number")}).drop("label", "number")
+    again = i.where("pos % 5 = 0").withColumns({"pos": F.col("pos") + 1_000_000_000, "text": F.concat("text", F.lit(" again"))})
+    path = new_path(spark, "index")
+    write_index_jsonl(i.unionByName(again), path, "m1")
+    back, model = read_index_jsonl(spark, path)
+    return back.select("pos", "id", "text", F.element_at("metadata", "number").alias("number"), F.size("embedding").alias("dimensions"), F.lit(model).alias("model"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+def index_parquet(spark, sf_dir):
+    """The index written as Parquet, a folder for each model, and read back."""
+    i = vector_index(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")))
+    path = new_path(spark, "index")
+    write_index(i, path)
+    return spark.read.parquet(path).select("pos", "id", "number", "model")
 
 
 def definition_terms(spark, sf_dir):
@@ -97,13 +125,23 @@ def definition_terms(spark, sf_dir):
 
 def first_by_number(spark, sf_dir):
     i = vector_index(spark, sf_dir)
-    wanted = i.where("pos < 60").select("number").unionByName(spark.createDataFrame([("99.9",)], "number string"))
+    wanted = i.select("number").unionByName(i.select(F.concat("number", F.lit("x")).alias("number")))
     return index.first_by_number(i, wanted)
 
 
+def required_numbers(spark, sf_dir):
+    """Numbers that all have a chunk."""
+    i = vector_index(spark, sf_dir)
+    return index.require_all(index.first_by_number(i, i.select("number")))
+
+
 def _book(spark, sf_dir):
     """Index entries as chunks, with texts of varied length."""
-    return vector_index(spark, sf_dir).select("pos", "id", "number", F.concat(F.lit("book"), F.floor(F.col("pos") / 100).cast("string")).alias("source"), F.repeat(F.lit("x"), (200 + F.col("pos") % 7 * 300).cast("int")).alias("text"), (F.col("pos") % 90).cast("int").alias("page"), F.when(F.col("pos") % 2 == 0, (F.col("pos") % 90 - 2).cast("int")).alias("printed_page"))
+    pos = F.col("pos")
+    source = F.concat(F.lit("book"), F.floor(pos / 100).cast("string"))
+    text = F.repeat(F.lit("x"), (200 + pos % 7 * 300).cast("int"))
+    printed = F.when(pos % 2 == 0, (pos % 90 - 2).cast("int"))
+    return vector_index(spark, sf_dir).select("pos", "id", "number", source.alias("source"), text.alias("text"), (pos % 90).cast("int").alias("page"), printed.alias("printed_page"))
 
 
 def _expanded(spark, sf_dir):
@@ -121,9 +159,41 @@ def build_prompt(spark, sf_dir):
     return context.build_prompt(sources, q)
 
 
+def chained_expanders(spark, sf_dir):
+    """Siblings, and after them the chunk that follows each one in its book."""
+    book = _book(spark, sf_dir)
+
+    def following(found):
+        places = book.select("id", "source", "pos")
+        after = places.select(F.col("id").alias("next_id"), "source", (F.col("pos") - 1).alias("pos"))
+        more = found.join(places, "id").join(after, ["source", "pos"]).select("query_id", F.col("next_id").alias("id"), F.lit(False).alias("is_hit"))
+        return found.select("query_id", "id", "is_hit").unionByName(more).groupBy("query_id", "id").agg(F.bool_or("is_hit").alias("is_hit"))
+
+    hits = fusion.fusion_search(vector_queries(spark, sf_dir), vector_index(spark, sf_dir), 4, CANDIDATES).select("query_id", "rank", "id", "score")
+    return hits.transform(lambda h: context.expand_siblings(h, book, 10, 9000)).transform(following)
+
+
+def search_filters(spark, sf_dir):
+    """The same query vectors under three filters."""
+    number = F.col("number")
+    filters = {"chapter 1": number.startswith("1."), "letters": number.rlike("[ab]$"), "all": F.lit(True)}
+    found = vectors.search_filters(vector_queries(spark, sf_dir), vector_index(spark, sf_dir), K, filters)
+    return found.select("filter_id", "query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def answer_job(spark, sf_dir):
+    """Questions to prompts in one job; every fifth question is off the topic."""
+    q = vector_queries(spark, sf_dir)
+    reply = F.when(F.col("query_id") / 100 % 5 == 4, F.lit("Keine.")).otherwise(F.lit("searched"))
+    q = q.withColumns({"question": F.concat(F.lit("question "), F.col("query_id").cast("string")), "reply": reply})
+    status, _, prompts = answer.prompts(q, vector_index(spark, sf_dir), _book(spark, sf_dir), k=4, min_score=MIN_SCORE, candidates=CANDIDATES, max_chars=9000)
+    return status.join(prompts, "query_id", "left").select("query_id", "status", "prompt")
+
+
 def query_prefix(spark, sf_dir):
-    g = gold(spark, sf_dir)
-    return vectors.with_query_prefix(g, "Frage zum Regelbuch: ").select("query_id", "query_text")
+    """The prefix before every user's turn."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return vectors.with_query_prefix(turns, "Frage zum Regelbuch: ").select("conv_id", "turn", "query_text")
 
 
 def _hits(spark, sf_dir):
@@ -148,14 +218,29 @@ def eval_separation(spark, sf_dir):
     return out.select("variant", "weakest_query", "strongest_query", "threshold", "blocked", *[F.round(c, 6).alias(c) for c in ("weakest", "strongest", "gap")])
 
 
+def _rejected(spark, sf_dir):
+    """A question counts as rejected in a variant whose second hit is under REJECT."""
+    second = _hits(spark, sf_dir).where("rank = 2").select("variant", "query_id", F.when(F.col("score") >= REJECT, F.lit("searched")).alias("search_text"))
+    return second.join(gold(spark, sf_dir).select("query_id", "question"), "query_id")
+
+
 def eval_rejections(spark, sf_dir):
-    rejected = F.col("query_id").isin(3, 8)
-    q = gold(spark, sf_dir).select("query_id", F.when(~rejected, F.col("question")).alias("search_text"))
-    both = q.withColumn("variant", F.lit("passage")).unionByName(q.select("query_id", F.lit("x").alias("search_text")).withColumn("variant", F.lit("original")))
-    return evaluation.rejections(both, gold(spark, sf_dir))
+    return evaluation.rejections(_rejected(spark, sf_dir), gold(spark, sf_dir))
+
 
+def searched_text(spark, sf_dir):
+    return evaluation.searched_text(_rejected(spark, sf_dir)).select("variant", "query_id", "search_text")
 
-QUERIES = {f.__name__: f for f in (fusion_search, vector_topk, vector_topk_filtered, cosine_pairs, rrf, best_score, index_upsert, index_reusable, index_missing, index_retain, index_refresh, index_refresh_stats, index_stats, index_model_guard, definition_terms, first_by_number, expand_siblings, build_prompt, query_prefix, eval_ranks, eval_hit_at, eval_rank_table, eval_separation, eval_rejections)}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fusion_search, vector_topk, vector_topk_filtered, search_filters, cosine_pairs, rrf, best_score, index_upsert, index_reusable, index_missing,
+        index_retain, index_refresh, index_refresh_stats, index_stats, index_model_guard, index_files, index_parquet, definition_terms, first_by_number,
+        required_numbers, expand_siblings, chained_expanders, build_prompt, answer_job, query_prefix, eval_ranks, eval_hit_at, eval_rank_table,
+        eval_separation, eval_rejections, searched_text,
+    )
+}
 
 
 def _top(vector: str, k: int, where: str = "true") -> str:
@@ -173,9 +258,14 @@ fs AS (SELECT query_id, rank, pos, id, number, round(list_cosine_similarity(t_ve
 
 _BOOK = f"(SELECT pos, id, number, 'book' || (pos // 100) AS source, repeat('x', CAST(200 + pos % 7 * 300 AS INT)) AS text, pos % 90 AS page, CASE WHEN pos % 2 = 0 THEN pos % 90 - 2 END AS printed_page FROM {INDEX_SQL})"
 _HIT, _MEMBER = r"'^(\d{1,2}\.\d{1,2})[a-z]?$'", r"'^(\d{1,2}\.\d{1,2})(\p{L}.*)?$'"
-_EXPANDED = f"""
+_ASKED = f"(SELECT query_id FROM fs WHERE query_id // 100 % 5 <> 4 GROUP BY 1 HAVING max(score) >= {MIN_SCORE})"
+
+
+def _expanded_sql(asked: str = "true") -> str:
+    """CTEs up to ``ex``: hits of the questions that ``asked`` admits, with their siblings."""
+    return f"""
 WITH RECURSIVE {_fused(4)}, bk AS (SELECT *, length(text) AS chars, regexp_extract(number, {_HIT}, 1) AS hk, regexp_extract(number, {_MEMBER}, 1) AS mk FROM {_BOOK}),
-ht AS (SELECT query_id, rank, fs.score, bk.* FROM fs JOIN bk USING (id)),
+ht AS (SELECT query_id, rank, fs.score, bk.* FROM fs JOIN bk USING (id) WHERE {asked}),
 sb AS (SELECT h.query_id, m.id, m.chars, row_number() OVER (PARTITION BY h.query_id ORDER BY min((h.rank, m.pos))) AS i FROM ht h JOIN bk m ON m.source = h.source AND m.mk = h.hk AND h.hk <> ''
        WHERE NOT EXISTS (SELECT 1 FROM ht x WHERE x.query_id = h.query_id AND x.id = m.id) GROUP BY h.query_id, m.id, m.chars),
 tk AS (
@@ -185,6 +275,13 @@ tk AS (
   FROM tk t JOIN sb s ON s.query_id = t.query_id AND s.i = t.i + 1
 ), al AS (SELECT query_id, id, pos, score, true AS is_hit FROM ht UNION ALL SELECT query_id, tk.id, pos, NULL, false FROM tk JOIN bk ON bk.id = tk.id WHERE took),
 ex AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INT) AS n, id, is_hit, score FROM al)"""
+
+
+_EXPANDED = _expanded_sql()
+_PROMPT = (
+    "'Quellen:' || chr(10) || chr(10) || string_agg('[' || n || '] ' || text || chr(10) || '(Fundstelle: Seite ' || coalesce(printed_page, page) || ')'"
+    " || chr(10) || chr(10), '' ORDER BY n) || 'Frage: question ' || query_id"
+)
 _EVAL = f"""
 WITH {_fused(K)}, h AS (SELECT 'original' AS variant, query_id, rank, number, score FROM {_top("q_vec", K)} UNION ALL SELECT 'passage', query_id, rank, number, score FROM {_top("t_vec", K)} UNION ALL SELECT 'fused', query_id, rank, number, score FROM fs),
 g AS {GOLD_SQL},
@@ -207,13 +304,21 @@ SQL = {
     "index_retain": f"SELECT count(n.id) AS kept, count(*) - count(n.id) AS removed FROM {OLD_SQL} o LEFT JOIN {NOW_SQL} n USING (id)",
     "index_refresh": f"WITH o AS (SELECT * FROM {OLD_SQL} WHERE id IN (SELECT id FROM {NOW_SQL})) SELECT CASE WHEN o.pos IS NOT NULL THEN o.pos ELSE (SELECT max(pos) FROM o) + 1 + n.pos END AS pos, id, CAST(length(n.text) AS DOUBLE) AS chars FROM {NOW_SQL} n LEFT JOIN o USING (id)",
     "index_refresh_stats": f"SELECT count(*) FILTER (WHERE o.text = n.text) AS reused, count(n.id) - count(*) FILTER (WHERE o.text = n.text) AS embedded, count(*) FILTER (WHERE n.id IS NULL) AS removed FROM {OLD_SQL} o FULL JOIN {NOW_SQL} n ON o.id = n.id",
-    "index_stats": "SELECT count(*) AS entries, max(len(embedding)) AS dimensions FROM embeddings WHERE vec_id >= 20",
-    "index_model_guard": "SELECT vec_id AS pos, 'm1' AS model FROM embeddings WHERE vec_id >= 20",
+    "index_stats": "SELECT count(*) AS entries, max(len(embedding)) AS dimensions FROM embeddings",
+    "index_model_guard": "SELECT guard, vec_id AS pos, 'm' || label % 2 AS model FROM embeddings, (VALUES ('strict', 1), ('same', 0)) AS g(guard, of) WHERE label % 2 = of",
+    "index_files": f"""SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, number || CASE WHEN pos % 5 = 0 THEN ' again' ELSE '' END AS text, number, len(v) AS dimensions, 'm1' AS model, round(v[1], 5) AS first FROM {INDEX_SQL}""",
+    "index_parquet": f"SELECT pos, id, number, 'm' || label % 2 AS model FROM {INDEX_SQL}",
     "definition_terms": f"SELECT min(pos) AS pos, number AS term FROM {INDEX_SQL} WHERE label % 2 = 1 GROUP BY number",
-    "first_by_number": f"SELECT number, pos, id FROM (SELECT number, min(pos) AS pos, arg_min(id, pos) AS id FROM {INDEX_SQL} GROUP BY 1) WHERE number IN (SELECT number FROM {INDEX_SQL} WHERE pos < 60) UNION ALL SELECT '99.9', NULL, NULL",
+    "first_by_number": f"WITH f AS (SELECT number, min(pos) AS pos, arg_min(id, pos) AS id FROM {INDEX_SQL} GROUP BY 1) SELECT * FROM f UNION ALL SELECT number || 'x', NULL, NULL FROM f",
+    "required_numbers": f"SELECT number, min(pos) AS pos, arg_min(id, pos) AS id FROM {INDEX_SQL} GROUP BY 1",
     "expand_siblings": f"{_EXPANDED} SELECT query_id, n, id, is_hit, round(score, 6) AS score FROM ex",
-    "build_prompt": f"{_EXPANDED} SELECT query_id, 'Quellen:' || chr(10) || chr(10) || string_agg('[' || n || '] ' || text || chr(10) || '(Fundstelle: Seite ' || coalesce(printed_page, page) || ')' || chr(10) || chr(10), '' ORDER BY n) || 'Frage: question ' || query_id AS prompt FROM ex JOIN bk USING (id) GROUP BY query_id",
-    "query_prefix": f"SELECT query_id, 'Frage zum Regelbuch: question ' || query_id AS query_text FROM {QUERY_SQL}",
+    "build_prompt": f"{_EXPANDED} SELECT query_id, {_PROMPT} AS prompt FROM ex JOIN bk USING (id) GROUP BY query_id",
+    "answer_job": f"""{_expanded_sql(f"query_id IN {_ASKED}")}, pr AS (SELECT query_id, {_PROMPT} AS prompt FROM ex JOIN bk USING (id) GROUP BY query_id)
+SELECT query_id, CASE WHEN query_id // 100 % 5 = 4 THEN 'off_topic' WHEN query_id IN {_ASKED} THEN 'ask' ELSE 'below_threshold' END AS status, prompt FROM {QUERY_SQL} LEFT JOIN pr USING (query_id)""",
+    "chained_expanders": f"""{_EXPANDED}, fo AS (SELECT query_id, id, is_hit FROM ex UNION ALL SELECT query_id, m.id, false FROM ex JOIN bk b USING (id) JOIN bk m ON m.source = b.source AND m.pos = b.pos + 1)
+SELECT query_id, id, bool_or(is_hit) AS is_hit FROM fo GROUP BY 1, 2""",
+    "search_filters": " UNION ALL ".join(f"SELECT '{name}' AS filter_id, query_id, rank, id, round(score, 6) AS score FROM {_top('q_vec', K, where)}" for name, where in (("chapter 1", "starts_with(number, '1.')"), ("letters", "regexp_matches(number, '[ab]$')"), ("all", "true"))),
+    "query_prefix": "SELECT conv_id, turn, 'Frage zum Regelbuch: ' || text AS query_text FROM conversations WHERE role = 'user'",
     "eval_ranks": f"{_EVAL} SELECT * FROM r",
     "eval_hit_at": f"{_EVAL} SELECT variant, count(*) AS questions, count(*) FILTER (WHERE rank = 1) AS hit_1, count(*) FILTER (WHERE rank BETWEEN 1 AND 5) AS hit_5 FROM r GROUP BY 1",
     "eval_rank_table": f"{_EVAL} SELECT query_id, " + ", ".join(f"max(rank) FILTER (WHERE variant = '{v}') AS {v}" for v in job.VARIANTS) + " FROM r GROUP BY 1",
@@ -222,7 +327,8 @@ e AS (SELECT variant, min(score) FILTER (WHERE grp <> 'off_topic') AS weakest, a
       max(score) FILTER (WHERE grp = 'off_topic') AS strongest, arg_max(query_id, (score, -query_id)) FILTER (WHERE grp = 'off_topic') AS strongest_query FROM b GROUP BY 1)
 SELECT variant, weakest_query, strongest_query, floor((weakest - 0.05) * 100) / 100 AS threshold, (SELECT count(*) FROM b WHERE b.variant = e.variant AND grp = 'off_topic' AND score < floor((weakest - 0.05) * 100) / 100) AS blocked,
        round(weakest, 6) AS weakest, round(strongest, 6) AS strongest, round(weakest - strongest, 6) AS gap FROM e""",
-    "eval_rejections": f"""WITH g AS {GOLD_SQL}, q AS (SELECT 'passage' AS variant, query_id, query_id IN (3, 8) AS rejected, grp = 'off_topic' AS off FROM g UNION ALL SELECT 'original', query_id, false, grp = 'off_topic' FROM g)
+    "eval_rejections": f"""{_EVAL}, q AS (SELECT variant, query_id, score < {REJECT} AS rejected, grp = 'off_topic' AS off FROM h JOIN g USING (query_id) WHERE rank = 2)
 SELECT variant, count(*) FILTER (WHERE off AND rejected) AS recognised, count(*) FILTER (WHERE off AND NOT rejected) AS let_through, count(*) FILTER (WHERE NOT off AND rejected) AS falsely_rejected,
        coalesce(list(query_id ORDER BY query_id) FILTER (WHERE off AND NOT rejected), []) AS let_through_ids, coalesce(list(query_id ORDER BY query_id) FILTER (WHERE NOT off AND rejected), []) AS falsely_rejected_ids FROM q GROUP BY 1""",
+    "searched_text": f"{_EVAL} SELECT variant, query_id, CASE WHEN score >= {REJECT} THEN 'searched' ELSE 'question ' || query_id END AS search_text FROM h WHERE rank = 2",
 }

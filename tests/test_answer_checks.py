@@ -64,7 +64,17 @@ def test_correction(spark):
     prompts = dict(map(tuple, checks.correction_prompts(p1, "Bitte:\n%s").collect()))
     assert prompts[1] == "Bitte:\n- p\n- q" and 0 not in prompts
     final = checks.final_answers(first, p1, second, p2)
-    got = {r["answer_id"]: (r["text"], list(r["problems"]), r["corrected"]) for r in final.collect()}
-    assert got == {0: ("gut", [], False), 1: ("besser", [], True), 2: ("immer noch", ["r"], False), 3: ("schlecht", ["p"], False)}
-    row = evaluation.answer_summary(final, spark.createDataFrame([(0, "abc"), (1, "de")], "answer_id long, text string")).first()
-    assert (row["answers"], row["corrected"], list(row["corrected_ids"]), row["with_problems"], row["sources"], row["source_chars"]) == (4, 1, [1], 2, 2, 5)
+    got = {r["answer_id"]: (r["text"], list(r["problems"]), r["corrected"], r["clean"]) for r in final.collect()}
+    # an answer counts as corrected when it was asked for again, whatever came of it
+    assert got == {0: ("gut", [], False, True), 1: ("besser", [], True, True), 2: ("immer noch", ["r"], True, False), 3: ("schlecht", ["p"], True, False)}
+    given = spark.createDataFrame([(0, "abc"), (1, "de")], "answer_id long, text string")
+    row = evaluation.answer_summary(final.unionByName(final.limit(1).selectExpr("9L as answer_id", "cast(null as string) as text", "problems", "first_attempt_problems", "false as corrected", "clean")), given).first()
+    assert (row["answers"], row["failures"], row["corrected"], list(row["corrected_ids"]), row["sources"], row["source_chars"]) == (5, 1, 3, [1, 2, 3], 2, 5)
+    assert row["problems_left"] >= row["with_problems"] >= 2
+    assert {tuple(r) for r in evaluation.source_sizes(given).collect()} == {(0, 1, 3), (1, 1, 2)}
+
+
+def test_citation_pattern_with_branches(spark):
+    a = answers(spark, "Regel 3 [1] und Punkt 4 [2]")
+    found = checks.extract_citations(a, r"Regel (\d)|Punkt \d").orderBy("cit_no").collect()
+    assert [(r["quote"], list(r["cited"])) for r in found] == [("Regel 3 [1]", [1]), ("Punkt 4 [2]", [2])]

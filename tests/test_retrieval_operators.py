@@ -16,7 +16,7 @@ def entries(spark, rows, model="m"):
     return spark.createDataFrame([(i, d, t, {"k": d}, v, model) for i, (d, t, v) in enumerate(rows)], INDEX)
 
 
-def golf(spark):
+def small_index(spark):
     return entries(spark, [("bunker", "Sand", [1.0, 0.0, 0.0]), ("gruen", "Gras", [0.8, 0.6, 0.0]), ("schlaeger", "Holz", [0.0, 0.0, 1.0])])
 
 
@@ -29,8 +29,8 @@ def test_cosine(spark):
 
 def test_search_filters_and_ties(spark):
     q = spark.createDataFrame([(7, [1.0, 0.1, 0.0])], "query_id long, q_vec array<float>")
-    assert [r["id"] for r in vectors.search(q, golf(spark), 2).orderBy("rank").collect()] == ["bunker", "gruen"]
-    assert [r["id"] for r in vectors.search(q, golf(spark), 2, F.col("id") != "bunker").orderBy("rank").collect()] == ["gruen", "schlaeger"]
+    assert [r["id"] for r in vectors.search(q, small_index(spark), 2).orderBy("rank").collect()] == ["bunker", "gruen"]
+    assert [r["id"] for r in vectors.search(q, small_index(spark), 2, F.col("id") != "bunker").orderBy("rank").collect()] == ["gruen", "schlaeger"]
     same = entries(spark, [(f"d{i}", "t", [1.0, 0.0, 0.0]) for i in range(9)]).repartition(4)
     assert [r["id"] for r in vectors.search(q, same, 3).orderBy("rank").collect()] == ["d0", "d1", "d2"]
     assert vectors.search(q, same.limit(0), 3).count() == 0
@@ -43,7 +43,7 @@ def test_search_against_plain(spark):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "query_id long, q_vec array<double>")
     ix = spark.createDataFrame([(i, str(i), v.tolist()) for i, v in enumerate(rows)], "pos long, id string, embedding array<double>").repartition(5)
     got = {}
-    for r in vectors.search(q, ix, 6, block_queries=4).orderBy("query_id", "rank").collect():
+    for r in vectors.search(q, ix, 6, group_bytes=600).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["pos"])
     sims = (qs / np.linalg.norm(qs, axis=1, keepdims=True)) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T
     assert got == {i: np.argsort(-s, kind="stable")[:6].tolist() for i, s in enumerate(sims)}
@@ -63,12 +63,34 @@ def test_rrf(spark):
 
 def test_fusion_search_scores_by_text(spark):
     q = spark.createDataFrame([(1, [0.0, 0.0, 1.0], [1.0, 0.0, 0.0])], "query_id long, q_vec array<float>, t_vec array<float>")
-    got = fusion.fusion_search(q, golf(spark), 5, candidates=1).orderBy("rank").collect()
+    got = fusion.fusion_search(q, small_index(spark), 5, candidates=1).orderBy("rank").collect()
     assert [(r["id"], r["score"]) for r in got] == [("schlaeger", 0.0), ("bunker", 1.0)]
     hits = spark.createDataFrame([(1, 0.2), (1, float("nan")), (1, 0.8), (2, float("nan"))], "query_id long, score double")
     assert dict(map(tuple, fusion.best_score(hits).collect())) == {1: 0.8, 2: float("-inf")}
 
 
+def test_search_filters(spark):
+    q = spark.createDataFrame([(7, [1.0, 0.1, 0.0]), (8, None)], "query_id long, q_vec array<float>")
+    got = vectors.search_filters(q, small_index(spark), 1, {"all": F.lit(True), "rest": F.col("id") != "bunker"}).collect()
+    assert {(r["filter_id"], r["query_id"], r["id"]) for r in got} == {("all", 7, "bunker"), ("rest", 7, "gruen")}
+
+
+def test_null_texts_are_changed(spark):
+    docs = spark.createDataFrame([(0, "a", None), (1, "b", "x")], "pos long, id string, text string")
+    old = docs.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    assert dict(map(tuple, index.refresh_plan(docs, old).collect())) == {"a": "changed", "b": "reused"}
+    assert [r["id"] for r in index.missing(docs, old).collect()] == ["a"]
+
+
+def test_required_numbers(spark):
+    chunks = spark.createDataFrame([(3, "c3", "1.1"), (1, "c1", "1.1")], "pos long, id string, number string")
+    found = index.first_by_number(chunks, spark.createDataFrame([("1.1",), ("9",)], "number string"))
+    assert {r["number"]: r["id"] for r in found.collect()} == {"1.1": "c1", "9": None}
+    assert index.require_all(found.where("number = '1.1'")).count() == 1
+    with pytest.raises(Exception, match="no chunk with number 9"):
+        index.require_all(found).collect()
+
+
 def test_index_refresh(spark):
     def embedder(df):
         return embed(df.withColumn("metadata", F.lit(None).cast("map<string,string>")).withColumn("model", F.lit("m")), "text", lambda ts: [[float(len(t)), 0.0, 0.0] for t in ts]).select("pos", "id", "text", "metadata", "embedding", "model")
@@ -89,7 +111,7 @@ def test_positions(spark):
 
 
 def test_index_files(spark, tmp_path):
-    write_index_jsonl(golf(spark), str(tmp_path / "ix"), "m")
+    write_index_jsonl(small_index(spark), str(tmp_path / "ix"), "m")
     back, model = read_index_jsonl(spark, str(tmp_path / "ix"))
     assert model == "m" and [(r["id"], list(r["embedding"])) for r in back.orderBy("pos").collect()][1] == ("gruen", [pytest.approx(0.8), pytest.approx(0.6), 0.0])
     one = tmp_path / "one.jsonl"
@@ -99,10 +121,10 @@ def test_index_files(spark, tmp_path):
     (tmp_path / "none.jsonl").write_text("")
     with pytest.raises(ValueError, match="no index"):
         read_index_jsonl(spark, str(tmp_path / "none.jsonl"))
-    assert check_index_model(golf(spark), "m", True).count() == 3
-    assert check_index_model(golf(spark), "other", False).count() == 0
+    assert check_index_model(small_index(spark), "m", True).count() == 3
+    assert check_index_model(small_index(spark), "other", False).count() == 0
     with pytest.raises(Exception, match="built with"):
-        check_index_model(golf(spark), "other", True).collect()
+        check_index_model(small_index(spark), "other", True).collect()
 
 
 def test_embed_batches(spark):
@@ -147,6 +169,9 @@ def test_evaluation(spark):
     ranks = evaluation.first_correct_rank(hits, gold)
     assert {r["query_id"]: r["rank"] for r in ranks.collect()} == {1: 2, 2: 0}
     assert tuple(evaluation.hit_at(ranks).first()) == ("v", 2, 0, 1)
+    rejected = spark.createDataFrame([("v", 1, "a", None), ("v", 3, "c", None), ("v", 2, "b", "s")], "variant string, query_id long, question string, search_text string")
+    assert tuple(evaluation.rejections(rejected, gold).first())[:4] == ("v", 1, 0, 1)
+    assert {r["query_id"]: r["search_text"] for r in evaluation.searched_text(rejected).collect()} == {1: "a", 2: "s", 3: "c"}
     row = evaluation.separation(hits, gold).first()
     assert (row["weakest_query"], row["strongest_query"], round(row["gap"], 6), row["blocked"]) == (2, 3, 0.1, 1)
     assert row["threshold"] == pytest.approx(0.64, abs=0.011)

@@ -1,15 +1,17 @@
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as ft
 from pagemill.operators import chunking, cleaning, lines
-from pagemill.sources.pages import chunk_block, pages_from_table
+from pagemill.sources.pages import chunk_block, dump, pages_from_table
 
 PAGE = "source string, page int, id string, text string, printed_page int"
 
 
-def page(text, number=1, source="golf.pdf"):
+def page(text, number=1, source="book.pdf"):
     return (source, number, f"{source[:-4]}#seite-{number}", text, None)
 
 
@@ -42,13 +44,29 @@ def test_line_patterns_and_whitespace(spark):
     patterns = [r"Regel \d+", "Regel x"]
     df = spark.createDataFrame([page("Regel 3\nSiehe Regel 3 für Details.\n Regel x ", 1), page("Regel 1\nRegel 2", 2)], PAGE)
     assert texts(cleaning.clean_line_patterns(df, patterns)) == ["Siehe Regel 3 für Details."]
-    df = spark.createDataFrame([page("  a\t\tb  c\n\n\n\n d ", 1)], PAGE)
-    assert texts(cleaning.clean_whitespace(df)) == ["a b c\n\nd"]
+    cases = {"  a\t\tb  c\n\n\n\n d ": "a b c\n\nd", "a\u00a0\u00a0b\u00a0\nc": "a b\nc", "a \rb\r\nc": "a\nb\nc"}
+    df = spark.createDataFrame([page(t, i) for i, t in enumerate(cases)], PAGE)
+    assert texts(cleaning.clean_whitespace(df)) == list(cases.values())
+
+
+def test_line_patterns_keep_inner_line_ends(spark):
+    df = spark.createDataFrame([page("a\n\nRegel 1", 1), page("a\n", 2), page("\n \n", 3)], PAGE)
+    assert texts(cleaning.clean_line_patterns(df, [r"Regel \d+"])) == ["a\n", "a"]
+    assert texts(cleaning.clean_line_patterns(df, [])) == ["a\n\nRegel 1", "a"]
+    assert cleaning.clean_line_patterns(df, [], drop_blank=False).count() == 3
+
+
+def test_composite(spark):
+    steps = [partial(cleaning.extract_printed_page, offset=-2), partial(cleaning.clean_line_patterns, patterns=["Kopf"]), cleaning.clean_hyphenation, cleaning.clean_whitespace]
+    df = spark.createDataFrame([page("39\nKopf\nEin-\nlochens  x", 41), page("22\nKopf", 24), page(None, 25), ("b.pdf", None, "i", "x", None)], PAGE)
+    got = cleaning.clean(df, steps).orderBy("page").collect()
+    assert [(r["text"], r["printed_page"]) for r in got] == [("x", None), ("Einlochens x", 39)]
 
 
 def test_pages(spark):
     df = spark.createDataFrame([("a.PDF", 1, "x"), ("a.PDF", 2, " \n"), ("a.PDF", 3, "z"), ("a.PDF", 4, None)], "source string, page int, text string")
     assert [r["id"] for r in pages_from_table(df).orderBy("page").collect()] == ["a#seite-1", "a#seite-3"]
+    assert [r["page"] for r in pages_from_table(df, first=2, last=3).collect()] == [3]
     with pytest.raises(ValueError):
         pages_from_table(df, first=5, last=3)
 
@@ -69,6 +87,8 @@ def test_sections(spark):
     df = spark.createDataFrame([page("x", i) for i in range(1, 6)], PAGE)
     s = spark.createDataFrame([("A", 1, 3), ("B", 3, 5)], "section string, first_page int, last_page int")
     got = lines.assign_sections(df, s, [4]).select("section", "page").collect()
+    many = lines.assign_sections(df, s, [4], broadcast_sections=0)
+    assert many.columns == lines.assign_sections(df, s, [4]).columns and sorted(map(tuple, many.select("section", "page").collect())) == sorted(map(tuple, got))
     assert sorted(map(tuple, got)) == [("A", 1), ("A", 2), ("A", 3), ("B", 3), ("B", 5)]
 
 
@@ -77,7 +97,7 @@ def test_term_chunks(spark):
     got = chunking.chunk_by_terms(lines.to_lines(sectioned(spark, [text], "Definitionen")), 1000).orderBy("n").collect()
     assert [r["number"] for r in got] == [None, "Abschlag", "Aus", "Bewegliches Hemmnis"]
     assert got[1]["text"] == "Definitionen › Abschlag\n\nDer Bereich am Start."
-    assert got[1]["id"] == "golf#definitionen-2"
+    assert got[1]["id"] == "book#definitionen-2"
 
 
 def test_size_chunks_and_split(spark):
@@ -97,10 +117,23 @@ def test_pack_parts_against_plain():
         parts = chunking.pack_parts(n, may, 40)
         size, part = 0, 0
         for i, p in enumerate(parts):
-            if size and (size + n[i] > 40 or (may[i] and size > 20)):
+            length = n[i] + 1  # a line counts with its end
+            if i and (size + length > 40 or (may[i] and size > 20)):
                 part, size = part + 1, 0
             assert p == part
-            size += n[i] + 1
+            size += length
+
+
+def test_pack_parts_at_the_limit():
+    assert chunking.pack_parts(np.array([9, 10]), np.array([False, False]), 20) == [0, 1]
+    assert chunking.pack_parts(np.array([9, 9]), np.array([False, False]), 20) == [0, 0]
+
+
+def test_process_by_strategy(spark):
+    pages = sectioned(spark, ["kurz", "1.1 Titel\nText."], "A").unionByName(sectioned(spark, ["Wort.\nAus\nJenseits."], "B"))
+    sections = spark.createDataFrame([("A", "headings", 2), ("B", "terms", 1)], "section string, strategy string, section_no int")
+    got = chunking.process(lines.to_lines(pages), sections, 500, chunking.HeadingRules()).orderBy("pos").collect()
+    assert [(r["pos"], r["section"], r["heading"], r["number"], r["page"]) for r in got] == [(0, "B", "B", None, 1), (1, "B", "B › Aus", "Aus", 1), (2, "A", "A", None, 1), (3, "A", "Regel 1 › 1.1 Titel", "1.1", 2)]
 
 
 def test_heading_chunks(spark):
@@ -128,12 +161,14 @@ def test_marker_after_heading_is_text(spark):
     assert [r["text"] for r in got] == ["Regel 1 › 1.1 Das Spiel\n\nZweck der Regel:\nText."]
 
 
-def test_chunk_stats_and_dump(spark):
+def test_chunk_stats_and_dump(spark, tmp_path):
     df = spark.createDataFrame([(f"c{i}", 1, "x" * n, "S") for i, n in enumerate([5, 1, 3, 9])], "id string, page int, text string, section string")
     assert tuple(chunking.chunk_stats(df, 4).first()) == (4, 1, 5, 9, 2)
     s = spark.createDataFrame([("S",), ("T",)], "section string")
     assert sorted(map(tuple, chunking.section_counts(df, s).collect())) == [("S", 4), ("T", 0)]
     assert df.select(chunk_block(df)).first()[0].endswith("\nxxxxx")
+    dump(df, chunk_block(df), str(tmp_path / "dump"))
+    assert spark.read.text(str(tmp_path / "dump")).where("value like '=====%'").count() == 4
 
 
 def test_columns(spark):
