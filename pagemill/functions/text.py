@@ -6,6 +6,8 @@ not the no-break space.  Spark's ``trim`` would strip U+0020 only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,16 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(rf"\A(?:{pattern})\z")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
-    """Lines ended by \\n, \\r or \\r\\n; a line end at the very end starts no further line."""
-    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
-    inner = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    """Lines ended by \\n, \\r or \\r\\n; a line end at the very end starts no further line.  Uses ``text`` several times."""
+    # few texts have a carriage return, and a plain search is cheaper than a pattern
+    plain = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
+    inner = F.when(F.endswith(text, F.lit("\n")) | F.endswith(text, F.lit("\r")), F.regexp_replace(plain, r"\n\z", "")).otherwise(plain)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import is_blank, matches, split_lines, strip
+from pagemill.functions.text import is_blank, let, matches, split_lines, strip
 
 #: cleaner(pages, drop_blank=False)
 Cleaner = Callable[..., DataFrame]
@@ -33,16 +33,18 @@ def drop_blank_pages(pages: DataFrame) -> DataFrame:
 
 def clean_whitespace(pages: DataFrame, drop_blank: bool = True) -> DataFrame:
     """Tabs and no-break spaces become spaces, runs one space, lines are stripped, two empty lines become one."""
-    text = F.regexp_replace(F.translate("text", "\t" + NO_BREAK_SPACE, "  "), " {2,}", " ")
-    text = F.array_join(F.transform(split_lines(text), strip), "\n")
+    # ``translate`` looks up every character; two replacements only search
+    spaced = F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit(NO_BREAK_SPACE), F.lit(" "))
+    text = F.regexp_replace(spaced, " {2,}", " ")
+    text = let(text, lambda t: F.array_join(F.transform(split_lines(t), strip), "\n"))
     return _replace(pages, strip(F.regexp_replace(text, "\n{3,}", "\n\n")), drop_blank)
 
 
 def clean_line_patterns(pages: DataFrame, patterns: list[str], drop_blank: bool = True) -> DataFrame:
     """Lines that match one of the patterns as a whole, without white space around them, go; line ends become \\n."""
     whole = "|".join(f"(?:{p})" for p in patterns) or r"(?!)"
-    kept = F.filter(split_lines(F.col("text")), lambda line: ~matches(strip(line), whole))
-    return _replace(pages, F.array_join(kept, "\n"), drop_blank)
+    text = let(F.col("text"), lambda t: F.array_join(F.filter(split_lines(t), lambda line: ~matches(strip(line), whole)), "\n"))
+    return _replace(pages, text, drop_blank)
 
 
 def clean_hyphenation(pages: DataFrame, conjunctions: tuple[str, ...] = ("und", "oder"), drop_blank: bool = True) -> DataFrame:
