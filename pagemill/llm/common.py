@@ -2,46 +2,69 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+import contextlib
+import ctypes
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.sources.shared import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(configured)
-    return configured
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and a lost
     executor costs no more than the tasks it ran."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def summed_blobs(blobs: DataFrame, fan_in: int = 256) -> DataFrame:
+    """(part, counts) of blobs (part, width, counts): sums, as 64-bit numbers, of the blobs of each part.
+
+    A blob is a part of a task's array of counters, ``width`` bytes a number.  They are summed in two
+    levels, so a group holds a ``fan_in``-th of the tasks' blobs of a part, and then ``fan_in`` sums.
+    """
+
+    def add(group: pa.Table) -> pa.Table:
+        total = 0
+        for raw, width in zip(group["counts"], group["width"].to_pylist(), strict=True):
+            total = total + np.frombuffer(raw.as_buffer(), dtype=f"<u{width}").astype(np.uint64)
+        return pa.table({"part": group["part"].slice(0, 1), "width": pa.array([8], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, width int, counts binary"
+    near = blobs.withColumn("lane", F.spark_partition_id() % fan_in)
+    level = near.groupBy("part", "lane").applyInArrow(lambda _, group: add(group), schema)
+    return level.groupBy("part").applyInArrow(lambda _, group: add(group), schema).select("part", "counts")
+
+
+def counter_blobs(counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A task's counters as blobs, in the smallest type that holds them."""
+    width = next(w for w in (1, 2, 4, 8) if counts.max(initial=0) < 1 << 8 * w)
+    data = [p.tobytes() for p in np.split(counts.astype(f"<u{width}"), parts)]
+    return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([width] * parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "width", "counts"])
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, so that what runs next in the worker has it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def row_hash(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
 def is_training(doc_id: str = "doc_id") -> Column:
-    """Rows that labels may be learnt from: crc32 of the id's text, modulo 4, is not 2."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
+    """Rows that labels may be learnt from: crc32 of the id's text, modulo 4, is not 2; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
 def one_label(labels: DataFrame, label: Column) -> DataFrame:
@@ -64,11 +87,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: in
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
     found = docs.select("doc_id", "text").where(is_training()).join(F.broadcast(rows), "doc_id")
     return found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), min(n, bound)
-
-
-def spread(n: int, per_group: int, most: int) -> int:
-    return max(1, min(most, n // per_group))
-
-
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)

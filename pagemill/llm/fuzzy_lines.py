@@ -1,28 +1,30 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence for each group.
-
-A line is normalised to its lower-case words (ASCII digits all become 0) with one space between.  Lines of
-fewer than ``min_words`` words are left alone.  Two different normalised lines link when their edit distance
-is at most a fifth of the longer one's length and they are candidates: their 64-bit SimHashes of words differ
-in at most 3 bits or, if ``wide``, in at most 14 and one of their ten MinHash keys of words is the same.  The
-query is wide and takes lines of any words.  Of all occurrences of a connected group of lines, the one with the smallest
-(doc_id, line number, text hash) stays.
-
-1. One pass over the texts emits a row of numbers for each line; equal normalised lines are one class.
-2. Hashes within 3 bits agree in two of five blocks, so every class has ten keys; wide ones are ten bands of four
-   minima, where a pair with a share s of common words meets with probability 1 - (1 - s^4)^10.  Counters of fixed size
-   tell the keys that may have more than CROWD classes from the others.  Ordinary keys travel in numpy
-   blobs by key range, and the hashes of a group are compared inside the task.  Of the pairs found, a task
-   first gives a spanning forest; crowded keys stay rows, and give stars.
-3. A second pass makes the normalised lines of candidates, which the edit distance verifies.
-4. Verified pairs connect; after that, ordinary and crowded groups give all pairs that are still in different
-   components, and these are verified too, so no link is lost and few pairs are made.
+"""Fuzzy line deduplication: SimHash, keys, edit similarity, one occurrence for each group.
+
+A line is normalised to its lower-case words (ASCII digits all become 0) with one space between; lines
+of fewer than ``min_words`` words are left alone.  Different normalised lines link when their edit
+distance is at most a fifth of the longer one's length and they are candidates: features of a line are
+its pairs of neighbouring words (the first one paired with the line's begin), candidates share one of
+ten MinHash keys of these, and their SimHashes differ in at most BITS bits.  Of all occurrences of
+a connected group of lines, the one with the smallest (doc_id, line number, text hash) stays.
+
+Blocks of SimHash bits alone can't be the keys: similar lines differ in up to some 18 of 64 bits, and
+blocks that all such pairs share would be three bits wide (figures in the README).
+
+1. One pass over the texts emits a row of numbers for each line and, where a task meets a line
+   first, its key, SimHash and normalised text.  Equal normalised lines are one class.
+2. Classes meet by key range, in numpy blobs, inside a task: each class is paired with the smallest
+   near one that it meets, so there are few pairs whatever a group's size.  Counters tell keys
+   that may have more than CROWD classes; these stay rows, and give stars.
+3. Pairs are verified by edit distance: by bounds from common ends and aligned words first.
+4. Verified pairs connect; then near classes of one key that are still in different components
+   are paired and verified too, so no link between components is lost.
 5. The removed line numbers are joined back to the documents.
 
 A class is known by the 64-bit hash of its normalised line.  Defined results: null and empty texts have
 no lines to remove and stay as they are; equal lines of one document count like those of two; rows with
 equal id and equal text keep the same lines, while a null or repeated id with several texts is several
-documents, told apart by a 64-bit hash of the whole text; texts and lines count whole; an empty table gives no rows.
-Columns named like an output are replaced.
+documents, told apart by a 64-bit hash of the whole text; texts and lines count whole; an empty table
+gives no rows.  Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -37,25 +39,27 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import simhash as sh
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import stored, table
+from pagemill.llm.common import counter_blobs, give_back, stored, summed_blobs, table
 from pagemill.llm.components import connected_components, merged_components
 from pagemill.llm.setjoin import _bitmap
 
-MIN_WORDS = 3
+MIN_WORDS = 1
 CROWD = 4096
-COUNTERS = 1 << 20
-STAR_ROUNDS = 1
 FILTER_BITS = 24
+#: Postings of a range, some 45 MB.
+RANGE_ROWS = 2_000_000
 _U = np.uint64
 _NOT_NEWLINE = wk._table(b"\n")
 _FOLD = np.array([48 if 48 <= b <= 57 else wk.LOWER[b] for b in range(256)], dtype=np.uint8)
-POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("hash", "<u8")])
+#: key: the low half of a key; the high half chose the range.  chars: length, 65,535 at most.
+POSTING = np.dtype([("key", "<u4"), ("node", "<i8"), ("hash", "<u8"), ("chars", "<u2")])
 LABELLED = np.dtype([*POSTING.descr, ("label", "<i8")])
 KEYS = [f"keys{i}" for i in range(sh.BANDS // 2)]
+CLASS = ["hash", "chars", *KEYS]
 
 
-def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For lines of enough words: (words, first word, word after the last, text, line number, class)."""
+def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of enough words: (words, their hashes, first word, word after the last, text, line number, class)."""
     words, lines = wk.split_words(_FOLD[buf], offsets, wk.ALNUM), wk.split_words(buf, offsets, _NOT_NEWLINE)
     low, high = np.searchsorted(words.start, lines.start), np.searchsorted(words.start, lines.end)
     ok = high - low >= min_words
@@ -67,7 +71,7 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.W
     run = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * up[: len(h)], out=run[1:])
     node = wk.mix((run[high] - run[low]) * down[low] + (high - low).astype(np.uint64)).view(np.int64)
-    return words, low, high, text, number, node
+    return words, h, low, high, text, number, node
 
 
 def _gather(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,110 +81,138 @@ def _gather(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(low - first[:-1], n) + np.arange(int(first[-1])), first
 
 
-def line_table(docs: DataFrame, min_words: int, wide: bool = False) -> DataFrame:
-    """(doc_id, text_hash, line, node, hash): a row for each line of enough words; lines count from 0.
-
-    ``wide`` adds KEYS, two 32-bit keys in each, null where the task has met the class before.
+def _normalised(words: wk.Words, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The words low[i]..high[i] of each line with one space between, as binary."""
+    length = words.end - words.start
+    place = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(int(place[-1]), 32, dtype=np.uint8)
+    inside = np.zeros(len(words.buf) + 1, dtype=np.int8)
+    inside[words.start] += 1
+    inside[words.end] -= 1  # no two words end at the same byte
+    taken = words.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    out[np.arange(len(taken)) + np.repeat(np.arange(len(length)), length)] = taken
+    edges = np.stack([place[low], place[high] - 1], axis=1).ravel().astype(np.int32)  # lines and what is between them
+    spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(out)])
+    return spans.take(pa.array(np.arange(0, len(edges) - 1, 2)))
+
+
+def _class_columns(words: wk.Words, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """hash, chars and KEYS of lines."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[low] = _U(1)
+    taken, first = _gather(low, high)
+    features = wk.mix(before[taken] * wk._PLACE[0] + h[taken] * wk._PLACE[1])
+    lead = np.concatenate([[0], np.cumsum((words.buf & 0xC0) != 0x80)])
+    run = np.concatenate([[0], np.cumsum(lead[words.end] - lead[words.start] + 1)])
+    chars = np.minimum(run[high] - run[low] - 1, 65_535).astype(np.int32)
+    keys = np.ascontiguousarray(sh.band_keys(features, first)).view(np.int64)
+    return [sh.simhashes(features, first).view(np.int64), chars, *np.ascontiguousarray(keys.T)]
+
+
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, line, node, hash, chars, KEYS, norm): a row for each line of enough words; lines count from 0.
+
+    hash, chars, KEYS and norm are null where the task has met the class before.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "line", "node", "hash", *KEYS * wide]
+    names = ["doc_id", "text_hash", "line", "node", *CLASS, "norm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, offsets in wk.slices(batch.column(2)):
-                words, low, high, text, number, node = lines_of(buf, offsets, min_words)
-                if len(node):
-                    taken, first = _gather(low, high)
-                    hashes = sh.simhashes(words.hashes()[taken], first)
-                    keys = []
-                    if wide:
-                        met = np.array([x in seen or seen.add(x) is not None for x in node.tolist()])
-                        found = np.zeros((len(node), sh.BANDS), dtype=np.uint32)
-                        fresh, begin = _gather(low[~met], high[~met])
-                        found[~met] = sh.band_keys(words.hashes()[fresh], begin)
-                        keys = [pa.array(k, mask=met) for k in np.ascontiguousarray(found.view(np.int64).T)]
-                    owner = [batch.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in range(2)]
-                    yield pa.RecordBatch.from_arrays([*owner, pa.array(number.astype(np.int32)), pa.array(node), pa.array(hashes.view(np.int64)), *keys], names=names)
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, line int, node long, hash long" + "".join(f", {k} long" for k in KEYS * wide))
-
-
-def _wide(classes: DataFrame) -> list[str]:
-    return [k for k in KEYS if k in classes.columns]
+                words, h, low, high, text, number, node = lines_of(buf, offsets, min_words)
+                if not len(node):
+                    continue
+                fresh = np.array([x not in seen and seen.add(x) is None for x in node.tolist()])
+                at = pa.array(np.where(fresh, np.cumsum(fresh) - 1, 0), mask=~fresh)
+                made = [pa.array(x) for x in _class_columns(words, h, low[fresh], high[fresh])] if fresh.any() else [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * len(KEYS)]
+                norm = _normalised(words, low[fresh], high[fresh]) if fresh.any() else pa.nulls(1, pa.binary())
+                owner = [batch.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*owner, pa.array(number.astype(np.int32)), pa.array(node), *(x.take(at) for x in (*made, norm))], names=names)
+        del seen
+        give_back()
+
+    schema = f"doc_id {kind}, text_hash long, line int, node long, hash long, chars int, {', '.join(f'{k} long' for k in KEYS)}, norm binary"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """A row of ten keys for each class: of its MinHash if the batch has KEYS, else of its SimHash."""
-    if KEYS[0] not in batch.schema.names:
-        return wk.mix(sh.keys(batch["hash"].to_numpy().view(np.uint64)))
+    """A row of 64-bit keys for each class; different bands have different ones."""
     packed = np.stack([batch[k].to_numpy() for k in KEYS], axis=1).view(np.uint32)
     return wk.mix(packed.astype(np.uint64) | np.arange(sh.BANDS, dtype=np.uint64) << _U(32))
 
 
-def _crowded(classes: DataFrame, counters: int, parts: int = 16) -> np.ndarray:
-    """For each counter whether keys that fall on it may have more than CROWD classes."""
+def _crowded(classes: DataFrame, n: int, counters: int, parts: int = 16) -> np.ndarray:
+    """Bits, for each counter whether keys that fall on it may have more than CROWD of the ``n`` classes."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, dtype=np.uint32)
+        counts = np.zeros(counters, dtype=np.uint64)
         for batch in batches:
-            key = _keys(batch).ravel()
-            counts += np.bincount((key & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
-        small = counts.astype(np.uint8) if counts.max() < 256 else counts
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.split(small, parts)], pa.binary())], names=["part", "counts"])
+            counts += np.bincount((_keys(batch).ravel() & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint64)
+        yield counter_blobs(counts, parts)
+
+    mean = n * sh.BANDS / counters
+    most = mean + 8 * mean**0.5 + CROWD
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(counters // parts, dtype=np.uint64)
-        for blob in group["counts"]:
-            raw = blob.as_py()
-            total += np.frombuffer(raw, dtype=np.uint8 if len(raw) == counters // parts else np.uint32)
-        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(x.as_buffer(), dtype=np.uint64) > most).tobytes() for x in batch["counts"]]
+            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(bits, pa.binary())], names=["part", "bits"])
 
-    out = np.zeros(counters, dtype=np.uint64)
-    for row in classes.select("hash", *_wide(classes)).mapInArrow(tally, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # ``counters`` numbers in all
-        out[row["part"] * (counters // parts) : (row["part"] + 1) * (counters // parts)] = np.frombuffer(row["counts"], dtype=np.uint64)
-    mean = float(out.sum()) / counters
-    return out > mean + 8 * mean**0.5 + CROWD
+    sums = summed_blobs(classes.select(*KEYS).mapInArrow(tally, "part int, width int, counts binary"))
+    out = np.zeros((parts, counters // parts // 8), dtype=np.uint8)
+    for row in sums.mapInArrow(pack, "part int, bits binary").collect():  # ``counters`` bits in all
+        out[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
 
 
 def _postings(classes: DataFrame, crowded: np.ndarray, ranges: int, labelled: bool = False) -> DataFrame:
-    """(range, postings) of ordinary keys and (key, node, hash) of crowded ones; ``labelled`` classes have a label too."""
+    """(range, postings) of ordinary keys and (key, node, hash, chars) of crowded ones; ``labelled`` classes have a label too."""
     kind = LABELLED if labelled else POSTING
-    shared = classes.sparkSession.sparkContext.broadcast(np.packbits(crowded))
-    names = ["range", "postings", "key", "node", "hash"]
+    shared = classes.sparkSession.sparkContext.broadcast(crowded)
+    names = ["range", "postings", "key", "node", "hash", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            hashes = batch.column(1).to_numpy().view(np.uint64)
             key = _keys(batch)
-            rows = np.empty(key.size, dtype=kind)
-            rows["key"], rows["node"], rows["hash"] = key.ravel(), np.repeat(batch.column(0).to_numpy(), key.shape[1]), np.repeat(hashes, key.shape[1])
+            width = key.shape[1]
+            key = key.ravel()
+            rows = np.empty(len(key), dtype=kind)
+            rows["key"], rows["node"] = key & _U(0xFFFFFFFF), np.repeat(batch["node"].to_numpy(), width)
+            rows["hash"], rows["chars"] = np.repeat(batch["hash"].to_numpy().view(np.uint64), width), np.repeat(batch["chars"].to_numpy(), width)
             if labelled:
-                rows["label"] = np.repeat(batch["label"].to_numpy(), key.shape[1])
-            many = hot[(rows["key"] & _U(len(hot) - 1)).astype(np.int64)]
-            few, more = rows[~many], rows[many]
-            at = ((few["key"] >> _U(32)) * _U(ranges)) >> _U(32)
+                rows["label"] = np.repeat(batch["label"].to_numpy(), width)
+            many = hot[(key & _U(len(hot) - 1)).astype(np.int64)]
+            few = rows[~many]
+            at = ((key[~many] >> _U(32)) * _U(ranges)) >> _U(32)
             order = np.argsort(at, kind="stable")
             few, at = few[order], at[order]
             if len(few):
                 edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
                 data = [few[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 k = len(data)
-                yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(data, pa.binary()), *[pa.nulls(k, pa.int64())] * 3], names=names)
-            if len(more):
-                k = len(more)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *[pa.array(np.ascontiguousarray(more[f]).view(np.int64)) for f in ("key", "node", "hash")]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(data, pa.binary()), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32())], names=names)
+            if many.any():
+                k, more = int(many.sum()), rows[many]
+                columns = [key[many].view(np.int64), more["node"].copy(), more["hash"].copy().view(np.int64), more["chars"].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *map(pa.array, columns)], names=names)
 
-    return classes.select("node", "hash", *_wide(classes), *["label"] * labelled).mapInArrow(run, "range int, postings binary, key long, node long, hash long")
+    return classes.select("node", *CLASS, *["label"] * labelled).mapInArrow(run, "range int, postings binary, key long, node long, hash long, chars int")
 
 
-def _near_pairs(rows: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (x, y) of hashes within ``bits`` under one key; some megabytes at a time, whatever a group's size."""
-    order = np.argsort(rows["key"], kind="stable")
-    key, hashes = rows["key"][order], rows["hash"][order]
+def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (x, y) of near classes under one key; some megabytes at a time, whatever a group's size.  ``rows`` are sorted by key."""
+    key, hashes, chars = rows["key"], np.ascontiguousarray(rows["hash"]), rows["chars"].astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
+
+    def near(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+        close = np.bitwise_count(hashes[x] ^ hashes[y]) <= sh.BITS
+        return close & (5 * np.abs(chars[x] - chars[y]) <= np.maximum(chars[x], chars[y]))
+
     for s in np.unique(size[(size > 1) & (size <= 64)]).tolist():
         begin = edge[:-1][size == s]
         i, j = np.triu_indices(s, 1)
@@ -188,66 +220,57 @@ def _near_pairs(rows: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.nd
         for k in range(0, len(begin), step):
             part = begin[k : k + step, None]
             x, y = (part + i).ravel(), (part + j).ravel()
-            near = np.bitwise_count(hashes[x] ^ hashes[y]) <= bits
-            yield order[x[near]], order[y[near]]
+            ok = near(x, y)
+            yield x[ok], y[ok]
     for a, z in zip(edge[:-1][size > 64].tolist(), edge[1:][size > 64].tolist(), strict=True):
         for x in range(a, z - 1):
-            near = np.flatnonzero(np.bitwise_count(hashes[x + 1 : z] ^ hashes[x]) <= bits) + x + 1
-            if len(near):
-                yield np.full(len(near), order[x]), order[near]
+            y = np.flatnonzero(near(np.arange(x + 1, z), x)) + x + 1
+            if len(y):
+                yield np.full(len(y), x), y
 
 
-def _pairs_of_ranges(postings: DataFrame, bits: int, labelled: bool = False) -> DataFrame:
-    """(a, b) of classes with a common ordinary key and near hashes: of each range a spanning forest, or, with labels, all pairs across labels."""
+def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
+    """(a, b) of near classes under a common ordinary key: each class with the smallest one it meets, or, with labels, all pairs across labels."""
     kind = LABELLED if labelled else POSTING
 
     def pairs(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_py(), dtype=kind) for b in group["postings"]])
+        rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in group["postings"]])
+        rows = rows[np.lexsort((rows["node"], rows["key"]))]
+        again = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
+        rows = rows[np.concatenate([[True], ~again])]  # several tasks may have met a class
         nodes, at = np.unique(rows["node"], return_inverse=True)
-        found: list[np.ndarray] = []
-        parent = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for x, y in _near_pairs(rows, bits):
+        least, found = np.arange(len(nodes)), [np.zeros((0, 2), np.int64)]
+        for x, y in _near_pairs(rows):
             if labelled:
                 apart = rows["label"][x] != rows["label"][y]
-                found.append(np.unique(np.sort(np.stack([at[x[apart]], at[y[apart]]], axis=1), axis=1), axis=0))
-                continue
-            for p, q in zip(at[x].tolist(), at[y].tolist(), strict=True):
-                r, t = root(p), root(q)
-                if r != t:
-                    parent[r] = t
-                    found.append(np.array([[min(p, q), max(p, q)]]))
-        ends = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                x, y = x[apart], y[apart]
+            low, high = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+            if labelled:
+                found.append(np.unique(np.stack([low, high], axis=1), axis=0))
+            else:
+                np.minimum.at(least, high, low)
+        if labelled:
+            ends = np.unique(np.concatenate(found), axis=0)
+        else:
+            moved = np.flatnonzero(least < np.arange(len(nodes)))
+            ends = np.stack([least[moved], moved], axis=1)
         return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
 
     rows = postings.where("range is not null").select("range", "postings")
-    return rows.groupBy("range").applyInArrow(pairs, "a long, b long").where("a <> b").distinct()
+    return rows.groupBy("range").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, min_words: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(node, norm): normalised lines of these classes; a filter of fixed size keeps most others out before the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
+def _classes_of(lines: DataFrame, nodes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(node, CLASS, norm) of these classes and a few others; a filter of fixed size keeps most out before the shuffle."""
+    shared = lines.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = np.unpackbits(shared.value).astype(bool), set()
+        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for _, _, buf, offsets in wk.slices(batch.column(0)):
-                words, low, high, _, _, node = lines_of(buf, offsets, min_words)
-                found, norm = [], []
-                for i in np.flatnonzero(wanted[node & ((1 << bits) - 1)]).tolist():
-                    if int(node[i]) not in seen:
-                        seen.add(int(node[i]))
-                        found.append(int(node[i]))
-                        norm.append(b" ".join(words.buf[s:e].tobytes() for s, e in zip(words.start[low[i] : high[i]], words.end[low[i] : high[i]], strict=True)).decode("utf-8", "replace"))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(norm, pa.string())], names=["node", "norm"])
+            yield batch.filter(pa.array(wanted[batch["node"].to_numpy() & ((1 << bits) - 1)]))
 
-    return docs.select("text").mapInArrow(run, "node long, norm string").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    found = lines.where("hash is not null").select("node", *CLASS, "norm")
+    return found.mapInArrow(run, found.schema).dropDuplicates(["node"])
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int:
@@ -281,61 +304,87 @@ def edit_distance_within(a: str, b: str, most: int) -> int:
     return distance
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def aligned_cost(a: list[str], b: list[str], most: int) -> int:
+    """What it costs to change one list of words into the other by one of many ways: no less than the edit distance; over ``most``, some number over it."""
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif i + 1 < len(a) and a[i + 1] == b[j] and not (j + 1 < len(b) and a[i + 1] == b[j + 1]):
+            cost, i = cost + len(a[i]) + 1, i + 1
+        elif j + 1 < len(b) and a[i] == b[j + 1] and not (i + 1 < len(a) and a[i + 1] == b[j + 1]):
+            cost, j = cost + len(b[j]) + 1, j + 1
+        else:
+            cost, i, j = cost + max(len(a[i]), len(b[j])), i + 1, j + 1
+    return cost + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the edit distance is at most a fifth of the longer length."""
+    most = max(len(a), len(b)) // 5
+    if abs(len(a) - len(b)) > most:
+        return False
+    return aligned_cost(a.split(" "), b.split(" "), most) <= most or edit_distance_within(a, b, most) <= most
+
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) within edit distance."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["norm_a"].to_pylist(), batch["norm_b"].to_pylist(), strict=True):
-                most = max(len(x), len(y)) // 5
-                keep.append(edit_distance_within(x, y, most) <= most)
+            keep = [similar(x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in zip(batch["norm_a"].to_pylist(), batch["norm_b"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = (texts.select(F.col("node").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
+    a, b = (classes.select(F.col("node").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(close, "a long, b long")
 
 
-def _near(x: str, y: str, bits: int):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
-
-
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, counters: int = COUNTERS, wide: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines, components): lines (doc_id, text_hash, line, node, hash); components (node, component) of linked classes."""
-    bits = sh.WIDE if wide else sh.DISTANCE
-    lines = stored(line_table(docs, min_words, wide), "lines")
-    classes = stored(lines.groupBy("node").agg(*[F.min(c).alias(c) for c in ("hash", *KEYS * wide)]), "line-classes")
-    n = classes.count()
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(sh.PAIRS) // 2_000_000 + 1)
-    crowded = _crowded(classes, counters)
-    postings = stored(_postings(classes, crowded, ranges), "line-keys")
-    pairs = stored(_pairs_of_ranges(postings, bits), "line-pairs")
-    crowd = postings.where("key is not null").select("key", "node", "hash")
-    crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "node", "hash")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = paired.union(crowd.select("node")).distinct()
-    texts = stored(_texts_of(docs, wanted, min_words), "line-texts")
-    components = connected_components(stored(_verified(pairs, texts), "line-links"))
-    label = classes.join(paired, "node", "left_semi").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), bits, labelled=True), texts)
-    for turn in range(STAR_ROUNDS + 1):
-        label = crowd.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        rows = stored(label.join(mixed, "key"), "line-crowd")
-        if not rows.limit(1).count():
-            break
-        if turn < STAR_ROUNDS:
-            hub = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "hash", "label")).alias("hub"))
-            other = rows.join(hub, "key").select("key", "node", "hash", "label", F.col("hub.node").alias("node_"), F.col("hub.hash").alias("hash_"), F.col("hub.label").alias("label_"))
-        else:
-            other = rows.join(rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "hash", "label")]), "key").where(F.col("node") < F.col("node_"))
-        apart = other.where((F.col("label") != F.col("label_")) & _near("hash", "hash_", bits))
-        components = _more(components, apart.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), texts)
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(lines, components): lines (doc_id, text_hash, line, node, ...); components (node, component) of linked classes."""
+    lines = stored(line_table(docs, min_words), "lines")
+    fresh = lines.where("hash is not null").select("node", *CLASS)
+    n = fresh.count()
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * sh.BANDS // RANGE_ROWS + 1)
+    # some sixteen keys a counter
+    counters = 1 << min(28, max(16, (n * sh.BANDS // 16).bit_length()))
+    crowded = _crowded(fresh, n, counters)
+    postings = _postings(fresh, crowded, ranges)
+    pairs = stored(_pairs_of_ranges(postings), "line-pairs")
+    wanted, hot = pairs.select(F.explode(F.array("a", "b")).alias("node")), None
+    if crowded.any():
+        hot = postings.where("key is not null").select("key", "node", "hash", "chars").distinct()
+        hot = stored(hot.join(hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"), "line-crowd")
+        wanted = wanted.union(hot.select("node"))
+    classes = stored(_classes_of(lines, wanted), "line-classes")
+    components = connected_components(stored(_verified(pairs, classes), "line-links"))
+    label = classes.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), labelled=True), classes)
+    if hot is not None:
+        components = _more(components, _crowd_pairs(hot, components, stars=True), classes)
+        components = _more(components, _crowd_pairs(hot, components, stars=False), classes)
     return lines, components
 
 
-def _more(components: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    return merged_components(components, stored(_verified(candidates, texts), "line-links"))
+def _crowd_pairs(hot: DataFrame, components: DataFrame, stars: bool) -> DataFrame:
+    """(a, b) of near classes under a crowded key that are in different components: with one class of the key only, or all."""
+    label = hot.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rows = stored(label.join(mixed, "key"), "line-crowd")
+    columns = ["node", "hash", "chars", "label"]
+    if stars:
+        hub = rows.groupBy("key").agg(F.min(F.struct(*columns)).alias("hub"))
+        other = rows.join(hub, "key").select("*", *[F.col(f"hub.{c}").alias(f"{c}_") for c in columns])
+    else:
+        other = rows.join(rows.select("key", *[F.col(c).alias(f"{c}_") for c in columns]), "key").where(F.col("node") < F.col("node_"))
+    near = F.bit_count(F.col("hash").bitwiseXOR(F.col("hash_"))) <= sh.BITS
+    near &= 5 * F.abs(F.col("chars") - F.col("chars_")) <= F.greatest("chars", "chars_")
+    apart = other.where((F.col("label") != F.col("label_")) & near)
+    return apart.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
+def _more(components: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    links = stored(_verified(candidates, classes), "line-links")
+    return merged_components(components, links) if links.limit(1).count() else components
 
 
 def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
@@ -349,10 +398,10 @@ def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, wide: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``removed`` (line numbers from 0) and ``deduped``, the text without those lines."""
     docs = docs.drop("removed", "deduped")
-    gone = removed_lines(*line_groups(docs, min_words, wide=wide)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
+    gone = removed_lines(*line_groups(docs, min_words)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
     joined = docs.join(gone, same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     keys = F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True)))
@@ -361,5 +410,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, wide: bool = False)
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, wide=True)
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("deduped", 256).alias("deduped_sha256"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("deduped", 256).alias("deduped_sha256"))

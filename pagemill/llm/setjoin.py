@@ -301,7 +301,7 @@ def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"part": group["part"].slice(0, 1), "block": pa.array([np.packbits(block).tobytes()], pa.binary())})
 
     out = np.zeros((256, (1 << (bits - 8)) // 8), dtype=np.uint8)
-    for row in places.distinct().groupBy("part").applyInArrow(fill, "part int, block binary").collect():  # 2**bits bits
+    for row in places.groupBy("part").applyInArrow(fill, "part int, block binary").collect():  # 2**bits bits
         out[row["part"]] = np.frombuffer(row["block"], dtype=np.uint8)
     return out.ravel()
 
