@@ -8,8 +8,9 @@ Response records: record_id, target_uri, date, block (binary: the HTTP head, an
 body), block_digest, payload_digest.
 
 Defined results: a null block counts as an empty one and gives both derivatives, the conversion with
-an empty block; a block without an empty line is all head; null URIs stay null; bytes that aren't
-valid in the declared charset become U+FFFD; unclosed tags stay text; a body with a content or
+an empty block; a block without an empty line is all head, whatever its length; every header line of
+the head is listed in the metadata; null URIs stay null; bytes that aren't valid in the declared charset
+(UTF-8 or Latin-1; others are read as UTF-8) become U+FFFD; unclosed tags stay text; a body with a content or
 transfer encoding is not decoded here: its conversion block is empty and the metadata names the
 encoding; repeated responses give repeated derivatives; other columns of the input pass through,
 except those named like an output, which are replaced.
@@ -17,22 +18,21 @@ except those named like an output, which are replaced.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
 from pagemill.llm.common import table
 
-#: Named character references that are decoded.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
-    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€",
-    "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶", "deg": "°", "times": "×", "divide": "÷", "plusmn": "±", "szlig": "ß",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ",
-}
+#: Named character references that are decoded: those of HTML 4, and ``apos``.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 #: Elements that begin and end a line.
 BLOCKS = "p|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|article|section|nav|header|footer|aside|main|blockquote|pre|form|body|html|br|hr"
 
-UNSEEN = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<head(?:\s[^>]*)?>.*?</head\s*>"
+#: All begin with the same character, so a pattern tries its branches only there.
+UNSEEN = r"(?is)<(?:!--.*?-->|script(?:\s[^>]*)?>.*?</script\s*>|style(?:\s[^>]*)?>.*?</style\s*>|head(?:\s[^>]*)?>.*?</head\s*>)"
 BREAK = rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>"
 TAG = r"</?[A-Za-z!?][^>]*>"
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
@@ -71,15 +71,20 @@ def decode_references(text: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Visible text, a line for each block element, blanks collapsed."""
     text = F.regexp_replace(html, UNSEEN, " ")
-    text = F.regexp_replace(F.translate(text, "\n", " "), BREAK, "\n")
-    text = decode_references(F.regexp_replace(text, TAG, ""))
+    text = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), BREAK, "\n")
+    text = _decoded(F.regexp_replace(text, TAG, ""))
     text = F.regexp_replace(F.regexp_replace(text, BLANK, " "), LINES, "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(text, F.lit(" \n"))
+
+
+def _decoded(text: Column) -> Column:
+    """References decoded where there may be one."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decode_references(t)).otherwise(t))
 
 
 def html_title(html: Column) -> Column:
     title = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(decode_references(title), r"[\n]", " "), BLANK, " "))
+    return F.trim(F.regexp_replace(F.replace(_decoded(title), F.lit("\n"), F.lit(" ")), BLANK, " "))
 
 
 def sha256(block: Column) -> Column:
@@ -116,19 +121,33 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """
     keep = [c for c in responses.columns if c not in {"record_id", "target_uri", "date", "block", "block_digest", "payload_digest", "record_type", "refers_to", "refers_to_date", "source_block_digest", "content_type", "content_length"}]
     whole = F.coalesce("block", F.lit("").cast("binary"))
-    latin = F.decode(F.substring(whole, 1, 65_536), "ISO-8859-1")  # one character a byte
-    end = F.instr(latin, HEAD_END)
-    r = responses.select(*keep, "record_id", "target_uri", "date", "block_digest", "payload_digest", whole.alias("whole"), F.when(end > 0, F.substring(latin, F.lit(1), end - 1)).otherwise(latin).alias("head"), end.alias("end"))
-    r = r.withColumn("body", F.when(F.col("end") > 0, F.substring(F.col("whole"), F.col("end") + len(HEAD_END), F.length("whole"))).otherwise(F.lit("").cast("binary")))
-    r = r.withColumns({"http_type": _header(F.col("head"), "content-type"), "encodings": F.concat_ws(" ", F.array_compact(F.transform(F.array(_header(F.col("head"), "content-encoding"), _header(F.col("head"), "transfer-encoding")), lambda x: F.when(~F.lower(x).isin("", "identity"), x))))})
+    # found by bytes: no decoding, and a head of any length
+    head = F.substring_index(whole.cast("string"), HEAD_END, 1).cast("binary")
+    r = responses.select(*keep, "record_id", "target_uri", "date", "block_digest", "payload_digest", whole.alias("whole"), head.alias("head_bytes"))
+    size = F.octet_length("head_bytes")
+    body = F.when(size < F.octet_length("whole"), F.substring(F.col("whole"), size + len(HEAD_END) + 1, F.octet_length("whole"))).otherwise(F.lit("").cast("binary"))
+    r = r.withColumns({"head": F.decode("head_bytes", "ISO-8859-1"), "body": body})
+    names = F.array(_header(F.col("head"), "content-encoding"), _header(F.col("head"), "transfer-encoding"))
+    encodings = F.concat_ws(" ", F.array_compact(F.transform(names, lambda x: F.when(~F.lower(x).isin("", "identity"), x))))
+    r = r.withColumns({"http_type": _header(F.col("head"), "content-type"), "encodings": encodings})
     latin_1 = F.lower(F.col("http_type")).rlike("charset=[\"']?(iso-8859-1|latin-?1|windows-1252)")
     page = F.when(latin_1, F.decode("body", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("body").cast("string")))
     r = r.withColumn("page", F.when(F.col("encodings") == "", page).otherwise(""))
-    text = F.when(F.lower(F.col("http_type")).rlike("^(text/html|application/xhtml)") | (F.col("http_type") == ""), html_to_text(F.col("page"))).when(F.lower(F.col("http_type")).startswith("text/"), F.col("page")).otherwise("")
+    kind = F.lower("http_type")
+    html = kind.rlike("^(text/html|application/xhtml)") | (kind == "")
+    text = F.when(html, html_to_text(F.col("page"))).when(kind.startswith("text/"), F.col("page")).otherwise("")
     r = r.withColumns({"text": text, "title": html_title(F.col("page"))})
     status = F.regexp_extract("head", r"^HTTP/[0-9.]+ +([0-9]{3})", 1)
-    fields = [("http-status", status), ("http-content-type", F.col("http_type")), ("http-encodings", F.col("encodings")), ("html-title", F.col("title")), ("source-block-digest", F.col("block_digest")), ("source-payload-digest", F.col("payload_digest")), ("source-body-bytes", F.octet_length("body").cast("string")), ("text-characters", F.length("text").cast("string"))]
-    metadata = F.array_join(F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))) for k, v in fields])), "")
+    fields = [
+        ("http-status", status), ("http-content-type", F.col("http_type")), ("http-encodings", F.col("encodings")), ("html-title", F.col("title")),
+        ("source-block-digest", F.col("block_digest")), ("source-payload-digest", F.col("payload_digest")),
+        ("source-body-bytes", F.octet_length("body").cast("string")), ("text-characters", F.length("text").cast("string")),
+    ]
+    # every header line of the response as it came, in order
+    lines = F.filter(F.split("head", "\r\n"), lambda line, i: (i > 0) & (line != ""))
+    headers = F.array_join(F.transform(lines, lambda line: F.concat(F.lit("http-header: "), line, F.lit("\r\n"))), "")
+    known = F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))) for k, v in fields]))
+    metadata = F.concat(F.array_join(known, ""), headers)
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), record_id("metadata", F.col("record_id")).alias("id"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), record_id("conversion", F.col("record_id")).alias("id"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
@@ -190,7 +209,7 @@ WITH p AS (
   UNION ALL
   SELECT *, 'metadata', 'application/warc-fields', 'http-status: 200' || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} || CASE WHEN title <> '' THEN 'html-title: ' || title || {_CRLF} ELSE '' END
     || 'source-block-digest: ' || source_block_digest || {_CRLF} || 'source-payload-digest: ' || payload_digest || {_CRLF}
-    || 'source-body-bytes: ' || octet_length(encode(html)) || {_CRLF} || 'text-characters: ' || length(text) || {_CRLF} FROM r
+    || 'source-body-bytes: ' || octet_length(encode(html)) || {_CRLF} || 'text-characters: ' || length(text) || {_CRLF} || 'http-header: Content-Type: text/html; charset=utf-8' || {_CRLF} FROM r
 ), i AS (SELECT *, md5(record_type || chr(10) || refers_to) AS h FROM d)
 SELECT page_id, record_type, {_SQL_ID.format(h="h")} AS record_id, refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS refers_to_date, source_block_digest, payload_digest, content_type, block,
        octet_length(encode(block)) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM i
