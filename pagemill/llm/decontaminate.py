@@ -6,8 +6,8 @@ shorter item is one window).  Every text is scanned once, and each hit is mapped
 and to character offsets of the original text.
 
 The automaton is broadcast as its patterns, ``block_windows`` of them at most; a larger test
-set is scanned in blocks, one pass over the texts for each, so neither the driver nor a task
-holds more than a block.  There is no shuffle.
+set is scanned in blocks, one pass over the texts for each, and what a pass found is stored before the
+next one, so neither the driver nor a task holds more than a block.  There is no shuffle.
 
 Defined results: null and wordless texts have no words and no hits; null or wordless items have
 no windows; items that occur twice count once; an item with a null id marks words as hit but is
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import table
+from pagemill.llm.common import stored, table
 
 WINDOW = 10
 BLOCK_WINDOWS = 50_000
@@ -157,8 +157,9 @@ def _covered(hits: Column) -> Column:
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with n_words, hits (item, words, characters), n_hit, item_ids and contaminated."""
     docs = docs.drop("hits", "n_hit", "item_ids", "contaminated")
-    for block in blocks(items, window, block_windows):
-        docs = scan(docs, block)
+    for number, block in enumerate(blocks(items, window, block_windows)):
+        # one block at a time: what the last one found is stored before the next automaton is made
+        docs = scan(stored(docs, "hits") if number else docs, block)
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"]), lambda x: x.isNotNull())))
     return docs.withColumns({"n_hit": _covered(F.col("hits")), "item_ids": ids}).withColumn("contaminated", F.col("n_hit") > 0)
 

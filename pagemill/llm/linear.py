@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
+from pagemill.llm.common import give_back
 
 _U = np.uint64
 
@@ -169,6 +170,10 @@ def linear_scores(features: Features, weights: np.ndarray, bias: float, column:
     return out
 
 
+#: An index that no feature or parameter has.
+ANSWERED = -(1 << 60)
+
+
 def fit_shards(sample: DataFrame, rows: int, per_shard: int, learn: Callable[[pa.Array, np.ndarray], dict[int, float]]) -> dict[int, float]:
     """Mean over the shards of what ``learn(texts, labels)`` gives for each index.
 
@@ -183,14 +188,16 @@ def fit_shards(sample: DataFrame, rows: int, per_shard: int, learn: Callable[[pa
         group = group.take(order)
         texts, labels = group["text"].combine_chunks(), group["label"].to_numpy()
         del group
-        found = learn(texts, labels)
+        found = learn(texts, labels) | {ANSWERED: 1.0}
         del texts
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"index": pa.array(list(found), pa.int64()), "weight": pa.array(list(found.values()), pa.float64())})
 
     at = sample.select("doc_id", "text", "label", F.xxhash64(F.lit("order"), "doc_id").alias("at"))
     parts = at.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(one, "index long, weight double")
-    return {r["index"]: r["weight"] / shards for r in parts.groupBy("index").agg(F.sum("weight").alias("weight")).collect()}
+    sums = {r["index"]: r["weight"] for r in parts.groupBy("index").agg(F.sum("weight").alias("weight")).collect()}
+    answered = sums.pop(ANSWERED, 0.0)  # a shard may have no row: its labelled ids may have no document
+    return {index: weight / answered for index, weight in sums.items()}
 
 
 def dense(found: dict[int, float], bits: int) -> np.ndarray:

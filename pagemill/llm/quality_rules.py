@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import is_training, one_label, table
+from pagemill.llm.common import counter_blobs, is_training, one_label, summed_blobs, table
 
 SIGNS = b"#*$%&|<>"
 WINDOW = 8
@@ -103,18 +103,13 @@ def count_bins(marked: DataFrame, bits: int, parts: int = 16) -> np.ndarray:
                 index, text = _bins(words.hashes(), words.first, bits)
                 counts[0] += np.bincount(index, minlength=1 << bits)
                 counts[1] += np.bincount(index[trusted[lo:hi][text]], minlength=1 << bits)
-        small = counts.astype(np.uint32) if counts.max() < 1 << 32 else counts
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([part.tobytes() for part in np.split(small, parts, axis=1)], pa.binary()), pa.array([small.dtype.itemsize] * parts, pa.int32())], names=["part", "counts", "width"])
+        yield counter_blobs(counts.T.ravel().astype(np.uint64), parts)
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype=np.uint32 if w == 4 else np.int64).astype(np.int64) for c, w in zip(group["counts"].to_pylist(), group["width"].to_pylist(), strict=True))
-        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    sums = marked.select("text", "trusted").mapInArrow(tally, "part int, counts binary, width int").groupBy("part").applyInArrow(add, "part int, counts binary")
+    sums = summed_blobs(marked.select("text", "trusted").mapInArrow(tally, "part int, width int, counts binary"))
     out = np.zeros((2, 1 << bits), dtype=np.int64)
     for row in sums.collect():  # 2 * 2**bits numbers in all
         width = (1 << bits) // parts
-        out[:, row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64).reshape(2, width)
+        out[:, row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64).reshape(width, 2).T
     return out
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import stored, table
+from pagemill.llm.common import counter_blobs, give_back, stored, summed_blobs, table
 from pagemill.llm.components import connected_components, merged_components
 
 WIDTH = 5
@@ -96,12 +96,12 @@ def signatures_differ(a: bytes, b: bytes) -> int:
 
 
 def _fingerprints(docs: DataFrame, width: int, counters: int, parts: int = 16) -> DataFrame:
-    """Rows (doc_id, n, node) and, in ``part`` and ``counts``, each task's token counters."""
+    """Rows (doc_id, n, node) and, in ``part``, ``width`` and ``counts``, each task's token counters."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(counters, dtype=np.uint32), set()
-        names = ["doc_id", "n", "node", "part", "counts"]
+        names = ["doc_id", "n", "node", "part", "width", "counts"]
         ids = None
         for batch in batches:
             ids = batch.column(0)
@@ -116,27 +116,21 @@ def _fingerprints(docs: DataFrame, width: int, counters: int, parts: int = 16) -
                         fresh = []
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+            none = pa.nulls(len(ids), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), none, none, pa.nulls(len(ids), pa.binary())], names=names)
         if ids is not None:
-            small = counts.astype(np.uint8) if counts.max() < 256 else counts
-            blobs = [p.tobytes() for p in np.split(small, parts)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, ids.type), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            blobs = counter_blobs(counts, parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, ids.type), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.int64()), *blobs.columns], names=names)
+        del counts, seen
+        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n int, node long, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n int, node long, part int, width int, counts binary")
 
 
 def _frequent(marked: DataFrame, counters: int) -> np.ndarray:
     """Counters, with those that don't stand out from the mean set to 0."""
 
-    def add(group: pa.Table) -> pa.Table:
-        total = None
-        for blob in group["counts"]:
-            raw = blob.as_py()
-            found = np.frombuffer(raw, dtype=np.uint8 if len(raw) == counters // 16 else np.uint32).astype(np.uint64)
-            total = found if total is None else total + found
-        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    sums = marked.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # ``counters`` numbers in all
+    sums = summed_blobs(marked.where("part is not null").select("part", "width", "counts")).collect()  # ``counters`` numbers in all
     out = np.zeros(counters, dtype=np.uint64)
     for row in sums:
         found = np.frombuffer(row["counts"], dtype=np.uint64)
@@ -171,10 +165,28 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         k = len(data)
         return pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(data, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, combo)], names=names)
 
+    def lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+        """Arrays, or null, as a column of lists, from one buffer of numbers."""
+        sizes = np.array([0 if v is None else len(v) for v in values])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([v is None for v in values] + [False]))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([v for v in values if v is not None] or [np.zeros(0, np.int64)]), kind))
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        """Classes (node, n, sig, base, heavy, (c, p1, p2))."""
+        node, n, sig, base, heavy, combos = zip(*found, strict=True)
+        k = len(node)
+        parts = [lists([None if c is None else c[i] for c in combos], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        pairs = pa.StructArray.from_arrays([x.values for x in parts], names=["c", "p1", "p2"])
+        sizes = np.array([0 if c is None else len(c[0]) for c in combos])
+        edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([c is None for c in combos] + [False]))
+        return pa.RecordBatch.from_arrays([
+            pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()),
+            pa.array([folded(x) for x in sig], pa.list_(pa.int64())), pa.array(base, pa.int32()), lists(list(heavy), pa.int64()), pa.ListArray.from_arrays(edges, pairs),
+        ], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, found, held = shared.value, set(), [], 0
+        counts, seen, found, held, classes, large = shared.value, set(), [], 0, [], 0
         for batch in batches:
-            nodes, sizes, sigs, combos, bases, heavies = [], [], [], [], [], []
             for _, tokens in token_sets(batch.column(0), width):
                 n, node = len(tokens), fingerprint(tokens)
                 if n < 4 or node in seen:  # fewer tokens link with equal sets only
@@ -185,31 +197,33 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                 prefix = min(n, n - (4 * n + 4) // 5 + K)
                 rare = tokens[weight == 0] if len(heavy) else tokens
                 single = rare[:prefix]
-                nodes.append(node)
-                sizes.append(n)
-                sigs.append(signature(tokens))
-                combos.append(None)
-                bases.append(len(single))
-                heavies.append(None)
                 if len(single):
                     found.append((single, node, n, np.arange(len(single))))
                     held += len(single)
-                left = prefix - len(single)
+                left, first, combos = prefix - len(single), None, None
                 if left >= K:
                     order = heavy[np.lexsort((tokens[heavy], weight[heavy]))][:left]
                     i, j = np.triu_indices(len(order), 1)
                     t = tokens[order]
-                    heavies[-1] = t.view(np.int64).tolist()
+                    first = t.view(np.int64)
                     key = wk.mix(t[i] * wk._PLACE[50] + t[j] * wk._PLACE[51]).view(np.int64)
-                    combos[-1] = [{"c": c, "p1": a, "p2": b} for c, a, b in zip(key.tolist(), (i + len(single)).tolist(), (j + len(single)).tolist(), strict=True)]
-                if held >= 500_000:
+                    combos = key, (i + len(single)).astype(np.int32), (j + len(single)).astype(np.int32)
+                    large += len(key)
+                classes.append((node, n, signature(tokens), len(single), first, combos))
+                large += n // 8
+                # some megabytes at a time
+                if held >= 250_000:
                     yield blobs(found)
                     found, held = [], 0
-            k = len(nodes)
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array([folded(x) for x in sigs], pa.list_(pa.int64())), pa.array(bases, pa.int32()), pa.array(heavies, pa.list_(pa.int64())), pa.array(combos, combo)], names=names)
+                if large >= 250_000 or len(classes) >= 10_000:
+                    yield rows(classes)
+                    classes, large = [], 0
+        if classes:
+            yield rows(classes)
         if found:
             yield blobs(found)
+        del seen, found, classes
+        give_back()
 
     return docs.select("text").mapInArrow(run, f"range int, postings binary, node long, n int, sig binary, fold array<bigint>, base int, heavy array<bigint>, combos array<{COMBINATION}>")
 
@@ -218,32 +232,44 @@ def _rare_pairs(prefixes: DataFrame) -> DataFrame:
     """(a, b, na, nb) of classes that share a rare token where size and position allow a link."""
 
     def pairs(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_py(), dtype=POSTING) for b in group["postings"]])
+        rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=POSTING) for b in group["postings"]])
         order = np.argsort(rows["token"], kind="stable")
         token = rows["token"][order]
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         size = np.diff(edge)
         out = []
-        for s in np.unique(size[size > 1]).tolist():
-            begin = edge[:-1][size == s]
-            i, j = np.triu_indices(s, 1)
-            step = max(1, 2_000_000 // len(i))
-            for k in range(0, len(begin), step):
-                part = begin[k : k + step, None]
-                x, y = rows[order[(part + i).ravel()]], rows[order[(part + j).ravel()]]
-                n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-                most = 1 + np.minimum(n - x["pos"] - 1, m - y["pos"] - 1)
-                ok = (x["node"] != y["node"]) & (most >= required(n, m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
-                x, y = x[ok], y[ok]
-                swap = x["node"] > y["node"]
-                found = np.empty(len(x), dtype=[("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
-                for f, p, q in (("a", "node", "node"), ("na", "n", "n")):
-                    found[f] = np.where(swap, y[p], x[q])
-                for f, p in (("b", "node"), ("nb", "n")):
-                    found[f] = np.where(swap, x[p], y[p])
-                out.append(np.unique(found))
+
+        def places() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Places of the two members of each pair under one token, some megabytes at a time whatever a group's size."""
+            for s in np.unique(size[(size > 1) & (size <= 256)]).tolist():
+                begin = edge[:-1][size == s]
+                i, j = np.triu_indices(s, 1)
+                step = max(1, 500_000 // len(i))
+                for k in range(0, len(begin), step):
+                    part = begin[k : k + step, None]
+                    yield (part + i).ravel(), (part + j).ravel()
+            for a, z in zip(edge[:-1][size > 256].tolist(), edge[1:][size > 256].tolist(), strict=True):
+                for at in range(a, z - 1):
+                    yield np.full(z - at - 1, at), np.arange(at + 1, z)
+
+        for left, right in places():
+            x, y = rows[order[left]], rows[order[right]]
+            n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+            most = 1 + np.minimum(n - x["pos"] - 1, m - y["pos"] - 1)
+            ok = (x["node"] != y["node"]) & (most >= required(n, m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            x, y = x[ok], y[ok]
+            swap = x["node"] > y["node"]
+            found = np.empty(len(x), dtype=[("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
+            for f, p, q in (("a", "node", "node"), ("na", "n", "n")):
+                found[f] = np.where(swap, y[p], x[q])
+            for f, p in (("b", "node"), ("nb", "n")):
+                found[f] = np.where(swap, x[p], y[p])
+            out.append(np.unique(found))
         all_pairs = np.unique(np.concatenate(out)) if out else np.empty(0, dtype=[("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
-        return pa.table({f: np.ascontiguousarray(all_pairs[f]) for f in ("a", "b", "na", "nb")})
+        made = pa.table({f: np.ascontiguousarray(all_pairs[f]) for f in ("a", "b", "na", "nb")})
+        del rows, out, order
+        give_back()
+        return made
 
     rows = prefixes.where("range is not null").select("range", "postings")
     return rows.groupBy("range").applyInArrow(pairs, "a long, b long, na int, nb int").distinct()
@@ -365,9 +391,9 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS)
     marked = stored(_fingerprints(docs, width, counters), "fingerprints")
     rows = marked.where("part is null").select("doc_id", "n", "node")
     frequent = _frequent(marked, counters)
-    # about a quarter of the tokens are posted; a range holds some two million postings
+    # about a quarter of the tokens are posted; a range holds some million postings
     tokens = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // 8_000_000) + 1)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // 4_000_000) + 1)
     prefixes = stored(_prefixes(docs, frequent, width, ranges), "prefixes")
     classes = prefixes.where("sig is not null").select("node", "sig", "fold", "base", "heavy").dropDuplicates(["node"])
     combos = stored(_combinations(prefixes), "combinations")
@@ -403,7 +429,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with __n and __node, the size and fingerprint of each row's set."""
+    """``docs`` with __set_size and __set_node, the size and fingerprint of each row's set."""
+    docs = docs.drop("__set_size", "__set_node")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,9 +438,10 @@ def with_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             n, node = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
             for row, tokens in token_sets(batch.column(at), width):
                 n[row], node[row] = len(tokens), fingerprint(tokens)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(node)], names=[*names, "__n", "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(node)], names=[*names, "__set_size", "__set_node"])
+        give_back()
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n int", "__node long"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__set_size int", "__set_node long"]))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -424,11 +452,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     names = docs.columns
     rows, _, components = jaccard_links(docs)
     classes = classes_with_components(rows, components)
-    chosen = classes.where("first_id <=> component_id").groupBy("component").agg(F.min("node").alias("__node"), F.min("first_id").alias("__id")).select("__id", "__node")
+    chosen = classes.where("first_id <=> component_id").groupBy("component").agg(F.min("node").alias("__set_node"), F.min("first_id").alias("__id")).select("__id", "__set_node")
     times = rows.where("n > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("__times")).select(F.col("doc_id").alias("__id2"), F.col("node").alias("__node2"), "__times")
-    chosen = chosen.join(times, chosen["__id"].eqNullSafe(times["__id2"]) & (chosen["__node"] == times["__node2"])).select("__id", "__node", "__times")
+    chosen = chosen.join(times, chosen["__id"].eqNullSafe(times["__id2"]) & (chosen["__set_node"] == times["__node2"])).select("__id", "__set_node", "__times")
     marked = with_sets(docs)
-    found = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__node"] == chosen["__node"]), "left")
-    kept = stored(found.where((F.col("__n") == 0) | F.col("__times").isNotNull()).select(*[marked[c] for c in names], marked["__node"].alias("__key"), F.when(F.col("__n") > 0, F.col("__times")).alias("__times")), "kept")
+    found = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__set_node"] == chosen["__set_node"]), "left")
+    kept = stored(found.where((F.col("__set_size") == 0) | F.col("__times").isNotNull()).select(*[marked[c] for c in names], marked["__set_node"].alias("__key"), F.when(F.col("__set_size") > 0, F.col("__times")).alias("__times")), "kept")
     once = kept.where("__times is null or __times = 1").select(*names)
     return once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__key"]).select(*names))

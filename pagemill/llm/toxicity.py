@@ -7,7 +7,8 @@ one vector of 2**bits floats.  Scoring: one map over all documents, without a sh
 Defined results: a null or empty text has no features and gets the bias's score; a text is
 scored whole whatever its length; a row is scored as often as it occurs; an empty table gives
 no rows; without any label the score is 0.5 everywhere.  Columns of the input that have the
-name of an output column are replaced.
+name of an output column are replaced.  A null id is no one's label; it counts as an empty
+text in ``held_out``.
 """
 
 from __future__ import annotations
@@ -87,4 +88,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
     """Pipeline stage: documents whose score is below the threshold, columns as they were."""
     model = train(docs, table(spark, sf_dir, "labels"))
     name = "__toxicity"
+    while name in docs.columns:
+        name += "_"
     return score(docs, model, out=name).where(F.col(name) < threshold).drop(name)

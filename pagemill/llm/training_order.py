@@ -13,7 +13,8 @@
    s mod shard_rows of shard s div shard_rows, and a reader resumes by seeking.
 
 The driver holds one number for each task.  Defined results: null and empty texts are one ``eos``;
-repeated rows are tokenised each; an empty table gives no rows; a null doc_id is listed as null; other
+ids that the
+layout's type can't hold are an error; repeated rows are tokenised each; an empty table gives no rows; a null doc_id is listed as null; other
 columns are not read.
 """
 
@@ -148,7 +149,7 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, eos: int = EOS, layout: Layout = Layout(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(part, pos, n_tokens, doc_ids, tokens): each task's stream in sequences; lazily, not yet stored."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, tokenizer))
-    size, dtype = layout.seq_len, layout.dtype
+    size, dtype, widest = layout.seq_len, layout.dtype, np.iinfo(layout.dtype).max
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +179,8 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
                 ids, counts = encoder.encode(buf, offsets)
                 stop = np.cumsum(counts)
                 ids = np.insert(ids, stop, eos)
+                if ids.max(initial=0) > widest:
+                    raise ValueError(f"token id {ids.max()} does not fit {dtype}")
                 ends = np.concatenate([ends, len(tokens) + stop + np.arange(1, len(stop) + 1)])
                 tokens = np.concatenate([tokens, ids.astype(dtype)])
                 new = batch.column(1).slice(lo, hi - lo)
@@ -259,8 +262,20 @@ def read_records(file: str, first: int, count: int, layout: Layout = Layout()) -
     return np.ascontiguousarray(data[:, :-1]).view(layout.dtype)
 
 
-def materialise(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    return training_order(stored(sequences(docs, layout=layout), "sequences"), layout=layout)
+def materialise(docs: DataFrame, layout: Layout = Layout(), path: str | None = None) -> DataFrame:
+    """Sequences in training order.
+
+    With ``path`` the token table is written there, and a later run that finds it whole reads it
+    instead of tokenising again, so that its order is the same whatever the split of its input.
+    """
+    seqs = sequences(docs, layout=layout)
+    if path is None:
+        return training_order(stored(seqs, "sequences"), layout=layout)
+    spark = docs.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        seqs.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return training_order(spark.read.schema(seqs.schema).parquet(path), layout=layout)
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,18 @@ def test_warc_heads(spark):
     assert {r["block"] for r in warc.derivatives(response(b"no head")).where("record_type = 'conversion'").collect()} == {""}
 
 
+def test_warc_long_heads_and_pages(spark):
+    head = "HTTP/1.1 200 OK\r\nSet-Cookie: " + "x" * 70_000 + "\r\nServer: ä\r\nContent-Type: text/html\r\n\r\n"
+    page = "<!-- " * 300 + "<script>" * 300 + "<p>a &amp; b</p>\n" * 20_000 + "<p>ende</p>"
+    kinds = "record_id string, target_uri string, date string, block binary, block_digest string, payload_digest string"
+    df = spark.createDataFrame([("<r>", "u", "d", bytearray((head + page).encode()), "b", "p")], kinds)
+    got = {r["record_type"]: r["block"] for r in warc.derivatives(df).collect()}
+    lines = got["conversion"].split("\n")
+    assert lines[-1] == "ende" and lines.count("a & b") >= 19_999
+    assert "http-header: Set-Cookie: " + "x" * 70_000 + "\r\n" in got["metadata"]
+    assert [x.split(":")[1].strip() for x in got["metadata"].split("\r\n") if x.startswith("http-header")] == ["Set-Cookie", "Server", "Content-Type"]
+
+
 def test_warc_file(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>Hallo</p>")], "page_id long, url string, html string")
     warc.write_warc(warc.derivatives(warc.responses_from_pages(pages)), str(tmp_path / "w"))
@@ -115,6 +127,101 @@ def test_ordinal(spark):
     assert row["expected_grade"] == pytest.approx(1.0)
 
 
+def plain_features(text):
+    """Distinct hashed words, pairs of neighbours and of words with one between, by the library's hashes."""
+    import pyarrow as pa
+
+    from pagemill.llm import wordkit as wk
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return set()
+    (_, _, buf, offsets), *_ = wk.slices(pa.array([" ".join(words)]))
+    h = [int(x) for x in wk.split_words(buf, offsets, wk.ALNUM).hashes()]
+    full = (1 << 64) - 1
+
+    def mix(x):
+        return int(wk.mix(np.array([x & full], dtype=np.uint64))[0])
+
+    place = [int(x) for x in wk._PLACE]
+    out = {mix(mix(x * place[0]) + 1) >> 44 for x in h}
+    out |= {mix(mix(x * place[0] + y * place[1]) + 2) >> 44 for x, y in zip(h, h[1:])}
+    return out | {mix(x * place[40] + y * place[42]) >> 44 for x, y in zip(h, h[2:])}
+
+
+def plain_ftrl(ftrl, texts, labels, slope, start):
+    """FTRL-proximal as it is written down, a dictionary for each coordinate."""
+    z, n, bias, squares = {}, {}, start or 0.0, 1.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= ftrl.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * ftrl.l1) / ((ftrl.beta + n[i] ** 0.5) / ftrl.alpha + ftrl.l2)
+
+    for _ in range(ftrl.epochs):
+        for text, label in zip(texts, labels, strict=True):
+            w = {i: weight(i) for i in plain_features(text)}
+            g = slope(bias + sum(w.values()), label)
+            for i in w:
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old**0.5) / ftrl.alpha * w[i]
+            squares += g * g
+            if start is not None:
+                bias -= 0.1 * g / squares**0.5
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_ftrl_against_plain():
+    import pyarrow as pa
+
+    from pagemill.llm import linear
+
+    rnd = random.Random(21)
+    texts = [None, "", "x"] + [prose(rnd, 12) + (" rotten fool" if i % 3 else "") for i in range(200)]
+    labels = [0, 0, 1] + [int(i % 3 > 0) for i in range(200)]
+    ftrl = linear.Ftrl(alpha=1.0, l1=1.0, epochs=2)
+    slope = lambda s, y: float(linear.sigmoid(s)) - y
+    index, weight, bias = linear.fit(toxicity.FEATURES, ftrl, pa.array(texts), np.array(labels), slope, 0.1)
+    want, want_bias = plain_ftrl(ftrl, texts, labels, slope, 0.1)
+    assert bias == pytest.approx(want_bias) and set(index.tolist()) == set(want) and len(want) > 20
+    assert dict(zip(index.tolist(), weight.tolist(), strict=True)) == pytest.approx(want)
+    weights = linear.dense(dict(zip(index.tolist(), weight.tolist(), strict=True)), 20)
+    scores = linear.linear_scores(toxicity.FEATURES, weights, bias, pa.array(texts))
+    assert scores == pytest.approx([bias + sum(want.get(i, 0.0) for i in plain_features(t)) for t in texts], abs=1e-5)
+
+
+def test_cumulative_link_against_plain():
+    """Weights and thresholds together, against the same steps on dictionaries."""
+    import pyarrow as pa
+
+    from pagemill.llm import linear
+
+    rnd = random.Random(22)
+    labels = [rnd.randrange(3) for _ in range(200)]
+    texts = [prose(rnd, 10) + " good" * y for y in labels]
+    ftrl = linear.Ftrl(alpha=0.5, l1=1.0, epochs=2)
+    one, two = (ordinal.CumulativeLink(np.array([-0.5, 0.5])) for _ in range(2))
+    index, weight, _ = linear.fit(toxicity.FEATURES, ftrl, pa.array(texts), np.array(labels), one.slope, None)
+    want, _ = plain_ftrl(ftrl, texts, labels, two.slope, None)
+    assert dict(zip(index.tolist(), weight.tolist(), strict=True)) == pytest.approx(want) and len(want) > 5
+    assert one.theta == pytest.approx(two.theta) and one.theta[0] < one.theta[1]
+
+
+def test_null_id_is_not_held_out(spark):
+    from pagemill.llm.common import is_training
+
+    row = spark.createDataFrame([(None,)], "doc_id long").select((~is_training()).alias("held_out")).first()
+    assert row["held_out"] is False
+
+
+def test_empty_shards_do_not_shrink_weights(spark):
+    from pagemill.llm.linear import fit_shards
+
+    sample = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, label int")
+    assert fit_shards(sample, 100, 10, lambda texts, labels: {7: 3.0}) == {7: 3.0}
+
+
 def test_ordinal_slopes():
     theta = np.array([-1.0, 0.5, 2.0])
 
@@ -159,6 +266,42 @@ def test_quality_rules(spark):
     assert all(r["kept"] != r["base_failed"] for r in quality_rules.judge(docs, free).collect())
 
 
+def test_quality_ratio_against_plain(spark):
+    """Counters over bins give the same ratios, and every text is on the right side of the threshold."""
+    import pyarrow as pa
+    from collections import Counter
+
+    from pagemill.llm import wordkit as wk
+
+    rnd = random.Random(14)
+    texts = [prose(rnd, rnd.randint(1, 60)) for _ in range(80)] + [None, "", "one"]
+    docs = documents(spark, texts)
+    model = quality_rules.fit_ratio(docs, spark.createDataFrame([(i,) for i in range(0, 80, 2)], "doc_id long"), bits=12)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)).alias("f")).collect()}
+
+    def bins(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if not words:
+            return []
+        (_, _, buf, offsets), *_ = wk.slices(pa.array([" ".join(words)]))
+        h = wk.split_words(buf, offsets, wk.SPACED).hashes()
+        pairs = wk.mix(h[:-1] * wk._PLACE[0] + h[1:] * wk._PLACE[1])
+        return [int(x) >> 52 for x in [*wk.mix(h.copy()), *pairs]]
+
+    raw, trusted = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(bins(t))
+        if i < 80 and i % 2 == 0 and fold[i] > 0:
+            trusted.update(bins(t))
+    ratio = [np.log((trusted[b] + 1) / (sum(trusted.values()) + 4096)) - np.log((raw[b] + 1) / (sum(raw.values()) + 4096)) for b in range(4096)]
+    assert model.ratio == pytest.approx(ratio, abs=1e-5)
+    for r in quality_rules.judge(docs, model).collect():
+        found = bins(texts[r["doc_id"]])
+        llr = sum(ratio[b] for b in found) / max(1, len(found))
+        assert r["llr"] == pytest.approx(llr, abs=1e-5)
+        assert r["kept"] == (not r["base_failed"] and r["llr"] >= model.threshold)
+
+
 def test_quality_counts_all(spark):
     docs = documents(spark, ["a b a", "b", None]).withColumn("trusted", F.col("doc_id") == 1)
     counts = quality_rules.count_bins(docs.repartition(3), 10)
@@ -222,6 +365,16 @@ def test_training_order_round_trip(spark, tmp_path):
     assert training_order.materialise(docs.limit(0), layout).count() == 0
 
 
+def test_training_order_is_resumed(spark, tmp_path):
+    docs = documents(spark, ["hello world " * 50, "b", "c"])
+    layout = training_order.Layout(16, "<u2", 8)
+    pick = lambda df: [(r["slot"], bytes(r["tokens"])) for r in df.orderBy("slot").collect()]
+    one = pick(training_order.materialise(docs, layout, str(tmp_path / "t")))
+    assert one == pick(training_order.materialise(docs.repartition(3), layout, str(tmp_path / "t")))
+    with pytest.raises(Exception, match="does not fit"):
+        training_order.materialise(docs, training_order.Layout(16, "<u1", 8)).collect()
+
+
 def test_encoder_is_whole_text(spark):
     import pyarrow as pa
 
@@ -413,74 +566,73 @@ def test_edit_distance():
         assert got == want if want <= most else got > most
 
 
-@pytest.mark.parametrize("crowd", [4096, -16])
-def test_fuzzy_lines(spark, crowd, monkeypatch):
-    from pagemill.llm import simhash as sh
-    from pagemill.llm import wordkit as wk
-
-    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
-    rnd = random.Random(11)
-    base = [prose(rnd, 30) for _ in range(12)]
-    texts = [None, "", "\n\n", "ab\nab"]
-    for _ in range(60):
+def test_similar():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        a = [rnd.choice(["ab", "c", "dddd", "ef"]) for _ in range(rnd.randint(1, 12))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = [rnd.choice(["ab", "xyz"])] * rnd.randint(0, 1)
+        x, y = " ".join(a), " ".join(b)
+        distance = plain_distance(x, y)
+        assert fuzzy_lines.similar(x, y) == (5 * distance <= max(len(x), len(y)) and distance <= max(len(x), len(y)) // 5)
+        assert not y or fuzzy_lines.aligned_cost(a, b, 10_000) >= distance
+
+
+def lines_with_copies(rnd):
+    """Texts of lines of 6 to 40 words, half of them near copies of others, and short ones."""
+    def word():
+        return "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
+
+    base = [[word() for _ in range(rnd.randint(6, 40))] for _ in range(30)]
+    texts = [None, "", "\n\n", "ab\nab", "Note", "note.", "two words", "Two Words", "one"]
+    for _ in range(90):
         lines = []
-        for _ in range(rnd.randint(1, 6)):
-            words = rnd.choice(base).split()
-            if rnd.random() < 0.6:
-                words[rnd.randrange(30)] = rnd.choice(WORDS)
+        for _ in range(rnd.randint(1, 4)):
+            words = list(rnd.choice(base)) if rnd.random() < 0.6 else [word() for _ in range(12)]
+            for _ in range(rnd.randint(0, 2)):
+                words[rnd.randrange(len(words))] = word()
             lines.append(" ".join(words).title() + rnd.choice(["", ".", " !"]))
         texts.append("\n".join(lines))
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [4096, -16])
+def test_fuzzy_lines(spark, crowd, monkeypatch):
+    """Against all pairs by edit similarity alone: nothing is linked that shouldn't be, and nine tenths of the pairs are."""
+    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
+    texts = lines_with_copies(random.Random(11))
     docs = documents(spark, texts).repartition(4).withColumn("removed", F.lit("clash"))
     got = {r["doc_id"]: (list(r["removed"]), r["deduped"]) for r in fuzzy_lines.dedup_lines(docs).collect()}
     norm, places = {}, []
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             words = re.findall(r"[a-z0-9]+", re.sub("[0-9]", "0", line.lower()))
-            if len(words) >= 3:
+            if words:
                 places.append((i, k, norm.setdefault(" ".join(words), len(norm))))
-    import pyarrow as pa
-
-    keys = list(norm)
-    (lo, hi, buf, offsets), *_ = wk.slices(pa.array(keys))
-    words = wk.split_words(buf, offsets, wk.ALNUM)
-    h = sh.simhashes(words.hashes(), words.first)
-    low = list(range(len(keys)))
-    for i in range(len(keys)):
-        for j in range(i):
-            if bin(int(h[i] ^ h[j])).count("1") <= 3 and 5 * plain_distance(keys[i], keys[j]) <= max(len(keys[i]), len(keys[j])) and low[i] != low[j]:
-                x, y = min(low[i], low[j]), max(low[i], low[j])
-                low = [x if v == y else v for v in low]
-    first = {}
+    keys, low = list(norm), list(range(len(norm)))
+    pairs = [(i, j) for i in range(len(keys)) for j in range(i) if abs(len(keys[i]) - len(keys[j])) * 5 <= max(len(keys[i]), len(keys[j])) and fuzzy_lines.edit_distance_within(keys[i], keys[j], max(len(keys[i]), len(keys[j])) // 5) <= max(len(keys[i]), len(keys[j])) // 5]
+    for i, j in pairs:
+        x, y = sorted((low[i], low[j]))
+        low = [x if v == y else v for v in low]
+    first, of_class = {}, {}
     for i, k, c in places:
         first.setdefault(low[c], (i, k))
-    gone = {i: [k for d, k, c in places if d == i and first[low[c]] != (d, k)] for i in range(len(texts))}
+        of_class.setdefault(c, []).append((i, k))
+    gone = {(i, k) for i in got for k in got[i][0]}
+    # what goes is in a group with a smaller place, and every repeated line but the first goes
+    for i, k, c in places:
+        assert (i, k) not in gone or first[low[c]] < (i, k)
+        assert (i, k) in gone or of_class[c][0] == (i, k)
+    joined = [of_class[i][0] in gone or of_class[j][0] in gone for i, j in pairs]
+    assert len(pairs) > 100 and sum(joined) >= 0.9 * len(pairs)
     for i, t in enumerate(texts):
-        assert got[i][0] == gone[i]
-        assert got[i][1] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
+        assert got[i][1] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone))
+    assert [got[i][0] for i in range(3, 9)] == [[1], [], [0], [], [0], []]
     assert fuzzy_lines.dedup_lines(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("crowd", [0, 4096])
-def test_fuzzy_lines_recall(spark, crowd, monkeypatch, tmp_path):
-    """The query's links against edit similarity alone, and copies of lines of one and two words."""
-    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
-    rnd = random.Random(13)
-    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
-    texts = []
-    for i in range(150):
-        words = [word() for _ in range(rnd.randint(8, 40))]
-        texts.append(" ".join(words))
-        words[rnd.randrange(len(words))] = word()
-        texts.append(" ".join(words))
-    close = [5 * plain_distance(a, b) <= max(len(a), len(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    short = ["Note", "note.", "two words", "Two Words", "one"]
-    documents(spark, texts + short).write.parquet(str(tmp_path / "documents.parquet"))
-    gone = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.op6_fuzzy_lines(spark, str(tmp_path)).collect()}
-    assert not any(gone[i] for i in range(0, len(texts), 2))
-    found = [gone[i] == 1 for i in range(1, len(texts), 2)]
-    assert not any(f and not c for f, c in zip(found, close, strict=True))
-    assert sum(found) >= 0.9 * sum(close)
-    assert [gone[len(texts) + i] for i in range(5)] == [0, 1, 0, 1, 0]
+    few = {r["doc_id"]: list(r["removed"]) for r in fuzzy_lines.dedup_lines(docs, min_words=3).collect()}
+    assert few[3] == few[5] == few[7] == []
 
 
 # --- pipeline
@@ -522,6 +674,12 @@ def test_pipeline(spark, tmp_path):
     free = stages["decontamination"](spark, docs, d)
     assert free.columns == docs.columns and {900, 901} <= {r["doc_id"] for r in free.collect()} and free.where("doc_id = 902").count() == 0
     assert stages["mixing"](spark, docs, d).columns == docs.columns
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, d).count() == 0, name
+    lost = spark.createDataFrame([(None, prose(rnd, 60), None, None, None), (None, prose(rnd, 60), None, None, None)], DOCS).withColumn("__toxicity", F.lit(1))
+    for name in ("toxicity", "near_duplicates", "decontamination"):
+        assert stages[name](spark, lost, d).count() == 2 and stages[name](spark, lost, d).columns == lost.columns, name
     out = corpus_pipeline.run(spark, d).collect()
     assert [r["slot"] for r in sorted(out, key=lambda r: r["slot"])] == list(range(len(out)))
     assert not {901, 902} & {x for r in out for x in r["doc_ids"]}
