@@ -85,8 +85,10 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Pipeline stage: documents whose score is below the threshold, columns as they were."""
+    """Pipeline stage: documents whose score is below the threshold, columns as they were; all of them where no label belongs to one."""
     model = train(docs, table(spark, sf_dir, "labels"))
+    if not model.bias and not model.weights.any():  # nothing was learnt
+        return docs
     name = "__toxicity"
     while name in docs.columns:
         name += "_"
