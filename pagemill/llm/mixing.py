@@ -17,6 +17,8 @@ Columns of the input named like an output are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +33,29 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+def lowest_count(rate: Column) -> Column:
+    """A count that a draw misses downwards with a chance below 2**-52; 0 for rates up to 1024."""
+    return F.when(rate > 1024, F.floor(rate - 12 * F.sqrt(rate) - 30)).otherwise(F.lit(0)).cast("int")
+
+
 def poisson_table(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... far past the mean; logarithms keep large means from vanishing."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("l"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("t"))
+    """P(X <= low), P(X <= low + 1), ... far past the mean, from low = lowest_count(rate).
+
+    A table has some 24 times the root of the rate as entries.  Logarithms keep large means from vanishing.
+    """
+    low, top = lowest_count(rate), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    k = low.cast("double")
+    # the logarithm of k! by Stirling's series: exact in a double, as k is above 600
+    tail = F.ln(2 * math.pi * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+    first = F.when(low > 0, k * F.ln(rate / k) + k - rate - tail).otherwise(-rate)
+    start = F.struct(first.alias("l"), F.exp(first).alias("c"), F.array(F.exp(first)).alias("t"))
 
     def step(a: Column, k: Column) -> Column:
         log = a["l"] + F.ln(rate) - F.ln(k.cast("double"))
         total = a["c"] + F.exp(log)
         return F.struct(log.alias("l"), total.alias("c"), F.concat(a["t"], F.array(total)).alias("t"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda a: a["t"])).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(low + 1, top), start, step, lambda a: a["t"])).otherwise(F.array(F.lit(1.0)))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, exponent: float = 0.5, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -67,14 +81,18 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, exponent: fl
 def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str = "source", doc_id: str = "doc_id", broadcast_sources: int = 50_000) -> DataFrame:
     """Each document as often as it draws: adds rate, n_copies, copy (from 0), mix_key; rows in shuffled order."""
     docs = docs.drop("rate", "n_copies", "copy", "mix_key")
-    rows = rates.select(F.col("source").alias("r_source"), "rate", poisson_table(F.col("rate")).alias("cdf"))
+    table_of = F.struct("rate", lowest_count(F.col("rate")).alias("low"), poisson_table(F.col("rate")).alias("cdf"))
+    rows = rates.select(F.col("source").alias("__mix_source"), table_of.alias("__mix"))
     bound = rates.agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("rate"), F.sum(F.octet_length("source")).alias("names")).first()
-    # a row is at most its name and 8 bytes for each step of the largest table
-    if bound["n"] * (bound["rate"] or 0) <= 4 * broadcast_sources and bound["n"] <= broadcast_sources and (bound["names"] or 0) <= 64 << 20:
+    # a row is its name and 8 bytes for each entry of a table
+    entries = bound["n"] * (62 + 24 * (bound["rate"] or 0) ** 0.5)
+    if bound["n"] <= broadcast_sources and entries <= 100 * broadcast_sources and (bound["names"] or 0) <= 64 << 20:
         rows = F.broadcast(rows)
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    drawn = docs.join(rows, docs[source].eqNullSafe(F.col("r_source")))
-    drawn = drawn.withColumn("u", uniform(seed, F.lit("n"), ident)).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf", "u", "r_source")
+    u = uniform(seed, F.lit("n"), ident)
+    n_copies = F.col("__mix.low") + F.size(F.filter("__mix.cdf", lambda c: c <= F.col("__mix_u")))
+    drawn = docs.join(rows, docs[source].eqNullSafe(F.col("__mix_source"))).withColumn("__mix_u", u)
+    drawn = drawn.withColumns({"rate": F.col("__mix.rate"), "n_copies": n_copies}).drop("__mix", "__mix_u", "__mix_source")
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("o"), ident, F.col("copy").cast("string")).cast("binary")))
     return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -332,6 +333,27 @@ def test_poisson_inverts(spark):
         assert abs(n.mean() - rate) < 5 * (rate / 4000) ** 0.5 and abs(n.var() / rate - 1) < 0.15
 
 
+def test_poisson_of_large_rates(spark):
+    """Counts against a plain sum of the distribution; tables grow with the root of the rate."""
+    for rate in (3.5, 1030.0, 250_000.0):
+        low, cdf = spark.range(1).select(mixing.lowest_count(F.lit(rate)), mixing.poisson_table(F.lit(rate))).first()
+        low_plain = max(0, int(rate - 40 * rate**0.5) - 40)
+        plain, total = {}, 0.0
+        for k in range(low_plain, int(rate + 8 * rate**0.5) + 10):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            plain[k] = total
+        assert len(cdf) < 64 + 25 * rate**0.5 and (low == 0 or plain[low - 1] < 2**-52)
+        assert all(abs(cdf[k - low] - c) < 1e-7 for k, c in plain.items() if k >= low)
+        assert 1 - cdf[-1] < 1e-7
+
+
+def test_mixing_keeps_columns_named_like_internals(spark):
+    docs = documents(spark, ["a", "b", None], "s").withColumns({"u": F.lit(7), "low": F.lit(8), "cdf": F.lit(9), "r_source": F.lit("q"), "size": F.lit(1), "weight": F.lit(2)})
+    out = mixing.replicate(docs, mixing.source_rates(docs))
+    assert set(docs.columns) < set(out.columns)
+    assert {(x["u"], x["low"], x["cdf"], x["r_source"]) for x in out.collect()} <= {(7, 8, 9, "q")}
+
+
 # --- training order
 
 def test_training_order_round_trip(spark, tmp_path):
