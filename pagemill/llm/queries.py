@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_quality_rules": ("quality_rules", None),
     "op9_url_rules": ("url_rules", "OP9_SQL"),
     "op10_ordinal_quality": ("ordinal", None),
+    "op11_vector_links": ("vector_links", None),
     "op12_filter_audit": ("filter_audit", "OP12_SQL"),
     "op13_source_divergence": ("divergence", "OP13_SQL"),
 }
