@@ -129,6 +129,8 @@ def grouped(vectors: np.ndarray, cosine: float) -> tuple[Graph, list[np.ndarray]
         angles = _angle(vectors[own] @ centres[k])
         alone += own[angles > most].tolist()
         members[k], radii[k] = own[angles <= most], angles[angles <= most].max(initial=0)
+        if len(members[k]) == 1:  # a node of one member stands where that is
+            centres[k], radii[k] = vectors[members[k][0]], 0
     graph.data[: len(centres)] = centres
     graph.add(vectors[alone])
     return graph, members + [np.array([i]) for i in alone], np.concatenate([centres, vectors[alone]]), np.concatenate([radii, np.zeros(len(alone))])
