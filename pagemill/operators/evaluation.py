@@ -14,14 +14,19 @@ from pagemill.functions.text import number_matches
 OFF_TOPIC = "off_topic"
 
 
-def first_correct_rank(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """(variant, query_id, rank): the first rank up to k whose number is expected, 0 if there is none."""
+def first_correct_rank(hits: DataFrame, gold: DataFrame, k: int = 10, variants: list[str] | None = None) -> DataFrame:
+    """(variant, query_id, rank): the first rank up to k whose number is expected, 0 if there is none.
+
+    ``variants`` are the ways to search; without them those that have hits count.
+    """
     wanted = gold.where(F.col("grp") != OFF_TOPIC)
     near = hits.where(F.col("rank") <= k).join(wanted.select("query_id", "expected"), "query_id")
     right = near.where(F.exists("expected", lambda e: number_matches(F.col("number"), e)))
     first = right.groupBy("variant", "query_id").agg(F.min("rank").alias("found"))
-    variants = [r[0] for r in hits.select("variant").distinct().collect()]  # ways to search: a handful
-    every = wanted.select("query_id", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant")) if variants else first
+    if variants:
+        every = wanted.select("query_id", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
+    else:
+        every = wanted.select("query_id").crossJoin(F.broadcast(hits.select("variant").distinct()))  # ways to search: a handful
     return every.join(first, ["variant", "query_id"], "left").select("variant", "query_id", F.coalesce("found", F.lit(0)).alias("rank"))
 
 

@@ -21,16 +21,20 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     return points.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "id", "points")
 
 
-def fusion_search(queries: DataFrame, index: DataFrame, k: int, candidates: int = 20, rrf_k: int = 60, where: Column | None = None) -> DataFrame:
-    """(query_id, rank, pos, id, score): the best of two searches, by question and by text vector.
+def two_lists(queries: DataFrame, index: DataFrame, candidates: int, where: Column | None = None) -> DataFrame:
+    """(query_id, list_no, rank, pos, id, score): list 1 by q_vec and list 2 by t_vec, from one pass over the index.
 
-    queries: (query_id integer, q_vec, t_vec).  The order is by fused points, the score the
-    similarity to the text vector.
+    queries: (query_id integer, q_vec, t_vec).
     """
-    # both vectors of a query travel as two queries of one search, so the index is read once
+    # both vectors of a query travel as two queries of one search
     vector = F.explode(F.array(F.struct(F.lit(0).alias("no"), F.col("q_vec").alias("vec")), F.struct(F.lit(1).alias("no"), F.col("t_vec").alias("vec"))))
     single = queries.select("query_id", vector.alias("v")).select((F.col("query_id") * 2 + F.col("v.no")).alias("query_id"), F.col("v.vec").alias("vec"))
-    found = search(single, index, candidates, where, "vec").select(F.shiftright("query_id", 1).alias("query_id"), (F.col("query_id") % 2 + 1).cast("int").alias("list_no"), "rank", "pos", "id", "score")
+    found = search(single, index, candidates, where, "vec")
+    return found.select(F.shiftright("query_id", 1).alias("query_id"), (F.col("query_id") % 2 + 1).cast("int").alias("list_no"), "rank", "pos", "id", "score")
+
+
+def fused(found: DataFrame, queries: DataFrame, index: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """(query_id, rank, pos, id, score) of two lists: the order is by fused points, the score the similarity to the text vector."""
     by_text = F.max(F.when(F.col("list_no") == 2, F.col("score")))
     known = found.groupBy("query_id", "id").agg(F.first("pos").alias("pos"), by_text.alias("score"))
     top = rrf(found, rrf_k).where(F.col("rank") <= k).join(known, ["query_id", "id"])
@@ -41,6 +45,11 @@ def fusion_search(queries: DataFrame, index: DataFrame, k: int, candidates: int
     return scored.select("query_id", "rank", "pos", "id", F.coalesce("score", late).alias("score"))
 
 
+def fusion_search(queries: DataFrame, index: DataFrame, k: int, candidates: int = 20, rrf_k: int = 60, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, pos, id, score): the best of two searches, by question and by text vector."""
+    return fused(two_lists(queries, index, candidates, where), queries, index, k, rrf_k)
+
+
 def best_score(hits: DataFrame) -> DataFrame:
     """(query_id, best): the largest score that is a number; minus infinity without one."""
     real = F.when(~F.isnan("score"), F.col("score"))

@@ -46,8 +46,7 @@ def cosine_pairs(spark, sf_dir):
 
 def rrf(spark, sf_dir):
     q, i = vector_queries(spark, sf_dir), vector_index(spark, sf_dir)
-    lists = [vectors.search(q, i, CANDIDATES, vector=v).withColumn("list_no", F.lit(n)) for n, v in enumerate(("q_vec", "t_vec"), 1)]
-    return fusion.rrf(lists[0].unionByName(lists[1])).select("query_id", "rank", "id", F.round("points", 9).alias("points"))
+    return fusion.rrf(fusion.two_lists(q, i, CANDIDATES)).select("query_id", "rank", "id", F.round("points", 9).alias("points"))
 
 
 def best_score(spark, sf_dir):
@@ -202,7 +201,7 @@ def _hits(spark, sf_dir):
 
 
 def eval_ranks(spark, sf_dir):
-    return evaluation.first_correct_rank(_hits(spark, sf_dir), gold(spark, sf_dir), K)
+    return evaluation.first_correct_rank(_hits(spark, sf_dir), gold(spark, sf_dir), K, job.VARIANTS)
 
 
 def eval_hit_at(spark, sf_dir):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import cosine
+from pagemill.jobs import evaluate as job
 from pagemill.operators import context, evaluation, fusion, index, vectors
 from pagemill.sources.embedding import embed
 from pagemill.sources.index_files import check_index_model, read_index_jsonl, write_index_jsonl
@@ -49,6 +50,48 @@ def test_search_against_plain(spark):
     assert got == {i: np.argsort(-s, kind="stable")[:6].tolist() for i, s in enumerate(sims)}
 
 
+def test_search_grid_with_ties_and_filters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vectors, "ENTRY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "LANES", 2)
+    rng = np.random.default_rng(6)
+    rows, qs = rng.integers(-1, 2, size=(200, 3)).astype(float), rng.integers(-1, 2, size=(23, 3)).astype(float)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)] + [(99, None)], "query_id long, q_vec array<double>")
+    spark.createDataFrame([(i, str(i), i % 3 if i % 5 else None, v.tolist()) for i, v in enumerate(rows)], "pos long, id string, kind int, embedding array<double>").repartition(6).write.parquet(str(tmp_path / "ix"))
+    filters = {"all": F.lit(True), "kind 1": F.col("kind") == 1, "none": F.col("kind") == 9, "late": F.col("pos") >= 190}
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    sims = np.round(unit(qs) @ unit(rows).T, 12)
+    admits = {"all": range(200), "kind 1": [i for i in range(200) if i % 5 and i % 3 == 1], "late": range(190, 200)}
+    expected = {(f, i): sorted(some, key=lambda p, s=s: (-s[p], p))[:15] for f, some in admits.items() for i, s in enumerate(sims)}
+    for group_bytes in (30, 1 << 20):  # over 16 rows of the grid, or one broadcast
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", group_bytes)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = vectors.search_filters(q, spark.read.parquet(str(tmp_path / "ix")), 15, filters, group_bytes=group_bytes)
+        got = {}
+        for r in found.orderBy("filter_id", "query_id", "rank").collect():
+            got.setdefault((r["filter_id"], r["query_id"]), []).append(r["pos"])
+        assert got == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{tmp_path}/ix") == 1 and ("CartesianProduct" in plan) == (group_bytes == 30)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="filters"):
+        vectors.search_filters(q, spark.read.parquet(str(tmp_path / "ix")), 1, {})
+    with pytest.raises(Exception, match="length"):
+        vectors.search(spark.createDataFrame([(1, [1.0])], "query_id long, q_vec array<double>"), spark.read.parquet(str(tmp_path / "ix")), 1).collect()
+
+
+def test_variants_share_one_search(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    spark.createDataFrame([(i, str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "pos long, id string, embedding array<double>").write.parquet(str(tmp_path / "ix"))
+    ix = spark.read.parquet(str(tmp_path / "ix"))
+    q = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(rng.normal(size=(5, 2, 4)))], "query_id long, q_vec array<double>, t_vec array<double>")
+    key = ["query_id", "rank", "pos", "id", "score"]
+    both = job.variant_hits(q, ix, 4, 9)
+    for name, alone in {"original": vectors.search(q, ix, 4), "passage": vectors.search(q, ix, 4, vector="t_vec"), "fused": fusion.fusion_search(q, ix, 4, 9)}.items():
+        assert sorted(both.where(F.col("variant") == name).select(*key).collect()) == sorted(alone.select(*key).collect())
+    assert {r[0] for r in job.variant_hits(q, ix, 4, 9, ["fused", "passage"]).select("variant").distinct().collect()} == {"fused", "passage"}
+
+
 def ranking(spark, *lists):
     return spark.createDataFrame([(1, n, r, x) for n, ids in enumerate(lists, 1) for r, x in enumerate(ids, 1)], "query_id long, list_no int, rank int, id string")
 
