@@ -7,7 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from pagemill.operators import chunking, cleaning, index, lines
+from pagemill.operators import chunking, cleaning, lines
+from pagemill.sources.index_store import IndexStore
 
 
 def chunks_of(
@@ -28,6 +29,6 @@ def chunks_of(
     return chunking.process(rows, sections, max_chars, rules)
 
 
-def build(chunks: DataFrame, old_index: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(index, stats).  ``chunks`` need pos; only what is new or changed is embedded."""
-    return index.refresh_index(chunks, old_index, embedder)
+def build(chunks: DataFrame, store: IndexStore, embedder: Callable[[DataFrame], DataFrame]) -> tuple[IndexStore, DataFrame]:
+    """(store of exactly these chunks, stats).  ``chunks`` need pos; only what is new or changed is embedded and written."""
+    return store.refresh(chunks, embedder)

@@ -12,11 +12,12 @@ from pagemill.jobs import answer
 from pagemill.jobs import evaluate as job
 from pagemill.operators import context, evaluation, fusion, index, vectors
 from pagemill.queries.base import GOLD_SQL, INDEX_SQL, NOW_SQL, OLD_SQL, QUERY_SQL, doc_index, gold, table, vector_index, vector_queries
-from pagemill.sources.embedding import embed
+from pagemill.sources.embedding import embed_durably
 from pagemill.sources.index_files import check_index_model, read_index_jsonl, write_index, write_index_jsonl
+from pagemill.sources.index_store import IndexStore
 from pagemill.sources.shared import new_path
 
-K, CANDIDATES = 10, 20
+K, CANDIDATES, BUCKETS = 10, 20, 8
 MIN_SCORE = 0.35
 #: Second hits under this are rejections.
 REJECT = 0.4
@@ -54,10 +55,14 @@ def best_score(spark, sf_dir):
     return fusion.best_score(found).select("query_id", F.round("best", 6).alias("best"))
 
 
+def _store(spark, old, model="m1"):
+    return IndexStore.create(old, new_path(spark, "index"), model, BUCKETS)
+
+
 def index_upsert(spark, sf_dir):
     old, now = doc_index(spark, sf_dir)
-    new = now.withColumn("embedding", F.array(F.length("text").cast("float")))
-    return index.upsert(old, new).select("pos", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    store = _store(spark, old).upsert(now.withColumn("embedding", F.array(F.length("text").cast("float"))))
+    return store.read().select("pos", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def index_reusable(spark, sf_dir):
@@ -72,14 +77,27 @@ def index_missing(spark, sf_dir):
 
 def index_retain(spark, sf_dir):
     old, now = doc_index(spark, sf_dir)
-    kept, removed = index.retain(old, now)
-    return kept.agg(F.count(F.lit(1)).alias("kept")).join(removed, how="cross")  # one row each
+    store, removed = _store(spark, old).retain(now)
+    return store.keys().agg(F.count(F.lit(1)).alias("kept"), F.lit(removed).cast("long").alias("removed"))
+
+
+def _chars(spark):
+    """The embedder: a text's number of characters, asked for once for each text."""
+    return lambda d: embed_durably(d, "text", lambda texts: [[float(len(t))] for t in texts], "chars", new_path(spark, "vectors"))
 
 
 def index_refresh(spark, sf_dir):
     old, now = doc_index(spark, sf_dir)
-    fresh, _ = index.refresh_index(now, old, lambda d: embed(d, "text", lambda texts: [[float(len(t))] for t in texts]))
-    return fresh.select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
+    fresh, _ = _store(spark, old).refresh(now, _chars(spark))
+    return fresh.read().select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
+
+
+def index_snapshots(spark, sf_dir):
+    """A store after three changes, each a delta, and after they have been merged with the base."""
+    old, now = doc_index(spark, sf_dir)
+    new = now.withColumn("embedding", F.array(F.length("text").cast("float")))
+    store, _ = _store(spark, old).upsert(new.where("pos % 2 = 0")).upsert(new.where("pos % 2 = 1")).retain(now)
+    return store.compact().read().select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.get("embedding", F.lit(0)).cast("double").alias("chars"))
 
 
 def index_refresh_stats(spark, sf_dir):
@@ -92,10 +110,11 @@ def index_stats(spark, sf_dir):
 
 
 def index_model_guard(spark, sf_dir):
-    """The model of an entry depends on its label: strict on those of one model, lenient on the mixed index and on one model."""
-    i = vector_index(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")))
-    one = i.where("model = 'm1'")
-    found = {"strict": check_index_model(one, "m1", strict=True), "mixed": check_index_model(i, "m1", strict=False), "other": check_index_model(one, "m0", strict=False), "same": check_index_model(i.where("model = 'm0'"), "m0", strict=False)}
+    """Stores of two models, opened strictly and leniently, and an index of both models as a table."""
+    i = vector_index(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), (F.col("label") % 2).cast("string")), "text": F.col("number")})
+    paths = {model: _store(spark, i.where(F.col("model") == model), model).path for model in ("m0", "m1")}
+    found = {"strict": IndexStore.open(spark, paths["m1"], "m1").read(), "mixed": check_index_model(i, "m1", strict=False)}
+    found |= {"other": IndexStore.open(spark, paths["m1"], "m0", strict=False).read(), "same": IndexStore.open(spark, paths["m0"], "m0", strict=False).read()}
     parts = [df.select(F.lit(name).alias("guard"), "pos", "model") for name, df in found.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -235,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fusion_search, vector_topk, vector_topk_filtered, search_filters, cosine_pairs, rrf, best_score, index_upsert, index_reusable, index_missing,
-        index_retain, index_refresh, index_refresh_stats, index_stats, index_model_guard, index_files, index_parquet, definition_terms, first_by_number,
+        index_retain, index_refresh, index_snapshots, index_refresh_stats, index_stats, index_model_guard, index_files, index_parquet, definition_terms, first_by_number,
         required_numbers, expand_siblings, chained_expanders, build_prompt, answer_job, query_prefix, eval_ranks, eval_hit_at, eval_rank_table,
         eval_separation, eval_rejections, searched_text,
     )
@@ -302,6 +321,7 @@ SQL = {
     "index_missing": f"SELECT id FROM {NOW_SQL} n ANTI JOIN {OLD_SQL} o USING (id, text)",
     "index_retain": f"SELECT count(n.id) AS kept, count(*) - count(n.id) AS removed FROM {OLD_SQL} o LEFT JOIN {NOW_SQL} n USING (id)",
     "index_refresh": f"WITH o AS (SELECT * FROM {OLD_SQL} WHERE id IN (SELECT id FROM {NOW_SQL})) SELECT CASE WHEN o.pos IS NOT NULL THEN o.pos ELSE (SELECT max(pos) FROM o) + 1 + n.pos END AS pos, id, CAST(length(n.text) AS DOUBLE) AS chars FROM {NOW_SQL} n LEFT JOIN o USING (id)",
+    "index_snapshots": f"SELECT id, md5(n.text) AS text_md5, CAST(length(n.text) AS DOUBLE) AS chars FROM {NOW_SQL} n",
     "index_refresh_stats": f"SELECT count(*) FILTER (WHERE o.text = n.text) AS reused, count(n.id) - count(*) FILTER (WHERE o.text = n.text) AS embedded, count(*) FILTER (WHERE n.id IS NULL) AS removed FROM {OLD_SQL} o FULL JOIN {NOW_SQL} n ON o.id = n.id",
     "index_stats": "SELECT count(*) AS entries, max(len(embedding)) AS dimensions FROM embeddings",
     "index_model_guard": "SELECT guard, vec_id AS pos, 'm' || label % 2 AS model FROM embeddings, (VALUES ('strict', 1), ('same', 0)) AS g(guard, of) WHERE label % 2 = of",

@@ -10,8 +10,10 @@ from pagemill.functions import text as ft
 from pagemill.jobs import build_index
 from pagemill.operators import chunking, cleaning, index, lines
 from pagemill.queries.base import SECTIONS_SQL, SKIPPED, book_table, pages, pages_sql, sections, table
-from pagemill.sources.embedding import embed
+from pagemill.sources.embedding import embed_durably
+from pagemill.sources.index_store import IndexStore
 from pagemill.sources.pages import chunk_block, page_block, pages_from_table
+from pagemill.sources.shared import new_path
 
 PLACE = ["source", "page"]
 #: Chunks are this long at most.
@@ -114,8 +116,9 @@ def index_job(spark, sf_dir):
     """Chunks to an index refreshed from one that lacks a section and has other texts in another."""
     chunks = index.with_positions(_job_chunks(spark, sf_dir).drop("pos").select("source", "section", "id", "text"), "source", "section", "id")
     old = chunks.where("section <> 'Begriffe'").withColumns({"text": F.when(F.col("section") == "Anhang A", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "embedding": F.array(F.lit(-1.0).cast("float"))})
-    fresh, _ = build_index.build(chunks, old, lambda d: embed(d, "text", lambda texts: [[float(len(t))] for t in texts]))
-    return fresh.select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
+    store = IndexStore.create(old, new_path(spark, "index"), "chars", buckets=8)
+    fresh, _ = build_index.build(chunks, store, lambda d: embed_durably(d, "text", lambda texts: [[float(len(t))] for t in texts], "chars", new_path(spark, "vectors")))
+    return fresh.read().select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
 
 
 def chunk_stats(spark, sf_dir):
