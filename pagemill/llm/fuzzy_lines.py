@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
 from pagemill.llm import simhash as sh
 from pagemill.llm import wordkit as wk
 from pagemill.llm.common import counter_blobs, give_back, stored, summed_blobs, table
@@ -46,6 +47,9 @@ from pagemill.llm.setjoin import _bitmap
 MIN_WORDS = 1
 CROWD = 4096
 FILTER_BITS = 24
+#: 2 to this power is the most counters of keys, 32 MB in a task.  Past 16 keys a counter a key is taken
+#: for crowded when its counter is, so a crowd is found up to 8 deviations of a counter late.
+COUNTER_BITS = 22
 #: Postings of a range, some 45 MB.
 RANGE_ROWS = 2_000_000
 _U = np.uint64
@@ -148,10 +152,13 @@ def _crowded(classes: DataFrame, n: int, counters: int, parts: int = 16) -> np.n
     """Bits, for each counter whether keys that fall on it may have more than CROWD of the ``n`` classes."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, dtype=np.uint64)
+        counts, held, size = np.zeros(counters, dtype=np.int64), [], 0
         for batch in batches:
-            counts += np.bincount((_keys(batch).ravel() & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint64)
-        yield counter_blobs(counts, parts)
+            held.append((_keys(batch).ravel() & _U(counters - 1)).astype(np.int64))
+            size += len(held[-1])
+            if size > counters:  # an array of all counters is made for so many keys, not for each batch
+                counts, held, size = counts + np.bincount(np.concatenate(held), minlength=counters), [], 0
+        yield counter_blobs(counts + np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=counters), parts)
 
     mean = n * sh.BANDS / counters
     most = mean + 8 * mean**0.5 + CROWD
@@ -345,8 +352,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     fresh = lines.where("hash is not null").select("node", *CLASS)
     n = fresh.count()
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * sh.BANDS // RANGE_ROWS + 1)
-    # some sixteen keys a counter
-    counters = 1 << min(28, max(16, (n * sh.BANDS // 16).bit_length()))
+    # some sixteen keys a counter, up to a number that a task holds whatever the corpus
+    counters = 1 << min(COUNTER_BITS, max(16, (n * sh.BANDS // 16).bit_length()))
     crowded = _crowded(fresh, n, counters)
     postings = _postings(fresh, crowded, ranges)
     pairs = stored(_pairs_of_ranges(postings), "line-pairs")
@@ -404,8 +411,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = removed_lines(*line_groups(docs, min_words)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
     joined = docs.join(gone, same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    keys = F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True)))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: F.try_element_at(keys, i).isNull()), "\n")
+    # set operations and places, so that the work is in proportion to the lines
+    kept = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "removed")
+    rest = let(F.split("text", "\n"), lambda own: F.array_join(F.transform(kept(own), lambda i: F.get(own, i)), "\n"))
     return joined.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest))
 
 
