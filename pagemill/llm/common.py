@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,13 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` under names that no operator gives, and what names and orders them as they were."""
+    names = docs.columns
+    held = {c: c if c in used else f"__aside_{i}" for i, c in enumerate(names)}
+    return docs.select(*[F.col(f"`{c}`").alias(held[c]) for c in names]), lambda out: out.select(*[F.col(f"`{held[c]}`").alias(c) for c in names])
+
+
 def summed_blobs(blobs: DataFrame, fan_in: int = 256) -> DataFrame:
     """(part, counts) of blobs (part, width, counts): sums, as 64-bit numbers, of the blobs of each part.
 

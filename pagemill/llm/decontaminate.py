@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import stored, table
+from pagemill.llm.common import set_aside, stored, table
 
 WINDOW = 10
 BLOCK_WINDOWS = 50_000
@@ -170,9 +170,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a hit, columns as they were."""
-    names = docs.columns
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*names)
+    """Pipeline stage: documents without a hit, columns as they were, whatever their names; ids are not looked at."""
+    docs, back = set_aside(docs, "text")
+    return back(find_contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import table
+from pagemill.llm.common import set_aside, table
 
 SEED = "mix-1"
 
@@ -105,9 +105,12 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixture, with the columns of the input."""
-    names = docs.columns
-    return replicate(docs, source_rates(docs)).select(*names)
+    """Pipeline stage: the mixture, with the columns of the input as they were, whatever their names.
+
+    Null ids, texts and sources, repeats and an empty table are as for ``replicate``.
+    """
+    docs, back = set_aside(docs, "doc_id", "text", "source")
+    return back(replicate(docs, source_rates(docs)))
 
 
 OP3_SQL = f"""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import counter_blobs, give_back, stored, summed_blobs, table
+from pagemill.llm.common import counter_blobs, give_back, set_aside, stored, summed_blobs, table
 from pagemill.llm.components import connected_components, merged_components
 
 WIDTH = 5
@@ -449,6 +449,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A component is known by its node: texts that don't link stay, whether their ids are null or the same.
     """
+    docs, back = set_aside(docs, "doc_id", "text")
     names = docs.columns
     rows, _, components = jaccard_links(docs)
     classes = classes_with_components(rows, components)
@@ -459,4 +460,4 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__set_node"] == chosen["__set_node"]), "left")
     kept = stored(found.where((F.col("__set_size") == 0) | F.col("__times").isNotNull()).select(*[marked[c] for c in names], marked["__set_node"].alias("__key"), F.when(F.col("__set_size") > 0, F.col("__times")).alias("__times")), "kept")
     once = kept.where("__times is null or __times = 1").select(*names)
-    return once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__key"]).select(*names))
+    return back(once.unionByName(kept.where("__times > 1").dropDuplicates(["doc_id", "__key"]).select(*names)))

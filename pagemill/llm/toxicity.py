@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import is_training, labelled_sample, table
+from pagemill.llm.common import is_training, labelled_sample, set_aside, table
 from pagemill.llm.linear import Features, Ftrl, dense, fit, fit_shards, linear_scores, sigmoid
 
 THRESHOLD = 0.3
@@ -89,7 +89,5 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
     model = train(docs, table(spark, sf_dir, "labels"))
     if not model.bias and not model.weights.any():  # nothing was learnt
         return docs
-    name = "__toxicity"
-    while name in docs.columns:
-        name += "_"
-    return score(docs, model, out=name).where(F.col(name) < threshold).drop(name)
+    docs, back = set_aside(docs, "doc_id", "text")
+    return back(score(docs, model).where(F.col("score") < threshold))

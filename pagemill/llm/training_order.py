@@ -284,5 +284,9 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the corpus as token sequences in training order."""
+    """Pipeline stage: the corpus as token sequences in training order.
+
+    Only doc_id and text are read: null and empty texts are one ``eos``, null ids stay null in doc_ids, equal
+    rows are tokenised each, ties of order don't occur, and an empty table gives no sequences.
+    """
     return materialise(docs)
