@@ -33,12 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines ended by \\n, \\r or \\r\\n; a line end at the very end starts no further line.  Uses ``text`` several times."""
+def whole_lines(text: Column) -> Column:
+    """The text with \\n between its lines only, not at its end.  Uses ``text`` several times."""
     # few texts have a carriage return, and a plain search is cheaper than a pattern
     plain = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
-    inner = F.when(F.endswith(text, F.lit("\n")) | F.endswith(text, F.lit("\r")), F.regexp_replace(plain, r"\n\z", "")).otherwise(plain)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
+    return F.when(F.endswith(text, F.lit("\n")) | F.endswith(text, F.lit("\r")), F.regexp_replace(plain, r"\n\z", "")).otherwise(plain)
+
+
+def split_lines(text: Column) -> Column:
+    """Lines ended by \\n, \\r or \\r\\n; a line end at the very end starts no further line."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole_lines(text), "\n"))
 
 
 def slug(name: Column) -> Column:

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.text import is_blank, matches, slug
+from pagemill.operators.lines import KEYS
+from pagemill.operators.scans import scan, with_block
 from pagemill.operators.sizes import if_few
 
-KEYS = ["source", "section"]
+ORDER = ["page", "line_idx"]
 #: A part may end early before a line that begins like this.
 BREAKS_BEFORE = r"(\(\d+\)|•|»|Ausnahme|Strafe für).*"
 #: How headings are joined.
@@ -28,10 +30,6 @@ SENTENCE_END = r"(?s).*[.)“”!?]"
 CAPITAL = r"(?s)[\p{Lu}„].*"
 
 
-def _order() -> Window:
-    return Window.partitionBy(*KEYS).orderBy("page", "line_idx")
-
-
 def segments_by_size(lines: DataFrame) -> DataFrame:
     """One segment for each section, headed by the section's name."""
     return lines.withColumns({"seg": F.lit(0).cast("long"), "heading": F.col("section"), "number": F.lit(None).cast("string")})
@@ -39,17 +37,16 @@ def segments_by_size(lines: DataFrame) -> DataFrame:
 
 def segments_by_terms(lines: DataFrame, max_term_length: int = 45, max_term_words: int = 6) -> DataFrame:
     """A short capitalised line between sentences is a term and begins a segment."""
-    text, order = F.col("text"), _order()
+    text = F.col("text")
     words = F.size(F.split(F.regexp_replace(text, r" +\z", ""), " "))
-    before, after = F.lag("text").over(order), F.lead("text").over(order)
     short = (F.length(text) <= max_term_length) & (words <= max_term_words)
     looks = matches(text, CAPITAL) & ~text.rlike(r"[.,:;]\z")
-    term = short & looks & (before.isNull() | matches(before, SENTENCE_END)) & matches(after, CAPITAL)
-    marked = lines.withColumn("is_term", F.coalesce(term, F.lit(False)))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({"seg": F.sum(F.col("is_term").cast("long")).over(running), "number": F.last(F.when(F.col("is_term"), text), ignorenulls=True).over(running)})
+    near = scan(with_block(lines), KEYS, ORDER, {"before": ("before", text), "after": ("after", text)})
+    term = short & looks & (F.col("before").isNull() | matches(F.col("before"), SENTENCE_END)) & matches(F.col("after"), CAPITAL)
+    marked = near.withColumn("is_term", F.coalesce(term, F.lit(False))).drop("before", "after")
+    marked = scan(marked, KEYS, ORDER, {"seg": ("sum", F.col("is_term").cast("long")), "number": ("last", F.when(F.col("is_term"), text))})
     heading = F.when(F.col("number").isNull(), F.col("section")).otherwise(F.concat("section", F.lit(ARROW), "number"))
-    return marked.withColumn("heading", heading).where(~F.col("is_term")).drop("is_term")
+    return marked.withColumn("heading", heading).where(~F.col("is_term")).drop("is_term", "block")
 
 
 @dataclass(frozen=True)
@@ -82,19 +79,13 @@ def segments_by_headings(lines: DataFrame, rules: HeadingRules) -> DataFrame:
     names = "e_heading string, e_number string, e_before_heading string, e_before_number string, e_marker boolean"
     schema = f"{', '.join(f'{k} string' for k in KEYS)}, page int, line_idx int, {names}"
     accepted = events.groupBy(*KEYS).applyInPandas(lambda found: _fold_headings(rules, found), schema)
-    joined = lines.join(accepted, [*KEYS, "page", "line_idx"], "left")
-    running = _order().rowsBetween(Window.unboundedPreceding, 0)
-    # read backwards, the last event so far is the one that closes a line's segment; at the end it is the state after the last one
-    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("page"), F.desc("line_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = with_block(lines.join(accepted, [*KEYS, "page", "line_idx"], "left"))
     event = F.col("e_before_heading").isNotNull()
+    # the next event is the one that closes a line's segment; at the end it is the state after the last one
     closing = F.struct("e_before_heading", "e_before_number", F.when(F.col("e_marker"), F.col("page")).alias("marker_page"))
     opening = F.struct("e_heading", "e_number")
-    marked = joined.withColumns({
-        "event": event,
-        "seg": F.sum(event.cast("long")).over(running),
-        "next": F.last(F.when(event, closing), ignorenulls=True).over(ahead),
-        "last": F.last(F.when(event, opening), ignorenulls=True).over(running),
-    })
+    running = {"seg": ("sum", event.cast("long")), "next": ("next", F.when(event, closing)), "last": ("last", F.when(event, opening))}
+    marked = scan(joined.withColumn("event", event), KEYS, ORDER, running)
     closed = F.col("next").isNotNull()
     heading = F.coalesce(F.col("next.e_before_heading"), F.col("last.e_heading"), F.col("section"))
     number = F.when(closed, F.col("next.e_before_number")).otherwise(F.col("last.e_number"))

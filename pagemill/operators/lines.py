@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagemill.functions.text import is_blank, split_lines
+from pagemill.functions.text import is_blank, split_lines, whole_lines
+from pagemill.operators.scans import scan, with_block
 from pagemill.operators.sizes import if_few
 
+KEYS = ["source", "section"]
 #: Pages of a block in the join with many sections.
 BLOCK = 64
 
@@ -30,25 +31,44 @@ def assign_sections(pages: DataFrame, sections: DataFrame, skipped: list[int] |
     return kept.withColumn("__block", block).join(spread, "__block").where(inside).drop("__block")
 
 
-def to_lines(pages: DataFrame) -> DataFrame:
-    """(source, section, page, line_idx, text, printed_page): lines in reading order.
+def _broken_pages(pages: DataFrame) -> DataFrame:
+    """(source, section, block, cut, tails): what a block of pages needs to know of lines broken over the ends of pages.
 
-    A word broken over a page's end is one line, on the earlier page.  One
-    shuffle by (source, section), of whole pages, which the chunkers use again.
+    cut: pages whose first line belongs to an earlier one; tails: page -> what its last line goes on with.
+    Only the first and last lines of pages are looked at.
     """
-    keys = ["source", "section"]
-    rows = pages.repartition(*keys).select(*keys, "page", "printed_page", F.posexplode(split_lines(F.col("text"))).alias("line_idx", "text"))
-    order = Window.partitionBy(*keys).orderBy("page", "line_idx")
+    lined = whole_lines(F.col("text"))
+    edges = pages.where(F.col("text") != "").select(*KEYS, "page", lined.alias("t"))
+    edges = edges.select(*KEYS, "page", F.substring_index("t", "\n", 1).alias("first"), F.substring_index("t", "\n", -1).alias("end"), (~F.contains("t", F.lit("\n"))).alias("single"))
     # what ends a joined line is the end of its last raw line, so raw lines decide
-    before = F.lag("text").over(order)
-    joins = (F.col("line_idx") == 0) & F.col("text").rlike(r"\A\p{Ll}") & before.endswith("-") & before.rlike(r"\p{L}-\z")
-    marked = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
-    marked = marked.withColumn("line", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = marked.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.struct("page", "line_idx", "printed_page", "text"))).alias("parts"))
-    broken = F.transform(F.slice("parts", 1, F.size("parts") - 1), lambda p: F.regexp_replace(p["text"], r"-\z", ""))
-    text = F.concat(F.array_join(broken, ""), F.element_at("parts", -1)["text"])
-    first = F.get("parts", F.lit(0))
-    return grouped.select(*keys, first["page"].alias("page"), first["line_idx"].alias("line_idx"), text.alias("text"), first["printed_page"].alias("printed_page"))
+    edges = scan(with_block(edges), KEYS, ["page"], {"before": ("before", F.col("end"))})
+    joins = F.col("first").rlike(r"\A\p{Ll}") & F.endswith("before", F.lit("-")) & F.col("before").rlike(r"\p{L}-\z")
+    edges = edges.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    # a page of one line that is cut hands its end on to the page before
+    begins = F.when(~(F.col("joins") & F.col("single")), F.col("page"))
+    owned = scan(edges, KEYS, ["page"], {"owner": ("before", begins)}).where("joins")
+    tails = owned.groupBy(*KEYS, "owner").agg(F.sort_array(F.collect_list(F.struct("page", "first"))).alias("parts"), F.collect_list("page").alias("cut"))
+    inner = F.transform(F.slice("parts", 1, F.size("parts") - 1), lambda p: F.regexp_replace(p["first"], r"-\z", ""))
+    tail = F.concat(F.array_join(inner, ""), F.element_at("parts", -1)["first"])
+    owners = with_block(tails.select(*KEYS, F.col("owner").alias("page"), tail.alias("tail"), F.lit(False).alias("cut")))
+    cut = with_block(tails.select(*KEYS, F.explode("cut").alias("page"), F.lit(None).cast("string").alias("tail"), F.lit(True).alias("cut")))
+    told = owners.unionByName(cut).groupBy(*KEYS, "block").agg(F.collect_list(F.struct("page", "tail", "cut")).alias("told"))
+    chosen = lambda cut: F.filter("told", lambda x: x["cut"] == cut)
+    tails_of = F.map_from_entries(F.transform(chosen(False), lambda x: F.struct(x["page"], x["tail"])))
+    return told.select(*KEYS, "block", F.transform(chosen(True), lambda x: x["page"]).alias("cut"), tails_of.alias("tails"))
+
+
+def to_lines(pages: DataFrame) -> DataFrame:
+    """(source, section, page, line_idx, text, printed_page), by page and line.
+
+    A word broken over a page's end is one line, on the earlier page.  Pages meet only what their block is
+    told of broken lines; their lines are numbered where they are.
+    """
+    told = with_block(pages.select(*KEYS, "page", "printed_page", "text")).join(_broken_pages(pages), [*KEYS, "block"], "left")
+    told = told.withColumns({"cut": F.coalesce(F.array_contains("cut", F.col("page")), F.lit(False)), "tail": F.try_element_at("tails", F.col("page"))})
+    rows = told.select(*KEYS, "page", "printed_page", "cut", "tail", F.posexplode(split_lines(F.col("text"))).alias("line_idx", "text"), F.size(split_lines(F.col("text"))).alias("n"))
+    joined = F.when(F.col("tail").isNotNull() & (F.col("line_idx") == F.col("n") - 1), F.concat(F.regexp_replace("text", r"-\z", ""), "tail")).otherwise(F.col("text"))
+    return rows.where(~(F.col("cut") & (F.col("line_idx") == 0))).select(*KEYS, "page", "line_idx", joined.alias("text"), "printed_page")
 
 
 def drop_blank_lines(lines: DataFrame) -> DataFrame:
