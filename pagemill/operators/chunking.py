@@ -1,7 +1,7 @@
 """Chunks: a section's lines cut into segments by size, terms or headings, and packed to a limit.
 
-Lines are (source, section, page, line_idx, text, printed_page).  A section of a source is an ordered
-group; a source is a book, so a group is as large as a book's section and no larger.
+Lines are (source, section, page, line_idx, text, printed_page).  A section is an ordered group of any
+length: what runs over its lines is scanned by blocks of pages.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +16,10 @@ from pyspark.sql.window import Window
 
 from pagemill.functions.text import is_blank, matches, slug
 from pagemill.operators.lines import KEYS
-from pagemill.operators.scans import scan, with_block
+from pagemill.operators.packing import with_parts
+from pagemill.operators.scans import BLOCK_PAGES, scan, with_block
 from pagemill.operators.sizes import if_few
+from pagemill.sources.shared import new_path
 
 ORDER = ["page", "line_idx"]
 #: A part may end early before a line that begins like this.
@@ -134,48 +135,24 @@ def _fold_headings(rules: HeadingRules, events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
-def _part_ends(lengths: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Series:
-    """For each segment how many of its lines lie in its first part, its first two parts, and so on."""
-    parts = (np.array(pack_parts(n, b, int(m)), dtype=np.int64) for n, b, m in zip(lengths, breaks, limit, strict=True))
-    return pd.Series([np.append(np.flatnonzero(np.diff(p)) + 1, len(p)) if len(p) else [] for p in parts])
-
-
-def pack_parts(lengths: np.ndarray, breaks: np.ndarray, limit: int) -> list[int]:
-    """A line that would pass the limit with its line end begins a part, and so does one that may, past half of it."""
-    parts, part, held = [], 0, 0
-    for i, (length, may_break) in enumerate(zip(lengths, breaks, strict=True)):
-        if i and (held + length + 1 > limit or (may_break and held > limit // 2)):
-            part, held = part + 1, 0
-        parts.append(part)
-        held += length + 1
-    return parts
-
-
 def assemble_chunks(segments: DataFrame, max_chars: int) -> DataFrame:
     """Segments packed into chunks of ``max_chars``; every part repeats its segment's heading.
 
-    A segment that fits stays whole; a single longer line makes a chunk of its own.
-    The whole plan needs the shuffle by (source, section) alone.
+    A segment that fits stays whole; a single longer line makes a chunk of its own.  Lines are written down
+    once, as several steps read them; a segment of any length is packed and numbered block by block.
     """
+    path = new_path(segments.sparkSession, "segments")
+    with_block(segments.where(~is_blank(F.col("text")))).write.parquet(path)
+    rows = with_parts(segments.sparkSession.read.parquet(path), [*KEYS, "seg"], ORDER, F.length("text"), matches(F.col("text"), BREAKS_BEFORE), max_chars)
     line = F.struct("page", "line_idx", "printed_page", "text")
-    rows = segments.where(~is_blank(F.col("text")))
-    grouped = rows.groupBy(*KEYS, "seg").agg(F.first("heading").alias("heading"), F.first("number").alias("number"), F.sort_array(F.collect_list(line)).alias("lines"))
-    lengths = F.transform("lines", lambda x: F.length(x["text"]))
-    breaks = F.transform("lines", lambda x: matches(x["text"], BREAKS_BEFORE))
-    total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n + 1)
-    large = total > max_chars
-    # segments that fit send empty arrays
-    asked = [F.when(large, x).otherwise(F.slice(x, 1, 0)) for x in (lengths, breaks)]
-    ends = F.pandas_udf(_part_ends, "array<int>")(*asked, F.lit(max_chars))
-    known = grouped.withColumn("ends", ends).withColumn("ends", F.when(F.size("ends") == 0, F.array(F.size("lines"))).otherwise(F.col("ends")))
-    parted = known.select("*", F.posexplode("ends").alias("part", "end"))
-    start = F.coalesce(F.get("ends", F.col("part") - 1), F.lit(0))
-    chunks = parted.withColumn("body", F.slice("lines", start + 1, F.col("end") - start))
-    n = F.row_number().over(Window.partitionBy(*KEYS).orderBy("seg", "part"))
-    first = F.get("body", F.lit(0))
+    chunks = rows.groupBy(*KEYS, "seg", "part").agg(
+        F.first("heading").alias("heading"), F.first("number").alias("number"), F.min("page").alias("page"), F.sort_array(F.collect_list(line)).alias("body")
+    )
+    chunks = scan(with_block(chunks), KEYS, ["seg", "part"], {"n": ("sum", F.lit(1))})
+    n, first = F.col("n").cast("int"), F.get("body", F.lit(0))
     return chunks.select(
         *KEYS, n.alias("n"), chunk_id(F.col("source"), F.col("section"), n).alias("id"), _chunk_text().alias("text"),
-        "heading", "number", first["page"].alias("page"), first["printed_page"].alias("printed_page"),
+        "heading", "number", "page", first["printed_page"].alias("printed_page"),
     )
 
 
@@ -212,8 +189,9 @@ def process(lines: DataFrame, sections: DataFrame, max_chars: int, rules: Headin
     placed = lines.join(known.select("section", "strategy"), "section")
     made = [f(placed.where(F.col("strategy") == k).drop("strategy")).select(*columns) for k, f in by.items()]
     chunks = assemble_chunks(functools.reduce(DataFrame.unionByName, made), max_chars).join(known.select("section", "section_no"), "section")
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("section_no", "n")) - 1
-    return chunks.withColumn("pos", pos.cast("long")).drop("section_no")
+    placed = chunks.withColumn("block", F.struct("section_no", F.floor(F.col("page") / BLOCK_PAGES)))
+    counted = scan(placed, ["source"], ["section_no", "n"], {"pos": ("sum", F.lit(1))})
+    return counted.withColumn("pos", (F.col("pos") - 1).cast("long")).drop("section_no", "block")
 
 
 def chunk_stats(chunks: DataFrame, max_chars: int) -> DataFrame:

@@ -1,6 +1,5 @@
 from functools import partial
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,26 +108,6 @@ def test_size_chunks_and_split(spark):
     assert chunking.chunk_by_size(lines.to_lines(sectioned(spark, ["\n \n x"], "S")), 60).first()["text"] == "S\n\n x"
 
 
-def test_pack_parts_against_plain():
-    rng = np.random.default_rng(1)
-    for _ in range(300):
-        n = rng.integers(1, 30, rng.integers(1, 25))
-        may = rng.random(len(n)) < 0.3
-        parts = chunking.pack_parts(n, may, 40)
-        size, part = 0, 0
-        for i, p in enumerate(parts):
-            length = n[i] + 1  # a line counts with its end
-            if i and (size + length > 40 or (may[i] and size > 20)):
-                part, size = part + 1, 0
-            assert p == part
-            size += length
-
-
-def test_pack_parts_at_the_limit():
-    assert chunking.pack_parts(np.array([9, 10]), np.array([False, False]), 20) == [0, 1]
-    assert chunking.pack_parts(np.array([9, 9]), np.array([False, False]), 20) == [0, 0]
-
-
 def test_process_by_strategy(spark):
     pages = sectioned(spark, ["kurz", "1.1 Titel\nText."], "A").unionByName(sectioned(spark, ["Wort.\nAus\nJenseits."], "B"))
     sections = spark.createDataFrame([("A", "headings", 2), ("B", "terms", 1)], "section string, strategy string, section_no int")
