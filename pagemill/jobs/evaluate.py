@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import evaluation, fusion
-from pagemill.sources.shared import new_path
+from pagemill.sources.shared import written
 
 VARIANTS = ["original", "passage", "fused"]
 
@@ -16,9 +16,7 @@ def variant_hits(queries: DataFrame, index: DataFrame, k: int = 10, candidates:
 
     One search gives the two lists that all variants share; they are written down, as each variant reads them.
     """
-    path = new_path(index.sparkSession, "lists")
-    fusion.two_lists(queries, index, max(k, candidates)).write.parquet(path)
-    lists = index.sparkSession.read.parquet(path)
+    lists = written(fusion.two_lists(queries, index, max(k, candidates)), "lists")
     columns = ["query_id", "rank", "pos", "id", "score"]
     found = {name: lists.where((F.col("list_no") == no) & (F.col("rank") <= k)).select(*columns) for no, name in enumerate(VARIANTS[:2], 1)}
     found["fused"] = fusion.fused(lists.where(F.col("rank") <= candidates), queries, index, k)

@@ -68,18 +68,38 @@ def extract_citations(answers: DataFrame, pattern: str) -> DataFrame:
     return found.select("answer_id", "cit_no", strip(F.col("quote")).alias("quote"), F.regexp_extract("quote", pattern, 1).alias("reference"), cited.alias("cited"), (F.size(numbers) > 0).alias("has_sources"))
 
 
+def number_index(sources: DataFrame) -> DataFrame:
+    """(answer_id, reference, held): for each whole number of an answer's sources the numbers of the sources that hold it.
+
+    A whole number follows neither a digit nor a full stop, and no digit follows it: 17.1d holds 17, 17.1 and
+    17.1d.  Each source is looked at once, whatever the number of citations.
+    """
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\d.])\d[\d.]*(?:\p{L}(?!\d))?"), F.lit(0)))
+    each = sources.select("answer_id", "source_no", F.explode(numbers).alias("whole"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("whole")), lambda i: ~F.substr("whole", i + 1, F.lit(1)).rlike(r"\d"))
+    begins = each.select("answer_id", "source_no", F.explode(F.transform(ends, lambda i: F.substr("whole", F.lit(1), i))).alias("reference"))
+    return begins.groupBy("answer_id", "reference").agg(F.collect_set("source_no").alias("held"))
+
+
 def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
     """``supported``: the number stands, as a whole number, in a cited source, or in any if none is cited.
 
-    sources: (answer_id, source_no, text).
+    sources: (answer_id, source_no, text).  Numbers are looked up by an equi-join; a reference that is no number
+    with at most a letter after it is searched for in the texts.
     """
+    keys = ["answer_id", "cit_no", "quote", "reference", "cited", "has_sources"]
+    is_number = F.coalesce(F.col("reference").rlike(r"\A\d[\d.]*\p{L}?\z"), F.lit(False))
+    known = number_index(sources).join(citations.where(is_number).select("answer_id", "reference").distinct(), ["answer_id", "reference"], "left_semi")
+    looked_up = citations.where(is_number).join(known, ["answer_id", "reference"], "left")
+    supported = F.col("held").isNotNull() & (~F.col("has_sources") | F.arrays_overlap("cited", "held"))
+    found = looked_up.select(*keys, F.coalesce(supported, F.lit(False)).alias("supported"))
+
     cited = ~F.col("has_sources") | F.array_contains("cited", F.col("source_no"))
-    number = F.concat(F.lit(r"(?<![\d.])\Q"), F.col("reference"), F.lit(r"\E(?!\d)"))
-    # a plain search first: few texts hold the number at all
-    holds = cited & F.contains(F.col("s_text"), F.col("reference")) & F.regexp_like("s_text", number)
+    stands = F.regexp_like("s_text", F.concat(F.lit(r"(?<![\d.])\Q"), F.col("reference"), F.lit(r"\E(?!\d)")))
     s = sources.select("answer_id", "source_no", F.col("text").alias("s_text"))
-    keys = [F.col(c) for c in ("answer_id", "cit_no", "quote", "reference", "cited", "has_sources")]
-    return citations.join(s, "answer_id", "left").groupBy(*keys).agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("supported"))
+    holds = cited & F.contains(F.col("s_text"), F.col("reference")) & stands
+    others = citations.where(~is_number).join(s, "answer_id", "left").groupBy(*keys).agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("supported"))
+    return found.unionByName(others)
 
 
 def citation_report(checked: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pagemill.operators.lines import KEYS
 from pagemill.operators.packing import with_parts
 from pagemill.operators.scans import BLOCK_PAGES, scan, with_block
 from pagemill.operators.sizes import if_few
-from pagemill.sources.shared import new_path
+from pagemill.sources.shared import written
 
 ORDER = ["page", "line_idx"]
 #: A part may end early before a line that begins like this.
@@ -141,9 +141,8 @@ def assemble_chunks(segments: DataFrame, max_chars: int) -> DataFrame:
     A segment that fits stays whole; a single longer line makes a chunk of its own.  Lines are written down
     once, as several steps read them; a segment of any length is packed and numbered block by block.
     """
-    path = new_path(segments.sparkSession, "segments")
-    with_block(segments.where(~is_blank(F.col("text")))).write.parquet(path)
-    rows = with_parts(segments.sparkSession.read.parquet(path), [*KEYS, "seg"], ORDER, F.length("text"), matches(F.col("text"), BREAKS_BEFORE), max_chars)
+    rows = written(with_block(segments.where(~is_blank(F.col("text")))), "segments")
+    rows = with_parts(rows, [*KEYS, "seg"], ORDER, F.length("text"), matches(F.col("text"), BREAKS_BEFORE), max_chars)
     line = F.struct("page", "line_idx", "printed_page", "text")
     chunks = rows.groupBy(*KEYS, "seg", "part").agg(
         F.first("heading").alias("heading"), F.first("number").alias("number"), F.min("page").alias("page"), F.sort_array(F.collect_list(line)).alias("body")
@@ -170,11 +169,11 @@ def chunk_by_size(lines: DataFrame, max_chars: int) -> DataFrame:
 
 
 def chunk_by_terms(lines: DataFrame, max_chars: int, max_term_length: int = 45, max_term_words: int = 6) -> DataFrame:
-    return assemble_chunks(segments_by_terms(lines, max_term_length, max_term_words), max_chars)
+    return assemble_chunks(segments_by_terms(written(lines, "lines"), max_term_length, max_term_words), max_chars)
 
 
 def chunk_by_headings(lines: DataFrame, max_chars: int, rules: HeadingRules) -> DataFrame:
-    return assemble_chunks(segments_by_headings(lines, rules), max_chars)
+    return assemble_chunks(segments_by_headings(written(lines, "lines"), rules), max_chars)
 
 
 def process(lines: DataFrame, sections: DataFrame, max_chars: int, rules: HeadingRules) -> DataFrame:
@@ -186,7 +185,7 @@ def process(lines: DataFrame, sections: DataFrame, max_chars: int, rules: Headin
     known = if_few(sections.select("section", "strategy", "section_no"))
     by = {"size": segments_by_size, "terms": segments_by_terms, "headings": lambda x: segments_by_headings(x, rules)}
     columns = [*KEYS, "page", "line_idx", "text", "printed_page", "seg", "heading", "number"]
-    placed = lines.join(known.select("section", "strategy"), "section")
+    placed = written(lines.join(known.select("section", "strategy"), "section"), "lines")
     made = [f(placed.where(F.col("strategy") == k).drop("strategy")).select(*columns) for k, f in by.items()]
     chunks = assemble_chunks(functools.reduce(DataFrame.unionByName, made), max_chars).join(known.select("section", "section_no"), "section")
     placed = chunks.withColumn("block", F.struct("section_no", F.floor(F.col("page") / BLOCK_PAGES)))

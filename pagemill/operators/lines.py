@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import is_blank, split_lines, whole_lines
 from pagemill.operators.scans import scan, with_block
 from pagemill.operators.sizes import if_few
+from pagemill.sources.shared import written
 
 KEYS = ["source", "section"]
 #: Pages of a block in the join with many sections.
@@ -40,8 +41,10 @@ def _broken_pages(pages: DataFrame) -> DataFrame:
     lined = whole_lines(F.col("text"))
     edges = pages.where(F.col("text") != "").select(*KEYS, "page", lined.alias("t"))
     edges = edges.select(*KEYS, "page", F.substring_index("t", "\n", 1).alias("first"), F.substring_index("t", "\n", -1).alias("end"), (~F.contains("t", F.lit("\n"))).alias("single"))
+    # written down, as each scan reads its input twice
+    edges = written(with_block(edges).repartition(*KEYS, "block"), "edges")
     # what ends a joined line is the end of its last raw line, so raw lines decide
-    edges = scan(with_block(edges), KEYS, ["page"], {"before": ("before", F.col("end"))})
+    edges = scan(edges, KEYS, ["page"], {"before": ("before", F.col("end"))})
     joins = F.col("first").rlike(r"\A\p{Ll}") & F.endswith("before", F.lit("-")) & F.col("before").rlike(r"\p{L}-\z")
     edges = edges.withColumn("joins", F.coalesce(joins, F.lit(False)))
     # a page of one line that is cut hands its end on to the page before
@@ -64,7 +67,8 @@ def to_lines(pages: DataFrame) -> DataFrame:
     A word broken over a page's end is one line, on the earlier page.  Pages meet only what their block is
     told of broken lines; their lines are numbered where they are.
     """
-    told = with_block(pages.select(*KEYS, "page", "printed_page", "text")).join(_broken_pages(pages), [*KEYS, "block"], "left")
+    dealt = with_block(pages.select(*KEYS, "page", "printed_page", "text")).repartition(*KEYS, "block")
+    told = dealt.join(_broken_pages(pages), [*KEYS, "block"], "left")
     told = told.withColumns({"cut": F.coalesce(F.array_contains("cut", F.col("page")), F.lit(False)), "tail": F.try_element_at("tails", F.col("page"))})
     rows = told.select(*KEYS, "page", "printed_page", "cut", "tail", F.posexplode(split_lines(F.col("text"))).alias("line_idx", "text"), F.size(split_lines(F.col("text"))).alias("n"))
     joined = F.when(F.col("tail").isNotNull() & (F.col("line_idx") == F.col("n") - 1), F.concat(F.regexp_replace("text", r"-\z", ""), "tail")).otherwise(F.col("text"))

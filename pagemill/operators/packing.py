@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.sources.shared import new_path
+from pagemill.sources.shared import written
 
 #: after, parts: length of the open part after the block and parts begun, for a segment that begins here (first) and
 #: for each line that may begin the first part here (a list); such a line begins one if the open part is over its bound.
@@ -113,9 +113,8 @@ def with_parts(rows: DataFrame, keys: list[str], order: list[str], length: Colum
     told = told.select(*keys, F.explode("z").alias("z")).select(*keys, "z.block", F.col("z.at.held").alias("held"), F.col("z.at.part").alias("base"))
     found = packed.join(told, groups).select(*groups, "base", "lines", begins(*columns, F.col("held")).alias("begins"))
     place = lambda x: F.struct(*[x[c].alias(c) for c in order])
-    path = new_path(rows.sparkSession, "parts")
-    found.select(*groups, "base", F.transform("begins", lambda i: place(F.get("lines", i))).alias("begins")).write.parquet(path)
-    joined = rows.join(rows.sparkSession.read.parquet(path), groups, "left")
+    found = written(found.select(*groups, "base", F.transform("begins", lambda i: place(F.get("lines", i))).alias("begins")), "parts")
+    joined = rows.join(found, groups, "left")
     own = F.struct(*order)
     part = F.coalesce(F.col("base") + F.size(F.filter("begins", lambda b: b <= own)), F.lit(0))
     return joined.withColumn("part", part.cast("long")).drop("base", "begins")

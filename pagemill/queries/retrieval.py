@@ -12,7 +12,7 @@ from pagemill.jobs import answer
 from pagemill.jobs import evaluate as job
 from pagemill.operators import context, evaluation, fusion, index, vectors
 from pagemill.queries.base import GOLD_SQL, INDEX_SQL, NOW_SQL, OLD_SQL, QUERY_SQL, doc_index, gold, table, vector_index, vector_queries
-from pagemill.sources.embedding import embed_durably
+from pagemill.sources.embedding import embed
 from pagemill.sources.index_files import check_index_model, read_index_jsonl, write_index, write_index_jsonl
 from pagemill.sources.index_store import IndexStore
 from pagemill.sources.shared import new_path
@@ -81,14 +81,9 @@ def index_retain(spark, sf_dir):
     return store.keys().agg(F.count(F.lit(1)).alias("kept"), F.lit(removed).cast("long").alias("removed"))
 
 
-def _chars(spark):
-    """The embedder: a text's number of characters, asked for once for each text."""
-    return lambda d: embed_durably(d, "text", lambda texts: [[float(len(t))] for t in texts], "chars", new_path(spark, "vectors"))
-
-
 def index_refresh(spark, sf_dir):
     old, now = doc_index(spark, sf_dir)
-    fresh, _ = _store(spark, old).refresh(now, _chars(spark))
+    fresh, _ = _store(spark, old).refresh(now, lambda d: embed(d, "text", lambda texts: [[float(len(t))] for t in texts]))
     return fresh.read().select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
 
 

@@ -3,9 +3,9 @@
 A store is a folder.  ``base`` and each ``delta`` are Parquet tables bucketed by id, all in as many buckets;
 a delta holds the entries that one change wrote, and a row without content for each id that it removed.
 Reading merges them: the last delta that names an id decides.  The merge joins ids only, against scans that
-are bucketed already, so no text or vector is shuffled.  Deltas are merged with each other when there are
-many of them, and with the base when they have grown to a share of it; buckets are rewritten in place of
-origin, without a shuffle.
+are bucketed already, so no text or vector is shuffled.  ``maintain`` merges deltas with each other when there
+are many of them, and with the base when they have grown to a share of it; each task writes the buckets that
+it has read, into a new table.
 
 A manifest names the tables of each snapshot with the model, the dimensions and the number of entries.  It
 is written last, under the snapshot's number, so a change is seen as a whole or not at all, one of two
@@ -173,10 +173,7 @@ class IndexStore:
         if not written[0]:
             return self
         top, dimensions = max(changes.pop("top", self.snapshot.top), -1 if written[1] is None else written[1]), self.snapshot.dimensions or written[2] or 0
-        new = self._next(deltas=[*self.snapshot.deltas, delta], changed=self.snapshot.changed + written[0], top=top, dimensions=dimensions, **changes)
-        if new.snapshot.changed > DELTA_SHARE * max(new.snapshot.entries, 1):
-            return new.compact()
-        return new.compact(whole=False) if len(new.snapshot.deltas) > MOST_DELTAS else new
+        return self._next(deltas=[*self.snapshot.deltas, delta], changed=self.snapshot.changed + written[0], top=top, dimensions=dimensions, **changes)
 
     def upsert(self, new: DataFrame) -> IndexStore:
         """Entries of ``new`` replace those of the same id in place; others follow, in their own order."""
@@ -218,6 +215,12 @@ class IndexStore:
         store = self._changed(rows, plan.where("status = 'removed'"), entries=counts["reused"] + counts["embedded"], top=top)
         return store, stats
 
+    def maintain(self) -> IndexStore:
+        """Compacts what has become too much; to be called after changes, when nobody waits."""
+        if self.snapshot.changed > DELTA_SHARE * max(self.snapshot.entries, 1):
+            return self.compact()
+        return self.compact(whole=False) if len(self.snapshot.deltas) > MOST_DELTAS else self
+
     def compact(self, whole: bool = True) -> IndexStore:
         """Deltas as one, or as part of a new base.  Each task writes the buckets it has read."""
         if not self.snapshot.deltas:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pagemill.operators import checks, evaluation
 
 PATTERN = r"Regel (\d{1,2}(?:\.\d{1,2})?[a-z]?)"
@@ -78,3 +81,18 @@ def test_citation_pattern_with_branches(spark):
     a = answers(spark, "Regel 3 [1] und Punkt 4 [2]")
     found = checks.extract_citations(a, r"Regel (\d)|Punkt \d").orderBy("cit_no").collect()
     assert [(r["quote"], list(r["cited"])) for r in found] == [("Regel 3 [1]", [1]), ("Punkt 4 [2]", [2])]
+
+
+def test_number_index_against_pattern(spark):
+    rnd = random.Random(31)
+    texts = ["".join(rnd.choice(["1", "7", "17", ".", "d", "ä", " ", "17.1", "x", "2b"]) for _ in range(rnd.randint(0, 14))) for _ in range(150)]
+    sources = [(i // 5, i % 5 + 1, t) for i, t in enumerate(texts)] + [(3, 9, None)]
+    references = ["1", "17", "17.1", "17.1d", "7.", "17.1ä", "2b", "1.7", "A1", "", "17.1dx", None]
+    citations = [(a, n, "q", r, rnd.choice([[], [1], [2, 5], [77]])) for a in range(31) for n, r in enumerate(references)]
+    rows = [(*c, bool(c[-1])) for c in citations]
+    df = spark.createDataFrame(rows, "answer_id long, cit_no int, quote string, reference string, cited array<int>, has_sources boolean")
+    got = {(r["answer_id"], r["cit_no"]): r["supported"] for r in checks.check_citations(df, spark.createDataFrame(sources, "answer_id long, source_no int, text string")).collect()}
+    for a, n, _, r, cited in citations:
+        own = [t for i, no, t in sources if i == a and t is not None and (not cited or no in cited)]
+        assert got[a, n] == (r is not None and any(re.search(rf"(?<![\d.]){re.escape(r)}(?!\d)", t) for t in own)), (a, r, cited, own)
+    assert len(got) == len(rows)

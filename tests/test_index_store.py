@@ -92,6 +92,7 @@ def test_changes_against_plain_dictionaries(spark, tmp_path, monkeypatch):
         gone = {f"d{turn + 6}", f"d{20 + turn - 1}"}
         store, n = store.retain(spark.createDataFrame([(i,) for i in held if i not in gone], "id string"))
         assert n == sum(held.pop(i, None) is not None for i in gone)
+        store = store.maintain()
         pos = {i: p for i, p in pos.items() if i in held}
         got = store.read().collect()
         assert {r["id"]: (r["text"], r["pos"]) for r in got} == {i: (t, pos[i]) for i, t in held.items()} and len(got) == len(held)
