@@ -149,12 +149,13 @@ def required_numbers(spark, sf_dir):
 
 
 def _book(spark, sf_dir):
-    """Index entries as chunks, with texts of varied length."""
+    """Index entries as chunks, each with the whole text of the document of its number."""
     pos = F.col("pos")
     source = F.concat(F.lit("book"), F.floor(pos / 100).cast("string"))
-    text = F.repeat(F.lit("x"), (200 + pos % 7 * 300).cast("int"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("t"))
     printed = F.when(pos % 2 == 0, (pos % 90 - 2).cast("int"))
-    return vector_index(spark, sf_dir).select("pos", "id", "number", source.alias("source"), text.alias("text"), (pos % 90).cast("int").alias("page"), printed.alias("printed_page"))
+    entries = vector_index(spark, sf_dir).drop("embedding", "label").join(texts, "pos", "left")
+    return entries.select("pos", "id", "number", source.alias("source"), F.coalesce("t", F.lit("")).alias("text"), (pos % 90).cast("int").alias("page"), printed.alias("printed_page"))
 
 
 def _expanded(spark, sf_dir):
@@ -269,7 +270,7 @@ rk AS (SELECT query_id, id, points, row_number() OVER (PARTITION BY query_id ORD
 fs AS (SELECT query_id, rank, pos, id, number, round(list_cosine_similarity(t_vec, v), 12) AS score FROM rk JOIN {QUERY_SQL} USING (query_id) JOIN {INDEX_SQL} USING (id) WHERE rank <= {k})"""
 
 
-_BOOK = f"(SELECT pos, id, number, 'book' || (pos // 100) AS source, repeat('x', CAST(200 + pos % 7 * 300 AS INT)) AS text, pos % 90 AS page, CASE WHEN pos % 2 = 0 THEN pos % 90 - 2 END AS printed_page FROM {INDEX_SQL})"
+_BOOK = f"(SELECT pos, id, number, 'book' || (pos // 100) AS source, coalesce(d.text, '') AS text, pos % 90 AS page, CASE WHEN pos % 2 = 0 THEN pos % 90 - 2 END AS printed_page FROM {INDEX_SQL} LEFT JOIN documents d ON d.doc_id = pos)"
 _HIT, _MEMBER = r"'^(\d{1,2}\.\d{1,2})[a-z]?$'", r"'^(\d{1,2}\.\d{1,2})(\p{L}.*)?$'"
 _ASKED = f"(SELECT query_id FROM fs WHERE query_id // 100 % 5 <> 4 GROUP BY 1 HAVING max(score) >= {MIN_SCORE})"
 
