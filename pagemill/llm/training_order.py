@@ -43,6 +43,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 EOS = 50256
 SEQ_LEN = 2048
 SHARD_ROWS = 4096
+#: Shards that a task sorts at most, some 1 GB of the default layout.
+SHARDS_AT_ONCE = 64
 KEY = "order-1"
 
 
@@ -228,10 +230,12 @@ def slot_column(counts: dict[int, int], key: str) -> Column:
     """The slot of (part, pos), given the number of sequences of each part."""
     parts = np.array(sorted(counts), dtype=np.int64)
     sizes = np.array([counts[p] for p in parts.tolist()], dtype=np.int64)
-    bases, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+    total = int(sizes.sum())
+    shared = SparkSession.getActiveSession().sparkContext.broadcast((parts, np.cumsum(sizes) - sizes))  # 16 bytes for each task
 
     @F.pandas_udf("long")
     def slot(part: pd.Series, pos: pd.Series) -> pd.Series:
+        parts, bases = shared.value
         index = bases[np.searchsorted(parts, part.to_numpy())] + pos.to_numpy()
         return pd.Series(Permutation(total, key)(index))
 
@@ -242,7 +246,8 @@ def training_order(seqs: DataFrame, key: str = KEY, layout: Layout = Layout()) -
     """``seqs`` (stored) with slot, shard and byte_offset, in partitions of consecutive shards, by slot."""
     counts = {r["part"]: r["n"] for r in seqs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each task
     shards = max(1, -(-sum(counts.values()) // layout.shard_rows))
-    parts = max(1, min(shards, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # as many tasks as the session asks for, and more where one would sort more than SHARDS_AT_ONCE
+    parts = max(1, min(shards, max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_AT_ONCE))))
     placed = seqs.withColumn("slot", slot_column(counts, key)).withColumn("shard", F.floor(F.col("slot") / layout.shard_rows))
     placed = placed.withColumn("byte_offset", (F.col("slot") % layout.shard_rows) * layout.stride)
     ordered = placed.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
