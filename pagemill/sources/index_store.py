@@ -90,7 +90,7 @@ class IndexStore:
         if model is not None and model != self.snapshot.model:
             if strict:
                 raise ValueError(f"the index was built with {self.snapshot.model}, not {model}")
-            self.snapshot = replace(self.snapshot, base="", deltas=[], entries=0, dimensions=0, changed=0, top=-1)
+            self.snapshot = replace(self.snapshot, model=model, base="", deltas=[], entries=0, dimensions=0, changed=0, top=-1)
         return self
 
     # --- tables
