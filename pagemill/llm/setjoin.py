@@ -9,6 +9,9 @@ Jaccard similarity is at least 4/5.  Documents with equal sets are one class and
 2. A second pass orders each class's tokens, rare before frequent and frequent by count, and takes the
    prefix extended by k - 1.  Linked classes share k tokens of their extended prefixes, so either a
    rare one or k frequent ones: rare tokens are indexed singly, frequent ones as k-combinations (k = 2).
+   Sets of more than PLAIN tokens extend their prefixes by B, a number of buckets that grows with their
+   level of size, and combine tokens of the same bucket only: linked classes share B + 1 tokens there,
+   so two of them in one bucket.  A set has at most about one combination a token, however long it is.
 3. Rare groups are small; their pairs pass size and position bounds inside the task that holds the
    group.  Combination groups may be of any size: their members are first compared with one member
    only (a star), in STAR_ROUNDS rounds; pairs of the group follow only between what is then not
@@ -44,6 +47,10 @@ WIDTH = 5
 K = 2
 COUNTERS = 1 << 21
 FILTER_BITS = 24
+#: Sets of up to so many tokens combine all tokens of their prefix; larger ones those of a bucket.
+PLAIN = 512
+#: Combinations of one set are emitted in rows of at most so many.
+SLICE = 100_000
 #: Signatures have 64 * FOLD bits at least, and are folded to so many to be compared in joins.
 FOLD = 8
 #: Rounds of stars before the members of a group are compared pair by pair.
@@ -72,6 +79,43 @@ def required(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
     return -(-80 * (n + m) // 180)
 
 
+def levels(n: int) -> list[int]:
+    """Levels of size at which a set of n tokens gives combinations.
+
+    Level 0 ends at PLAIN tokens, level L at PLAIN * 2**L.  A pair meets at the level of its larger set,
+    which has at most 5/4 of the smaller one's tokens.
+    """
+    return sorted({((size - 1) // PLAIN).bit_length() for size in (n, 5 * n // 4)})
+
+
+def combinations(frequent: np.ndarray, n: int, n_rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, p1, p2) of the combinations of a set of n tokens, ``n_rare`` of them rare.
+
+    ``frequent``: its frequent tokens in order.  p1 and p2 are places in the whole order at level 0, and
+    -1 above it, where the first combination that a pair shares need not hold its first common tokens.
+    """
+    base, found = n - (4 * n + 4) // 5 + 1, []
+    for level in levels(n):
+        buckets = PLAIN * 2**level // 8 if level else 1
+        t = frequent[: max(0, min(n, base + (buckets if level else K - 1)) - n_rare)]
+        if level == 0:
+            i, j = np.triu_indices(len(t), 1)
+            found.append((t[i], t[j], 0, i + n_rare, j + n_rare))
+            continue
+        bucket = (t >> _U(32)) & _U(buckets - 1)
+        order = np.argsort(bucket, kind="stable")
+        t, bucket = t[order], bucket[order]
+        step = 1
+        while len(i := np.flatnonzero(bucket[step:] == bucket[:-step])):  # no run is longer than the last one
+            none = np.full(len(i), -1)
+            found.append((t[i], t[i + step], level, none, none))
+            step += 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    key = np.concatenate([wk.mix(a * wk._PLACE[50] + b * wk._PLACE[51] + _U(level) * wk._PLACE[52:53]) for a, b, level, _, _ in found])
+    return key.view(np.int64), *(np.concatenate([f[at] for f in found]).astype(np.int32) for at in (3, 4))
+
+
 def signature(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' bits, about one bit a token: sets differ by at least as many tokens as bits."""
     bits = max(64 * FOLD, 1 << (len(tokens) - 1).bit_length())
@@ -181,7 +225,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([c is None for c in combos] + [False]))
         return pa.RecordBatch.from_arrays([
             pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()),
-            pa.array([folded(x) for x in sig], pa.list_(pa.int64())), pa.array(base, pa.int32()), lists(list(heavy), pa.int64()), pa.ListArray.from_arrays(edges, pairs),
+            pa.array([x and folded(x) for x in sig], pa.list_(pa.int64())), pa.array(base, pa.int32()), lists(list(heavy), pa.int64()), pa.ListArray.from_arrays(edges, pairs),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,22 +238,20 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                 seen.add(node)
                 weight = counts[(tokens & _U(len(counts) - 1)).astype(np.int64)]
                 heavy = np.flatnonzero(weight)
-                prefix = min(n, n - (4 * n + 4) // 5 + K)
+                base = n - (4 * n + 4) // 5 + 1  # the first common token of linked sets is among so many of each
                 rare = tokens[weight == 0] if len(heavy) else tokens
-                single = rare[:prefix]
+                single = rare[:base]
                 if len(single):
                     found.append((single, node, n, np.arange(len(single))))
                     held += len(single)
-                left, first, combos = prefix - len(single), None, None
-                if left >= K:
-                    order = heavy[np.lexsort((tokens[heavy], weight[heavy]))][:left]
-                    i, j = np.triu_indices(len(order), 1)
-                    t = tokens[order]
-                    first = t.view(np.int64)
-                    key = wk.mix(t[i] * wk._PLACE[50] + t[j] * wk._PLACE[51]).view(np.int64)
-                    combos = key, (i + len(single)).astype(np.int32), (j + len(single)).astype(np.int32)
-                    large += len(key)
-                classes.append((node, n, signature(tokens), len(single), first, combos))
+                ordered = tokens[heavy[np.lexsort((tokens[heavy], weight[heavy]))]]
+                combos = combinations(ordered, n, len(rare))
+                plain = combos[2].max(initial=-1)
+                first = ordered[: plain - len(rare) + 1].view(np.int64) if plain >= 0 else None
+                large += len(combos[0])
+                classes.append((node, n, signature(tokens), len(rare), first, tuple(c[:SLICE] for c in combos) if len(combos[0]) else None))
+                for at in range(SLICE, len(combos[0]), SLICE):
+                    classes.append((node, n, None, None, None, tuple(c[at : at + SLICE] for c in combos)))
                 large += n // 8
                 # some megabytes at a time
                 if held >= 250_000:
@@ -276,10 +318,13 @@ def _rare_pairs(prefixes: DataFrame) -> DataFrame:
 
 
 def _combinations(prefixes: DataFrame) -> DataFrame:
-    """(c, node, n, p1, p2) of combinations that at least two classes have."""
+    """(c, node, n, p1, p2) of combinations that at least two classes have; above level 0, one of those with the same members."""
     rows = prefixes.where("combos is not null").select("node", "n", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2").distinct()
-    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("c")
-    return rows.join(groups, "c")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in range(2)]
+    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max("p2").alias("p2"), *members).where("size > 1")
+    # copies of a long text share thousands of combinations; level 0 keeps all, as a pair's first one brings it
+    once = groups.where("p2 < 0").groupBy("size", "m0", "m1").agg(F.min("c").alias("c")).select("c")
+    return rows.join(groups.where("p2 >= 0").select("c").unionByName(once), "c")
 
 
 def _stars(combos: DataFrame, turn: int) -> DataFrame:
@@ -310,9 +355,9 @@ def _between_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
     allowed = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (F.least("n", "n_") * 5 >= F.greatest("n", "n_") * 4)
     for bound in (most, F.floor((F.col("n") + F.col("n_") - differ) / 2)):
         allowed = allowed & (bound * 180 >= (F.col("n") + F.col("n_")) * 80)
-    # of all combinations that two classes share, the one of their first two common tokens brings the pair
-    upto = [F.slice(f"heavy{x}", F.lit(1), F.col(f"p2{x}") - F.col(f"base{x}") + 1) for x in ("", "_")]
-    allowed = allowed & (F.size(F.array_intersect(*upto)) == 2)
+    # of all combinations of level 0 that two classes share, the one of their first two common tokens brings the pair
+    upto = [F.slice(f"heavy{x}", F.lit(1), F.greatest(F.lit(0), F.col(f"p2{x}") - F.col(f"base{x}") + 1)) for x in ("", "_")]
+    allowed = allowed & ((F.col("p2") < 0) | (F.size(F.array_intersect(*upto)) == 2))
     return rows.join(other, "c").where(allowed).select(*_ordered("node", "n", "node_", "n_")).distinct()
 
 

@@ -525,6 +525,42 @@ def test_jaccard_components(spark, counters):
     assert [got[i] for i in range(len(texts))] == plain_components(texts)
 
 
+def test_jaccard_long_copies(spark):
+    """Crowds of long texts, linked and not, whose frequent tokens meet in buckets at several levels of size."""
+    rnd = random.Random(17)
+    texts = []
+    for length in (520, 1100):
+        base = prose(rnd, length).split()
+        for i in range(60):
+            copy = list(base[: len(base) - rnd.randint(0, length // 5)])
+            for _ in range(rnd.randint(0, length // 40)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(WORDS)
+            texts.append(" ".join(copy))
+    rows, links, components = setjoin.jaccard_links(documents(spark, texts).repartition(4), counters=1 << 16)
+    classes = setjoin.classes_with_components(rows, components)
+    got = {r["doc_id"]: (r["n"], r["component_id"]) for r in rows.join(classes, "node").collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts)
+
+
+def test_combinations_meet_and_are_few():
+    """Linked sets of any sizes share a combination; a large set has about one for each token."""
+    rng = np.random.default_rng(19)
+    for n in (400, 450, 512, 513, 640, 1025, 3000, 20_000):
+        for m in (n, n + n // 9, 5 * n // 4):
+            common = int(setjoin.required(n, m))
+            if common > min(n, m):
+                continue
+            x = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64) * np.uint64(2)
+            order = rng.permutation(len(x))  # the order of all tokens
+            mine, other = np.sort(order[:n]), np.sort(order[n - common :])
+            keys = [set(setjoin.combinations(x[s], len(s), 0)[0].tolist()) for s in (mine, other)]
+            assert keys[0] & keys[1], (n, m)
+        if n > 5 * setjoin.PLAIN // 4:
+            assert len(keys[0]) <= 1.1 * n
+    key, p1, p2 = setjoin.combinations(x[:0], 4, 4)
+    assert len(key) == len(p1) == len(p2) == 0
+
+
 def test_keep_one_of_each(spark):
     rnd = random.Random(8)
     a, b = prose(rnd, 100), prose(rnd, 100)
