@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -190,6 +191,34 @@ def siblings(spark, hits, **limits):
     return [(r["id"], r["is_hit"]) for r in context.expand_siblings(found, book, **limits).orderBy("n").collect()]
 
 
+def test_siblings_of_large_subsections(spark):
+    """Against a plain walk, and with no more members in the table than a walk can take or skip."""
+    rnd = random.Random(3)
+    sizes = [rnd.randint(1, 60) for _ in range(900)] + [None]
+    book = [(i, f"c{i}", rnd.choice("ab"), rnd.choice(["1.1", "1.1a", "2.3", "2.3 x", None]), c if c is None else "y" * c) for i, c in enumerate(sizes)]
+    chunks = spark.createDataFrame(book, "pos long, id string, source string, number string, text string")
+    hits = [(q, r, f"c{i}", 1.0) for q in range(25) for r, i in enumerate(rnd.sample(range(900), 4))]
+    got = {}
+    for r in context.expand_siblings(spark.createDataFrame(hits, "query_id long, rank int, id string, score double"), chunks, 9, 150).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    by_id = {b[1]: b for b in book}
+    for q in range(25):
+        mine = [h[2] for h in hits if h[0] == q]
+        taken, chars = list(mine), sum(len(by_id[m][4]) for m in mine)
+        for m in mine:
+            _, _, source, number, _ = by_id[m]
+            if number not in ("1.1", "1.1a", "2.3"):
+                continue
+            for _, i, s, n, text in book:
+                if s == source and n in (number[:3], number[:3] + "a") and text is not None and i not in taken and len(taken) < 9 and chars + len(text) <= 150:
+                    taken.append(i)
+                    chars += len(text)
+        assert got[q] == set(taken)
+    members = [r["members"] for r in context.sibling_table(chunks, 9, 150).collect()]
+    assert len(members) == 4 and max(len(m) for m in members) < 80
+    assert context.sibling_table(chunks.limit(0)).count() == 0
+
+
 def test_siblings(spark):
     assert siblings(spark, ["c3", "c7"]) == [("c1", False), ("c2", False), ("c3", True), ("c4", False), ("c7", True)]
     assert siblings(spark, ["c3", "c7"], max_chunks=3) == [("c1", False), ("c3", True), ("c7", True)]
