@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import stored, table
+from pagemill.llm.common import give_back, stored, table
 
 LEAST_DOCS = 3
 TOP_TERMS = 200
@@ -61,16 +61,27 @@ _FOUND = "lang string, source string, part string, item string, value long"
 
 
 class _Counts:
-    """Counts of (group, term) that a task has met; terms by hash, with the bytes of each."""
+    """Counts of (group, term) that a task has met; terms by hash, their bytes one after the other."""
 
     def __init__(self) -> None:
         self.groups: dict[tuple, int] = {}
-        self.terms: dict[int, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
         self.known = np.zeros(0, np.uint64)
+        #: For each known hash the number of its term, in the order of ``pool``: (bytes, lengths) as terms were met.
+        self.number = np.zeros(0, np.int32)
+        self.pool: list[tuple[np.ndarray, np.ndarray]] = []
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, group: np.ndarray, texts: pa.Array) -> None:
+    def numbers(self, keys: Iterator[tuple]) -> np.ndarray:
+        if not self.size:
+            self.groups = {}
+        return np.array([self.groups.setdefault(x, len(self.groups)) for x in keys], np.int64)
+
+    def add(self, group: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Counts ``texts``; what no longer fits is given out after each slice, not only after a batch."""
         for lo, hi, raw, offsets in wk.slices(texts):
             buf = wk.LOWER[raw]
             words = wk.split_words(buf, offsets, LETTERS)
@@ -79,15 +90,26 @@ class _Counts:
             hashes = words.hashes()
             distinct, first = np.unique(hashes, return_index=True)
             new = ~np.isin(distinct, self.known, assume_unique=True)
-            for h, i in zip(distinct[new].tolist(), first[new].tolist(), strict=True):
-                self.terms[h] = buf[words.start[i] : words.end[i]].tobytes()
-            self.known = np.union1d(self.known, distinct[new])
+            self._learn(buf, distinct[new], words.start[first[new]], words.end[first[new]])
             # runs of a term in a text, and then in a group
             order = np.lexsort((hashes, words.text))
             h, t = hashes[order], words.text[order]
             at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]))
             n = np.diff(np.concatenate([at, [len(h)]]))
             self._hold(group[lo:hi][t[at]], h[at], n, np.ones(len(at), np.int64))
+            if self.size > HELD_COUNTS:
+                self.combined()
+            if self.size > HELD_COUNTS // 2 or len(self.known) > HELD_COUNTS // 2:
+                yield from self.given()
+
+    def _learn(self, buf: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        if len(hashes):
+            length = end - start
+            before = np.cumsum(length) - length
+            self.pool.append((buf[np.repeat(start - before, length) + np.arange(int(length.sum()))], length.astype(np.int32)))
+            number = np.arange(len(self.known), len(self.known) + len(hashes), dtype=np.int32)
+            place = np.searchsorted(self.known, hashes)
+            self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, number)
 
     def _hold(self, *columns: np.ndarray) -> None:
         group, h, n, docs = columns
@@ -107,14 +129,23 @@ class _Counts:
         self.combined()
         if self.held:
             (group, h, n, docs), names = self.held[0], list(self.groups)
-            place = np.searchsorted(self.known, h)
-            terms = pa.array([self.terms[x].decode("utf-8", "replace") for x in self.known.tolist()], pa.string())
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in self.pool]))]).astype(np.int64)
+            data = pa.py_buffer(np.concatenate([x for x, _ in self.pool]))
+            terms = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
             lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
             step = 1 << 16
             for at in range(0, len(h), step):
                 part = slice(at, at + step)
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(group[part])), source.take(pa.array(group[part])), terms.take(pa.array(place[part])), pa.array(n[part]), pa.array(docs[part])], names=["lang", "source", "term", "n", "docs"])
-        self.__init__()
+                found = terms.take(pa.array(self.number[np.searchsorted(self.known, h[part])]))
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(group[part])), source.take(pa.array(group[part])), _text(found), pa.array(n[part]), pa.array(docs[part])], names=["lang", "source", "term", "n", "docs"])
+        self._empty()
+
+
+def _text(raw: pa.Array) -> pa.Array:
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -124,14 +155,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         for batch in batches:
-            both = zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True)
-            group = np.array([counts.groups.setdefault(x, len(counts.groups)) for x in both], np.int64)
-            counts.add(group, batch["text"])
-            if counts.size > HELD_COUNTS:
-                counts.combined()
-            if counts.size > HELD_COUNTS // 2 or len(counts.known) > HELD_COUNTS // 2:
-                yield from counts.given()
+            group = counts.numbers(zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True))
+            yield from counts.add(group, batch["text"])
         yield from counts.given()
+        give_back()
 
     found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

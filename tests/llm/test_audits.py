@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import divergence, filter_audit
@@ -165,3 +166,17 @@ def test_every_pair_of_blocks_meets_once(spark, blocks):
     assert sorted(tuple(sorted(x)) for x in met) == list(itertools.combinations(range(blocks), 2))
     hosted = Counter(h for _, h in met)
     assert not met or max(hosted.values()) <= blocks // 2 + 1
+
+
+def test_counts_are_given_out_within_a_batch(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_COUNTS", 1 << 14)
+    texts = [" ".join(f"{w}{c}" for c in ("é", "x", "Y")) for w in ("a" * (i + 1) for i in range(3))] + [" ".join("w" + "".join(chr(97 + int(d)) for d in str(k * 31 + i)) for k in range(100_000)) for i in range(3)]
+    counts, held, found = divergence._Counts(), [], {}
+    group = counts.numbers(zip(["en"] * len(texts), ["s"] * len(texts)))
+    for batch in itertools.chain(counts.add(group, pa.array(texts)), counts.given()):
+        held.append(batch.num_rows)
+        for term, n in zip(batch["term"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            found[term] = found.get(term, 0) + n
+    assert len(held) > 2 and counts.size == 0
+    assert found == dict(Counter(w.lower() for t in texts for w in t.split()))
+    assert divergence._text(pa.array([b"a\xff"], pa.large_binary())).to_pylist() == ["a�"]
