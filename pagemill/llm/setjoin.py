@@ -13,9 +13,10 @@ Jaccard similarity is at least 4/5.  Documents with equal sets are one class and
    level of size, and combine tokens of the same bucket only: linked classes share B + 1 tokens there,
    so two of them in one bucket.  A set has at most about one combination a token, however long it is.
 3. Rare groups are small; their pairs pass size and position bounds inside the task that holds the
-   group.  Combination groups may be of any size: their members are first compared with one member
-   only (a star), in STAR_ROUNDS rounds; pairs of the group follow only between what is then not
-   yet connected.
+   group.  Classes with frequent tokens are first compared with the centres of a few groups only
+   (stars): edits of a text bring rare tokens, so the member with the smallest share of them is the
+   centre.  Combination groups whose members these links connect are left out before any row of theirs
+   is dealt; of the others, pairs of different components are found inside tasks, each pair once a task.
 4. Candidates are verified exactly, first by a bitmap bound that never errs, then by the sets, which a
    third pass makes for the candidates only.
 5. Verified links give connected components.
@@ -53,8 +54,12 @@ PLAIN = 512
 SLICE = 100_000
 #: Signatures have 64 * FOLD bits at least, and are folded to so many to be compared in joins.
 FOLD = 8
-#: Rounds of stars before the members of a group are compared pair by pair.
-STAR_ROUNDS = 1
+#: Groups in which a class with frequent tokens is compared with the centre.
+STAR_KEYS = 6
+#: Members of a combination's group that a task compares with one another; larger groups are cut into blocks that meet.
+BLOCK = 4096
+#: Members, of whatever groups, that a task holds.
+MEMBERS = 250_000
 _U = np.uint64
 
 
@@ -189,9 +194,9 @@ COMBINATION = "struct<c:bigint,p1:int,p2:int>"
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) -> DataFrame:
-    """Rows of two kinds: (range, postings) with rare tokens of prefixes, and (node, n, sig, fold, base, heavy, combos) for each class a task meets."""
+    """Rows of two kinds: (range, postings) with rare tokens of prefixes, and (node, n, sig, fold, base, keys, combos) for each class a task meets."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["range", "postings", "node", "n", "sig", "fold", "base", "heavy", "combos"]
+    names = ["range", "postings", "node", "n", "sig", "fold", "base", "keys", "combos"]
     combo = pa.list_(pa.struct([("c", pa.int64()), ("p1", pa.int32()), ("p2", pa.int32())]))
 
     def blobs(found: list[tuple]) -> pa.RecordBatch:
@@ -216,8 +221,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([v for v in values if v is not None] or [np.zeros(0, np.int64)]), kind))
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
-        """Classes (node, n, sig, base, heavy, (c, p1, p2))."""
-        node, n, sig, base, heavy, combos = zip(*found, strict=True)
+        """Classes (node, n, sig, base, keys, (c, p1, p2))."""
+        node, n, sig, base, keys, combos = zip(*found, strict=True)
         k = len(node)
         parts = [lists([None if c is None else c[i] for c in combos], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
         pairs = pa.StructArray.from_arrays([x.values for x in parts], names=["c", "p1", "p2"])
@@ -225,7 +230,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([c is None for c in combos] + [False]))
         return pa.RecordBatch.from_arrays([
             pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()),
-            pa.array([x and folded(x) for x in sig], pa.list_(pa.int64())), pa.array(base, pa.int32()), lists(list(heavy), pa.int64()), pa.ListArray.from_arrays(edges, pairs),
+            pa.array([x and folded(x) for x in sig], pa.list_(pa.int64())), pa.array(base, pa.int32()), lists(list(keys), pa.int64()), pa.ListArray.from_arrays(edges, pairs),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +251,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
                     held += len(single)
                 ordered = tokens[heavy[np.lexsort((tokens[heavy], weight[heavy]))]]
                 combos = combinations(ordered, n, len(rare))
-                plain = combos[2].max(initial=-1)
-                first = ordered[: plain - len(rare) + 1].view(np.int64) if plain >= 0 else None
+                keys = np.sort(wk.mix(ordered))[:STAR_KEYS].view(np.int64) if len(heavy) else None
                 large += len(combos[0])
-                classes.append((node, n, signature(tokens), len(rare), first, tuple(c[:SLICE] for c in combos) if len(combos[0]) else None))
+                classes.append((node, n, signature(tokens), len(rare), keys, tuple(c[:SLICE] for c in combos) if len(combos[0]) else None))
                 for at in range(SLICE, len(combos[0]), SLICE):
                     classes.append((node, n, None, None, None, tuple(c[at : at + SLICE] for c in combos)))
                 large += n // 8
@@ -267,7 +271,22 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, ranges: int) ->
         del seen, found, classes
         give_back()
 
-    return docs.select("text").mapInArrow(run, f"range int, postings binary, node long, n int, sig binary, fold array<bigint>, base int, heavy array<bigint>, combos array<{COMBINATION}>")
+    return docs.select("text").mapInArrow(run, f"range int, postings binary, node long, n int, sig binary, fold array<bigint>, base int, keys array<bigint>, combos array<{COMBINATION}>")
+
+
+def _places(edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the two members of each pair of the groups edge[i]:edge[i+1], some megabytes at a time whatever a group's size."""
+    size = np.diff(edge)
+    for s in np.unique(size[(size > 1) & (size <= 256)]).tolist():
+        begin = edge[:-1][size == s]
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 500_000 // len(i))
+        for k in range(0, len(begin), step):
+            part = begin[k : k + step, None]
+            yield (part + i).ravel(), (part + j).ravel()
+    for a, z in zip(edge[:-1][size > 256].tolist(), edge[1:][size > 256].tolist(), strict=True):
+        for at in range(a, z - 1):
+            yield np.full(z - at - 1, at), np.arange(at + 1, z)
 
 
 def _rare_pairs(prefixes: DataFrame) -> DataFrame:
@@ -278,23 +297,9 @@ def _rare_pairs(prefixes: DataFrame) -> DataFrame:
         order = np.argsort(rows["token"], kind="stable")
         token = rows["token"][order]
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        size = np.diff(edge)
         out = []
 
-        def places() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Places of the two members of each pair under one token, some megabytes at a time whatever a group's size."""
-            for s in np.unique(size[(size > 1) & (size <= 256)]).tolist():
-                begin = edge[:-1][size == s]
-                i, j = np.triu_indices(s, 1)
-                step = max(1, 500_000 // len(i))
-                for k in range(0, len(begin), step):
-                    part = begin[k : k + step, None]
-                    yield (part + i).ravel(), (part + j).ravel()
-            for a, z in zip(edge[:-1][size > 256].tolist(), edge[1:][size > 256].tolist(), strict=True):
-                for at in range(a, z - 1):
-                    yield np.full(z - at - 1, at), np.arange(at + 1, z)
-
-        for left, right in places():
+        for left, right in _places(edge):
             x, y = rows[order[left]], rows[order[right]]
             n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
             most = 1 + np.minimum(n - x["pos"] - 1, m - y["pos"] - 1)
@@ -317,28 +322,28 @@ def _rare_pairs(prefixes: DataFrame) -> DataFrame:
     return rows.groupBy("range").applyInArrow(pairs, "a long, b long, na int, nb int").distinct()
 
 
-def _combinations(prefixes: DataFrame) -> DataFrame:
-    """(c, node, n, p1, p2) of combinations that at least two classes have; above level 0, one of those with the same members."""
-    rows = prefixes.where("combos is not null").select("node", "n", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2").distinct()
-    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in range(2)]
-    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max("p2").alias("p2"), *members).where("size > 1")
-    # copies of a long text share thousands of combinations; level 0 keeps all, as a pair's first one brings it
-    once = groups.where("p2 < 0").groupBy("size", "m0", "m1").agg(F.min("c").alias("c")).select("c")
-    return rows.join(groups.where("p2 >= 0").select("c").unionByName(once), "c")
-
-
-def _stars(combos: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each class with one of its combination's group, another one each turn."""
-    hubs = combos.groupBy("c").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n")).alias("hub"))
-    both = combos.join(hubs, "c").select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n")).where("node <> other")
+def _stars(classes: DataFrame) -> DataFrame:
+    """(a, b, na, nb): each class with the centre of every key it has."""
+    rows = classes.where("keys is not null").select("node", "n", (F.col("base") / F.col("n")).alias("rare"), F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min(F.struct("rare", "node", "n")).alias("hub"))
+    both = rows.join(hubs, "key").select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n")).where("node <> other")
     return both.where(F.least("n", "other_n") * 5 >= F.greatest("n", "other_n") * 4).select(*_ordered("node", "n", "other", "other_n")).distinct()
 
 
-def _open(combos: DataFrame, components: DataFrame) -> DataFrame:
-    """``combos`` with ``label``, the class's component, of groups with more than one component."""
-    labelled = combos.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("c")
-    return labelled.join(groups, "c").select("c", "node", "n", "p1", "p2", "label")
+def _open(prefixes: DataFrame, components: DataFrame) -> DataFrame:
+    """(c, size, node, n, p1, p2, label) of combinations that classes of several components have; above level 0, one of those with the same members.
+
+    ``label`` is the class's component, itself if it has none.
+    """
+    classes = prefixes.where("combos is not null").select("node", "n", "combos")
+    labelled = classes.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = labelled.select("node", "n", "label", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2", "label").distinct()
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in range(2)]
+    ends = F.min("label").alias("low"), F.max("label").alias("high")
+    groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max("p2").alias("p2"), *members, *ends).where("low < high")
+    # copies of a long text share thousands of combinations; level 0 keeps all, as a pair's first one brings it
+    once = groups.where("p2 < 0").groupBy("size", "m0", "m1").agg(F.min("c").alias("c")).select("c", "size")
+    return rows.join(groups.where("p2 >= 0").select("c", "size").unionByName(once), "c")
 
 
 def _ordered(a: str, na: str, b: str, nb: str) -> list:
@@ -347,18 +352,53 @@ def _ordered(a: str, na: str, b: str, nb: str) -> list:
 
 
 def _between_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a combination's group that no links connect yet, within size, position and bitmap bounds."""
-    rows = rows.join(classes, "node")
-    other = rows.select("c", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "p1", "p2", "label", "fold", "base", "heavy")])
-    most = F.least(F.least(F.col("n") - F.col("p2"), F.col("n_") - F.col("p2_")) + 1, F.least(F.col("n") - F.col("p1"), F.col("n_") - F.col("p1_")))
-    differ = sum((F.bit_count(F.get("fold", F.lit(i)).bitwiseXOR(F.get("fold_", F.lit(i)))) for i in range(FOLD)), F.lit(0))
-    allowed = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (F.least("n", "n_") * 5 >= F.greatest("n", "n_") * 4)
-    for bound in (most, F.floor((F.col("n") + F.col("n_") - differ) / 2)):
-        allowed = allowed & (bound * 180 >= (F.col("n") + F.col("n_")) * 80)
-    # of all combinations of level 0 that two classes share, the one of their first two common tokens brings the pair
-    upto = [F.slice(f"heavy{x}", F.lit(1), F.greatest(F.lit(0), F.col(f"p2{x}") - F.col(f"base{x}") + 1)) for x in ("", "_")]
-    allowed = allowed & ((F.col("p2") < 0) | (F.size(F.array_intersect(*upto)) == 2))
-    return rows.join(other, "c").where(allowed).select(*_ordered("node", "n", "node_", "n_")).distinct()
+    """(a, b, na, nb): pairs of a combination's group that no links connect yet, within size, position and bitmap bounds."""
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // MEMBERS + 1)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", "c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("cell", F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select(F.pmod("cell", F.lit(ranges)).cast("int").alias("range"), "cell", "node", "n", "p1", "p2", "label")
+    folds = dealt.select("range", "node").distinct().join(classes.select("node", "fold"), "node").toDF("node_", "range_", "fold")
+
+    def pairs(members: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known["node_"].to_numpy())
+        nodes = known["node_"].to_numpy()[order]
+        fold = known["fold"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, FOLD)[order]  # bits of unsigned numbers: those of a negative one are counted by its absolute value
+        order = np.argsort(members["cell"].to_numpy(), kind="stable")
+        cell, node, n, p1, p2, label = (members[c].to_numpy()[order] for c in ("cell", "node", "n", "p1", "p2", "label"))
+        at, n = np.searchsorted(nodes, node), n.astype(np.int64)
+        size_of = np.zeros(len(nodes), np.int64)
+        size_of[at] = n
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        codes, found, held = [], [], 0
+
+        def near() -> np.ndarray:
+            code = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
+            kept = [np.zeros(0, np.int64)]
+            for part in np.array_split(code, len(code) // 500_000 + 1):
+                x, y = np.divmod(part, len(nodes))
+                differ = np.bitwise_count(fold[x] ^ fold[y]).sum(axis=1, dtype=np.int64)
+                kept.append(part[(size_of[x] + size_of[y] - differ) // 2 >= required(size_of[x], size_of[y])])
+            return np.concatenate(kept)
+
+        for x, y in _places(edge):
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            # of all combinations of level 0 that two classes share, that of their first two common tokens has the widest bound
+            most = np.minimum(np.minimum(n[x] - p2[x], n[y] - p2[y]) + 1, np.minimum(n[x] - p1[x], n[y] - p1[y]))
+            ok = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (most >= required(n[x], n[y]))
+            x, y = at[x[ok]], at[y[ok]]
+            codes.append(np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y)))
+            held += len(codes[-1])
+            if held > 4_000_000:
+                found.append(near())
+                codes, held = [], 0
+        a, b = np.divmod(np.unique(np.concatenate([*found, near()])), max(1, len(nodes)))
+        made = pa.table({"a": nodes[a], "b": nodes[b], "na": size_of[a].astype(np.int32), "nb": size_of[b].astype(np.int32)})
+        give_back()
+        return made
+
+    return dealt.groupBy("range").cogroup(folds.groupBy("range_")).applyInArrow(pairs, "a long, b long, na int, nb int").distinct()
 
 
 def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -440,20 +480,15 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS)
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // 4_000_000) + 1)
     prefixes = stored(_prefixes(docs, frequent, width, ranges), "prefixes")
-    classes = prefixes.where("sig is not null").select("node", "sig", "fold", "base", "heavy").dropDuplicates(["node"])
-    combos = stored(_combinations(prefixes), "combinations")
-    close = stored(_near(_rare_pairs(prefixes).unionByName(_stars(combos, 0)).distinct(), classes), "close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).union(combos.select("node")).distinct()
+    classes = prefixes.where("sig is not null").select("node", "n", "sig", "fold", "base", "keys").dropDuplicates(["node"])
+    close = stored(_near(_rare_pairs(prefixes).unionByName(_stars(classes)).distinct(), classes), "close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).union(prefixes.where("combos is not null").select("node")).distinct()
     sets = stored(_sets_of(docs, wanted, width).join(wanted, "node", "left_semi"), "sets")
     links = stored(_linked(close, sets), "links")
     components = connected_components(links)
-    for turn in range(1, STAR_ROUNDS + 1):
-        rest = stored(_open(combos, components), "open")
-        if not rest.limit(1).count():
-            break
-        # stars first, as they cost a pair a class; what is still apart after them is compared pair by pair
-        pairs = _stars(rest, turn) if turn < STAR_ROUNDS else _between_components(rest, classes.select("node", "fold", "base", "heavy"))
-        found = stored(_linked(_near(pairs, classes), sets), "links")
+    rest = stored(_open(prefixes, components), "open")
+    if rest.limit(1).count():
+        found = stored(_linked(_near(_between_components(rest, classes), classes), sets), "links")
         links, components = links.unionByName(found).distinct(), merged_components(components, found)
     return rows, links, components
 

@@ -742,3 +742,29 @@ def test_pipeline(spark, tmp_path):
     assert [r["slot"] for r in sorted(out, key=lambda r: r["slot"])] == list(range(len(out)))
     assert not {901, 902} & {x for r in out for x in r["doc_ids"]}
     json.dumps([r["slot"] for r in out])
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_between_components_come_once(spark, monkeypatch, block):
+    """Above level 0 a pair shares hundreds of combinations; it is one row of a task all the same, also when a group is cut into blocks."""
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:540], rng.integers(0, 1 << 63, 60, dtype=np.uint64)])) for _ in range(20)]
+    rows = [(c, 20, node, 600, -1, -1, node) for c in range(300) for node in range(20)]
+    rest = spark.createDataFrame(rows, "c long, size long, node long, n int, p1 int, p2 int, label long")
+    classes = spark.createDataFrame([(i, setjoin.folded(setjoin.signature(s))) for i, s in enumerate(sets)], "node long, fold array<long>")
+    found = setjoin._between_components(rest, classes)
+    got = sorted((r["a"], r["b"], r["na"], r["nb"]) for r in found.collect())
+    assert len(got) == len(set(got))
+    linked = {(i, j) for i in range(20) for j in range(i + 1, 20) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= {(a, b) for a, b, _, _ in got} and all(n == (600, 600) for n in {(c, d) for _, _, c, d in got})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join [c" not in plan  # no join of a group's members with one another
+
+
+def test_stars_go_to_the_centre(spark):
+    """Edits bring rare tokens, so of a group's members the text without any is the centre, whatever the ids."""
+    rows = [(i, 100, 0 if i == 7 else 10 + i, [1, 2]) for i in range(10)] + [(99, 100, 100, None)]
+    found = setjoin._stars(spark.createDataFrame(rows, "node long, n int, base int, keys array<long>")).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == sorted((min(i, 7), max(i, 7)) for i in range(10) if i != 7)
