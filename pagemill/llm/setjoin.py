@@ -49,7 +49,7 @@ K = 2
 COUNTERS = 1 << 21
 FILTER_BITS = 24
 #: Sets of up to so many tokens combine all tokens of their prefix; larger ones those of a bucket.
-PLAIN = 512
+PLAIN = 64
 #: Combinations of one set are emitted in rows of at most so many.
 SLICE = 100_000
 #: Signatures have 64 * FOLD bits at least, and are folded to so many to be compared in joins.
@@ -335,9 +335,10 @@ def _open(prefixes: DataFrame, components: DataFrame) -> DataFrame:
 
     ``label`` is the class's component, itself if it has none.
     """
-    classes = prefixes.where("combos is not null").select("node", "n", "combos")
-    labelled = classes.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = labelled.select("node", "n", "label", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2", "label").distinct()
+    # a class is met by many tasks; one of them counts, slice by slice, before any row of it is made
+    slices = prefixes.where("combos is not null").select("node", "n", "combos", F.get("combos", F.lit(0))["c"].alias("first")).dropDuplicates(["node", "first"])
+    labelled = slices.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = stored(labelled.select("node", "n", "label", F.explode("combos").alias("x")).select("x.c", "node", "n", "x.p1", "x.p2", "label"), "combinations")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in range(2)]
     ends = F.min("label").alias("low"), F.max("label").alias("high")
     groups = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max("p2").alias("p2"), *members, *ends).where("low < high")

@@ -561,6 +561,13 @@ def test_combinations_meet_and_are_few():
     assert len(key) == len(p1) == len(p2) == 0
 
 
+def test_combinations_grow_with_a_text_and_not_its_square():
+    """Texts of usual lengths too have fewer combinations than twice their tokens; 200 tokens gave 861 and 400 gave 3,321."""
+    x = np.random.default_rng(20).integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2)
+    for n in range(4, 513, 4):
+        assert len(setjoin.combinations(x[:n], n, 0)[0]) <= 2 * n, n
+
+
 def test_keep_one_of_each(spark):
     rnd = random.Random(8)
     a, b = prose(rnd, 100), prose(rnd, 100)
@@ -763,6 +770,20 @@ def test_pairs_between_components_come_once(spark, monkeypatch, block):
     assert "Join [c" not in plan  # no join of a group's members with one another
 
 
+def test_a_class_is_taken_apart_once(spark, monkeypatch):
+    """Many tasks meet the same class; its combinations are made into rows once all the same, slice by slice."""
+    made = []
+    monkeypatch.setattr(setjoin, "stored", lambda df, name: made.append((name, df)) or df)
+    sets = [(1, [11, 12]), (1, [13]), (2, [11, 13]), (3, [14])]
+    rows = [(node, 10, [(c, 0, 1) for c in combos]) for node, combos in sets] * 5
+    prefixes = spark.createDataFrame(rows, f"node long, n int, combos array<{setjoin.COMBINATION}>").repartition(4)
+    found = setjoin._open(prefixes, spark.createDataFrame([], "node long, component long"))
+    assert sorted((r["c"], r["node"], r["size"]) for r in found.collect()) == [(11, 1, 2), (11, 2, 2), (13, 1, 2), (13, 2, 2)]
+    assert [(name, df.count()) for name, df in made] == [("combinations", 6)]
+    plan = made[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan[plan.index("Aggregate"):]  # classes are told apart below the explosion
+
+
 def test_stars_go_to_the_centre(spark):
     """Edits bring rare tokens, so of a group's members the text without any is the centre, whatever the ids."""
     rows = [(i, 100, 0 if i == 7 else 10 + i, [1, 2]) for i in range(10)] + [(99, 100, 100, None)]
