@@ -12,8 +12,8 @@ blocks that all such pairs share would be three bits wide (figures in the README
 
 1. One pass over the texts emits a row of numbers for each line and, where a task meets a line
    first, its key, SimHash and normalised text.  Equal normalised lines are one class.
-2. Classes meet by key range, in numpy blobs, inside a task: each class is paired with the smallest
-   near one that it meets, so there are few pairs whatever a group's size.  Counters tell keys
+2. Classes meet by key range, in numpy blobs, inside a task: each class is paired with that near
+   one that has most near ones itself, so there are few pairs whatever a group's size.  Counters tell keys
    that may have more than CROWD classes; these stay rows, and give stars.
 3. Pairs are verified by edit distance: by bounds from common ends and aligned words first.
 4. Verified pairs connect; then near classes of one key that are still in different components
@@ -237,7 +237,7 @@ def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
-    """(a, b) of near classes under a common ordinary key: each class with the smallest one it meets, or, with labels, all pairs across labels."""
+    """(a, b) of near classes under a common ordinary key: each class with the one of most near ones that it meets, or, with labels, all pairs across labels."""
     kind = LABELLED if labelled else POSTING
 
     def pairs(group: pa.Table) -> pa.Table:
@@ -246,7 +246,15 @@ def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
         again = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
         rows = rows[np.concatenate([[True], ~again])]  # several tasks may have met a class
         nodes, at = np.unique(rows["node"], return_inverse=True)
+        if not labelled:  # nodes with most near ones first
+            degree = np.zeros(len(nodes), np.int64)
+            for x, y in _near_pairs(rows):
+                for ends in (x, y):
+                    np.add.at(degree, at[ends], 1)
+            order = np.argsort(-degree, kind="stable")
+            nodes, at = nodes[order], np.argsort(order)[at]
         least, found = np.arange(len(nodes)), [np.zeros((0, 2), np.int64)]
+        beyond = np.full(len(nodes), len(nodes))  # the first near one after it
         for x, y in _near_pairs(rows):
             if labelled:
                 apart = rows["label"][x] != rows["label"][y]
@@ -256,12 +264,15 @@ def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
                 found.append(np.unique(np.stack([low, high], axis=1), axis=0))
             else:
                 np.minimum.at(least, high, low)
+                np.minimum.at(beyond, low, high)
         if labelled:
             ends = np.unique(np.concatenate(found), axis=0)
         else:
             moved = np.flatnonzero(least < np.arange(len(nodes)))
-            ends = np.stack([least[moved], moved], axis=1)
-        return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
+            centres = np.flatnonzero((least == np.arange(len(nodes))) & (beyond < len(nodes)))  # some are nobody's choice
+            ends = np.concatenate([np.stack([least[moved], moved], axis=1), np.stack([centres, beyond[centres]], axis=1)])
+        a, b = nodes[ends[:, 0]], nodes[ends[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     rows = postings.where("range is not null").select("range", "postings")
     return rows.groupBy("range").applyInArrow(pairs, "a long, b long").distinct()

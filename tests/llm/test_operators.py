@@ -663,6 +663,19 @@ def lines_with_copies(rnd):
     return texts
 
 
+def test_every_near_line_is_in_a_pair(spark):
+    """A class whose near ones all choose others is compared too: later rounds see only classes that some pair has."""
+    rng = np.random.default_rng(6)
+    rows = np.zeros(60, dtype=fuzzy_lines.POSTING)
+    rows["node"], rows["chars"] = [5 * k + v for k in range(12) for v in (0, 3, 2, 4, 1)], 100  # both that 2 is near have a smaller one than 2
+    for i in range(60):  # a chain: each is near the one before it and the one after it
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 12, replace=False).astype(np.uint64))
+        rows["hash"][i] = rows["hash"][i - 1] ^ flips if i else flips
+    postings = spark.createDataFrame([(0, bytearray(rows[:30].tobytes())), (0, bytearray(rows[20:].tobytes()))], "range int, postings binary")
+    pairs = [(r["a"], r["b"]) for r in fuzzy_lines._pairs_of_ranges(postings).collect()]
+    assert {x for pair in pairs for x in pair} == set(range(60)) and all(a < b for a, b in pairs) and len(pairs) <= 2 * 60
+
+
 @pytest.mark.parametrize("crowd", [4096, -16])
 def test_fuzzy_lines(spark, crowd, monkeypatch):
     """Against all pairs by edit similarity alone: nothing is linked that shouldn't be, and nine tenths of the pairs are."""
