@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import set_aside, stored, table
+from pagemill.llm.common import give_back, set_aside, stored, table
 
 WINDOW = 10
 BLOCK_WINDOWS = 50_000
@@ -138,6 +138,7 @@ def scan(docs: DataFrame, block: dict[bytes, list[str | None]], text: str = "tex
             columns = list(batch.columns)
             columns[at_words], columns[at_hits] = pa.array(n_words), pa.array(hits, _ARROW_HITS)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import is_training, labelled_sample, set_aside, table
+from pagemill.llm.common import give_back, is_training, labelled_sample, set_aside, table
 from pagemill.llm.linear import Features, Ftrl, dense, fit, fit_shards, linear_scores, sigmoid
 
 THRESHOLD = 0.3
@@ -73,6 +73,7 @@ def with_scores(docs: DataFrame, features: Features, weights: np.ndarray, text:
         for batch in batches:
             s = linear_scores(features, shared.value, 0.0, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f(s), pa.float64()) for _, f in outputs.values())], names=[*names, *outputs])
+        give_back()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{k}` {kind}" for k, (kind, _) in outputs.items()])
     return docs.mapInArrow(run, schema)

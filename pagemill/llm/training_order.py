@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import wordkit as wk
-from pagemill.llm.common import stored, table
+from pagemill.llm.common import give_back, stored, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -66,25 +65,40 @@ class Encoder:
         self.widths = np.zeros(max(merges.values()) + 1, dtype=np.int64)
         for token, rank in merges.items():
             self.widths[rank] = len(token)
-        self.cache: dict[int, list[int]] = {}
         self.most = most_cached
+        self._forget()
 
-    def _learn(self, hashes: list[int], buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Encode pieces in one call: joined, those with a leading space keep their borders."""
+    def _forget(self) -> None:
+        """What is learnt: hashes of pieces in order, and for each its ids, as length[i] numbers from flat[at[i]] on."""
+        self.known, self.at, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode pieces in one call: joined, those with a leading space keep their borders.  ``hashes`` are in order and not known."""
         raw = buf.tobytes()
         pieces = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         spaced = [i for i, p in enumerate(pieces) if p[:1] == b" " and p[1:2].strip()]
         try:
-            ids = self.encoding.encode_ordinary(b"".join(pieces[i] for i in spaced).decode())
+            ids = np.array(self.encoding.encode_ordinary(b"".join(pieces[i] for i in spaced).decode()), dtype=np.int32)
         except UnicodeDecodeError:
-            spaced, ids = [], []
-        alone = set(range(len(pieces))).difference(spaced)
-        for i in alone:
-            self.cache[hashes[i]] = self.encoding.encode_ordinary(pieces[i].decode("utf-8", "replace"))
-        ends = np.cumsum(self.widths[np.array(ids, dtype=np.int64)])
-        borders = [0, *(np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in spaced])) + 1).tolist()]
-        for i, a, b in zip(spaced, borders[:-1], borders[1:], strict=True):
-            self.cache[hashes[i]] = ids[a:b]
+            spaced, ids = [], np.zeros(0, np.int32)
+        ends = np.cumsum(self.widths[ids])
+        borders = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in spaced])) + 1])
+        at, length, flat, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32), [self.flat, ids], len(self.flat) + len(ids)
+        at[spaced], length[spaced] = len(self.flat) + borders[:-1], np.diff(borders)
+        for i in sorted(set(range(len(pieces))).difference(spaced)):
+            flat.append(np.array(self.encoding.encode_ordinary(pieces[i].decode("utf-8", "replace")), dtype=np.int32))
+            at[i], length[i] = size, len(flat[-1])
+            size += len(flat[-1])
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.length = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.length, place, length)
+        self.flat = np.concatenate(flat)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where these stand among the known ones, -1 for others."""
+        place = np.searchsorted(self.known, hashes)
+        found = place < len(self.known)
+        found[found] = self.known[place[found]] == hashes[found]
+        return np.where(found, place, -1)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -100,18 +114,16 @@ class Encoder:
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
         hashes, which, inverse = np.unique(wk.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        hashes, cache = hashes.tolist(), self.cache
-        missing = [i for i, h in enumerate(hashes) if h not in cache]
-        self._learn([hashes[i] for i in missing], buf, start[which[missing]], end[which[missing]])
-        found = [cache[h] for h in hashes]
-        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(length.sum()))
-        at = np.cumsum(length) - length
+        if len(self.known) > self.most or len(self.flat) > 8 * self.most:
+            self._forget()
+        missing = np.flatnonzero(self._places(hashes) < 0)
+        if len(missing):
+            self._learn(hashes[missing], buf, start[which[missing]], end[which[missing]])
+        place = self._places(hashes)
+        at, length = self.at[place], self.length[place].astype(np.int64)
         taken = length[inverse]
         before = np.cumsum(taken) - taken
-        ids = flat[np.repeat(at[inverse] - before, taken) + np.arange(int(taken.sum()))]
+        ids = self.flat[np.repeat(at[inverse] - before, taken) + np.arange(int(taken.sum()))]
         return ids, wk.sums(taken, np.searchsorted(start, offsets))
 
 
@@ -177,7 +189,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
 
         for batch in batches:
             encoder = encoder or _encoder(ranks.value, pattern)
-            for lo, hi, buf, offsets in wk.slices(batch.column(0), 4 << 20):
+            for lo, hi, buf, offsets in wk.slices(batch.column(0)):
                 ids, counts = encoder.encode(buf, offsets)
                 stop = np.cumsum(counts)
                 ids = np.insert(ids, stop, eos)
@@ -199,6 +211,8 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
             filled = len(tokens)
             tokens = np.concatenate([tokens, np.full(size - filled, eos, dtype)])
             yield rows(1, filled)
+        del tokens, owners, ends
+        give_back()
 
     return docs.select(text, doc_id).mapInArrow(run, f"part int, pos long, n_tokens int, doc_ids array<{kind}>, tokens binary")
 

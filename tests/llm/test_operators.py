@@ -412,6 +412,29 @@ def test_encoder_is_whole_text(spark):
             assert ids[ends[i] - counts[i] : ends[i]].tolist() == e.encoding.encode_ordinary(texts[lo + i])
 
 
+def test_encoder_holds_little(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagemill.llm import wordkit as wk
+
+    ranks = training_order.read_ranks(spark, training_order.TOKENIZER)
+    e = training_order.Encoder(ranks, training_order.PATTERN)
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(200)]
+    tracemalloc.start()
+    for _, _, buf, offsets in wk.slices(pa.array(texts)):
+        e.encode(buf, offsets)
+    del buf, offsets
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held - sum(x.nbytes for x in (wk._powers["up"], wk._powers["down"])) < 60 * 80_000  # 80,000 pieces of some five ids each
+    few = training_order.Encoder(ranks, training_order.PATTERN, most_cached=1000)
+    for text in texts:
+        ids, _ = few.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == e.encoding.encode_ordinary(text) and len(few.known) <= 1400
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         assert sorted(training_order.Permutation(n, "k")(np.arange(n)).tolist()) == list(range(n))
