@@ -16,8 +16,9 @@ blocks that all such pairs share would be three bits wide (figures in the README
    one that has most near ones itself, so there are few pairs whatever a group's size.  Counters tell keys
    that may have more than CROWD classes; these stay rows, and give stars.
 3. Pairs are verified by edit distance: by bounds from common ends and aligned words first.
-4. Verified pairs connect; then near classes of one key that are still in different components
-   are paired and verified too, so no link between components is lost.
+4. Verified pairs connect; then near classes of one key that are still in different components meet
+   in a task with their texts, a row for each class and key, and are verified there, so no link between
+   components is lost and no pair is a row.
 5. The removed line numbers are joined back to the documents.
 
 A class is known by the 64-bit hash of its normalised line.  Defined results: null and empty texts have
@@ -52,6 +53,8 @@ FILTER_BITS = 24
 COUNTER_BITS = 22
 #: Postings of a range, some 45 MB.
 RANGE_ROWS = 2_000_000
+#: Classes of a key that are compared in one task, and more than the most such blocks of a key.
+BLOCK, PIECES = 1024, 64
 _U = np.uint64
 _NOT_NEWLINE = wk._table(b"\n")
 _FOLD = np.array([48 if 48 <= b <= 57 else wk.LOWER[b] for b in range(256)], dtype=np.uint8)
@@ -142,7 +145,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
+def _keys(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     """A row of 64-bit keys for each class; different bands have different ones."""
     packed = np.stack([batch[k].to_numpy() for k in KEYS], axis=1).view(np.uint32)
     return wk.mix(packed.astype(np.uint64) | np.arange(sh.BANDS, dtype=np.uint64) << _U(32))
@@ -236,41 +239,27 @@ def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield np.full(len(y), x), y
 
 
-def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
-    """(a, b) of near classes under a common ordinary key: each class with the one of most near ones that it meets, or, with labels, all pairs across labels."""
-    kind = LABELLED if labelled else POSTING
+def _pairs_of_ranges(postings: DataFrame) -> DataFrame:
+    """(a, b) of near classes under a common ordinary key: each class with the one of most near ones that it meets."""
 
     def pairs(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in group["postings"]])
-        rows = rows[np.lexsort((rows["node"], rows["key"]))]
-        again = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
-        rows = rows[np.concatenate([[True], ~again])]  # several tasks may have met a class
+        rows = _rows_of(group["postings"], POSTING)
         nodes, at = np.unique(rows["node"], return_inverse=True)
-        if not labelled:  # nodes with most near ones first
-            degree = np.zeros(len(nodes), np.int64)
-            for x, y in _near_pairs(rows):
-                for ends in (x, y):
-                    np.add.at(degree, at[ends], 1)
-            order = np.argsort(-degree, kind="stable")
-            nodes, at = nodes[order], np.argsort(order)[at]
-        least, found = np.arange(len(nodes)), [np.zeros((0, 2), np.int64)]
+        degree = np.zeros(len(nodes), np.int64)
+        for x, y in _near_pairs(rows):
+            for ends in (x, y):
+                np.add.at(degree, at[ends], 1)
+        order = np.argsort(-degree, kind="stable")  # nodes with most near ones first
+        nodes, at = nodes[order], np.argsort(order)[at]
+        least = np.arange(len(nodes))
         beyond = np.full(len(nodes), len(nodes))  # the first near one after it
         for x, y in _near_pairs(rows):
-            if labelled:
-                apart = rows["label"][x] != rows["label"][y]
-                x, y = x[apart], y[apart]
             low, high = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
-            if labelled:
-                found.append(np.unique(np.stack([low, high], axis=1), axis=0))
-            else:
-                np.minimum.at(least, high, low)
-                np.minimum.at(beyond, low, high)
-        if labelled:
-            ends = np.unique(np.concatenate(found), axis=0)
-        else:
-            moved = np.flatnonzero(least < np.arange(len(nodes)))
-            centres = np.flatnonzero((least == np.arange(len(nodes))) & (beyond < len(nodes)))  # some are nobody's choice
-            ends = np.concatenate([np.stack([least[moved], moved], axis=1), np.stack([centres, beyond[centres]], axis=1)])
+            np.minimum.at(least, high, low)
+            np.minimum.at(beyond, low, high)
+        moved = np.flatnonzero(least < np.arange(len(nodes)))
+        centres = np.flatnonzero((least == np.arange(len(nodes))) & (beyond < len(nodes)))  # some are nobody's choice
+        ends = np.concatenate([np.stack([least[moved], moved], axis=1), np.stack([centres, beyond[centres]], axis=1)])
         a, b = nodes[ends[:, 0]], nodes[ends[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -278,6 +267,83 @@ def _pairs_of_ranges(postings: DataFrame, labelled: bool = False) -> DataFrame:
     return rows.groupBy("range").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def _rows_of(postings: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The postings, sorted by key and node, each once: several tasks may have met a class."""
+    rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in postings])
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    again = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
+    return rows[np.concatenate([[True], ~again])]
+
+
+def _members(postings: DataFrame) -> DataFrame:
+    """(range, piece, key, block, node, label): a row for each ordinary key of a class that has a near one with another label there.
+
+    More than BLOCK classes of a key are dealt into blocks, and each two blocks are a piece of their own, so that no task compares all.
+    """
+
+    def apart(group: pa.Table) -> pa.Table:
+        rows = _rows_of(group["postings"], LABELLED)
+        wanted = np.zeros(len(rows), dtype=bool)
+        for x, y in _near_pairs(rows):
+            other = rows["label"][x] != rows["label"][y]
+            wanted[x[other]] = wanted[y[other]] = True
+        rows = rows[wanted]
+        _, first, size = np.unique(rows["key"], return_index=True, return_counts=True)
+        block = (np.arange(len(rows)) - np.repeat(first, size)) // BLOCK
+        blocks = np.repeat(-(-size // BLOCK), size)
+        taken, _ = _gather(np.zeros_like(blocks), blocks)
+        index = np.repeat(np.arange(len(rows)), blocks)
+        piece = np.minimum(block[index], taken) * PIECES + np.maximum(block[index], taken)
+        rows = rows[index]
+        columns = [np.full(len(rows), group["range"][0].as_py(), np.int32), piece, rows["key"].astype(np.int64), block[index], rows["node"].copy(), rows["label"].copy()]
+        return pa.table(dict(zip(("range", "piece", "key", "block", "node", "label"), columns, strict=True)))
+
+    rows = postings.where("range is not null").select("range", "postings")
+    return rows.groupBy("range").applyInArrow(apart, "range int, piece long, key long, block long, node long, label long")
+
+
+def _links_of_members(members: DataFrame, classes: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """(a, b) of near classes with different labels, within edit distance; each two are compared under the first ordinary key that they share."""
+    shared = members.sparkSession.sparkContext.broadcast(crowded)
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key").combine_chunks()
+        rows = np.zeros(len(group), dtype=LABELLED)
+        for name in ("key", "node", "chars", "label"):
+            rows[name] = group[name].to_numpy()
+        rows["hash"] = group["hash"].to_numpy().view(np.uint64)
+        hot = np.unpackbits(shared.value).astype(bool)
+        keys, block, piece = _keys(group), group["block"].to_numpy(), group["piece"][0].as_py()
+        ordinary, norm, found = ~hot[(keys & _U(len(hot) - 1)).astype(np.int64)], group["norm"].combine_chunks(), [np.zeros((0, 2), np.int64)]
+        held, size = [], 0
+
+        def verify() -> None:
+            some = np.concatenate([np.zeros((0, 2), np.int64), *held])
+            held.clear()
+            for lo in range(0, len(some), SOME):
+                x, y = some[lo : lo + SOME].T
+                close = all_similar(*([t.decode("utf-8", "replace") for t in norm.take(pa.array(at)).to_pylist()] for at in (x, y)))
+                found.append(np.sort(np.stack([rows["node"][x[close]], rows["node"][y[close]]], axis=1), axis=1))
+
+        for x, y in _near_pairs(rows):
+            ok = rows["label"][x] != rows["label"][y]
+            ok &= np.minimum(block[x], block[y]) * PIECES + np.maximum(block[x], block[y]) == piece
+            x, y = x[ok], y[ok]
+            common = (keys[x] == keys[y]) & ordinary[x]
+            own = common.any(axis=1) & ((keys[x, common.argmax(axis=1)] & _U(0xFFFFFFFF)) == rows["key"][x])
+            held.append(np.stack([x[own], y[own]], axis=1))
+            size += int(own.sum())
+            if size >= SOME or len(held) >= SOME:
+                verify()
+                size = 0
+        verify()
+        ends = np.concatenate(found)
+        return pa.table({"a": ends[:, 0].copy(), "b": ends[:, 1].copy()})
+
+    rows = members.join(classes.select("node", *CLASS, "norm"), "node")
+    return rows.groupBy("range", "piece").applyInArrow(links, "a long, b long")
+
+
 def _classes_of(lines: DataFrame, nodes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """(node, CLASS, norm) of these classes and a few others; a filter of fixed size keeps most out before the shuffle."""
     shared = lines.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
@@ -345,13 +411,107 @@ def similar(a: str, b: str) -> bool:
     return aligned_cost(a.split(" "), b.split(" "), most) <= most or edit_distance_within(a, b, most) <= most
 
 
+#: Pairs whose cells are worked out at once, and pairs of texts that these are chosen from.
+AT_ONCE, SOME = 256, 4000
+#: Lengths, common ends aside, from which a pair's distance is worked out alone, in bit vectors.
+LONG = 4000
+
+
+def _table_of(texts: list[np.ndarray], height: int, kind: type, reverse: bool) -> np.ndarray:
+    """A column for each text, padded with 0, or 1 in front if they are to be reversed."""
+    out = np.full((len(texts), height), int(reverse), dtype=kind)
+    for row, text in zip(out, texts, strict=True):
+        row[: len(text)] = text
+    return np.ascontiguousarray(out[:, ::-1].T if reverse else out.T)
+
+
+def _cells_within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether pairs of texts, none empty, are within edit distances: the table's diagonals one after the other, a column of cells for each pair."""
+    codes, flat = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    kind = np.uint8 if len(codes) < 254 else np.uint16 if len(codes) < 65_000 else np.uint32
+    pieces = np.split((flat + 2).astype(kind), np.cumsum([len(x) for x in (*a, *b)])[:-1])
+    high, wide = max(map(len, a)), max(map(len, b))
+    down, across = _table_of(pieces[: len(a)], high, kind, False), _table_of(pieces[len(a) :], wide, kind, True)
+    rows, total = np.array([len(x) for x in a]), np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    lengths = set(total.tolist())
+    result, own, band = np.zeros(len(a), dtype=bool), np.arange(len(a)), int((most + np.abs(2 * rows - total)).max()) // 2  # a way off by more can't come back
+    # cell (i, k - i) of diagonal k is at place i + 1; ``far`` stands for all distances from it on, and around what is in the band
+    cell, far = (np.uint8, 254) if most.max() < 253 else (np.uint16, 60_000)
+    most = most.astype(cell)
+    last, before, new = (np.full((high + 2, len(a)), far, dtype=cell) for _ in range(3))
+    caps = np.full_like(new, far - 1)  # numpy is much slower with one number
+    last[1] = 0
+    for k in range(1, int(total.max()) + 1):
+        lo, hi = max(0, k - wide, (k - band + 1) // 2), min(high, k, (k + band) // 2)
+        cells = new[lo + 1 : hi + 2]
+        np.minimum(last[lo + 1 : hi + 2], last[lo : hi + 1], out=cells)
+        np.minimum(cells, caps[: len(cells)], out=cells)
+        cells += 1
+        i, j = max(lo, 1), min(hi, k - 1)
+        if i <= j:
+            step = down[i - 1 : j] != across[wide - k + i : wide - k + j + 1]
+            inner = new[i + 1 : j + 2]
+            np.minimum(inner, before[i : j + 1] + (step.view(np.uint8) if cell is np.uint8 else step.astype(cell)), out=inner)
+        new[lo] = far
+        if hi + 2 < len(new):
+            new[hi + 2] = far
+        if k in lengths:
+            at = np.flatnonzero(total == k)
+            result[own[at]] = new[rows[at] + 1, at] <= most[at]
+        before, last, new = last, new, before
+        if k % 32 == 0:
+            # every way crosses one of two neighbouring diagonals
+            alive = (np.minimum(last[lo + 1 : hi + 2].min(axis=0), before[lo + 1 : hi + 2].min(axis=0)) <= most) & (total > k)
+            if not alive.any():
+                break
+            if 2 * alive.sum() <= len(alive):
+                down, across, last, before, new, caps = (np.ascontiguousarray(x[:, alive]) for x in (down, across, last, before, new, caps))
+                rows, total, own, most = rows[alive], total[alive], own[alive], most[alive]
+    return result
+
+
+def all_similar(a: list[str], b: list[str]) -> np.ndarray:
+    """``similar`` of many pairs: those that aligned words don't settle are worked out together, by length."""
+    result, open_ = np.zeros(len(a), dtype=bool), []
+    for at, (x, y) in enumerate(zip(a, b, strict=True)):
+        most = max(len(x), len(y)) // 5
+        if abs(len(x) - len(y)) > most:
+            continue
+        if aligned_cost(x.split(" "), y.split(" "), most) <= most:
+            result[at] = True
+            continue
+        u, v = (np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in (x, y))
+        n = min(len(u), len(v))
+        differ = np.flatnonzero(u[:n] != v[:n])
+        head = int(differ[0]) if len(differ) else n
+        u, v, n = u[head:], v[head:], n - head
+        differ = np.flatnonzero(u[len(u) - n :] != v[len(v) - n :])
+        tail = n - 1 - int(differ[-1]) if len(differ) else n
+        u, v = u[: len(u) - tail], v[: len(v) - tail]
+        if max(len(u), len(v)) <= most:
+            result[at] = True
+        elif max(len(u), len(v)) > LONG:
+            result[at] = edit_distance_within(x, y, most) <= most
+        elif len(u) and len(v):
+            open_.append((most >> 5, len(u) + len(v), at, u, v, most))
+    open_.sort(key=lambda x: x[:3])
+    while open_:
+        some = open_[-AT_ONCE:]
+        del open_[-AT_ONCE:]
+        _, _, at, u, v, most = zip(*some, strict=True)
+        result[list(at)] = _cells_within(u, v, np.array(most))
+    return result
+
+
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) within edit distance."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in zip(batch["norm_a"].to_pylist(), batch["norm_b"].to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, SOME):
+                part = batch.slice(lo, SOME)
+                keep = all_similar(*([x.decode("utf-8", "replace") for x in part[c].to_pylist()] for c in ("norm_a", "norm_b")))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     a, b = (classes.select(F.col("node").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(close, "a long, b long")
@@ -376,7 +536,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     classes = stored(_classes_of(lines, wanted), "line-classes")
     components = connected_components(stored(_verified(pairs, classes), "line-links"))
     label = classes.join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    components = _more(components, _pairs_of_ranges(_postings(label, crowded, ranges, labelled=True), labelled=True), classes)
+    members = stored(_members(_postings(label, crowded, ranges, labelled=True)), "line-members")
+    components = _merged(components, _links_of_members(members, classes, crowded))
     if hot is not None:
         components = _more(components, _crowd_pairs(hot, components, stars=True), classes)
         components = _more(components, _crowd_pairs(hot, components, stars=False), classes)
@@ -401,7 +562,11 @@ def _crowd_pairs(hot: DataFrame, components: DataFrame, stars: bool) -> DataFram
 
 
 def _more(components: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    links = stored(_verified(candidates, classes), "line-links")
+    return _merged(components, _verified(candidates, classes))
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    links = stored(links, "line-links")
     return merged_components(components, links) if links.limit(1).count() else components
 
 

@@ -668,6 +668,48 @@ def test_similar():
         assert not y or fuzzy_lines.aligned_cost(a, b, 10_000) >= distance
 
 
+def test_all_similar(monkeypatch):
+    """Many pairs at once give what one after the other gives: of any length, long ones, far and near."""
+    rnd, a, b = random.Random(4), [], []
+    for n in [*range(60)] * 20 + [900, 1400, 2600]:
+        x = "".join(rnd.choices("abc é\u4e2d", k=n))
+        y = list(x)
+        for _ in range(rnd.randint(0, n // 4 + 1)):
+            at = rnd.randrange(len(y) + 1)
+            y[at : at + rnd.randint(0, 1)] = rnd.choices("abcdé", k=rnd.randint(0, 1))
+        a += [x, x]
+        b += ["".join(y), "".join(rnd.choices("abc", k=n))]
+    want = [fuzzy_lines.similar(x, y) for x, y in zip(a, b, strict=True)]
+    assert fuzzy_lines.all_similar(a, b).tolist() == want and 100 < sum(want) < len(want) - 100
+    monkeypatch.setattr(fuzzy_lines, "LONG", 30)
+    assert fuzzy_lines.all_similar(a, b).tolist() == want
+    assert fuzzy_lines.all_similar([], []).tolist() == []
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_near_lines_of_other_groups_are_not_rows_of_pairs(spark, monkeypatch, block):
+    """40 lines near each other and in components of their own: a row for each of a line's keys and blocks, and all links are found."""
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+    rnd, n = random.Random(6), 40
+    texts = ["x" * 30 + "".join(rnd.choices("ab", k=rnd.choice([3, 9, 12]))) for _ in range(n)]
+    rows = np.zeros(n, dtype=fuzzy_lines.LABELLED)
+    rows["key"], rows["node"], rows["chars"], rows["label"] = 5, np.arange(n), [len(t) for t in texts], np.arange(n) // 2
+    posted = spark.createDataFrame([(0, bytearray(rows[:25].tobytes())), (0, bytearray(rows[20:].tobytes()))], "range int, postings binary")
+    members = fuzzy_lines._members(posted)
+    blocks = -(-n // block)
+    assert members.count() == n * blocks
+    # every band's key is 0; the first one's 64-bit form ends in the key of the postings
+    packed = np.zeros((1, 10), np.uint32)
+    kept = [(i, 0, len(t), *packed.view(np.int64)[0].tolist(), t.encode()) for i, t in enumerate(texts)]
+    classes = spark.createDataFrame([(a, b, c, *k, bytearray(z)) for a, b, c, *k, z in kept], "node long, hash long, chars int, " + ", ".join(f"{k} long" for k in fuzzy_lines.KEYS) + ", norm binary")
+    own = fuzzy_lines.wk.mix(np.arange(10, dtype=np.uint64) << np.uint64(32))
+    rows["key"] = own[0] & np.uint64(0xFFFFFFFF)
+    posted = spark.createDataFrame([(0, bytearray(rows.tobytes()))], "range int, postings binary")
+    found = [(r["a"], r["b"]) for r in fuzzy_lines._links_of_members(fuzzy_lines._members(posted), classes, np.zeros(1 << 10, np.uint8)).collect()]
+    assert sorted(found) == [(i, j) for i in range(n) for j in range(i + 1, n) if i // 2 != j // 2 and fuzzy_lines.similar(texts[i], texts[j])]
+    assert len(found) < n * (n - 2) // 2
+
+
 def lines_with_copies(rnd):
     """Texts of lines of 6 to 40 words, half of them near copies of others, and short ones."""
     def word():
