@@ -71,8 +71,8 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.W
     low, high = np.searchsorted(words.start, lines.start), np.searchsorted(words.start, lines.end)
     ok = high - low >= min_words
     low, high, text, start = low[ok], high[ok], lines.text[ok], lines.start[ok]
-    breaks = np.concatenate([[0], np.cumsum(buf == 10)])
-    number = breaks[start] - breaks[offsets[text]]
+    breaks = np.flatnonzero(buf == 10)
+    number = np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets[:-1])[text]
     h = words.hashes()
     up, down = wk._power(len(h) + 2)
     run = np.zeros(len(h) + 1, dtype=np.uint64)
@@ -93,10 +93,7 @@ def _normalised(words: wk.Words, low: np.ndarray, high: np.ndarray) -> pa.Array:
     length = words.end - words.start
     place = np.concatenate([[0], np.cumsum(length + 1)])
     out = np.full(int(place[-1]), 32, dtype=np.uint8)
-    inside = np.zeros(len(words.buf) + 1, dtype=np.int8)
-    inside[words.start] += 1
-    inside[words.end] -= 1  # no two words end at the same byte
-    taken = words.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    taken = words.buf[wk.ALNUM[words.buf]]  # words are all that such bytes make
     out[np.arange(len(taken)) + np.repeat(np.arange(len(length)), length)] = taken
     edges = np.stack([place[low], place[high] - 1], axis=1).ravel().astype(np.int32)  # lines and what is between them
     spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(out)])
