@@ -19,7 +19,8 @@ blocks that all such pairs share would be three bits wide (figures in the README
 4. Verified pairs connect; then near classes of one key that are still in different components meet
    in a task with their texts, a row for each class and key, and are verified there, so no link between
    components is lost and no pair is a row.
-5. The removed line numbers are joined back to the documents.
+5. Lines of classes that occur often or are in a component are compared by place, all others stay out
+   of that; the removed line numbers are joined back to the documents.
 
 A class is known by the 64-bit hash of its normalised line.  Defined results: null and empty texts have
 no lines to remove and stay as they are; equal lines of one document count like those of two; rows with
@@ -30,6 +31,7 @@ gives no rows.  Columns named like an output are replaced.
 
 from __future__ import annotations
 
+import bisect
 import os
 from collections.abc import Iterator
 
@@ -56,7 +58,6 @@ RANGE_ROWS = 2_000_000
 #: Classes of a key that are compared in one task, and more than the most such blocks of a key.
 BLOCK, PIECES = 1024, 64
 _U = np.uint64
-_NOT_NEWLINE = wk._table(b"\n")
 _FOLD = np.array([48 if 48 <= b <= 57 else wk.LOWER[b] for b in range(256)], dtype=np.uint8)
 #: key: the low half of a key; the high half chose the range.  chars: length, 65,535 at most.
 POSTING = np.dtype([("key", "<u4"), ("node", "<i8"), ("hash", "<u8"), ("chars", "<u2")])
@@ -67,12 +68,15 @@ CLASS = ["hash", "chars", *KEYS]
 
 def lines_of(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[wk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For lines of enough words: (words, their hashes, first word, word after the last, text, line number, class)."""
-    words, lines = wk.split_words(_FOLD[buf], offsets, wk.ALNUM), wk.split_words(buf, offsets, _NOT_NEWLINE)
-    low, high = np.searchsorted(words.start, lines.start), np.searchsorted(words.start, lines.end)
-    ok = high - low >= min_words
-    low, high, text, start = low[ok], high[ok], lines.text[ok], lines.start[ok]
-    breaks = np.flatnonzero(buf == 10)
-    number = np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets[:-1])[text]
+    words, breaks = wk.split_words(_FOLD[buf], offsets, wk.ALNUM), np.flatnonzero(buf == 10)
+    ends = np.searchsorted(breaks, offsets)  # breaks before each text
+    first = ends + np.arange(len(offsets))  # a text has a line more than breaks
+    border = np.sort(np.concatenate([breaks, offsets]))
+    edge = np.searchsorted(words.start, border)
+    low, high = edge[:-1], edge[1:]
+    ok = np.flatnonzero(high - low >= min_words)
+    low, high, text = low[ok], high[ok], np.searchsorted(first, ok, side="right") - 1
+    number = ok - first[text]
     h = words.hashes()
     up, down = wk._power(len(h) + 2)
     run = np.zeros(len(h) + 1, dtype=np.uint64)
@@ -90,12 +94,12 @@ def _gather(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _normalised(words: wk.Words, low: np.ndarray, high: np.ndarray) -> pa.Array:
     """The words low[i]..high[i] of each line with one space between, as binary."""
-    length = words.end - words.start
-    place = np.concatenate([[0], np.cumsum(length + 1)])
-    out = np.full(int(place[-1]), 32, dtype=np.uint8)
-    taken = words.buf[wk.ALNUM[words.buf]]  # words are all that such bytes make
-    out[np.arange(len(taken)) + np.repeat(np.arange(len(length)), length)] = taken
-    edges = np.stack([place[low], place[high] - 1], axis=1).ravel().astype(np.int32)  # lines and what is between them
+    inside = wk.ALNUM[words.buf]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # the byte after a word is the space
+    kept = np.flatnonzero(kept)
+    out = np.where(inside, words.buf, np.uint8(32))[kept]
+    edges = np.searchsorted(kept, np.stack([words.start[low], words.end[high - 1]], axis=1).ravel()).astype(np.int32)  # lines and what is between them
     spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(out)])
     return spans.take(pa.array(np.arange(0, len(edges) - 1, 2)))
 
@@ -125,7 +129,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, buf, offsets in wk.slices(batch.column(2)):
+            for lo, hi, buf, offsets in wk.slices(batch.column(2), wk.SLICE_BYTES // 2):  # small enough for memory that is used again
                 words, h, low, high, text, number, node = lines_of(buf, offsets, min_words)
                 if not len(node):
                     continue
@@ -265,11 +269,20 @@ def _pairs_of_ranges(postings: DataFrame) -> DataFrame:
 
 
 def _rows_of(postings: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
-    """The postings, sorted by key and node, each once: several tasks may have met a class."""
+    """The postings of keys of several classes, sorted by key and node, each once: several tasks may have met a class."""
+
+    def met(key: np.ndarray) -> np.ndarray:
+        same = key[1:] == key[:-1]
+        return np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(key) else np.zeros(0, np.int64)
+
     rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in postings])
+    key = np.ascontiguousarray(rows["key"])
+    order = np.argsort(key)
+    rows = rows[order[met(key[order])]]  # most keys are one class's: these aren't sorted by node
     rows = rows[np.lexsort((rows["node"], rows["key"]))]
     again = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
-    return rows[np.concatenate([[True], ~again])]
+    rows = rows[np.append(True, ~again)] if len(rows) else rows
+    return rows[met(rows["key"])]
 
 
 def _members(postings: DataFrame) -> DataFrame:
@@ -341,17 +354,22 @@ def _links_of_members(members: DataFrame, classes: DataFrame, crowded: np.ndarra
     return rows.groupBy("range", "piece").applyInArrow(links, "a long, b long")
 
 
-def _classes_of(lines: DataFrame, nodes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(node, CLASS, norm) of these classes and a few others; a filter of fixed size keeps most out before the shuffle."""
-    shared = lines.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
+def _among(rows: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """The rows of these nodes and of a few others; a filter of fixed size keeps most out before a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             yield batch.filter(pa.array(wanted[batch["node"].to_numpy() & ((1 << bits) - 1)]))
 
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _classes_of(lines: DataFrame, nodes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(node, CLASS, norm) of these classes and a few others."""
     found = lines.where("hash is not null").select("node", *CLASS, "norm")
-    return found.mapInArrow(run, found.schema).dropDuplicates(["node"])
+    return _among(found, nodes, bits).dropDuplicates(["node"])
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int:
@@ -409,7 +427,7 @@ def similar(a: str, b: str) -> bool:
 
 
 #: Pairs whose cells are worked out at once, and pairs of texts that these are chosen from.
-AT_ONCE, SOME = 256, 4000
+AT_ONCE, SOME = 512, 4000
 #: Lengths, common ends aside, from which a pair's distance is worked out alone, in bit vectors.
 LONG = 4000
 
@@ -424,31 +442,36 @@ def _table_of(texts: list[np.ndarray], height: int, kind: type, reverse: bool) -
 
 def _cells_within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
     """Whether pairs of texts, none empty, are within edit distances: the table's diagonals one after the other, a column of cells for each pair."""
-    codes, flat = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    kind = np.uint8 if len(codes) < 254 else np.uint16 if len(codes) < 65_000 else np.uint32
-    pieces = np.split((flat + 2).astype(kind), np.cumsum([len(x) for x in (*a, *b)])[:-1])
+    a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+    sizes, flat = [len(x) for x in (*a, *b)], np.concatenate([*a, *b])
+    if (top := int(flat.max())) >= 254:
+        codes, flat = np.unique(flat, return_inverse=True)
+        top = len(codes)
+    kind = np.uint8 if top < 254 else np.uint16 if top < 65_000 else np.uint32
+    pieces = np.split((flat + 2).astype(kind), np.cumsum(sizes)[:-1])
     high, wide = max(map(len, a)), max(map(len, b))
     down, across = _table_of(pieces[: len(a)], high, kind, False), _table_of(pieces[len(a) :], wide, kind, True)
     rows, total = np.array([len(x) for x in a]), np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
-    lengths = set(total.tolist())
-    result, own, band = np.zeros(len(a), dtype=bool), np.arange(len(a)), int((most + np.abs(2 * rows - total)).max()) // 2  # a way off by more can't come back
-    # cell (i, k - i) of diagonal k is at place i + 1; ``far`` stands for all distances from it on, and around what is in the band
-    cell, far = (np.uint8, 254) if most.max() < 253 else (np.uint16, 60_000)
+    lengths, longer = set(total.tolist()), 2 * rows - total
+    result, own = np.zeros(len(a), dtype=bool), np.arange(len(a))
+    left, right = int((most - longer).max()) // 2, int((most + longer).max()) // 2  # a way off by more can't come back
+    # cell (i, k - i) of diagonal k is at place i + 1; numbers from ``far`` on stand for all distances over ``most``, and around what is in the band
+    cell, far = (np.uint8, 222) if most.max() < 200 else (np.uint16, 60_000)
     most = most.astype(cell)
-    last, before, new = (np.full((high + 2, len(a)), far, dtype=cell) for _ in range(3))
-    caps = np.full_like(new, far - 1)  # numpy is much slower with one number
+    last, before, new, sums = (np.full((high + 2, len(a)), far, dtype=cell) for _ in range(4))
+    steps = np.empty(new.shape, dtype=bool)
     last[1] = 0
     for k in range(1, int(total.max()) + 1):
-        lo, hi = max(0, k - wide, (k - band + 1) // 2), min(high, k, (k + band) // 2)
+        lo, hi = max(0, k - wide, (k - left + 1) // 2), min(high, k, (k + right) // 2)
         cells = new[lo + 1 : hi + 2]
         np.minimum(last[lo + 1 : hi + 2], last[lo : hi + 1], out=cells)
-        np.minimum(cells, caps[: len(cells)], out=cells)
-        cells += 1
+        cells += cell(1)
         i, j = max(lo, 1), min(hi, k - 1)
         if i <= j:
-            step = down[i - 1 : j] != across[wide - k + i : wide - k + j + 1]
-            inner = new[i + 1 : j + 2]
-            np.minimum(inner, before[i : j + 1] + (step.view(np.uint8) if cell is np.uint8 else step.astype(cell)), out=inner)
+            step, diagonal, inner = steps[: j - i + 1], sums[: j - i + 1], new[i + 1 : j + 2]
+            np.not_equal(down[i - 1 : j], across[wide - k + i : wide - k + j + 1], out=step)
+            np.add(before[i : j + 1], step.view(np.uint8), out=diagonal)
+            np.minimum(inner, diagonal, out=inner)
         new[lo] = far
         if hi + 2 < len(new):
             new[hi + 2] = far
@@ -461,9 +484,11 @@ def _cells_within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) ->
             alive = (np.minimum(last[lo + 1 : hi + 2].min(axis=0), before[lo + 1 : hi + 2].min(axis=0)) <= most) & (total > k)
             if not alive.any():
                 break
-            if 2 * alive.sum() <= len(alive):
-                down, across, last, before, new, caps = (np.ascontiguousarray(x[:, alive]) for x in (down, across, last, before, new, caps))
+            if 4 * alive.sum() <= 3 * len(alive):
+                down, across, last, before, new, sums, steps = (np.ascontiguousarray(x[:, alive]) for x in (down, across, last, before, new, sums, steps))
                 rows, total, own, most = rows[alive], total[alive], own[alive], most[alive]
+            for x in (last, before):  # no number passes the type's largest in 32 diagonals
+                x[x > far] = far
     return result
 
 
@@ -490,12 +515,15 @@ def all_similar(a: list[str], b: list[str]) -> np.ndarray:
         elif max(len(u), len(v)) > LONG:
             result[at] = edit_distance_within(x, y, most) <= most
         elif len(u) and len(v):
-            open_.append((most >> 5, len(u) + len(v), at, u, v, most))
-    open_.sort(key=lambda x: x[:3])
+            open_.append((at, len(u) + len(v), u, v, most))
+    open_.sort(key=lambda x: (x[-1], x[1]))
     while open_:
-        some = open_[-AT_ONCE:]
-        del open_[-AT_ONCE:]
-        _, _, at, u, v, most = zip(*some, strict=True)
+        # such as differ little in size, or the largest sets what all of them cost
+        first = bisect.bisect_left(open_, open_[-1][-1] * 3 // 4, key=lambda x: x[-1])
+        first = max(min(first, len(open_) - AT_ONCE // 8), len(open_) - AT_ONCE, 0)
+        some = open_[first:]
+        del open_[first:]
+        at, _, u, v, most = zip(*some, strict=True)
         result[list(at)] = _cells_within(u, v, np.array(most))
     return result
 
@@ -516,7 +544,8 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines, components): lines (doc_id, text_hash, line, node, ...); components (node, component) of linked classes."""
-    lines = stored(line_table(docs, min_words), "lines")
+    # no value of these columns repeats much
+    lines = stored(line_table(docs, min_words), "lines", {f"parquet.enable.dictionary#{c}": "false" for c in ("node", "hash", *KEYS, "norm")})
     fresh = lines.where("hash is not null").select("node", *CLASS)
     n = fresh.count()
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * sh.BANDS // RANGE_ROWS + 1)
@@ -567,14 +596,17 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     return merged_components(components, links) if links.limit(1).count() else components
 
 
-def removed_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
+def removed_lines(lines: DataFrame, components: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, text_hash, removed): for documents that lose lines, the sorted numbers of those."""
+    # most classes are one line and in no component: they take no part in what compares places
+    often = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    groups = often.join(components, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+    groups = stored(groups, "line-groups")
+    places = _among(lines.select("doc_id", "text_hash", "line", "node"), groups, bits)
+    places = stored(places.join(groups, "node").drop("node"), "line-places")
     place = F.struct("doc_id", "line", "text_hash")
-    classes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    group = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = group.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    losing = group.select("node", "component").join(kept, "component").select("node", "kept")
-    gone = lines.join(losing, "node").where(~place.eqNullSafe(F.col("kept")))
+    kept = places.groupBy("component").agg(F.min(place).alias("kept"))
+    gone = places.join(kept, "component").where(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
@@ -583,7 +615,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("removed", "deduped")
     gone = removed_lines(*line_groups(docs, min_words)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
-    joined = docs.join(gone, same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    joined = docs.join(gone.hint("shuffle_hash"), same, "left").drop("__id", "__text").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     # set operations and places, so that the work is in proportion to the lines
     kept = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "removed")
     rest = let(F.split("text", "\n"), lambda own: F.array_join(F.transform(kept(own), lambda i: F.get(own, i)), "\n"))

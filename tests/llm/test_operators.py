@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -741,6 +742,30 @@ def test_every_near_line_is_in_a_pair(spark):
     assert {x for pair in pairs for x in pair} == set(range(60)) and all(a < b for a, b in pairs) and len(pairs) <= 2 * 60
 
 
+def test_postings_of_lone_classes_are_left_out():
+    rows = np.zeros(7, dtype=fuzzy_lines.POSTING)
+    rows["key"], rows["node"] = [5, 3, 5, 9, 3, 3, 9], [2, 1, 1, 4, 8, 1, 4]  # two tasks have met 1 under 3, and 4 under 9
+    for kept in (rows, rows[:0], rows[:1]):
+        found = fuzzy_lines._rows_of(pa.chunked_array([pa.array([x.tobytes() for x in np.array_split(kept, 2)], pa.binary())]), fuzzy_lines.POSTING)
+        assert found[["key", "node"]].tolist() == ([(3, 1), (3, 8), (5, 1), (5, 2)] if len(kept) > 1 else [])
+
+
+def test_places_of_lone_lines_are_not_compared(spark, monkeypatch):
+    """Only lines of classes that occur often or are in a component are dealt by component; what is removed is as it was."""
+    lines = spark.createDataFrame([(i, 0, 0, 1000 + i) for i in range(300)] + [(7, 0, 1, 5), (3, 0, 1, 5), (9, 0, 1, 6), (None, 1, 2, 6), (2, 0, 3, 8), (1, 0, 4, 9)], "doc_id long, text_hash long, line int, node long")
+    components = spark.createDataFrame([(8, 8), (9, 8)], "node long, component long")
+    dealt, plain = {}, fuzzy_lines.stored
+
+    def kept(df, name, *options):
+        dealt[name] = plain(df, name, *options)
+        return dealt[name]
+
+    monkeypatch.setattr(fuzzy_lines, "stored", kept)
+    gone = {(r["doc_id"], r["text_hash"]): r["removed"] for r in fuzzy_lines.removed_lines(lines, components).collect()}
+    assert gone == {(7, 0): [1], (9, 0): [1], (2, 0): [3]}
+    assert dealt["line-places"].count() == 6
+
+
 @pytest.mark.parametrize("crowd", [4096, -16])
 def test_fuzzy_lines(spark, crowd, monkeypatch):
     """Against all pairs by edit similarity alone: nothing is linked that shouldn't be, and nine tenths of the pairs are."""
