@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 
 from pagemill.operators import chunking, cleaning, lines
 from pagemill.sources.index_store import IndexStore
-from pagemill.sources.shared import written
 
 
 def chunks_of(
@@ -26,8 +25,7 @@ def chunks_of(
         cleaning.clean_hyphenation,
         cleaning.clean_whitespace,
     ])
-    # cleaned once, as the ends of pages are looked at before their lines
-    rows = lines.to_lines(lines.assign_sections(written(cleaned, "cleaned"), sections, skipped))
+    rows = lines.packed_lines(lines.assign_sections(cleaned, sections, skipped))
     return chunking.process(rows, sections, max_chars, rules)
 
 

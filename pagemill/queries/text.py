@@ -80,11 +80,11 @@ def page_lines(spark, sf_dir):
 
 
 def chunk_size(spark, sf_dir):
-    return chunking.chunk_by_size(lines.to_lines(_placed(spark, sf_dir)), MAX_CHARS).drop("printed_page")
+    return chunking.chunk_by_size(lines.packed_lines(_placed(spark, sf_dir)), MAX_CHARS).drop("printed_page")
 
 
 def chunk_terms(spark, sf_dir):
-    return chunking.chunk_by_terms(lines.to_lines(_placed(spark, sf_dir)), MAX_CHARS).drop("printed_page")
+    return chunking.chunk_by_terms(lines.packed_lines(_placed(spark, sf_dir)), MAX_CHARS).drop("printed_page")
 
 
 #: Headings before every fourth page, some out of order, and markers: (Spark SQL, DuckDB SQL).
@@ -94,12 +94,12 @@ RULES = chunking.HeadingRules(titles={1: "Das Spiel", 2: "Der Platz"})
 
 
 def chunk_headings(spark, sf_dir):
-    return chunking.chunk_by_headings(lines.to_lines(_placed(spark, sf_dir, HEADED[0])), MAX_CHARS, RULES).drop("printed_page")
+    return chunking.chunk_by_headings(lines.packed_lines(_placed(spark, sf_dir, HEADED[0])), MAX_CHARS, RULES).drop("printed_page")
 
 
 def chunk_process(spark, sf_dir):
     """Each section by its own strategy."""
-    rows = lines.to_lines(_placed(spark, sf_dir, HEADED[0]))
+    rows = lines.packed_lines(_placed(spark, sf_dir, HEADED[0]))
     return chunking.process(rows, sections(spark), MAX_CHARS, RULES).drop("printed_page")
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A bucket holds so many bytes of the input files, or more where there would be more buckets than shuffle partitions.
+BUCKET_BYTES = 128 << 10
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, made the checkpoint directory too.
@@ -31,8 +38,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, for steps that would work it out again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets(df: DataFrame) -> int:
+    """How many buckets suit a table made of ``df``: as many as a bucketed table that it reads has, else so many
+    that its files give each BUCKET_BYTES, but no more than a shuffle has partitions."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+    for table in (x.catalogTable().get() for x in files if x.catalogTable().isDefined()):
+        if table.bucketSpec().isDefined():
+            return table.bucketSpec().get().numBuckets()
+    read = sum(int(str(x.stats().sizeInBytes())) for x in files)
+    return max(1, min(most, -(-read // BUCKET_BYTES))) if files else most
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], n: int, deal: bool = True) -> DataFrame:
+    """``df`` written once as a table of ``n`` buckets by ``keys``: what groups or joins by just these keys shuffles none of it.
+
+    Without ``deal`` rows are written where they are, which suits rows that lie by ``keys`` already.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    with freeing(spark):
+        rows = df.repartition(n, *keys) if deal else df
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
