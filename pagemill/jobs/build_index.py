@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import chunking, cleaning, lines
 from pagemill.sources.index_store import IndexStore
+from pagemill.sources.shared import bucketed, buckets, new_path, passing
 
 
 def chunks_of(
@@ -29,6 +30,14 @@ def chunks_of(
     return chunking.process(rows, sections, max_chars, rules)
 
 
-def build(chunks: DataFrame, store: IndexStore, embedder: Callable[[DataFrame], DataFrame]) -> tuple[IndexStore, DataFrame]:
+def chunk_table(spark: SparkSession, make: Callable[[], DataFrame], multiple: int = 1) -> DataFrame:
+    """The chunks that ``make`` gives as a table of buckets by id, in a multiple of so many; what else ``make`` has written goes."""
+    path = new_path(spark, "chunks")
+    with passing(spark):
+        chunks = make()
+        return bucketed(chunks, "chunks", ["id"], -(-buckets(chunks) // multiple) * multiple, path=path)
+
+
+def build(chunks: DataFrame, store: IndexStore, embedder: Callable[[DataFrame], DataFrame], dealt: bool = False) -> tuple[IndexStore, DataFrame]:
     """(store of exactly these chunks, stats).  ``chunks`` need pos; only what is new or changed is embedded and written."""
-    return store.refresh(chunks, embedder)
+    return store.refresh(chunks, embedder, dealt)

@@ -35,9 +35,11 @@ def clean_whitespace(pages: DataFrame, drop_blank: bool = True) -> DataFrame:
     """Tabs and no-break spaces become spaces, runs one space, lines are stripped, two empty lines become one."""
     # ``translate`` looks up every character; two replacements only search
     spaced = F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit(NO_BREAK_SPACE), F.lit(" "))
-    text = F.regexp_replace(spaced, " {2,}", " ")
+    # a plain search tells which texts a pattern has to run over
+    text = let(spaced, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
     text = let(text, lambda t: F.array_join(F.transform(split_lines(t), strip), "\n"))
-    return _replace(pages, strip(F.regexp_replace(text, "\n{3,}", "\n\n")), drop_blank)
+    text = let(text, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t))
+    return _replace(pages, strip(text), drop_blank)
 
 
 def clean_line_patterns(pages: DataFrame, patterns: list[str], drop_blank: bool = True) -> DataFrame:
@@ -53,7 +55,9 @@ def clean_hyphenation(pages: DataFrame, conjunctions: tuple[str, ...] = ("und",
     before_word = rf"(\p{{L}}){end}((?:{'|'.join(conjunctions)})(?![A-Za-z0-9_]))"
     text = F.regexp_replace("text", before_word, "$1- $2")
     text = F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{Ll}})", "$1$2")
-    return _replace(pages, F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{L}})", "$1-$2"), drop_blank)
+    joined = F.regexp_replace(text, rf"(\p{{L}}){end}(\p{{L}})", "$1-$2")
+    # the patterns try every letter, so they run over texts with a broken line only
+    return _replace(pages, F.when(F.contains("text", F.lit("-")) & F.col("text").rlike(r"-[ \t]*\n"), joined).otherwise(F.col("text")), drop_blank)
 
 
 def extract_printed_page(pages: DataFrame, offset: int, drop_blank: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.operators.sizes import if_few
-from pagemill.sources.shared import new_path
+from pagemill.sources.shared import written
 
 
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,9 +102,7 @@ def with_positions(df: DataFrame, *order: str) -> DataFrame:
     how often, and with what coalescing, its shuffle is read.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    path = new_path(df.sparkSession, "positions")
-    ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).write.parquet(path)
-    local = df.sparkSession.read.parquet(path)
+    local = written(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1), "positions")
     sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
     base = sizes.select("__part", (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("base"))  # a row for each range
     placed = local.join(F.broadcast(base), "__part").withColumn("pos", F.col("base") + F.col("__n"))

@@ -114,10 +114,14 @@ def chunk_job(spark, sf_dir):
 
 def index_job(spark, sf_dir):
     """Chunks to an index refreshed from one that lacks a section and has other texts in another."""
-    chunks = index.with_positions(_job_chunks(spark, sf_dir).drop("pos").select("source", "section", "id", "text"), "source", "section", "id")
+    # chunks lie by id, as the store's tables do, so positions and vectors come to them and texts stay where they are
+    table = build_index.chunk_table(spark, lambda: _job_chunks(spark, sf_dir).select("source", "section", "id", "text"), multiple=8)
+    placed = index.with_positions(table.select("source", "section", "id"), "source", "section", "id")
+    chunks = table.join(placed.select("id", "pos"), "id")
     old = chunks.where("section <> 'Begriffe'").withColumns({"text": F.when(F.col("section") == "Anhang A", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "embedding": F.array(F.lit(-1.0).cast("float"))})
-    store = IndexStore.create(old, new_path(spark, "index"), "chars", buckets=8)
-    fresh, _ = build_index.build(chunks, store, lambda d: embed_durably(d, "text", lambda texts: [[float(len(t))] for t in texts], "chars", new_path(spark, "vectors")))
+    store = IndexStore.create(old, new_path(spark, "index"), "chars", buckets=8, dealt=True)
+    embedder = lambda d: embed_durably(d, "text", lambda texts: [[float(len(t))] for t in texts], "chars", new_path(spark, "vectors"), key="id")
+    fresh, _ = build_index.build(chunks, store, embedder, dealt=True)
     return fresh.read().select("pos", "id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
 
 

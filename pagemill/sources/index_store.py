@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.index import refresh_stats
-from pagemill.sources.shared import new_path
+from pagemill.sources.shared import freeing, written
 
 #: Buckets of a new store; one should hold some hundred MB.
 BUCKETS = 32
@@ -69,11 +69,11 @@ class IndexStore:
     # --- opening
 
     @classmethod
-    def create(cls, index: DataFrame, path: str, model: str, buckets: int = BUCKETS) -> IndexStore:
-        """A store of ``index``, which must have pos, id, text and embedding."""
+    def create(cls, index: DataFrame, path: str, model: str, buckets: int = BUCKETS, dealt: bool = False) -> IndexStore:
+        """A store of ``index``, which must have pos, id, text and embedding; ``dealt``: its rows lie by id already."""
         rows = index.withColumns({"digest": _digest(), "live": F.lit(True)})
         self = cls(index.sparkSession, path, Snapshot(0, model, 0, 0, -1, buckets, _ddl(rows), "", [], 0))
-        base = self._write(rows, "base")
+        base = self._write(rows, "base", deal=not dealt)
         return self._next(base=base, deltas=[], changed=0, **self._measured(self._table(base)))
 
     @classmethod
@@ -110,7 +110,8 @@ class IndexStore:
     def _write(self, rows: DataFrame, kind: str, deal: bool = True) -> str:
         table, n = f"{kind}/{uuid.uuid4().hex}", self.snapshot.buckets
         rows = rows.repartition(n, "id") if deal else rows
-        rows.write.format("parquet").bucketBy(n, "id").sortBy("id").option("path", f"{self.path}/{table}").saveAsTable(self._name(table))
+        with freeing(self.spark):
+            rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "id").sortBy("id").option("path", f"{self.path}/{table}").saveAsTable(self._name(table))
         return table
 
     def _measured(self, rows: DataFrame) -> dict:
@@ -156,7 +157,7 @@ class IndexStore:
 
     # --- changes
 
-    def _changed(self, rows: DataFrame | None, removed: DataFrame | None, **changes) -> IndexStore:
+    def _changed(self, rows: DataFrame | None, removed: DataFrame | None, dealt: bool = False, **changes) -> IndexStore:
         parts, schema = [], self._table("").schema
         if rows is not None:
             given = F.size("embedding")
@@ -168,12 +169,12 @@ class IndexStore:
         if removed is not None:
             gone = removed.select("id").withColumn("live", F.lit(False))
             parts.append(gone.select(*[(F.col(f.name) if f.name in ("id", "live") else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]))
-        delta = self._write(reduce(DataFrame.unionByName, parts), "delta")
-        written = self._table(delta).agg(F.count(F.lit(1)), F.max("pos"), F.max(F.size("embedding"))).first()
-        if not written[0]:
+        delta = self._write(reduce(DataFrame.unionByName, parts), "delta", deal=not dealt)
+        made = self._table(delta).agg(F.count(F.lit(1)), F.max("pos"), F.max(F.size("embedding"))).first()
+        if not made[0]:
             return self
-        top, dimensions = max(changes.pop("top", self.snapshot.top), -1 if written[1] is None else written[1]), self.snapshot.dimensions or written[2] or 0
-        return self._next(deltas=[*self.snapshot.deltas, delta], changed=self.snapshot.changed + written[0], top=top, dimensions=dimensions, **changes)
+        top, dimensions = max(changes.pop("top", self.snapshot.top), -1 if made[1] is None else made[1]), self.snapshot.dimensions or made[2] or 0
+        return self._next(deltas=[*self.snapshot.deltas, delta], changed=self.snapshot.changed + made[0], top=top, dimensions=dimensions, **changes)
 
     def upsert(self, new: DataFrame) -> IndexStore:
         """Entries of ``new`` replace those of the same id in place; others follow, in their own order."""
@@ -184,9 +185,7 @@ class IndexStore:
 
     def retain(self, ids: DataFrame) -> tuple[IndexStore, int]:
         """(store of the entries with one of the ids, the number removed)."""
-        path = new_path(self.spark, "removed")
-        self.keys().select("id").join(ids.select("id"), "id", "left_anti").write.parquet(path)
-        gone = self.spark.read.parquet(path)
+        gone = written(self.keys().select("id").join(ids.select("id"), "id", "left_anti"), "removed")
         n = gone.count()
         return (self._changed(None, gone, entries=self.snapshot.entries - n) if n else self), n
 
@@ -195,14 +194,13 @@ class IndexStore:
         new = docs.select("id", F.col("pos").alias("n_pos"), _digest().alias("n_digest"), F.lit(True).alias("n"))
         old = self.keys().withColumnsRenamed({"digest": "o_digest"}).withColumn("o", F.lit(True))
         status = F.when(F.col("n").isNull(), "removed").when(F.col("o").isNull(), "new").when(F.col("n_digest") == F.col("o_digest"), "reused").otherwise("changed")
-        path = new_path(self.spark, "plan")
-        new.join(old, "id", "full").select("id", status.alias("status"), "pos", "n_pos").write.parquet(path)
-        return self.spark.read.parquet(path)
+        return written(new.join(old, "id", "full").select("id", status.alias("status"), "pos", "n_pos"), "plan")
 
-    def refresh(self, docs: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> tuple[IndexStore, DataFrame]:
+    def refresh(self, docs: DataFrame, embedder: Callable[[DataFrame], DataFrame], dealt: bool = False) -> tuple[IndexStore, DataFrame]:
         """(store of exactly these documents, stats); only what is new or changed is embedded and written.
 
-        An unchanged document keeps its entry as it is; a changed one its position; new ones follow.
+        An unchanged document keeps its entry as it is; a changed one its position; new ones follow.  ``dealt``:
+        documents lie by id already, and the embedder leaves them there, so their texts are not dealt again.
         """
         plan = self.plan(docs)
         stats = refresh_stats(plan)
@@ -212,7 +210,7 @@ class IndexStore:
             return self, stats
         todo = plan.where("status in ('new', 'changed')").select("id", F.coalesce("pos", F.lit(top + 1) + F.col("n_pos")).alias("pos"))
         rows = embedder(docs.drop("pos").join(todo, "id"))
-        store = self._changed(rows, plan.where("status = 'removed'"), entries=counts["reused"] + counts["embedded"], top=top)
+        store = self._changed(rows, plan.where("status = 'removed'"), dealt, entries=counts["reused"] + counts["embedded"], top=top)
         return store, stats
 
     def maintain(self) -> IndexStore:

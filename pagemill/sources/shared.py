@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A bucket holds so many bytes of the input files, or more where there would be more buckets than shuffle partitions.
 BUCKET_BYTES = 128 << 10
+#: Paths given out within ``passing``.
+_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else has."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _PASSING.get()) is not None:
+        made.append(path)
+    return path
+
+
+def table_name(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is written to new paths within goes at its end; what is to stay is written to a path from before."""
+    made: list[str] = []
+    token = _PASSING.set(made)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in made:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -70,14 +95,14 @@ def buckets(df: DataFrame) -> int:
     return max(1, min(most, -(-read // BUCKET_BYTES))) if files else most
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str], n: int, deal: bool = True) -> DataFrame:
+def bucketed(df: DataFrame, name: str, keys: list[str], n: int, deal: bool = True, path: str | None = None) -> DataFrame:
     """``df`` written once as a table of ``n`` buckets by ``keys``: what groups or joins by just these keys shuffles none of it.
 
     Without ``deal`` rows are written where they are, which suits rows that lie by ``keys`` already.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    table = path.rpartition("/")[2].replace("-", "_")
+    path = path or new_path(spark, name)
+    table = table_name(path)
     with freeing(spark):
         rows = df.repartition(n, *keys) if deal else df
         rows.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).option("path", path).saveAsTable(table)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from pagemill.jobs import build_index
 from pagemill.operators import chunking, lines
-from pagemill.sources.shared import written
+from pagemill.sources.embedding import embed_durably
+from pagemill.sources.shared import bucketed, new_path, passing, written
 
 SECTIONS = "section string, first_page int, last_page int, strategy string, section_no int"
 RULES = chunking.HeadingRules(titles={1: "Eins"})
@@ -53,3 +54,26 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
     before = shuffled()
     found = written(spark.range(1000).repartition(3, "id"), "dealt")
     assert not shuffled() - before and found.count() == 1000
+
+
+def test_texts_dealt_by_a_key_stay_there(spark, tmp_path):
+    table = bucketed(spark.createDataFrame([(f"k{i}", f"text {i % 50}" if i else None) for i in range(120)], "id string, text string"), "texts", ["id"], 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = embed_durably(table, "text", lambda texts: [[float(len(t))] for t in texts], "m", str(tmp_path / "vectors"), batch_size=8, key="id")
+        assert {r["id"]: r["embedding"] for r in found.collect()} == {f"k{i}": [float(len(f"text {i % 50}"))] if i else None for i in range(120)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        under = [x for x in plan.split("\n") if "Exchange hashpartitioning(id" in x]
+        assert "SortMergeJoin" in plan and not under
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_passing_tables_go(spark):
+    kept = new_path(spark, "kept")
+    with passing(spark):
+        gone = [written(spark.range(5), "step"), bucketed(spark.range(5), "bucket", ["id"], 2)]
+        stays = bucketed(gone[0].join(gone[1], "id"), "kept", ["id"], 2, path=kept)
+    assert stays.count() == 5
+    names = os.listdir(os.path.dirname(kept))
+    assert os.path.basename(kept) in names and not [x for x in names if x.startswith(("step-", "bucket-"))]
